@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,3 +80,37 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         e = after
     roots = e.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+
+
+class Index:
+    """Places of distinct 64-bit keys, by open addressing in a table an eighth full; lookups are vectorised."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys.astype(np.uint64)
+        self.bits = max(4, int(8 * len(keys)).bit_length())
+        self.table = np.full(1 << self.bits, -1, np.int32)
+        left, slot = np.arange(len(keys), dtype=np.int32), self._slot(self.keys)
+        while len(left):
+            free = np.flatnonzero(self.table[slot] < 0)
+            self.table[slot[free]] = left[free]  # of several for one place, one stays
+            missed = self.table[slot] != left
+            left, slot = left[missed], (slot[missed] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key (uint64) among the index's keys, or -1."""
+        if not len(self.keys):
+            return np.full(len(keys), -1, np.int32)
+        slot = self._slot(keys)
+        found = self.table[slot]
+        wrong = np.flatnonzero((found >= 0) & (self.keys[found] != keys))
+        slot = slot[wrong]
+        while len(wrong):
+            slot = (slot + 1) & ((1 << self.bits) - 1)
+            found[wrong] = self.table[slot]
+            again = (found[wrong] >= 0) & (self.keys[found[wrong]] != keys[wrong])
+            wrong, slot = wrong[again], slot[again]
+        return found

@@ -5,7 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyport.llm import chat, mixing, neardup, topk, vecdup
+from tallyport.llm import chat, idcoder, lm, mixing, neardup, quality, sampling, tokencount, topk, vecdup
+from tallyport.llm.common import fold
+
+
+def tokenizer_path(name: str) -> str:
+    """Where a public vocabulary file lies; the package that knows is looked up when a query runs."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,15 +35,41 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents")).drop("source")
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples of every text as digests; text_crc32 and n_chars come from the text decoded from the ids."""
+    path = tokenizer_path("piece_bpe_32k.model")
+    rows = sampling.decode_ids(sampling.sample_segmentations(_table(spark, sf_dir, "documents"), path, k=2), path)
+    n_chars, crc = F.length("decoded").cast("long").alias("n_chars"), F.crc32(F.col("decoded").cast("binary")).alias("text_crc32")
+    return rows.select("doc_id", "sample", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"), n_chars, crc, "log_prob", "perturbed", "log_inclusion")
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.token_counts(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, _table(spark, sf_dir, "labels"))
+    return quality.score_documents(docs, model, 0.3).select("doc_id", (fold() == 0).alias("held_out"), "score", "predicted")
+
+
 def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vecdup.near_duplicates(_table(spark, sf_dir, "embeddings"), cosine=0.93)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_top_k, op2_chat_formatting, op3_source_mixing, op6_minhash_near_dedup, op8_embedding_near_dedup)}
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(_table(spark, sf_dir, "documents"))
+
+
+def op10_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return idcoder.token_id_files(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=0)
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_top_k, op2_chat_formatting, op3_source_mixing, op4_sentencepiece, op5_token_counts, op6_minhash_near_dedup, op7_quality_classifier, op8_embedding_near_dedup, op9_lm_scoring, op10_token_id_output)}
 SQL = {
     "op1_exact_top_k": topk.OP1_SQL,
     "op2_chat_formatting": chat.OP2_SQL,

@@ -13,6 +13,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyport.llm.common import Index
+
 #: What the pattern library of the tokenizer file calls white space (the Unicode property).
 SPACE = r"\t-\r \x85\xa0  -     　"
 _ODD = re.compile(r"[\x1c-\x1f]")
@@ -23,7 +25,7 @@ _NONE = np.iinfo(np.int32).max
 
 
 class MergeTable:
-    """Merges of a byte-level BPE file with word-end symbols, as sorted arrays."""
+    """Merges of a byte-level BPE file with word-end symbols, as arrays in rank order."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -32,9 +34,7 @@ class MergeTable:
         vocab, self.size = model["vocab"], len(model["vocab"]) + 1
         pairs = [m if isinstance(m, list) else m.split(" ", 1) for m in model["merges"]]
         keys = np.array([vocab[a] * self.size + vocab[b] for a, b in pairs], np.int64)
-        self.order = np.argsort(keys, kind="stable")
-        self.keys = keys[self.order]
-        self.rank = self.order.astype(np.int32)
+        self.pairs = Index(keys)
         self.made = np.array([vocab[a + b] for a, b in pairs], np.int32)
         letters = self._byte_letters()
         self.inner = np.array([vocab[x] for x in letters], np.int32)
@@ -66,9 +66,8 @@ class MergeTable:
         """The rank of the pair that starts at each position; none at the end of a sequence."""
         after = np.minimum(at + 1, len(ids) - 1)
         key = ids[at].astype(np.int64) * self.size + ids[after]
-        place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        ok = (self.keys[place] == key) & (owner[at] == owner[after]) & (at < after)
-        return np.where(ok, self.rank[place], _NONE)
+        rank = self.pairs.find(key.astype(np.uint64))  # merges stand in rank order
+        return np.where((rank >= 0) & (owner[at] == owner[after]) & (at < after), rank, _NONE)
 
     def count(self, pretokens: list[str]) -> np.ndarray:
         """Symbols that survive in each pre-token.
