@@ -18,6 +18,9 @@ from tallyport.llm.common import connected_components, store
 REGISTERS, BASE, ROWS, BANDS = 256, 1.001, 8, 64
 #: An estimate so far under the threshold (in similarity) rules a pair out; about four deviations.
 SLACK = 0.12
+#: Bytes of the fine sketch, and how far under the threshold the joint estimate of both sketches rules a pair out:
+#: four deviations again.
+FINE, FINE_SLACK = 1024, 0.045
 #: Members of a block when a bucket is compared inside.
 SIDE = 1024
 
@@ -25,6 +28,8 @@ _U = np.uint64
 _rng = np.random.default_rng(20240229)
 _MUL = (_rng.integers(0, 1 << 32, REGISTERS, dtype=np.uint64) | _U(1)).astype(np.uint32)
 _ADD = _rng.integers(0, 1 << 32, REGISTERS, dtype=np.uint64).astype(np.uint32)
+_FINE_MUL = (_rng.integers(0, 1 << 32, FINE, dtype=np.uint64) | _U(1)).astype(np.uint32)
+_FINE_ADD = _rng.integers(0, 1 << 32, FINE, dtype=np.uint64).astype(np.uint32)
 #: Two partitions of the registers into bands of ROWS.
 _BAND = np.concatenate([_rng.permutation(REGISTERS).reshape(-1, ROWS) for _ in range(BANDS * ROWS // REGISTERS)])
 _SALT = _rng.integers(1, 1 << 63, (BANDS, ROWS + 1), dtype=np.uint64) | _U(1)
@@ -67,6 +72,15 @@ def sketch(s: np.ndarray) -> np.ndarray:
     return np.clip(np.floor(1 - np.log(x) / log(BASE)), 0, 65535).astype(np.uint16)
 
 
+def fine_sketch(s: np.ndarray) -> np.ndarray:
+    """FINE more minima, each hashed to a byte: equal with the similarity's chance, or by accident (1 in 256)."""
+    h = (s >> _U(32)).astype(np.uint32)
+    least = np.full(FINE, 0xFFFFFFFF, np.uint32)
+    for at in range(0, len(h), 128):
+        np.minimum(least, (h[at : at + 128, None] * _FINE_MUL + _FINE_ADD).min(axis=0), out=least)
+    return (_mix(least.astype(np.uint64)) >> _U(56)).astype(np.uint8)
+
+
 def estimate(d_equal: np.ndarray, d_first: np.ndarray, n_first: np.ndarray, n_second: np.ndarray) -> np.ndarray:
     """Similarity of two sets by joint likelihood of their registers, given how many are equal, how many are
     larger in the first, and the sets' sizes: the best point of a grid of 200."""
@@ -156,46 +170,45 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, _LINK)
 
 
-def _inside(members: DataFrame, reps: DataFrame, least: float, only_best: bool) -> DataFrame:
-    """Candidate pairs of different components inside buckets: all that the estimate allows, or the best of each
-    two components. ``members``: key, rep, component, size (the bucket's). Buckets are cut into blocks of about
-    SIDE, and each two blocks meet in one bounded task."""
+def _inside(members: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``a, b, score``: pairs of different components in one bucket that the estimates of both sketches allow.
+
+    ``members``: key, rep, component, size (the bucket's). Buckets are cut into blocks of about SIDE, and each two
+    blocks meet in one bounded task.
+    """
+    least, fine_least = percent / 100 - SLACK, percent / 100 - FINE_SLACK
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         p, q = key[1], key[2]
         regs = np.frombuffer(b"".join(pdf["regs"]), np.uint16).reshape(-1, REGISTERS)
+        fine = np.frombuffer(b"".join(pdf["fine"]), np.uint8).reshape(-1, FINE)
         comp, rep, n, block = (pdf[c].to_numpy() for c in ("component", "rep", "n", "block"))
         left = np.flatnonzero(block == p)
         right = left if p == q else np.flatnonzero(block == q)
         out = [np.empty((0, 3))]
         for i in left:
             js = right[(comp[right] != comp[i]) & ((rep[right] > rep[i]) if p == q else True)]
-            big, small = np.maximum(n[js], n[i]), np.minimum(n[js], n[i])
-            js = js[small >= (least + SLACK) * big]
+            js = js[100 * np.minimum(n[js], n[i]) >= percent * np.maximum(n[js], n[i])]
             if not len(js):
                 continue
             equal = (regs[js] == regs[i]).sum(axis=1)
             js, equal = js[equal >= REGISTERS * (least - 0.05)], equal[equal >= REGISTERS * (least - 0.05)]
             if len(js):
                 j = estimate(equal, (regs[i] > regs[js]).sum(axis=1), np.full(len(js), float(n[i])), n[js].astype(float))
-                ok = j >= least
+                js, j = js[j >= least], j[j >= least]
+                same = ((fine[js] == fine[i]).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
+                j = (REGISTERS * j + FINE * same) / (REGISTERS + FINE)
+                ok = j >= fine_least
                 out.append(np.stack([np.full(ok.sum(), i), js[ok], j[ok]], axis=1))
         found = np.concatenate(out)
-        i, j, score = found[:, 0].astype(int), found[:, 1].astype(int), found[:, 2]
-        a, b = np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j])
-        pairs = pd.DataFrame({"a": a, "b": b, "x": np.minimum(comp[i], comp[j]), "y": np.maximum(comp[i], comp[j]), "score": score})
-        if only_best:
-            pairs = pairs.sort_values("score", ascending=False, kind="stable").drop_duplicates(["x", "y"])
-        return pairs
+        i, j = found[:, 0].astype(int), found[:, 1].astype(int)
+        return pd.DataFrame({"a": np.minimum(rep[i], rep[j]), "b": np.maximum(rep[i], rep[j]), "score": found[:, 2]})
 
     blocks = members.withColumn("blocks", F.ceil(F.col("size") / SIDE).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     blocks = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     blocks = blocks.withColumns({"p": F.least("block", "other"), "q": F.greatest("block", "other")}).select("key", "p", "q", "block", "rep", "component")
-    blocks = blocks.join(reps, "rep")
-    found = blocks.groupBy("key", "p", "q").applyInPandas(run, "a long, b long, x long, y long, score double")
-    if only_best:
-        return found.groupBy("x", "y").agg(F.max(F.struct("score", "a", "b")).alias("m")).select("m.a", "m.b").distinct()
-    return found.select("a", "b").distinct()
+    blocks = blocks.join(reps, "rep").join(sets.select("rep", "fine"), "rep")
+    return blocks.groupBy("key", "p", "q").applyInPandas(run, "a long, b long, score double").distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -208,9 +221,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     2. BANDS bands of ROWS registers hash to buckets. Buckets of one member go.
     3. Each member is first compared with one partner, the least centre over its buckets, which joins most
        groups of copies in linear work; pairs pass the joint estimate, then the full sets decide.
-    4. Buckets that still hold several components are compared inside, between components only: first the best
-       pair of each two components, then every pair that the estimate allows. So the components are those of all
-       links whose documents share a bucket; at a similarity of 0.8 a pair shares none in about 3 of 100,000
+    4. Buckets that still hold several components are compared inside, between components only, by a finer sketch
+       too. Of the pairs that it allows, the full sets decide first on the best of each two components, then on
+       all that still lie between components. So the components are those of all links whose documents share a
+       bucket; at a similarity of 0.8 a pair shares none in about 3 of 100,000
        cases, at 0.85 in fewer than one in a million.
 
     Null texts and texts without words have size 0, no links, and keep themselves. A null doc_id takes no part: it is
@@ -230,27 +244,33 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
     def sets_of(batches):
         for batch in batches:
-            s = [shingles(t, words).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.binary())], names=["rep", "s"])
+            s = [shingles(t, words) for t in batch.column(1).to_pylist()]
+            columns = [pa.array([x.tobytes() for x in s], pa.binary()), pa.array([fine_sketch(x).tobytes() for x in s], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["rep", "s", "fine"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.coalesce("text", F.lit("")).cast("binary").alias("text")).join(some, "rep", "left_semi")
-    sets = store(texts.mapInArrow(sets_of, "rep long, s binary").dropDuplicates(["rep"]), "sets")
+    sets = store(texts.mapInArrow(sets_of, "rep long, s binary, fine binary").dropDuplicates(["rep"]), "sets")
 
     tree = members.where("rep != centre").groupBy("rep").agg(F.min("centre").alias("a")).select("a", F.col("rep").alias("b"))
     links = store(_verified(_estimated(tree, reps, least), sets, percent), "pairs")
     parts = store(connected_components(links), "parts")
+    labels = members.join(parts, members["rep"] == parts["node"], "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+    mixed = labels.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi")
+    pairs = store(_inside(labels.join(mixed.select("key", "size"), "key"), reps, sets, percent), "pairs")
     for only_best in (True, False):
-        labelled = members.join(parts, members["rep"] == parts["node"], "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
-        mixed = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi")
-        open_ = labelled.join(mixed.select("key", "size"), "key")
-        pairs = store(_inside(open_, reps, least, only_best), "pairs")
-        found = store(_verified(pairs, sets, percent), "pairs")
-        if found.isEmpty():
-            if only_best:
-                continue
-            break
-        links = links.unionByName(found)
-        parts = store(connected_components(links), "parts")
+        of = lambda x: parts.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
+        between = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+        between = between.withColumns({"c_a": F.coalesce("c_a", "a"), "c_b": F.coalesce("c_b", "b")}).where("c_a != c_b")
+        if only_best:
+            ends = [F.least("c_a", "c_b").alias("x"), F.greatest("c_a", "c_b").alias("y")]
+            between = between.groupBy(*ends).agg(F.max(F.struct("score", "a", "b")).alias("m")).select("m.a", "m.b")
+            first = between = store(between, "pairs")
+        else:
+            between = between.join(first, ["a", "b"], "left_anti")
+        found = store(_verified(between.select("a", "b"), sets, percent), "pairs")
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            parts = store(connected_components(links), "parts")
     named = classes.select("cls", "rep").join(parts, F.col("rep") == F.col("node"), "left").select("cls", F.coalesce("component", "rep").alias("component"))
     out = profile.join(named, "cls", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
