@@ -40,7 +40,8 @@ class _Coder:
                 self._take(np.arange(lanes))
 
     def _take(self, k: np.ndarray) -> None:
-        self.code[k] = (self.code[k] << _WORD) | self.words[k, self.at[k]]
+        at = np.minimum(self.at[k], self.words.shape[1] - 1)  # broken data may ask for more; its checksum fails
+        self.code[k] = (self.code[k] << _WORD) | self.words[k, at]
         self.at[k] += 1
 
     def _settle(self, k: np.ndarray) -> None:

@@ -143,8 +143,11 @@ class Lattices:
             total[nodes] = top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, n)), seg))
         p = np.exp(weight + np.where(to == end_of[source], 0.0, total[to]) - total[source])
         n = first[1:] - first[:-1]
-        run = np.cumsum(p)
-        upto = run - np.repeat((run - p)[first[:-1]], n)
+        # summed within each node alone, so that it doesn't depend on which words came along
+        upto, rank = p.copy(), np.arange(len(p)) - np.repeat(first[:-1], n)
+        for r in range(1, int(n.max())):
+            more = np.flatnonzero(rank == r)
+            upto[more] += upto[more - 1]
         upto[first[1:] - 1] = 1.0
         base, edges = self.nodes, self.edges
         node_first = np.insert(first[:-1], start + size, first[start + size])  # an end node has no edges
@@ -296,10 +299,11 @@ def sample(texts: list[str], keys: np.ndarray, k: int, lat: Lattices, seed: int)
         if s:
             branch[taken] = [len(h[0]) - 1 for h in heads]
         p = lat.p[flat]
-        run = np.cumsum(np.log(p))
-        before = run - np.log(p)
         owner = np.repeat(np.arange(docs), n)
-        prefix = before - before[at[owner]] if len(flat) else before
+        prefix, steps = np.zeros(len(flat)), np.log(p)
+        for a, b in zip(at[taken].tolist(), (at + n)[taken].tolist()):  # each text's own sums, whatever its batch
+            if b > a + 1:
+                np.cumsum(steps[a : b - 1], out=prefix[a + 1 : b])
         barred_p = np.zeros(len(flat))
         for head, d in zip(heads, taken.tolist()):
             if s:
@@ -322,7 +326,7 @@ def sample(texts: list[str], keys: np.ndarray, k: int, lat: Lattices, seed: int)
         id_end = np.cumsum(np.append(0, n_ids))
         for d in taken.tolist():
             a, b = at[d], at[d] + n[d]
-            logp = float(prefix[b - 1] + np.log(p[b - 1])) if n[d] else 0.0
+            logp = float(prefix[b - 1] + steps[b - 1]) if n[d] else 0.0
             out[d].append({"sample": s, "ids": ids[id_end[a] : id_end[b]], "log_prob": logp, "value": float(value[d])})
     for d in range(docs):
         for x in out[d]:
