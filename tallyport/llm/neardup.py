@@ -116,6 +116,14 @@ def profiles(docs: DataFrame, words: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, n long, cls binary, regs binary")
 
 
+def _keys(regs: np.ndarray) -> np.ndarray:
+    """The bucket of each sketch in each band."""
+    keys, regs = np.zeros((len(regs), BANDS), np.uint64), regs.astype(np.uint64)
+    for b in range(BANDS):
+        keys[:, b] = _mix((regs[:, _BAND[b]] * _SALT[b, :ROWS]).sum(axis=1, dtype=np.uint64) + _SALT[b, ROWS])
+    return keys
+
+
 def _bands(reps: DataFrame) -> DataFrame:
     schema = pa.schema([("key", pa.int64()), ("rep", pa.int64())])
 
@@ -123,10 +131,8 @@ def _bands(reps: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
-                regs = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint16).reshape(-1, REGISTERS).astype(np.uint64)
-                keys = np.zeros((len(regs), BANDS), np.uint64)
-                for b in range(BANDS):
-                    keys[:, b] = _mix((regs[:, _BAND[b]] * _SALT[b, :ROWS]).sum(axis=1, dtype=np.uint64) + _SALT[b, ROWS])
+                regs = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint16).reshape(-1, REGISTERS)
+                keys = _keys(regs)
                 ids = np.repeat(part.column(0).to_numpy(), BANDS)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(ids)], schema=schema)
 
@@ -174,13 +180,14 @@ def _inside(members: DataFrame, reps: DataFrame, sets: DataFrame, percent: int)
     """``a, b, score``: pairs of different components in one bucket that the estimates of both sketches allow.
 
     ``members``: key, rep, component, size (the bucket's). Buckets are cut into blocks of about SIDE, and each two
-    blocks meet in one bounded task.
+    blocks meet in one bounded task. A pair that shares several buckets is returned in the first of them.
     """
     least, fine_least = percent / 100 - SLACK, percent / 100 - FINE_SLACK
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         p, q = key[1], key[2]
         regs = np.frombuffer(b"".join(pdf["regs"]), np.uint16).reshape(-1, REGISTERS)
+        band = int(np.argmax(_keys(regs[:1])[0].view(np.int64) == key[0]))
         fine = np.frombuffer(b"".join(pdf["fine"]), np.uint8).reshape(-1, FINE)
         comp, rep, n, block = (pdf[c].to_numpy() for c in ("component", "rep", "n", "block"))
         left = np.flatnonzero(block == p)
@@ -195,7 +202,9 @@ def _inside(members: DataFrame, reps: DataFrame, sets: DataFrame, percent: int)
             js, equal = js[equal >= REGISTERS * (least - 0.05)], equal[equal >= REGISTERS * (least - 0.05)]
             if len(js):
                 j = estimate(equal, (regs[i] > regs[js]).sum(axis=1), np.full(len(js), float(n[i])), n[js].astype(float))
-                js, j = js[j >= least], j[j >= least]
+                shared = (regs[js][:, _BAND] == regs[i][_BAND]).all(axis=2)
+                ok = (j >= least) & ((np.argmax(shared, axis=1) == band) | ~shared[:, band])
+                js, j = js[ok], j[ok]
                 same = ((fine[js] == fine[i]).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
                 j = (REGISTERS * j + FINE * same) / (REGISTERS + FINE)
                 ok = j >= fine_least
