@@ -14,7 +14,7 @@ from tallyport.llm.common import Index
 
 SPACE = "▁"
 #: Lattice nodes that a worker keeps before it starts afresh, and characters that it works on at once.
-NODES, CHUNK = 3_000_000, 1_000_000
+NODES, CHUNK = 2_500_000, 1_000_000
 _WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 _U = np.uint64
 _PRIME = _U(0x100000001B3)
@@ -26,12 +26,19 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _uniform(*parts) -> np.ndarray:
-    """Numbers in (0, 1) that depend on the parts alone: the row's key, the sample, the word, the step."""
-    x = np.zeros(1, np.uint64)
+def _state(x: np.ndarray, *parts) -> np.ndarray:
     for p in parts:
         x = _mix((x ^ np.asarray(p).astype(np.uint64)) * _U(0x9E3779B97F4A7C15) + _U(1))
-    return ((x >> _U(11)).astype(np.float64) + 0.5) / 9007199254740992.0
+    return x
+
+
+def _draw(state: np.ndarray) -> np.ndarray:
+    return ((state >> _U(11)).astype(np.float64) + 0.5) / 9007199254740992.0
+
+
+def _uniform(*parts) -> np.ndarray:
+    """Numbers in (0, 1) that depend on the parts alone: the row's key, the sample, the word, the step."""
+    return _draw(_state(np.zeros(1, np.uint64), *parts))
 
 
 class Lattices:
@@ -160,15 +167,15 @@ class Lattices:
         self.nodes, self.edges = base + len(node_first), edges + len(p)
         self.words.update(zip(words, (base + start + np.arange(len(words))).tolist()))
 
-    def walk(self, node: np.ndarray, *key) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def walk(self, node: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Samples a way from each node to its word's end: the edges in order, the walk that each belongs to, and
-        each walk's number of edges. ``key`` seeds each walk."""
+        each walk's number of edges. ``state`` seeds each walk."""
         node, live, steps = node.copy(), np.arange(len(node)), []
         while True:
             live = live[self.first[node[live]] < self.first[node[live] + 1]]
             if not len(live):
                 break
-            u = _uniform(*(k[live] if np.ndim(k) else k for k in key), len(steps))
+            u = _draw(_state(state[live], len(steps)))
             edge = self.first[node[live]]
             open_ = np.flatnonzero(self.upto[edge] <= u)
             while len(open_):
@@ -280,7 +287,8 @@ def sample(texts: list[str], keys: np.ndarray, k: int, lat: Lattices, seed: int)
             word_of.append(begin + np.arange(len(rest)))
         cat = lambda x: np.concatenate([np.empty(0, np.int64), *x])
         doc_of, word_of = cat(doc_of), cat(word_of)
-        edges, walker, _ = lat.walk(cat(nodes), seed, keys[doc_of], s, word_of)
+        drawn = _state(np.zeros(1, np.uint64), seed, keys, s)
+        edges, walker, _ = lat.walk(cat(nodes), _state(drawn[doc_of], word_of))
         per_doc = np.bincount(doc_of[walker], minlength=docs)
         tail_at = np.cumsum(per_doc) - per_doc
         taken = np.flatnonzero(took)
@@ -319,7 +327,7 @@ def sample(texts: list[str], keys: np.ndarray, k: int, lat: Lattices, seed: int)
         place = np.arange(len(flat)) - at[owner]
         if s:
             mass[place < branch[owner]] = -np.inf  # the prefix's other ways belong to the earlier path
-        g = mass - np.log(-np.log(_uniform(seed, keys[owner], s, 2**42, place)))
+        g = mass - np.log(-np.log(_draw(_state(_state(drawn, 2**42)[owner], place))))
         open_ = np.where(np.isfinite(mass), -np.logaddexp(-value[owner], -g), -np.inf)
         paths.append({"edge": flat, "word": word, "node": node, "n": n, "at": at, "open": open_, "branch": branch, "barred": dict(zip(taken.tolist(), (h[2] for h in heads)))})
         ids, n_ids = lat.tokens(flat)
