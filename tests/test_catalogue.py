@@ -20,9 +20,7 @@ def test_query_matches_sql(spark, name):
     for t in TABLES:
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     got = catalogue.QUERIES[name](spark, SF).toArrow()
-    con.execute(catalogue.SQL[name])
-    want = con.fetch_arrow_table() if hasattr(con, "fetch_arrow_table") else con.arrow()
-    columns = sorted(got.column_names)
-    assert columns == sorted(want.column_names)
-    rows = lambda t: sorted(map(repr, zip(*(t[c].to_pylist() for c in columns))))
-    assert rows(got) == rows(want)
+    want = con.sql(catalogue.SQL[name])
+    assert sorted(got.column_names) == sorted(want.columns)
+    rows = sorted(map(repr, zip(*(got[c].to_pylist() for c in want.columns))))
+    assert rows == sorted(map(repr, want.fetchall()))
