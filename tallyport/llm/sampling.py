@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +15,7 @@ from tallyport.llm.common import Index
 
 SPACE = "▁"
 #: Lattice nodes that a worker keeps before it starts afresh, and characters that it works on at once.
-NODES, CHUNK = 2_500_000, 1_000_000
+NODES, CHUNK = 2_500_000, 250_000
 _WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 _U = np.uint64
 _PRIME = _U(0x100000001B3)
@@ -67,15 +68,19 @@ class Lattices:
                 self.spelling[i] = sp.id_to_piece(i).encode()
         text = [sp.id_to_piece(i) for i in plain]
         self.longest = max(map(len, text))
-        keys = np.zeros(len(text), np.uint64)
+        # all beginnings of pieces, so that a search stops where no piece goes on
+        starts: dict[int, str] = {}
+        piece_of: dict[int, int] = {}
         for j, t in enumerate(text):
             h = 0
-            for ch in t:
+            for i, ch in enumerate(t):
                 h = (h * int(_PRIME) + ord(ch) + 1) % 2**64
-            keys[j] = h
-        if len(set(keys.tolist())) < len(keys):
-            raise ValueError("two pieces share a hash")
-        self.pieces, self.ids = Index(keys), np.array(plain, np.int32)
+                if starts.setdefault(h, t[: i + 1]) != t[: i + 1]:
+                    raise ValueError("two pieces or their beginnings share a hash")
+            piece_of[h] = j
+        self.starts = Index(np.array(list(starts), np.uint64))
+        self.piece_of = np.array([piece_of.get(h, -1) for h in starts], np.int32)
+        self.ids = np.array(plain, np.int32)
         rank = np.minimum(-np.array([sp.get_score(i) for i in plain]), n)
         self.weight = -power * np.log(2.0 + rank)
         self.byte_weight = -power * np.log(2.0 + n)
@@ -103,10 +108,13 @@ class Lattices:
         """The first node of each word, with lattices for those that are new."""
         if self.nodes > NODES:
             self.reset()
-        new = list(set(words) - self.words.keys())
-        if new:
-            self._add(new)
-        return np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
+        found = np.fromiter(map(self.words.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(found < 0)
+        if len(missing):
+            new = [words[i] for i in missing.tolist()]
+            self._add(list(dict.fromkeys(new)))
+            found[missing] = np.fromiter(map(self.words.__getitem__, new), np.int64, len(new))
+        return found
 
     def _add(self, words: list[str]) -> None:
         size = np.fromiter(map(len, words), np.int64, len(words))
@@ -121,15 +129,17 @@ class Lattices:
             if not len(at):
                 break
             h[at] = h[at] * _PRIME + chars[at + length - 1] + _U(1)
-            place = self.pieces.find(h[at])
-            hit = place >= 0
+            place = self.starts.find(h[at])
+            piece = np.where(place >= 0, self.piece_of[place], -1)
+            hit = piece >= 0
             if length == 1:
                 odd = at[~hit]
                 width = 1 + (chars[odd] > 0x7F) + (chars[odd] > 0x7FF) + (chars[odd] > 0xFFFF)
                 found.append((odd, odd + 1, self.byte_weight * width, -1 - chars[odd].astype(np.int64)))
-            found.append((at[hit], at[hit] + length, self.weight[place[hit]], self.ids[place[hit]].astype(np.int64)))
+            found.append((at[hit], at[hit] + length, self.weight[piece[hit]], self.ids[piece[hit]].astype(np.int64)))
+            at = at[place >= 0]
         source, to, weight, token = (np.concatenate(x) for x in zip(*found))
-        order = np.lexsort((to, source))
+        order = np.argsort(source, kind="stable")  # shorter pieces came first
         source, to, weight, token = source[order], to[order], weight[order], token[order]
         # a character's node is its place plus the number of words before it: each word has one node more, its end
         first = np.searchsorted(source, np.arange(len(chars) + 1))
@@ -151,10 +161,10 @@ class Lattices:
         p = np.exp(weight + np.where(to == end_of[source], 0.0, total[to]) - total[source])
         n = first[1:] - first[:-1]
         # summed within each node alone, so that it doesn't depend on which words came along
-        upto, rank = p.copy(), np.arange(len(p)) - np.repeat(first[:-1], n)
+        upto, more = p.copy(), first[:-1]
         for r in range(1, int(n.max())):
-            more = np.flatnonzero(rank == r)
-            upto[more] += upto[more - 1]
+            more, n = more[n > r], n[n > r]
+            upto[more + r] += upto[more + r - 1]
         upto[first[1:] - 1] = 1.0
         base, edges = self.nodes, self.edges
         node_first = np.insert(first[:-1], start + size, first[start + size])  # an end node has no edges
