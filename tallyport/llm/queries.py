@@ -37,8 +37,7 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples of every text as digests; text_crc32 and n_chars come from the text decoded from the ids."""
-    path = tokenizer_path("piece_bpe_32k.model")
-    rows = sampling.decode_ids(sampling.sample_segmentations(_table(spark, sf_dir, "documents"), path, k=2), path)
+    rows = sampling.sample_segmentations(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), k=2, decoded=True)
     n_chars, crc = F.length("decoded").cast("long").alias("n_chars"), F.crc32(F.col("decoded").cast("binary")).alias("text_crc32")
     return rows.select("doc_id", "sample", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"), n_chars, crc, "log_prob", "perturbed", "log_inclusion")
 

@@ -15,7 +15,7 @@ from tallyport.llm.common import Index
 
 SPACE = "▁"
 #: Lattice nodes that a worker keeps before it starts afresh, and characters that it works on at once.
-NODES, CHUNK = 2_500_000, 250_000
+NODES, CHUNK = 2_000_000, 250_000
 _WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 _U = np.uint64
 _PRIME = _U(0x100000001B3)
@@ -219,7 +219,7 @@ class Lattices:
 
     def decode(self, ids: list[int]) -> bytes:
         """The text of ids: pieces and bytes joined, the mark read as a space, the first space taken off."""
-        text = b"".join([self.spelling[i] for i in ids]).replace(SPACE.encode(), b" ")
+        text = b"".join(map(self.spelling.__getitem__, ids)).replace(SPACE.encode(), b" ")
         return text[1:] if text[:1] == b" " else text
 
 
@@ -261,12 +261,12 @@ def sample(texts: list[str], keys: np.ndarray, k: int, lat: Lattices, seed: int)
             # the largest open subtree of each text, over the paths found so far
             best, where = np.full(docs, -np.inf), np.full((docs, 2), -1)
             for r, path in enumerate(paths):
-                top = _segments(path["open"], path["n"], np.maximum, -np.inf)
+                top = -np.logaddexp(-path["value"], -_segments(path["free"], path["n"], np.maximum, -np.inf))
                 better = np.flatnonzero(top > best)
                 best[better] = top[better]
                 for d in better.tolist():
                     a = path["at"][d]
-                    where[d] = r, a + int(np.argmax(path["open"][a : a + path["n"][d]]))
+                    where[d] = r, a + int(np.argmax(path["free"][a : a + path["n"][d]]))
             value, took = best, best > -np.inf
         if s == k:
             break
@@ -282,7 +282,7 @@ def sample(texts: list[str], keys: np.ndarray, k: int, lat: Lattices, seed: int)
                 r, i = where[d].tolist()
                 path = paths[r]
                 a = path["at"][d]
-                path["open"][i] = -np.inf
+                path["free"][i] = -np.inf
                 barred = {int(path["edge"][i])} | (path["barred"][d] if i - a == path["branch"][d] else set())
                 node = int(path["node"][i])
                 ways = [e for e in range(int(lat.first[node]), int(lat.first[node + 1])) if e not in barred]
@@ -337,9 +337,9 @@ def sample(texts: list[str], keys: np.ndarray, k: int, lat: Lattices, seed: int)
         place = np.arange(len(flat)) - at[owner]
         if s:
             mass[place < branch[owner]] = -np.inf  # the prefix's other ways belong to the earlier path
-        g = mass - np.log(-np.log(_draw(_state(_state(drawn, 2**42)[owner], place))))
-        open_ = np.where(np.isfinite(mass), -np.logaddexp(-value[owner], -g), -np.inf)
-        paths.append({"edge": flat, "word": word, "node": node, "n": n, "at": at, "open": open_, "branch": branch, "barred": dict(zip(taken.tolist(), (h[2] for h in heads)))})
+        # the Gumbels before they are cut off at the path's value, which keeps their order within the path
+        free = mass - np.log(-np.log(_draw(_state(_state(drawn, 2**42)[owner], place))))
+        paths.append({"edge": flat, "word": word, "node": node, "n": n, "at": at, "free": free, "value": value, "branch": branch, "barred": dict(zip(taken.tolist(), (h[2] for h in heads)))})
         ids, n_ids = lat.tokens(flat)
         id_end = np.cumsum(np.append(0, n_ids))
         for d in taken.tolist():
@@ -353,9 +353,10 @@ def sample(texts: list[str], keys: np.ndarray, k: int, lat: Lattices, seed: int)
 
 
 _SAMPLES = pa.schema([("doc_id", pa.int64()), ("sample", pa.int32()), ("ids", pa.list_(pa.int32())), ("log_prob", pa.float64()), ("perturbed", pa.float64()), ("log_inclusion", pa.float64())])
+_SAMPLES_DDL = "doc_id long, sample int, ids array<int>, log_prob double, perturbed double, log_inclusion double"
 
 
-def sample_segmentations(docs: DataFrame, path: str, k: int = 2, power: float = 0.5, seed: int = 1) -> DataFrame:
+def sample_segmentations(docs: DataFrame, path: str, k: int = 2, power: float = 0.5, seed: int = 1, decoded: bool = False) -> DataFrame:
     """``doc_id, sample, ids, log_prob, perturbed, log_inclusion``: k distinct segmentations of every whole text.
 
     Drawn without replacement from the lattice of all segmentations into the model's pieces, in falling order of
@@ -364,11 +365,16 @@ def sample_segmentations(docs: DataFrame, path: str, k: int = 2, power: float =
     all it has. Everything is seeded by the row's doc_id (null: 0), so neither batches, partitions nor retries change
     it; equal rows of equal id give equal samples.
 
+    With ``decoded``, another column of that name holds the text decoded from each row's ids, as :func:`decode_ids`
+    gives it, but without sending the ids through a second Python worker.
+
     Null and empty texts have one segmentation, without ids. The lattice of a text is the chain of the lattices of
     its words (a run of space marks with what follows), since no piece crosses there. Other columns are ignored;
     an empty table stays empty. One narrow pass, no shuffle; texts are worked on in groups of CHUNK characters.
     """
 
+    schema = _SAMPLES.append(pa.field("decoded", pa.string())) if decoded else _SAMPLES
+
     def run(batches):
         lat = lattices(path, power)
         for batch in batches:
@@ -386,11 +392,13 @@ def sample_segmentations(docs: DataFrame, path: str, k: int = 2, power: float =
                 values = pa.array(np.concatenate([np.empty(0, np.int32), *(x["ids"] for _, x in flat)]).astype(np.int32))
                 columns = [pa.array([d for d, _ in flat], pa.int64()), pa.array([x["sample"] for _, x in flat], pa.int32()), pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), values)]
                 columns += [pa.array([x[c] for _, x in flat], pa.float64()) for c in ("log_prob", "value", "log_inclusion")]
-                yield pa.RecordBatch.from_arrays(columns, schema=_SAMPLES)
+                if decoded:
+                    columns.append(pa.array([lat.decode(x["ids"].tolist()).decode("utf-8", "replace") for _, x in flat], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
                 at = to
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, sample int, ids array<int>, log_prob double, perturbed double, log_inclusion double")
+    return rows.mapInArrow(run, _SAMPLES_DDL + ", decoded string" * decoded)
 
 
 def decode_ids(rows: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:

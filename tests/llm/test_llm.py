@@ -111,6 +111,8 @@ def test_segmentations(spark, docs):
         order = sorted(set((x[0], x[2]) for x in w))
         assert [v for _, v in order] == sorted((v for _, v in order), reverse=True)
     assert {len(set(w)) for d, w in ways.items() if d in (80, 81)} == {1} and set(ways) == set(text) - {85}
+    once = sampling.sample_segmentations(docs.where("doc_id <> 85 or doc_id is null"), path, k=3, decoded=True)
+    assert sorted(map(repr, once.select(got[0].__fields__).collect())) == sorted(map(repr, got))
 
 
 def test_sampling_law():
