@@ -84,6 +84,7 @@ class Lattices:
         rank = np.minimum(-np.array([sp.get_score(i) for i in plain]), n)
         self.weight = -power * np.log(2.0 + rank)
         self.byte_weight = -power * np.log(2.0 + n)
+        self.short = int(690 / max(1.0, -4 * self.byte_weight))  # characters whose weights' product is no less than e^-690
         self.vocabulary = n
         self.reset()
 
@@ -112,11 +113,15 @@ class Lattices:
         missing = np.flatnonzero(found < 0)
         if len(missing):
             new = [words[i] for i in missing.tolist()]
-            self._add(list(dict.fromkeys(new)))
+            distinct = list(dict.fromkeys(new))
+            for part in ([w for w in distinct if len(w) <= self.short], [w for w in distinct if len(w) > self.short]):
+                if part:
+                    self._add(part, len(part[0]) <= self.short)
             found[missing] = np.fromiter(map(self.words.__getitem__, new), np.int64, len(new))
         return found
 
-    def _add(self, words: list[str]) -> None:
+    def _add(self, words: list[str], plain: bool) -> None:
+        """Lattices for new words; those of ``plain`` weights (short words) are summed as they are, others by their logs."""
         size = np.fromiter(map(len, words), np.int64, len(words))
         chars = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").astype(np.uint64)
         start = np.cumsum(size) - size
@@ -144,21 +149,28 @@ class Lattices:
         # a character's node is its place plus the number of words before it: each word has one node more, its end
         first = np.searchsorted(source, np.arange(len(chars) + 1))
         left = end_of - np.arange(len(chars))
-        total = np.zeros(len(chars) + 1)  # log of the summed weights of all ways on to the word's end
+        # the summed weights of all ways on to the word's end (or their log); an end's place is the next word's first
+        total = np.zeros(len(chars) + 1)
+        last = to == end_of[source]
+        if plain:
+            weight = np.exp(weight)
         by_left = np.argsort(left, kind="stable")
         cuts = np.searchsorted(left[by_left], np.arange(1, int(left.max()) + 2))
-        ends = np.zeros(len(chars) + 1, bool)
-        ends[start + size] = True
         for d in range(len(cuts) - 1):
             nodes = by_left[cuts[d] : cuts[d + 1]]
             n = first[nodes + 1] - first[nodes]
             edge = np.repeat(first[nodes] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            goes = to[edge]
-            v = weight[edge] + np.where(goes == np.repeat(end_of[nodes], n), 0.0, total[goes])
             seg = np.cumsum(n) - n
+            if plain:
+                total[nodes] = np.add.reduceat(weight[edge] * np.where(last[edge], 1.0, total[to[edge]]), seg)
+                continue
+            v = weight[edge] + np.where(last[edge], 0.0, total[to[edge]])
             top = np.maximum.reduceat(v, seg)
             total[nodes] = top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, n)), seg))
-        p = np.exp(weight + np.where(to == end_of[source], 0.0, total[to]) - total[source])
+        if plain:
+            p = weight * np.where(last, 1.0, total[to]) / total[source]
+        else:
+            p = np.exp(weight + np.where(last, 0.0, total[to]) - total[source])
         n = first[1:] - first[:-1]
         # summed within each node alone, so that it doesn't depend on which words came along
         upto, more = p.copy(), first[:-1]
