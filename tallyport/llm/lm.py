@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import log10
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyport.llm.common import Index, fold, store
 
-#: Longest context, contexts of each length that the trie keeps (the most frequent), words in the broadcast table.
+#: Longest context, contexts of each length that the broadcast trie holds (the most frequent; the others' counts stay
+#: distributed), words in the broadcast table.
 ORDER, CONTEXTS, WORDS = 5, 1 << 16, 200_000
 #: Distinct entries that a task gathers before it hands them on, and bytes of text it works on at once.
 HELD, CHUNK = 2_000_000, 2_000_000
@@ -100,15 +103,21 @@ def gather_counts(docs: DataFrame) -> DataFrame:
 class Trie:
     """A byte-context trie, flattened: for each order the contexts it keeps, where their rows start, and
     log10 probabilities of all symbols for each context. ``column`` maps a byte to its symbol; the last symbol
-    stands for any byte that training never saw."""
+    stands for any byte that training never saw. ``whole`` says that no context was left out."""
 
     contexts: list[Index]
     first_row: list[int]
     log10: np.ndarray
     column: np.ndarray
+    whole: bool = True
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         """log10 probability of each text with its end: every byte in its longest kept context."""
+        return self.score_kept(texts)[0]
+
+    def score_kept(self, texts: list[bytes]) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The same; of a trie that isn't whole, without the bytes whose ORDER bytes before aren't kept, and each
+        text's grams of those bytes."""
         flat, at, n = _lay(texts)
         code = _grams(flat, at)
         context, symbol = code >> _U(8), self.column[(code & _U(255)).astype(np.int64)]
@@ -119,11 +128,17 @@ class Trie:
             hit = place >= 0
             row[left[hit]] = place[hit] + self.first_row[k]
             left = left[~hit]
+            if k == ORDER and not self.whole:
+                break
+        else:
+            left = left[:0]
         p = self.log10[row, symbol].astype(np.float64)
-        return np.add.reduceat(p, np.cumsum(n) - n)
+        p[left] = 0
+        ends = np.cumsum(n)
+        return np.add.reduceat(p, ends - n), np.split(code[left].view(np.int64), np.searchsorted(left, ends[:-1]))
 
 
-def build_trie(levels: list[tuple[np.ndarray, np.ndarray]]) -> Trie:
+def build_trie(levels: list[tuple[np.ndarray, np.ndarray]], whole: bool = True) -> Trie:
     """``levels[k]``: sorted (context << 8 | symbol) keys of order k and their counts.
 
     Escapes follow method C (as many escapes as distinct symbols); a symbol that a longer context has seen is
@@ -167,24 +182,69 @@ def build_trie(levels: list[tuple[np.ndarray, np.ndarray]]) -> Trie:
             p[:, -1] = weight / unseen if unseen else 1.0
             # what the shorter contexts have no symbol left for stays unused; the rest can't be zero but by rounding
             out.append(np.log10(np.maximum(p, 1e-30)).astype(np.float32))
-    return Trie([Index(c) for c in contexts], first_row, np.concatenate(out), column)
+    return Trie([Index(c) for c in contexts], first_row, np.concatenate(out), column, whole)
 
 
-def collect_levels(grams: DataFrame, contexts: int = CONTEXTS) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The counts of every order from the longest grams, which cover all positions of all training texts. An
-    order keeps its ``contexts`` most frequent contexts (orders 0 to 2 have no more), which bounds the result."""
+def store_levels(grams: DataFrame) -> list[DataFrame]:
+    """``context, key, n, total, kinds`` of every order: all counts, with the sum and the number of symbols of their
+    context, from the longest grams, which cover all positions of all training texts."""
     levels = []
-    for k in range(ORDER + 1):
-        key = F.col("key").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1)).alias("key")
-        level = grams.select(key, "n").groupBy("key").agg(F.sum("n").alias("n"))
+    for k in range(ORDER, -1, -1):
+        if levels:
+            key = F.col("key").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1)).alias("key")
+            grams = levels[0].select(key, "n").groupBy("key").agg(F.sum("n").alias("n"))
+        own = W.partitionBy("context")
+        level = grams.withColumn("context", F.shiftright("key", 8)).withColumns({"total": F.sum("n").over(own), "kinds": F.count(F.lit(1)).over(own)})
+        levels.insert(0, store(level.select("context", "key", "n", "total", "kinds"), f"order{k}"))
+    return levels
+
+
+def collect_levels(levels: list[DataFrame], contexts: int = CONTEXTS) -> tuple[list[tuple[np.ndarray, np.ndarray]], bool]:
+    """The counts that the broadcast trie holds of every order, those of the ``contexts`` most frequent contexts
+    (orders 0 to 2 have no more), which bounds the result; and whether these are all."""
+    out, whole = [], True
+    for k, level in enumerate(levels):
         if 8 * k > 16:
-            top = level.groupBy(F.shiftright("key", 8).alias("context")).agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "context").limit(contexts)
-            level = level.withColumn("context", F.shiftright("key", 8)).join(top, "context", "left_semi").drop("context")
-        got = level.toArrow()
+            own = level.select("context", "total").distinct()
+            whole = whole and own.count() <= contexts
+            level = level.join(own.orderBy(F.desc("total"), "context").limit(contexts), "context", "left_semi")
+        got = level.select("key", "n").toArrow()
         keys, n = got["key"].to_numpy().astype(np.uint64), got["n"].to_numpy()
         order = np.argsort(keys)
-        levels.append((keys[order], n[order]))
-    return levels
+        out.append((keys[order], n[order]))
+    return out, whole
+
+
+def score_grams(levels: list[DataFrame], grams: DataFrame) -> DataFrame:
+    """``key, p``: log10 probabilities of ``grams`` that no training text has, each in its longest context of any
+    count, by the rules of :func:`build_trie`.
+
+    From order 0 up, a gram has its count (null if its context hasn't seen it), ``q`` (log10 of its share of the
+    context's escapes, if not seen) and ``p`` (in this context). A context's symbols are its suffix's too, so what they
+    exclude there is a number of the context: the suffix's counts of them. Orders 0 and 1 and the contexts of
+    order 2 have at most 65,536 rows and are broadcast, so no join deals many grams to one key.
+    """
+    unseen = 256 - levels[0].count()
+    low = lambda c, k: F.col(c).bitwiseAND(F.lit((1 << 8 * k) - 1))
+    out = grams.select("key", F.lit(None).cast("long").alias("n"), F.lit(-log10(max(unseen, 1))).alias("q"), F.lit(-log10(256)).alias("p"))
+    for k, level in enumerate(levels):
+        if k:
+            # what the suffix has left without the context's symbols: the sum of counts and the number of symbols
+            below = levels[k - 1].select(F.col("key").alias("_key"), F.col("n").alias("_n"), F.col("total").alias("_total"), F.col("kinds").alias("_kinds"))
+            own = level.withColumn("_key", low("key", k)).join(F.broadcast(below) if k < 3 else below, "_key").groupBy("context")
+            kinds = F.max("_kinds") - F.max("kinds") if k > 1 or unseen else F.lit(0)
+            own = own.agg(F.max("total").alias("total"), F.max("kinds").alias("kinds"), (F.max("_total") - F.sum("_n")).alias("left"), kinds.alias("new"))
+        else:
+            # order 0 escapes only to bytes that training never saw
+            own = level.select("context", "total", (F.col("kinds") if unseen else F.lit(0)).alias("kinds"), F.lit(0).alias("left"), F.lit(0).alias("new")).distinct()
+        seen = level.select(F.col("key").alias("_gram"), F.col("n").alias("_has"))
+        out = out.withColumns({"context": F.shiftright(low("key", k + 1), 8), "_gram": low("key", k + 1)})
+        out = out.join(F.broadcast(own) if k < 3 else own, "context", "left").join(F.broadcast(seen) if k < 2 else seen, "_gram", "left")
+        per = F.log10(F.col("left") + F.col("new"))
+        q = F.when(F.col("left") == 0, F.col("q")).when(F.col("n").isNotNull(), F.log10("n") - per).otherwise(F.log10("new") - per + F.col("q"))
+        p = F.coalesce(F.log10("_has"), F.log10("kinds") + q) - F.log10(F.col("total") + F.col("kinds"))
+        out = out.select("key", F.col("_has").alias("n"), q.alias("q"), F.when(F.col("total").isNull(), F.col("p")).otherwise(p).alias("p"))
+    return out.select("key", "p")
 
 
 def score_documents(docs: DataFrame, folds: int = 5, hold: int = 1) -> DataFrame:
@@ -193,9 +253,10 @@ def score_documents(docs: DataFrame, folds: int = 5, hold: int = 1) -> DataFrame
     Texts whose fold isn't ``hold`` are learnt from. ``score`` is the byte model's log10 probability of the text
     (A-Z lowered, UTF-8) and its end; ``base_score`` is the smoothed unigram's over words and one end token.
 
-    One pass gathers counts over all training texts; one pass scores all texts. The byte trie (bounded by
-    CONTEXTS) and the WORDS most frequent words are broadcast; every other word of a document goes through a join
-    with the full word counts, so the base is exact for any vocabulary.
+    One pass gathers counts over all training texts; one pass scores all texts. The byte trie of the CONTEXTS most
+    frequent contexts of each length and the WORDS most frequent words are broadcast; every other word of a document, and
+    every byte behind another context, goes through a join with the full counts, so both scores are exact for
+    any vocabulary and any number of contexts.
 
     Null texts count as empty and score their end alone; a null id folds like empty text; repeated rows each count and
     each score. Without training texts the byte model is uniform. Other columns are ignored; empty stays empty.
@@ -209,8 +270,10 @@ def score_documents(docs: DataFrame, folds: int = 5, hold: int = 1) -> DataFrame
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     n_all, v_all = total + ends, distinct + (ends > 0)
     top = words.orderBy(F.desc("n"), "key").limit(WORDS).toArrow()
-    model = sc.broadcast((build_trie(collect_levels(counts.where("kind = 1").select("key", "n"))), Index(top["key"].to_numpy().view(np.uint64)), top["n"].to_numpy(), ends))
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("logs", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.int64())), ("times", pa.list_(pa.int64()))])
+    levels = store_levels(counts.where("kind = 1").select("key", "n"))
+    kept, whole = collect_levels(levels)
+    model = sc.broadcast((build_trie(kept, whole), Index(top["key"].to_numpy().view(np.uint64)), top["n"].to_numpy(), ends))
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("logs", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.int64())), ("times", pa.list_(pa.int64())), ("grams", pa.list_(pa.int64()))])
 
     def run(batches):
         trie, keys, n, ends = model.value
@@ -233,17 +296,24 @@ def score_documents(docs: DataFrame, folds: int = 5, hold: int = 1) -> DataFrame
                     for k, v in zip(out, (len(w) + 1, known, mass, rare, times)):
                         out[k].append(v)
                 size = b - a
-                columns = [pa.array(np.arange(row, row + size)), batch.column(0).slice(a, size), batch.column(2).slice(a, size), *(pa.array(out[k], pa.int64()) for k in ("n_tokens", "known")), pa.array(out["logs"]), pa.array(trie.score(texts[a:b])), *(pa.array(out[k], pa.list_(pa.int64())) for k in ("rare", "times"))]
+                score, grams = trie.score_kept(texts[a:b])
+                columns = [pa.array(np.arange(row, row + size)), batch.column(0).slice(a, size), batch.column(2).slice(a, size), *(pa.array(out[k], pa.int64()) for k in ("n_tokens", "known")), pa.array(out["logs"]), pa.array(score), *(pa.array(out[k], pa.list_(pa.int64())) for k in ("rare", "times")), pa.array(grams, pa.list_(pa.int64()))]
                 row += size
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     text = F.coalesce("text", F.lit("")).cast("binary").alias("text")
-    scored = store(rows.select("doc_id", text, "held_out").mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, known long, logs double, score double, rare array<long>, times array<long>"), "scored")
+    scored = store(rows.select("doc_id", text, "held_out").mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, known long, logs double, score double, rare array<long>, times array<long>, grams array<long>"), "scored")
     rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("key"), F.col("x.times").alias("times"))
-    rare = rare.join(words, "key", "left").groupBy("row").agg(
-        F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("rare_known"),
-        F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("rare_logs"))
+    rare = rare.join(words, "key", "left").select(
+        "row", F.when(F.col("n") > 0, F.col("times")).otherwise(0).alias("rare_known"),
+        (F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("rare_logs"), F.lit(0.0).alias("rare_score"))
+    if not whole:
+        need = scored.select("row", "held_out", F.explode("grams").alias("key"))
+        new = need.where("held_out").select("key").distinct().join(levels[ORDER], "key", "left_anti")
+        p = levels[ORDER].select("key", (F.log10("n") - F.log10(F.col("total") + F.col("kinds"))).alias("p")).union(score_grams(levels, new))
+        rare = rare.union(need.join(p, "key").select("row", F.lit(0), F.lit(0.0), "p"))
+    rare = rare.groupBy("row").agg(*(F.sum(c).alias(c) for c in ("rare_known", "rare_logs", "rare_score")))
     per_token = float(np.log10(n_all + 0.5 * (v_all + 1)))
-    out = scored.drop("rare", "times").join(rare, "row", "left")
+    out = scored.drop("rare", "times", "grams").join(rare, "row", "left")
     base = F.col("logs") + F.coalesce("rare_logs", F.lit(0.0)) - F.col("n_tokens") * F.lit(per_token)
-    return out.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    return out.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("score") + F.coalesce("rare_score", F.lit(0.0))).alias("score"))

@@ -256,6 +256,26 @@ def test_trie_is_a_distribution():
     assert trie.score([b"banana"])[0] > trie.score([b"zzzzzz"])[0]
 
 
+def test_lm_keeps_every_context(spark):
+    rng = random.Random(9)
+    letters = [bytes([x]).decode() for x in range(33, 127) if not 65 <= x <= 90]
+    held = [zlib.crc32(str(i).encode()) % 5 == 1 for i in range(150)]
+    texts = ["".join(rng.choices(letters, k=900)) if i % 3 else "".join(rng.choices("abcd ", k=900)) for i in range(150)]
+    texts = [t + "\x7f" * 3 if h else t for t, h in zip(texts, held)]  # a byte that training never sees
+    raw = [t.encode().lower() for t in texts]
+    flat, at, _ = lm._lay([t for t, h in zip(raw, held) if not h])
+    keys, n = np.unique(lm._grams(flat, at), return_counts=True)
+    levels = []
+    for k in range(lm.ORDER + 1):
+        key, inverse = np.unique(keys & np.uint64((1 << 8 * (k + 1)) - 1), return_inverse=True)
+        levels.append((key, np.bincount(inverse, n)))
+    assert all(len(np.unique(key >> np.uint64(8))) > lm.CONTEXTS for key, _ in levels[4:])
+    want = lm.build_trie(levels).score(raw)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.score for r in lm.score_documents(df).collect()}
+    assert np.allclose([got[i] for i in range(150)], want, rtol=0, atol=1e-3)
+
+
 def test_id_blocks():
     rng = np.random.default_rng(0)
     for n in (0, 1, 4096, 4097, 9000):
