@@ -56,7 +56,8 @@ def schedule(spark, targets: DataFrame, slots: int, block: int) -> DataFrame:
     """``(srank, block, upto)``: each granted block of a source and the word at which it ends.
 
     Slot i has the point i * golden ratio mod 1; the cumulative targets map it to a source (an equi-join on a
-    grid of 4,096 cells, then the exact bounds); its rank among the source's slots is the block it takes.
+    grid of 4,096 cells, then the exact bounds); its rank among the source's slots is the block it takes. Blocks that
+    the slots leave out, as of a source whose quota is about a block or less, are granted after them.
     """
     run = W.orderBy("srank")
     t = targets.where("quota > 0").withColumn("hi_q", F.sum("quota").over(run))
@@ -68,7 +69,11 @@ def schedule(spark, targets: DataFrame, slots: int, block: int) -> DataFrame:
     s = s.withColumn("cell", F.shiftright("point", CELL_BITS)).join(cells, "cell").where("point >= lo and point < hi")
     s = s.select("srank", "quota", "slot", F.expr("slot div 8192").alias("part"))
     s = _positions(s, "srank", "part", ["slot"], F.lit(1))
-    return s.where(F.col("pos") * block < F.col("quota")).select("srank", F.col("pos").alias("block"), F.least((F.col("pos") + 1) * block, "quota").alias("upto"))
+    s = store(s.where(F.col("pos") * block < F.col("quota")).select("srank", "quota", F.col("pos").cast("long").alias("block")), "slots")
+    got = s.groupBy("srank").agg(F.count(F.lit(1)).alias("got"))
+    rest = targets.join(got, "srank", "left").withColumn("got", F.coalesce("got", F.lit(0))).where(F.col("got") * block < F.col("quota"))
+    rest = rest.select("srank", "quota", F.explode(F.expr(f"sequence(got, (quota - 1) div {block}L)")).alias("block"))
+    return s.union(rest).select("srank", "block", F.least((F.col("block") + 1) * block, "quota").alias("upto"))
 
 
 def mix_sources(docs: DataFrame, weights=(1, 2, 3), most=3, least_slots=65536, largest_block=4096, digits=3) -> DataFrame:
@@ -77,8 +82,8 @@ def mix_sources(docs: DataFrame, weights=(1, 2, 3), most=3, least_slots=65536, l
     Each source is shuffled by the md5 of the id, read again from its start as often as its quota asks
     (``most`` times at most), and cut into blocks of equal word counts: the total over ``least_slots``, at least 1
     and at most ``largest_block`` words. The schedule grants blocks; a row's ``taken`` is the number of its words
-    in granted blocks. Slots are drawn with a small reserve and stop at the quota, which makes a source's taken
-    words its rounded target.
+    in granted blocks. Slots are drawn with a small reserve and stop at the quota; what they leave of it is granted too,
+    which makes a source's taken words its rounded target, however small the source.
 
     Null or empty text has size 0 and takes nothing; a null source is a source of its own, after the others; a
     null id shuffles like empty text. Repeated rows count each for itself. An empty table gives an empty result.

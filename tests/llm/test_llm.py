@@ -98,6 +98,13 @@ def test_mixing(spark, docs):
     assert mixing.mix_sources(docs.limit(0)).count() == 0 and mixing.mix_sources(docs.where("doc_id in (80, 81)")).count() == 2
 
 
+def test_mixing_of_a_tiny_source(spark):
+    rows = [(i, "w " * 25_000, "a") for i in range(40)] + [(100, "five words are all here", "t")]
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string"), least_slots=1).collect()
+    by = {s: (sum(r.taken for r in got if r.source == s), [r.target for r in got if r.source == s][0]) for s in "at"}
+    assert by["t"] == (15, 15) and abs(by["a"][0] - by["a"][1]) <= 1
+
+
 def test_segmentations(spark, docs):
     path = tokenizer_path("piece_bpe_32k.model")
     got = sampling.decode_ids(sampling.sample_segmentations(docs.where("doc_id <> 85 or doc_id is null"), path, k=3), path).collect()
