@@ -5,318 +5,488 @@ from __future__ import annotations
 import os
 import re
 import struct
+import unicodedata
 import zlib
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyport.llm.common import store
 
-#: Ids in a block, ids between two refreshes of a block's frequency tables, and blocks coded side by side.
-BLOCK, ROUND, LANES = 4096, 256, 1024
-#: Frequencies add up to 2^SCALE; contexts hash to 2^SLOTS places.
-SCALE, SLOTS = 12, 12
-_HEAD = struct.Struct("<4sBxxxIII")  # magic, width, ids, crc32 of the ids, payload bytes
-_TOP, _BOT = np.uint64(1 << 48), np.uint64(1 << 32)
-_SH, _WORD = np.uint64(48), np.uint64(16)
-
-
-class _Coder:
-    """A carry-less range coder in all lanes at once: 64-bit low and range, 16-bit words out or in."""
-
-    def __init__(self, lanes: int, words: np.ndarray | None = None, capacity: int = 0):
-        self.low = np.zeros(lanes, np.uint64)
-        self.range = np.full(lanes, np.uint64(2**64 - 1), np.uint64)
-        self.at = np.zeros(lanes, np.int64)
-        self.words = np.zeros((lanes, capacity), np.uint16) if words is None else words
-        self.reading = words is not None
-        if self.reading:
-            self.code = np.zeros(lanes, np.uint64)
-            for _ in range(4):
-                self._take(np.arange(lanes))
-
-    def _take(self, k: np.ndarray) -> None:
-        at = np.minimum(self.at[k], self.words.shape[1] - 1)  # broken data may ask for more; its checksum fails
-        self.code[k] = (self.code[k] << _WORD) | self.words[k, at]
-        self.at[k] += 1
-
-    def _settle(self, k: np.ndarray) -> None:
-        """Shift words out while the top is fixed; cut the range where it has become too narrow."""
-        while len(k):
-            low, span = self.low[k], self.range[k]
-            fixed = (low ^ (low + span)) < _TOP
-            narrow = ~fixed & (span < _BOT)
-            move = fixed | narrow
-            if not move.any():
-                return
-            if narrow.any():
-                span = np.where(narrow, (~low + np.uint64(1)) & (_BOT - np.uint64(1)), span)
-            k, low, span = k[move], low[move], span[move]
-            if self.reading:
-                self._take(k)
-            else:
-                self.words[k, self.at[k]] = (low >> _SH).astype(np.uint16)
-                self.at[k] += 1
-            self.low[k] = low << _WORD
-            self.range[k] = span << _WORD
-
-    def put(self, k: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
-        step = self.range[k] >> np.uint64(SCALE)
-        self.low[k] += start.astype(np.uint64) * step
-        self.range[k] = step * size.astype(np.uint64)
-        self._settle(k)
-
-    def slot(self, k: np.ndarray) -> np.ndarray:
-        self.step = self.range[k] >> np.uint64(SCALE)
-        return np.minimum((self.code[k] - self.low[k]) // self.step, np.uint64((1 << SCALE) - 1)).astype(np.int64)
-
-    def got(self, k: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
-        self.low[k] += start.astype(np.uint64) * self.step
-        self.range[k] = self.step * size.astype(np.uint64)
-        self._settle(k)
-
-    def finish(self) -> None:
-        for _ in range(4):
-            self.words[np.arange(len(self.low)), self.at] = (self.low >> _SH).astype(np.uint16)
-            self.at += 1
-            self.low <<= _WORD
-
-
-class _Frequencies:
-    """Adaptive frequencies of each lane's symbols, refreshed from its own counts once a round."""
-
-    def __init__(self, lanes: int, symbols: int, prior: np.ndarray | None = None):
-        self.counts = np.ones((lanes, symbols), np.int64) if prior is None else np.tile(prior, (lanes, 1))
-        self.symbols = symbols
-
-    def refresh(self, lookup: bool) -> None:
-        n, whole = self.counts.shape[0], 1 << SCALE
-        free = whole - self.symbols
-        run = np.cumsum(self.counts, axis=1)
-        self.edges = np.zeros((n, self.symbols + 1), np.int64)
-        self.edges[:, 1:] = run * free // run[:, -1:] + np.arange(1, self.symbols + 1)
-        if lookup:
-            self.table = np.repeat(np.tile(np.arange(self.symbols, dtype=np.int16), n), np.diff(self.edges, axis=1).ravel()).reshape(n, whole)
-
-    def interval(self, k: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        start = self.edges[k, s]
-        return start, self.edges[k, s + 1] - start
-
-
-def _hash(x: np.ndarray) -> np.ndarray:
-    return ((x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOTS)).astype(np.int64)
-
-
-def _code(ids: np.ndarray | None, sizes: np.ndarray, width: int, words: np.ndarray | None = None):
-    """Codes or decodes blocks side by side, longest first. Both directions run the same predictors.
-
-    An order-2 and an order-1 context (hashed) each predict the id that followed last. The first symbol of an id
-    mixes the orders: it says "order 2 is right", "order 1 is right", or gives the id's high byte (order 0); the
-    weights are that symbol's adaptive frequencies, kept apart by how many predictors there are and whether they
-    agree. The remaining bytes follow with their own adaptive order-0 frequencies.
+#: Ids in a block, and blocks in a group, which are coded side by side.
+BLOCK, LANES = 2048, 4096
+#: Bits of a context's hash, of a mixing weight, and of the weights' learning rate; steps prepared at once when coding.
+SLOTS, WEIGHT, RATE, AHEAD = 11, 10, 4, 64
+#: More distinct ids than this in a group are coded as halves of 16 bits.
+MOST = 1 << 19
+_GROUP = struct.Struct("<4sBBHIIIII")  # magic, halves, bits of the order-0 total, 0, ids, symbols, table's bytes, its crc32, blocks
+_BLOCK = struct.Struct("<III")  # ids, crc32 of the ids, payload bytes
+_LEAST, _MASK = np.int64(1 << 32), np.int64((1 << 32) - 1)
+#: At a block's start, the chance (of 2^16) that an order's guess is right, by how often it has held (0: no guess).
+_PRIOR2, _PRIOR1 = np.array([0, 16000, 40000, 58000]), np.array([0, 6000, 20000, 40000])
+
+
+class _Mixer:
+    """The predictions of all lanes. P(x) = w2 [x = guess 2] + w1 [x = guess 1] + (1 - w2 - w1) P0(x).
+
+    An order-2 and an order-1 context (hashed places of a lane's own tables) each guess the symbol that followed
+    last, with a count of 1 to 3 of how often it has held. The weights are adaptive too, kept by both counts; ``P0`` is
+    the group's order-0 table. Rows 0 and 1 of the arrays below are order 2 and order 1.
     """
-    lanes = len(sizes)
-    decode = ids is None
-    coder = _Coder(lanes, words) if decode else _Coder(lanes, capacity=int(sizes[0]) * (width + 2) + 16)
-    out = np.zeros((lanes, int(sizes[0])), np.uint32) if decode else ids
-    tables = [np.full((lanes, 1 << SLOTS), -1, np.int64) for _ in range(2)]
-    first = [_Frequencies(lanes, 258, np.array([8, 8] + [1] * 256) if mode else np.array([1, 1] + [1] * 256)) for mode in range(3)]
-    rest = [_Frequencies(lanes, 256) for _ in range(width - 1)]
-    p1, p2 = np.zeros(lanes, np.uint64), np.zeros(lanes, np.uint64)
-    every = np.arange(lanes)
-    for t in range(int(sizes[0])):
-        live = int(np.searchsorted(-sizes, -t))  # lanes with more than t ids come first
-        if t % ROUND == 0:
-            for f in (*first, *rest):
-                f.refresh(decode)
-        k = every[:live]
-        slot2, slot1 = _hash(p2[:live] << np.uint64(32) | (p1[:live] + np.uint64(1))), _hash(p1[:live])
-        guess2, guess1 = tables[0][k, slot2], tables[1][k, slot1]
-        mode = np.where(guess2 >= 0, 2, np.where(guess1 >= 0, 1, 0))
-        groups = [k[mode == m] for m in range(3)]
-        if decode:
-            value = np.zeros(live, np.int64)
-            for f, g in zip(first, groups):
-                if len(g):
-                    s = f.table[g, coder.slot(g)].astype(np.int64)
-                    coder.got(g, *f.interval(g, s))
-                    f.counts[g, s] += 16
-                    value[g] = s
-            literal = k[value > 1]
-            got = value[literal] - 2
-            for f in rest:
-                if len(literal):
-                    s = f.table[literal, coder.slot(literal)].astype(np.int64)
-                    coder.got(literal, *f.interval(literal, s))
-                    f.counts[literal, s] += 16
-                    got = got << 8 | s
-            now = np.where(value == 0, guess2, guess1)
-            now[literal] = got
-            out[:live, t] = now
-        else:
-            now = out[:live, t].astype(np.int64)
-            s = np.where(now == guess2, 0, np.where(now == guess1, 1, (now >> 8 * (width - 1)) + 2))
-            for f, g in zip(first, groups):
-                if len(g):
-                    coder.put(g, *f.interval(g, s[g]))
-                    f.counts[g, s[g]] += 16
-            literal = k[s > 1]
-            for n, f in enumerate(rest):
-                if len(literal):
-                    b = now[literal] >> 8 * (width - 2 - n) & 255
-                    coder.put(literal, *f.interval(literal, b))
-                    f.counts[literal, b] += 16
-        tables[0][k, slot2] = now
-        tables[1][k, slot1] = now
-        p2[:live], p1[:live] = p1[:live], now.astype(np.uint64)
-    if decode:
+
+    def __init__(self, lanes: int, freq: np.ndarray, bits: int):
+        self.lanes, self.none, self.bits = lanes, len(freq), np.int64(bits)
+        self.table = np.full(2 * lanes << SLOTS, self.none << 2, np.int32)
+        second = np.repeat(_PRIOR2, 4)
+        first = np.tile(_PRIOR1, 4) * (65536 - second) // 65536
+        self.weights = np.concatenate([np.tile(second, lanes), np.tile(first, lanes)]).astype(np.int32)
+        lane = np.arange(lanes, dtype=np.int32)
+        self.base = np.stack([lane << SLOTS, (lane + lanes) << SLOTS])
+        self.own = np.stack([lane << 4, (lane + lanes) << 4])
+        self.cum = np.concatenate([[0], np.cumsum(freq)]).astype(np.int64)
+        self.freq = np.append(freq, 0).astype(np.int64)
+
+    def places(self, p1: np.ndarray, p2: np.ndarray) -> np.ndarray:
+        """Places in the table of the contexts (p2, p1) and (p1), uint32, along the last axis."""
+        h = (p1 * np.uint32(0x9E3779B1) + p2 * np.uint32(0x85EBCA6B)) >> np.uint32(32 - SLOTS)
+        out = np.empty((2, *p1.shape), np.int32)
+        out[0], out[1] = h, p1 & np.uint32((1 << SLOTS) - 1)
+        out += self.base[:, : p1.shape[-1]].reshape(2, *[1] * (p1.ndim - 1), -1)
         return out
-    coder.finish()
-    return coder.words, coder.at
-
-
-def encode_ids(ids: np.ndarray, width: int = 2) -> bytes:
-    """Blocks of at most BLOCK ids (uint32), each with its header, its own fresh model and its checksum."""
-    out = []
-    for at in range(0, len(ids), BLOCK * LANES):
-        part = ids[at : at + BLOCK * LANES].astype(np.uint32)
-        sizes = np.full(-(-len(part) // BLOCK), BLOCK)
-        sizes[-1] = len(part) - BLOCK * (len(sizes) - 1)
-        padded = np.zeros((len(sizes), min(BLOCK, len(part))), np.uint32)
-        padded.ravel()[: len(part)] = part
-        words, length = _code(padded, sizes, width)
-        for n, size in enumerate(sizes):
-            payload = words[n, : length[n]].astype("<u2").tobytes()
-            out += [_HEAD.pack(b"TLRC", width, size, zlib.crc32(padded[n, :size].astype("<u4").tobytes()), len(payload)), payload]
+
+    def guess(self, at: np.ndarray) -> None:
+        m = at.shape[1]
+        e = self.table.take(at)
+        self.at, self.count, self.guessed = at, e & 3, e >> 2
+        self.state = (self.count[0] << 2 | self.count[1]) + self.own[:, :m]
+        self.w = self.weights.take(self.state)
+        a = (self.w * 1023) >> 16
+        self.rest = (1024 - a[0] - a[1]).astype(np.int64)
+        self.part = a.astype(np.int64) << self.bits
+
+    def interval(self, x: np.ndarray, cum: np.ndarray, freq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where x starts among 2^(bits + WEIGHT), and its size; sets ``hit``."""
+        self.hit = self.guessed == x
+        start, size = (self.guessed < x) * self.part, self.hit * self.part
+        return self.rest * cum + start[0] + start[1], self.rest * freq + size[0] + size[1]
+
+    def learn(self, entry: np.ndarray) -> None:
+        """``entry``: 4 x + 1 for each lane's symbol x."""
+        hit = self.hit
+        self.table[self.at] = entry + hit * ((self.count > 1) + np.int8(1))
+        hit[1] &= ~hit[0]
+        self.weights[self.state] = self.w + (((hit.astype(np.int32) << 16) - self.w) >> RATE)
+
+
+def _live(sizes: np.ndarray, t: int) -> int:
+    """Lanes with more than t symbols; only the last may be short."""
+    return len(sizes) - (t >= sizes[-1])
+
+
+def _put(sym: np.ndarray, sizes: np.ndarray, freq: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes ``sym`` (step, lane) side by side: words (lane, place) and how many each lane has.
+
+    A range coder of 48 bits with 16-bit words. Carries are left standing in the words, and added at the end.
+    """
+    n, lanes = sym.shape
+    mix, scale = _Mixer(lanes, freq, bits), np.int64(bits + WEIGHT)
+    low, span = np.zeros(lanes, np.int64), np.full(lanes, 1 << 48, np.int64)
+    room = 2 * n + 8
+    flat, row = np.zeros(lanes * room, np.int32), np.arange(lanes, dtype=np.int64) * room
+    pos = row.copy()
+    before = np.full((2, lanes), mix.none, np.uint32)
+    for t in range(n):
+        if t % AHEAD == 0:
+            near = sym[t : t + AHEAD]
+            ext = np.concatenate([before, near.astype(np.uint32)])
+            before = ext[-2:]
+            at, cum, freqs, entry = mix.places(ext[1:-1], ext[:-2]), mix.cum.take(near), mix.freq.take(near), (near << 2) + 1
+        i, m = t % AHEAD, _live(sizes, t)
+        mix.guess(at[:, i, :m])
+        start, size = mix.interval(near[i, :m], cum[i, :m], freqs[i, :m])
+        lo, sp, to = low[:m], span[:m], pos[:m]
+        step = sp >> scale
+        lo += start * step
+        np.multiply(size, step, out=sp)
+        while True:
+            flat[to] = lo >> 32
+            short = sp < _LEAST
+            np.copyto(lo, (lo & _MASK) << 16, where=short)
+            np.copyto(sp, sp << 16, where=short)
+            to += short
+            if sp.min() >= _LEAST:
+                break
+        mix.learn(entry[i, :m])
+    for _ in range(3):
+        flat[pos] = low >> 32
+        low = (low & _MASK) << 16
+        pos += 1
+    length = pos - row
+    words = flat.reshape(lanes, room)[:, : int(length.max())]
+    while (words > 0xFFFF).any():
+        over = words >> 16
+        words &= 0xFFFF
+        words[:, :-1] += over[:, 1:]
+    return words.astype("<u2"), length
+
+
+def _get(words: np.ndarray, sizes: np.ndarray, freq: np.ndarray, bits: int) -> np.ndarray:
+    """The symbols (step, lane) of :func:`_put`. Broken words give wrong symbols, never another error."""
+    lanes, n = len(sizes), int(sizes[0])
+    mix, scale = _Mixer(lanes, freq, bits), np.int64(bits + WEIGHT)
+    most = np.int64((1 << bits) - 1)
+    symbol = np.repeat(np.arange(len(freq), dtype=np.int32), freq)
+    flat, row = words.ravel(), np.arange(lanes, dtype=np.int64) * words.shape[1]
+    code = sum(flat[row + i].astype(np.int64) << 16 * (2 - i) for i in range(3))
+    span, pos = np.full(lanes, 1 << 48, np.int64), row + 3
+    out = np.zeros((n, lanes), np.int32)
+    p1 = p2 = np.full(lanes, mix.none, np.uint32)
+    for t in range(n):
+        m = _live(sizes, t)
+        mix.guess(mix.places(p1[:m], p2[:m]))
+        c, sp, to, g = code[:m], span[:m], pos[:m], mix.guessed
+        step = sp >> scale
+        v = np.minimum(c // step, (np.int64(1) << scale) - 1)
+        # each guess's interval, to which both orders' parts belong if they agree
+        other = mix.part[::-1]
+        starts = mix.rest * mix.cum.take(g) + (g[::-1] < g) * other
+        ends = starts + mix.rest * mix.freq.take(g) + mix.part + (g[0] == g[1]) * other
+        past = v >= ends
+        beyond = past * mix.part
+        x = symbol.take((v - beyond[0] - beyond[1]) // mix.rest, mode="clip")
+        inside = (v >= starts) > past
+        np.copyto(x, g[1], where=inside[1])
+        np.copyto(x, g[0], where=inside[0])
+        out[t, :m] = x
+        start, size = mix.interval(x, mix.cum.take(x), mix.freq.take(x))
+        c -= start * step
+        np.multiply(size, step, out=sp)
+        while True:
+            short = sp < _LEAST
+            np.copyto(c, (c << 16) | flat.take(to, mode="clip"), where=short)
+            np.copyto(sp, sp << 16, where=short)
+            to += short
+            if sp.min() >= _LEAST:
+                break
+        mix.learn((x << 2) + 1)
+        p2, p1 = p1, x.astype(np.uint32)
+    return out
+
+
+def _table(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """The distinct ids, each id's place among them, their order-0 frequencies and the bits of these's sum."""
+    top = int(ids.max())
+    if top < 1 << 22:
+        count = np.bincount(ids)
+        symbols = np.flatnonzero(count)
+        rank = np.zeros(len(count), np.int32)
+        rank[symbols] = np.arange(len(symbols), dtype=np.int32)
+        count, place = count[symbols], rank[ids]
+    else:
+        symbols, place, count = np.unique(ids, return_inverse=True, return_counts=True)
+    bits = max(16, len(symbols).bit_length() + 1)
+    freq = 1 + count * ((1 << bits) - len(symbols)) // len(ids)
+    freq[np.argmax(freq)] += (1 << bits) - int(freq.sum())
+    return symbols, place.astype(np.int32, copy=False), freq, bits
+
+
+def _encode_group(ids: np.ndarray) -> bytes:
+    sizes = np.full(-(-len(ids) // BLOCK), BLOCK)
+    sizes[-1] = len(ids) - BLOCK * (len(sizes) - 1)
+    checks = [zlib.crc32(ids[n * BLOCK : (n + 1) * BLOCK].astype("<u4").tobytes()) for n in range(len(sizes))]
+    symbols, place, freq, bits = _table(ids)
+    halves = len(symbols) > MOST
+    if halves:
+        symbols, place, freq, bits = _table(np.stack([ids >> 16, ids & 0xFFFF], axis=1).ravel())
+    each = BLOCK << halves
+    sym = np.zeros(len(sizes) * min(each, len(place)), np.int32)
+    sym[: len(place)] = place
+    words, length = _put(np.ascontiguousarray(sym.reshape(len(sizes), -1).T), sizes << int(halves), freq, bits)
+    table = zlib.compress(np.concatenate([np.diff(symbols, prepend=0), freq]).astype("<u4").tobytes())
+    out = [_GROUP.pack(b"TLG2", halves, bits, 0, len(ids), len(symbols), len(table), zlib.crc32(table), len(sizes)), table]
+    for n, size in enumerate(sizes.tolist()):
+        payload = words[n, : length[n]].tobytes()
+        out += [_BLOCK.pack(size, checks[n], len(payload)), payload]
     return b"".join(out)
 
 
+def encode_ids(ids: np.ndarray, width: int = 4) -> bytes:
+    """Groups of about BLOCK * LANES ids (below 2^(8 * width)), each with its order-0 table and its blocks.
+
+    A block of at most BLOCK ids starts from a fresh model and has its own checksum; it needs the group's table
+    (checksummed too) but no other block.
+    """
+    ids = np.ascontiguousarray(ids, np.uint32)
+    if len(ids) and width < 4 and int(ids.max()) >> 8 * width:
+        raise ValueError(f"ids of more than {width} bytes")
+    groups = max(1, round(len(ids) / (BLOCK * LANES)))
+    step = max(1, -(-len(ids) // groups // BLOCK)) * BLOCK
+    return b"".join(_encode_group(ids[at : at + step]) for at in range(0, len(ids), step))
+
+
 def decode_ids(data: bytes) -> np.ndarray:
-    """The ids of :func:`encode_ids`; raises ValueError if a header or a checksum is wrong."""
-    at, blocks = 0, []
+    """The ids of :func:`encode_ids`; raises ValueError if a header, a table or a checksum is wrong."""
+    at, out = 0, [np.empty(0, np.uint32)]
     while at < len(data):
-        magic, width, size, crc, length = _HEAD.unpack_from(data, at)
-        at += _HEAD.size
-        if magic != b"TLRC" or at + length > len(data):
-            raise ValueError("not a block of ids, or cut off")
-        blocks.append((width, size, crc, np.frombuffer(data, "<u2", length // 2, at)))
-        at += length
-    out = [np.empty(0, np.uint32)]
-    for start in range(0, len(blocks), LANES):
-        part = blocks[start : start + LANES]
-        order = sorted(range(len(part)), key=lambda i: -part[i][1])
-        sizes = np.array([part[i][1] for i in order])
-        words = np.zeros((len(part), max(len(b[3]) for b in part) + 8), np.uint16)
-        for row, i in enumerate(order):
-            words[row, : len(part[i][3])] = part[i][3]
-        ids = _code(None, sizes, part[0][0], words)
-        found: list = [None] * len(part)
-        for row, i in enumerate(order):
-            found[i] = ids[row, : sizes[row]]
-            if zlib.crc32(found[i].astype("<u4").tobytes()) != part[i][2]:
+        if at + _GROUP.size > len(data):
+            raise ValueError("cut off")
+        magic, halves, bits, _, n_ids, n_symbols, size, crc, n_blocks = _GROUP.unpack_from(data, at)
+        at += _GROUP.size
+        packed = data[at : at + size]
+        at += size
+        if magic != b"TLG2" or zlib.crc32(packed) != crc:
+            raise ValueError("not a group of ids, or its table is wrong")
+        table = np.frombuffer(zlib.decompress(packed), "<u4")
+        symbols, freq = np.cumsum(table[:n_symbols], dtype=np.uint32), table[n_symbols:].astype(np.int64)
+        if len(freq) != n_symbols or int(freq.sum()) != 1 << bits or n_blocks != -(-n_ids // BLOCK):
+            raise ValueError("the table of a group of ids is wrong")
+        blocks = []
+        for n in range(n_blocks):
+            if at + _BLOCK.size > len(data):
+                raise ValueError("cut off")
+            size, check, length = _BLOCK.unpack_from(data, at)
+            at += _BLOCK.size
+            if size != min(BLOCK, n_ids - n * BLOCK) or at + length > len(data):
+                raise ValueError("the header of a block of ids is wrong")
+            blocks.append((check, np.frombuffer(data, "<u2", length // 2, at)))
+            at += length
+        sizes = np.full(n_blocks, BLOCK)
+        sizes[-1] = n_ids - BLOCK * (n_blocks - 1)
+        words = np.zeros((n_blocks, max(len(b[1]) for b in blocks) + 4), np.uint16)
+        for n, (_, payload) in enumerate(blocks):
+            words[n, : len(payload)] = payload
+        got = symbols[_get(words, sizes << int(halves), freq, bits).T.ravel()[: n_ids << halves]]
+        ids = got[::2] << 16 | got[1::2] if halves else got
+        for n, (check, _) in enumerate(blocks):
+            if zlib.crc32(ids[n * BLOCK : (n + 1) * BLOCK].astype("<u4").tobytes()) != check:
                 raise ValueError("checksum of a block of ids is wrong")
-        out += found
+        out.append(ids)
     return np.concatenate(out)
 
 
-#: Entries that the cache of encoded pieces may hold, and the longest piece it takes.
-CACHE, LONGEST = 1_000_000, 128
-#: A space that doesn't stand between two visible characters.
-_beside = re.compile(r"^ | $|\s | \s")
-_cache: dict[str, dict[str, bytes]] = {}
-
-
-@lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+#: Pieces that a worker keeps with their ids, and the characters that these may have, before it starts afresh;
+#: bytes of text that it works on at once.
+CACHE, CHARS, CHUNK = 1_200_000, 32_000_000, 8_000_000
+#: A space that no visible character follows, as Arrow's pattern library writes it, and where a text may be cut.
+_ODD = r" [\s\x0b\x1c-\x1f\x{85}\x{180e}\p{Z}]| $"
+_CUT = re.compile(" (?=[^\\s᠎])")
+#: Letters, numbers and white space up to U+024F, which no Unicode version changes any more, and the byte-level
+#: pattern over them.
+_UPTO = 0x250
+_L, _N = (re.escape("".join(chr(c) for c in range(_UPTO) if unicodedata.category(chr(c))[0] == k)) for k in "LN")
+_S = "\t-\r \x85\xa0"
+_LATIN = re.compile("[\0-\u024f]*")
+_PATTERN = re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+#: The byte-level stand-in of each byte: itself if it is printable, else the next free code point from 256 on; and a
+#: mark between words, which stands for a byte that UTF-8 never has.
+_MARK = "\uffff"
+_FREE = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+_LETTERS = np.arange(256, dtype="<u2")
+_LETTERS[_FREE] = 256 + np.arange(len(_FREE))
+_LETTERS[255] = ord(_MARK)
+
+
+class Encoder:
+    """Ids of whole texts as the tokenizers library gives them, of a byte-level BPE file without a normalizer.
+
+    The byte-level pattern never joins anything across a space before a visible character, other than by giving
+    that space to what follows. So texts are cut there, Arrow finds a batch's distinct pieces, and the library
+    encodes each once. Pieces up to U+024F go to the library's model as the words that the pattern makes of them, each
+    word once; all others, and those with what may be a special string, go to the whole tokenizer.
+    """
 
-    return Tokenizer.from_file(path)
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.whole = Tokenizer.from_file(path)
+        self.words = Tokenizer(self.whole.model)  # without a pattern of its own
+        vocabulary = self.whole.get_vocab()
+        self.letters = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.letters[list(vocabulary.values())] = list(map(len, vocabulary))
+        special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, special)) or r"(?!)")
+        self.reset()
+
+    def reset(self) -> None:
+        #: pieces at a text's start, pieces behind a space, and words
+        self.known: tuple[dict[str, int], ...] = {}, {}, {}
+        self.n, self.n_ids, self.chars = 0, 0, 0
+        self.start, self.count, self.ids = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32)
+
+    def _keep(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Adds pieces, given by their ids one behind another; returns their places."""
+        for name, at, values in (("count", self.n, counts), ("start", self.n, self.n_ids + np.cumsum(counts) - counts), ("ids", self.n_ids, ids)):
+            held = getattr(self, name)
+            if at + len(values) > len(held):
+                held = np.concatenate([held[:at], np.empty(max(len(values), len(held) // 2), held.dtype)])
+                setattr(self, name, held)
+            held[at : at + len(values)] = values
+        places = np.arange(self.n, self.n + len(counts))
+        self.n, self.n_ids = self.n + len(counts), self.n_ids + len(ids)
+        return places
+
+    def _encode(self, texts: list[str]) -> np.ndarray:
+        """Places of new pieces, each text being one."""
+        plain = [(t.isascii() or _LATIN.fullmatch(t) is not None) and not self.special.search(t) for t in texts]
+        places = np.empty(len(texts), np.int64)
+        for want in (True, False):
+            who = [i for i, p in enumerate(plain) if p == want]
+            for at in range(0, len(who), 65536):
+                part = who[at : at + 65536]
+                if want:
+                    split = [_PATTERN.findall(texts[i]) for i in part]
+                    words = [w for ws in split for w in ws]
+                    each = np.fromiter(map(len, split), np.int64, len(split))
+                    place = self._words(words)
+                    n = self.count[place]
+                    ids = [self._gather(self.start[place], n, self.ids)]
+                    ends = np.cumsum(np.append(0, n))[np.cumsum(np.append(0, each))]
+                    counts = np.diff(ends)
+                else:
+                    got = self.whole.encode_batch_fast([texts[i] for i in part], add_special_tokens=False)
+                    counts = np.fromiter(map(len, got), np.int64, len(got))
+                    ids = [np.array(e.ids, np.uint32) for e in got]
+                places[part] = self._keep(np.concatenate(ids) if ids else np.empty(0, np.uint32), counts)
+        return places
+
+    def _words(self, words: list[str]) -> np.ndarray:
+        """Places of the words that the pattern makes, each of which the library's model encodes once."""
+        known = self.known[2]
+        found = np.array([known.get(w, -1) for w in words], np.int64)
+        missing = np.flatnonzero(found < 0)
+        if len(missing):
+            new = list(dict.fromkeys([words[i] for i in missing.tolist()]))
+            raw = _MARK.join(new).encode().replace(_MARK.encode(), b"\xff")
+            flat = _LETTERS[np.frombuffer(raw, np.uint8)].tobytes().decode("utf-16-le").split(_MARK)
+            got = self.words.encode_batch_fast([flat[i : i + 512] for i in range(0, len(flat), 512)], is_pretokenized=True, add_special_tokens=False)
+            ids = np.concatenate([np.array(e.ids, np.int64) for e in got])
+            # a token's letters are its bytes, so their running sum says where each word ends
+            letters, ends = np.cumsum(self.letters[ids]), np.cumsum(np.fromiter(map(len, flat), np.int64, len(flat)))
+            if not len(letters) or letters[-1] != ends[-1]:
+                raise ValueError("the vocabulary lacks a byte")
+            counts = np.diff(np.searchsorted(letters, ends, "right"), prepend=0)
+            known.update(zip(new, self._keep(ids.astype(np.uint32), counts).tolist()))
+            found[missing] = [known[words[i]] for i in missing.tolist()]
+        return found
+
+    def _places(self, pieces: list[str], spaced: bool) -> np.ndarray:
+        known = self.known[spaced]
+        found = np.array([known.get(p, -1) for p in pieces], np.int64)
+        missing = np.flatnonzero(found < 0)
+        if len(missing):
+            new = list(dict.fromkeys(pieces[i] for i in missing.tolist()))
+            known.update(zip(new, self._encode([" " + p for p in new] if spaced else new).tolist()))
+            self.chars += sum(map(len, new))
+            found[missing] = [known[pieces[i]] for i in missing.tolist()]
+        return found
+
+    def _gather(self, first: np.ndarray, n: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        return ids[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+
+    def encode(self, texts: pa.StringArray, tail: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one text behind another with ``tail`` at its end, and how many each has."""
+        if self.n > CACHE or self.chars > CHARS:
+            self.reset()
+        if not len(texts):
+            return np.empty(0, np.uint32), np.empty(0, np.int64)
+        odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
+        parts = []
+        if not odd.all():
+            parts.append((np.flatnonzero(~odd), pc.split_pattern(texts.filter(pa.array(~odd)), " ")))
+        if odd.any():
+            parts.append((np.flatnonzero(odd), pa.array([_CUT.split(t) for t in texts.filter(pa.array(odd)).to_pylist()], pa.list_(pa.string()))))
+        end = self._keep(np.asarray(tail, np.uint32), np.array([len(tail)])) if tail is not None else np.empty(0, np.int64)
+        ids, starts, counts = [], np.empty(len(texts), np.int64), np.empty(len(texts), np.int64)
+        for who, lists in parts:
+            pieces, offsets = lists.values, lists.offsets.to_numpy().astype(np.int64)
+            coded = pieces.dictionary_encode()
+            places = self._places(coded.dictionary.to_pylist(), True)[coded.indices.to_numpy()]
+            places[offsets[:-1]] = self._places(pieces.take(pa.array(offsets[:-1])).to_pylist(), False)
+            if len(end):
+                more = np.full(len(places) + len(who), end[0])
+                more[np.arange(len(places)) + np.repeat(np.arange(len(who)), np.diff(offsets))] = places
+                places, offsets = more, offsets + np.arange(len(offsets))
+            n = self.count[places]
+            counts[who] = np.add.reduceat(n, offsets[:-1])
+            starts[who] = sum(map(len, ids)) + np.cumsum(counts[who]) - counts[who]
+            ids.append(self._gather(self.start[places], n, self.ids))
+        return (ids[0] if len(ids) == 1 else self._gather(starts, counts, np.concatenate(ids))), counts
 
 
-def _ids(tokenizer, texts: list[str]) -> list[bytes]:
-    return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
 def encode_texts(texts: list[str], path: str) -> list[bytes]:
-    """Each text's ids as little-endian 32-bit integers, as the tokenizers library gives them.
-
-    The byte-level pattern never joins anything across a space between two visible characters, other than
-    by giving that space to the word behind it. Such texts are cut there, and the library encodes each
-    distinct piece (with its leading space) once; other texts go to it whole.
-    """
-    tokenizer, cache = _tokenizer(path), _cache.setdefault(path, {})
-    if len(cache) > CACHE:
-        cache.clear()
-    cut = {}
-    for i, text in enumerate(texts):
-        if not _beside.search(text):
-            head, *tail = text.split(" ")
-            cut[i] = [head, *[" " + x for x in tail]]
-    missing = list(set().union(*cut.values()) - cache.keys()) if cut else []
-    found = {}
-    for at in range(0, len(missing), 20_000):
-        part = missing[at : at + 20_000]
-        found.update(zip(part, _ids(tokenizer, part)))
-    cache.update((k, v) for k, v in found.items() if len(k) <= LONGEST)
-    whole = [i for i in range(len(texts)) if i not in cut]
-    out: list = [None] * len(texts)
-    for i, v in zip(whole, _ids(tokenizer, [texts[i] for i in whole])):
-        out[i] = v
-    for i, p in cut.items():
-        out[i] = b"".join([cache[x] if x in cache else found[x] for x in p])
-    return out
+    """Each text's ids as little-endian 32-bit integers, as the tokenizers library gives them."""
+    ids, counts = encoder(path).encode(pa.array(texts, pa.string()))
+    ends = np.cumsum(counts)
+    return [ids[b - n : b].astype("<u4").tobytes() for b, n in zip(ends.tolist(), counts.tolist())]
 
 
 _FILE = "part int, seq long, n_ids long, doc_ids array<long>, lengths array<long>, data binary"
+#: Bytes of text that a partition takes on average, at most.
+SHARE = 64_000_000
 
 
 def write_ids(docs: DataFrame, path: str, end_id: int = 0, partitions: int | None = None) -> DataFrame:
     """Encodes every whole text, adds ``end_id`` to each, and writes the ids in ascending doc_id order.
 
     Returns the written table, one row a group of whole documents: ``part, seq`` (order in the file), ``n_ids``,
-    the documents with their lengths, and ``data``, the group's blocks. Texts are dealt by ranges of doc_id; a
-    group closes at about BLOCK * LANES ids, so a task's memory is bounded by that and one text. The table is
-    plain Parquet in the shared folder: any storage that Spark writes to will do, and a lost executor's group is
+    the documents with their lengths, and ``data``, the group's blocks. Texts are dealt by ranges of doc_id and a
+    hash of the text, so that one id's many rows don't share a task; the number of ranges follows the bytes of text. A
+    group closes at about BLOCK * LANES ids, so a task's memory is bounded by that and one text. The table is plain
+    Parquet in the shared folder: any storage that Spark writes to will do, and a lost executor's group is
     written again by a retry.
     """
     spark = docs.sparkSession
-    width = 2 if _tokenizer(path).get_vocab_size() <= 65536 else 4
     target = BLOCK * LANES
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id())
+    if partitions is None:
+        size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+        partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARE))
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    dealt = rows.repartitionByRange(partitions, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text").withColumn("part", F.spark_partition_id())
     schema = pa.schema([("part", pa.int32()), ("seq", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("data", pa.binary())])
-    end = np.array([end_id], "<u4").tobytes()
+    end = np.array([end_id], np.uint32)
 
     def run(batches):
         seq, n_held, part, docs_, lengths, held = 0, 0, 0, [], [], []
+        own = encoder(path)
 
         def group():
-            ids = np.frombuffer(b"".join(held), "<u4")
-            return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((part, seq, len(ids), docs_, lengths, encode_ids(ids, width)), schema)], schema=schema)
+            flat = [pa.concat_arrays(docs_), pa.array(np.concatenate(lengths))]
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in flat]
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int64()), pa.array([n_held], pa.int64()), *lists, pa.array([encode_ids(np.concatenate(held))], pa.binary())], schema=schema)
 
         for batch in batches:
-            texts = batch.column(1)
-            for at in range(0, batch.num_rows, 256):
-                part = batch.column(2)[0].as_py()
-                got = encode_texts(texts.slice(at, 256).to_pylist(), path)
-                for d, b in zip(batch.column(0).slice(at, 256).to_pylist(), got):
-                    docs_.append(d)
-                    lengths.append(len(b) // 4 + 1)
-                    held += (b, end)
-                    n_held += lengths[-1]
-                    if n_held >= target:
-                        yield group()
-                        seq, n_held, docs_, lengths, held = seq + 1, 0, [], [], []
+            if not batch.num_rows:
+                continue
+            part = batch.column(2)[0].as_py()
+            size = np.cumsum(pc.binary_length(batch.column(1)).to_numpy())
+            at = 0
+            while at < batch.num_rows:
+                to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + CHUNK, "right")))
+                ids, counts = own.encode(batch.column(1).slice(at, to - at), end)
+                docs_.append(batch.column(0).slice(at, to - at))
+                lengths.append(counts)
+                held.append(ids)
+                n_held += len(ids)
+                at = to
+                if n_held >= target:
+                    yield group()
+                    seq, n_held, docs_, lengths, held = seq + 1, 0, [], [], []
         if docs_:
             yield group()
 
-    return store(dealt.mapInArrow(run, _FILE), "ids")
+    return store(dealt.select("doc_id", "text", "part").mapInArrow(run, _FILE), "ids")
 
 
 def read_ids(table: DataFrame) -> DataFrame:
@@ -333,8 +503,9 @@ def read_ids(table: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part, seq, _, docs, lengths, data in zip(*(c.to_pylist() for c in batch.columns)):
-                raw = memoryview(decode_ids(data).astype("<u4").tobytes())
+            for i in range(batch.num_rows):
+                part, seq, docs, lengths = (batch.column(c)[i].as_py() for c in (0, 1, 3, 4))
+                raw = memoryview(decode_ids(batch.column(5)[i].as_py()).astype("<u4").tobytes())
                 ends = np.cumsum(lengths)
                 if int(ends[-1]) * 4 != len(raw):
                     raise ValueError("the ids don't fill the documents")
@@ -343,13 +514,14 @@ def read_ids(table: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(([part] * len(docs), [seq] * len(docs), docs, at, lengths, crc), schema)], schema=schema)
 
     rows = table.mapInArrow(run, "part int, seq long, doc_id long, offset long, n_tokens long, ids_crc32 long")
-    return rows.join(starts, ["part", "seq"]).select("doc_id", (F.col("group_start") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")
+    # a fixed strategy: a change of plan while the rows are dealt out would decode them all again
+    return rows.join(starts.hint("merge"), ["part", "seq"]).select("doc_id", (F.col("group_start") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def token_id_files(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:
     """Writes the ids of ``docs`` (doc_id, text) and reads them back: one row per row of ``docs``.
 
-    Null text counts as empty (the end id alone); null ids come first; rows of an equal id go by text. Other
-    columns are ignored; an empty table gives an empty result.
+    Null text counts as empty (the end id alone); null ids come first; rows of an equal id go by a hash of their
+    text. Other columns are ignored; an empty table gives an empty result.
     """
     return read_ids(write_ids(docs, path, end_id))

@@ -298,6 +298,43 @@ def test_id_blocks():
         idcoder.decode_ids(bytes(broken))
 
 
+def test_id_blocks_are_small():
+    rng = np.random.default_rng(1)
+    text = rng.zipf(1.3, 120_000) % 3000
+    ids = np.concatenate([text, text[:40_000], text[20_000:90_000]]).astype(np.uint32)
+    data = idcoder.encode_ids(ids)
+    assert (idcoder.decode_ids(data) == ids).all() and len(data) < len(zlib.compress(ids.astype("<u2").tobytes()))
+    many = rng.permutation(1 << 20).astype(np.uint32) * 4096  # coded as halves
+    assert (idcoder.decode_ids(idcoder.encode_ids(many[:600_000])) == many[:600_000]).all()
+    with pytest.raises(ValueError):
+        idcoder.encode_ids(many, 2)
+    for cut in (5, 40, len(data) // 2, len(data) - 1):
+        with pytest.raises(ValueError):
+            idcoder.decode_ids(data[:cut])
+
+
+def test_ids_of_odd_texts():
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("byte_bpe_50k.json")
+    tk, rng = Tokenizer.from_file(path), random.Random(1)
+    letters = "abéßĀɏɐªº²½ÿ1'.! \t\n\xa0é　<|>\x85\x1c"
+    odd = ["", "  a", " a  b ", "é漢🙂 <|endoftext|> it's\x1f ok", "it's 'll don't1234 !!! <|endoftext|>x", "tab\t tab \t x\r\n  z", "\0 \x7f\x01", "\uffff b", "٣٤ 1٣", "\u180e \u180eb", " " * 50, "x" * 5000]
+    odd += ["".join(rng.choice(letters) for _ in range(rng.randint(0, 30))) for _ in range(2000)]
+    assert idcoder.encode_texts(odd, path) == [np.array(tk.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in odd]
+
+
+def test_id_files_of_one_id(spark):
+    """Many rows of one id are dealt to several tasks, and an empty table stays empty."""
+    path = tokenizer_path("byte_bpe_50k.json")
+    one = spark.createDataFrame([(5, f"row {i} of one id") for i in range(400)], "doc_id long, text string")
+    table = idcoder.write_ids(one, path, partitions=4)
+    assert table.select("part").distinct().count() > 1
+    got = idcoder.read_ids(table).orderBy("start").collect()
+    assert [r.start for r in got] == list(np.cumsum([0, *(r.n_tokens for r in got)])[:-1])
+    assert idcoder.token_id_files(one.limit(0), path).count() == 0
+
+
 def test_id_files(spark, docs):
     from tokenizers import Tokenizer
 
