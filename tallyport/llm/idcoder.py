@@ -269,9 +269,9 @@ def decode_ids(data: bytes) -> np.ndarray:
     return np.concatenate(out)
 
 
-#: Pieces that a worker keeps with their ids, and the characters that these may have, before it starts afresh;
+#: Pieces and words that a worker keeps with their ids, and the bytes that these may have, before it starts afresh;
 #: bytes of text that it works on at once.
-CACHE, CHARS, CHUNK = 1_200_000, 32_000_000, 8_000_000
+CACHE, BYTES, CHUNK = 2_000_000, 40_000_000, 8_000_000
 #: A space that no visible character follows, as Arrow's pattern library writes it, and where a text may be cut.
 _ODD = r" [\s\x0b\x1c-\x1f\x{85}\x{180e}\p{Z}]| $"
 _CUT = re.compile(" (?=[^\\s᠎])")
@@ -281,10 +281,10 @@ _UPTO = 0x250
 _L, _N = (re.escape("".join(chr(c) for c in range(_UPTO) if unicodedata.category(chr(c))[0] == k)) for k in "LN")
 _S = "\t-\r \x85\xa0"
 _LATIN = re.compile("[\0-\u024f]*")
-_PATTERN = re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
-#: The byte-level stand-in of each byte: itself if it is printable, else the next free code point from 256 on; and a
-#: mark between words, which stands for a byte that UTF-8 never has.
+#: Stands between pieces, and between words for a byte that UTF-8 never has; no piece of letters up to U+024F has it.
 _MARK = "\uffff"
+_PATTERN = re.compile(f"{_MARK}|'(?:s|t|re|ve|m|ll|d)| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}{_MARK}]+|[{_S}]+(?![^{_S}{_MARK}])|[{_S}]+")
+#: The byte-level stand-in of each byte: itself if it is printable, else the next free code point from 256 on.
 _FREE = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
 _LETTERS = np.arange(256, dtype="<u2")
 _LETTERS[_FREE] = 256 + np.arange(len(_FREE))
@@ -309,14 +309,15 @@ class Encoder:
         vocabulary = self.whole.get_vocab()
         self.letters = np.zeros(max(vocabulary.values()) + 1, np.int64)
         self.letters[list(vocabulary.values())] = list(map(len, vocabulary))
-        special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(map(re.escape, special)) or r"(?!)")
+        special = "|".join(re.escape(t.content) for t in self.whole.get_added_tokens_decoder().values())
+        self.beyond = r"[^\x00-\x{24f}]" + (special and "|" + special)
         self.reset()
 
     def reset(self) -> None:
-        #: pieces at a text's start, pieces behind a space, and words
-        self.known: tuple[dict[str, int], ...] = {}, {}, {}
-        self.n, self.n_ids, self.chars = 0, 0, 0
+        none = pa.array([], pa.string())
+        #: pieces at a text's start, pieces behind a space, and words, with their places in the arrays below
+        self.known = [(none, np.empty(0, np.int64)) for _ in range(3)]
+        self.n, self.n_ids = 0, 0
         self.start, self.count, self.ids = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32)
 
     def _keep(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -331,67 +332,57 @@ class Encoder:
         self.n, self.n_ids = self.n + len(counts), self.n_ids + len(ids)
         return places
 
-    def _encode(self, texts: list[str]) -> np.ndarray:
-        """Places of new pieces, each text being one."""
-        plain = [(t.isascii() or _LATIN.fullmatch(t) is not None) and not self.special.search(t) for t in texts]
-        places = np.empty(len(texts), np.int64)
-        for want in (True, False):
-            who = [i for i, p in enumerate(plain) if p == want]
-            for at in range(0, len(who), 65536):
-                part = who[at : at + 65536]
-                if want:
-                    split = [_PATTERN.findall(texts[i]) for i in part]
-                    words = [w for ws in split for w in ws]
-                    each = np.fromiter(map(len, split), np.int64, len(split))
-                    place = self._words(words)
-                    n = self.count[place]
-                    ids = [self._gather(self.start[place], n, self.ids)]
-                    ends = np.cumsum(np.append(0, n))[np.cumsum(np.append(0, each))]
-                    counts = np.diff(ends)
-                else:
-                    got = self.whole.encode_batch_fast([texts[i] for i in part], add_special_tokens=False)
-                    counts = np.fromiter(map(len, got), np.int64, len(got))
-                    ids = [np.array(e.ids, np.uint32) for e in got]
-                places[part] = self._keep(np.concatenate(ids) if ids else np.empty(0, np.uint32), counts)
+    def _places(self, pieces: pa.StringArray, kind: int) -> np.ndarray:
+        """The places of distinct pieces; those that are new are encoded."""
+        known, where = self.known[kind]
+        at = pc.index_in(pieces, value_set=known).fill_null(-1).to_numpy()
+        places = np.append(where, -1)[at]
+        missing = at < 0
+        if missing.any():
+            new = pieces.filter(pa.array(missing))
+            places[missing] = self._encode_words(new) if kind == 2 else self._encode(new, " " * kind)
+            self.known[kind] = pa.concat_arrays([known, new]), np.concatenate([where, places[missing]])
         return places
 
-    def _words(self, words: list[str]) -> np.ndarray:
-        """Places of the words that the pattern makes, each of which the library's model encodes once."""
-        known = self.known[2]
-        found = np.array([known.get(w, -1) for w in words], np.int64)
-        missing = np.flatnonzero(found < 0)
-        if len(missing):
-            new = list(dict.fromkeys([words[i] for i in missing.tolist()]))
-            raw = _MARK.join(new).encode().replace(_MARK.encode(), b"\xff")
-            flat = _LETTERS[np.frombuffer(raw, np.uint8)].tobytes().decode("utf-16-le").split(_MARK)
-            got = self.words.encode_batch_fast([flat[i : i + 512] for i in range(0, len(flat), 512)], is_pretokenized=True, add_special_tokens=False)
-            ids = np.concatenate([np.array(e.ids, np.int64) for e in got])
-            # a token's letters are its bytes, so their running sum says where each word ends
-            letters, ends = np.cumsum(self.letters[ids]), np.cumsum(np.fromiter(map(len, flat), np.int64, len(flat)))
-            if not len(letters) or letters[-1] != ends[-1]:
-                raise ValueError("the vocabulary lacks a byte")
-            counts = np.diff(np.searchsorted(letters, ends, "right"), prepend=0)
-            known.update(zip(new, self._keep(ids.astype(np.uint32), counts).tolist()))
-            found[missing] = [known[words[i]] for i in missing.tolist()]
-        return found
-
-    def _places(self, pieces: list[str], spaced: bool) -> np.ndarray:
-        known = self.known[spaced]
-        found = np.array([known.get(p, -1) for p in pieces], np.int64)
-        missing = np.flatnonzero(found < 0)
-        if len(missing):
-            new = list(dict.fromkeys(pieces[i] for i in missing.tolist()))
-            known.update(zip(new, self._encode([" " + p for p in new] if spaced else new).tolist()))
-            self.chars += sum(map(len, new))
-            found[missing] = [known[pieces[i]] for i in missing.tolist()]
-        return found
+    def _encode(self, pieces: pa.StringArray, before: str) -> np.ndarray:
+        """Places of new pieces, each with ``before`` before it."""
+        beyond = pc.match_substring_regex(pieces, self.beyond)
+        places = np.empty(len(pieces), np.int64)
+        odd = pieces.filter(beyond).to_pylist()
+        if odd:
+            got = self.whole.encode_batch_fast([before + p for p in odd], add_special_tokens=False)
+            ids = [np.array(e.ids, np.uint32) for e in got]
+            places[beyond.to_numpy(zero_copy_only=False)] = self._keep(np.concatenate(ids), np.fromiter(map(len, ids), np.int64, len(ids)))
+        plain = pieces.filter(pc.invert(beyond)).to_pylist()
+        if plain:
+            words = pa.array(_PATTERN.findall(before + (_MARK + before).join(plain) + _MARK), pa.string()).dictionary_encode()
+            code, mark = words.indices.to_numpy(), words.dictionary.index(_MARK).as_py()
+            keep = np.arange(len(words.dictionary)) != mark
+            place = np.full(len(keep), -1)
+            place[keep] = self._places(words.dictionary.filter(pa.array(keep)), 2)
+            n = np.append(self.count, 0)[place[code]] * (code != mark)
+            counts = np.diff(np.cumsum(n)[code == mark], prepend=0)
+            places[~beyond.to_numpy(zero_copy_only=False)] = self._keep(self._gather(self.start[place[code]], n, self.ids), counts)
+        return places
+
+    def _encode_words(self, words: pa.StringArray) -> np.ndarray:
+        """Places of new words as the pattern makes them, each of which the library's model encodes."""
+        raw = _MARK.join(words.to_pylist()).encode().replace(_MARK.encode(), b"\xff")
+        flat = _LETTERS[np.frombuffer(raw, np.uint8)].tobytes().decode("utf-16-le").split(_MARK)
+        got = self.words.encode_batch_fast([flat[i : i + 512] for i in range(0, len(flat), 512)], is_pretokenized=True, add_special_tokens=False)
+        ids = np.concatenate([np.array(e.ids, np.int64) for e in got])
+        # a token's letters are its bytes, so their running sum says where each word ends
+        letters, ends = np.cumsum(self.letters[ids]), np.cumsum(pc.binary_length(words).to_numpy().astype(np.int64))
+        if not len(letters) or letters[-1] != ends[-1]:
+            raise ValueError("the vocabulary lacks a byte")
+        return self._keep(ids.astype(np.uint32), np.diff(np.searchsorted(letters, ends, "right"), prepend=0))
 
     def _gather(self, first: np.ndarray, n: np.ndarray, ids: np.ndarray) -> np.ndarray:
         return ids[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
 
     def encode(self, texts: pa.StringArray, tail: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one text behind another with ``tail`` at its end, and how many each has."""
-        if self.n > CACHE or self.chars > CHARS:
+        if self.n > CACHE or self.n_ids * 4 + sum(k.nbytes for k, _ in self.known) > BYTES:
             self.reset()
         if not len(texts):
             return np.empty(0, np.uint32), np.empty(0, np.int64)
@@ -405,9 +396,13 @@ class Encoder:
         ids, starts, counts = [], np.empty(len(texts), np.int64), np.empty(len(texts), np.int64)
         for who, lists in parts:
             pieces, offsets = lists.values, lists.offsets.to_numpy().astype(np.int64)
-            coded = pieces.dictionary_encode()
-            places = self._places(coded.dictionary.to_pylist(), True)[coded.indices.to_numpy()]
-            places[offsets[:-1]] = self._places(pieces.take(pa.array(offsets[:-1])).to_pylist(), False)
+            places = np.empty(len(pieces), np.int64)
+            leads = np.zeros(len(pieces), bool)
+            leads[offsets[:-1]] = True
+            for kind, part in enumerate((leads, ~leads)):
+                coded = pieces.filter(pa.array(part)).dictionary_encode()
+                if len(coded):
+                    places[part] = self._places(coded.dictionary, kind)[coded.indices.to_numpy()]
             if len(end):
                 more = np.full(len(places) + len(who), end[0])
                 more[np.arange(len(places)) + np.repeat(np.arange(len(who)), np.diff(offsets))] = places
