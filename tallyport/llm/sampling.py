@@ -4,19 +4,23 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
-from itertools import repeat
+from math import exp, log
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyport.llm.common import Index
 
 SPACE = "▁"
-#: Lattice nodes that a worker keeps before it starts afresh, and characters that it works on at once.
-NODES, CHUNK = 2_000_000, 250_000
+#: Lattice nodes that a task keeps before it starts afresh, characters that it works on at once, and walks so few that
+#: they are walked one by one.
+NODES, CHUNK, FEW = 3_000_000, 1_000_000, 8
 _WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+#: Texts that a cut at each space doesn't turn into words, as Arrow's pattern library writes it.
+_ODD = f"  |^ | $|{SPACE}|^$"
 _U = np.uint64
 _PRIME = _U(0x100000001B3)
 
@@ -46,7 +50,8 @@ class Lattices:
     """Segmentation lattices of distinct words, in flat arrays that grow as words come.
 
     A node is a place in a word; its edges are the pieces that start there (a character that is no piece has one
-    edge of byte pieces). Pieces weigh (2 + rank)^-power, their rank being the model's negative score. Backward
+    edge of byte pieces). Pieces weigh (2 + rank)^-power, their rank being the model's negative score, or the vocabulary's
+    size if that is less (as for pieces that the model has without a merge). Backward
     sums turn weights into ``p``, the probability that a segmentation that reaches a node goes on by an edge.
     """
 
@@ -86,14 +91,20 @@ class Lattices:
         self.byte_weight = -power * np.log(2.0 + n)
         self.short = int(690 / max(1.0, -4 * self.byte_weight))  # characters whose weights' product is no less than e^-690
         self.vocabulary = n
+        # characters that an id covers, and spellings with the mark read as a space
+        self.length = np.ones(n, np.int32)
+        self.length[self.ids] = list(map(len, text))
+        read = [b.replace(SPACE.encode(), b" ") for b in self.spelling]
+        self.spelt = np.frombuffer(b"".join(read), np.uint8)
+        self.spelt_n = np.fromiter(map(len, read), np.int64, n)
+        self.spelt_at = np.cumsum(self.spelt_n) - self.spelt_n
         self.reset()
 
     def reset(self) -> None:
-        self.words: dict[str, int] = {}
+        #: words, without the mark that each starts with, and their first nodes
+        self.words, self.at = pa.array([], pa.string()), np.empty(0, np.int64)
         self.nodes = self.edges = 0
         self.first = np.zeros(1, np.int32)  # first edge of each node, and the end
-        self.source = np.empty(0, np.int32)
-        self.to = np.empty(0, np.int32)
         self.p = np.empty(0)
         self.upto = np.empty(0, np.float32)  # probability of the node's edges up to this one
         self.token = np.empty(0, np.int32)  # piece id, or -1 - character of a byte fall-back
@@ -101,27 +112,37 @@ class Lattices:
     def _put(self, name: str, at: int, values: np.ndarray) -> None:
         held, size = getattr(self, name), at + len(values)
         if size > len(held):
-            held = np.concatenate([held[:at], np.empty(max(size, 3 * len(held) // 2) - at, held.dtype)])
+            held = np.concatenate([held[:at], np.empty(max(size, 5 * len(held) // 4) - at, held.dtype)])
             setattr(self, name, held)
         held[at:size] = values
 
-    def nodes_of(self, words: list[str]) -> np.ndarray:
-        """The first node of each word, with lattices for those that are new."""
+    def to(self, node: np.ndarray, edge: np.ndarray) -> np.ndarray:
+        """The nodes that edges lead to from their nodes."""
+        token = self.token[edge]
+        return node + np.where(token < 0, 1, self.length[np.maximum(token, 0)])
+
+    def nodes_of(self, words: pa.StringArray) -> np.ndarray:
+        """The first node of each word (given without its first mark), with lattices for those that are new."""
         if self.nodes > NODES:
             self.reset()
-        found = np.fromiter(map(self.words.get, words, repeat(-1)), np.int64, len(words))
-        missing = np.flatnonzero(found < 0)
-        if len(missing):
-            new = [words[i] for i in missing.tolist()]
-            distinct = list(dict.fromkeys(new))
-            for part in ([w for w in distinct if len(w) <= self.short], [w for w in distinct if len(w) > self.short]):
-                if part:
-                    self._add(part, len(part[0]) <= self.short)
-            found[missing] = np.fromiter(map(self.words.__getitem__, new), np.int64, len(new))
-        return found
-
-    def _add(self, words: list[str], plain: bool) -> None:
-        """Lattices for new words; those of ``plain`` weights (short words) are summed as they are, others by their logs."""
+        coded = words.dictionary_encode()
+        distinct = coded.dictionary
+        place = pc.index_in(distinct, value_set=self.words).fill_null(-1).to_numpy()
+        nodes, missing = np.append(self.at, -1)[place], place < 0
+        if missing.any():
+            new = distinct.filter(pa.array(missing))
+            found = np.empty(len(new), np.int64)
+            long = pc.utf8_length(new).to_numpy() >= self.short
+            for part in (long, ~long):
+                if part.any():
+                    found[part] = self._add([SPACE + w for w in new.filter(pa.array(part)).to_pylist()], part is not long)
+            nodes[missing] = found
+            self.words, self.at = pa.concat_arrays([self.words, new]), np.concatenate([self.at, found])
+        return nodes[coded.indices.to_numpy()]
+
+    def _add(self, words: list[str], plain: bool) -> np.ndarray:
+        """Lattices for new words, and their first nodes; ``plain`` weights (of words whose weights' product can't
+        vanish) are summed as they are, others by their logs, which differs by rounding alone."""
         size = np.fromiter(map(len, words), np.int64, len(words))
         chars = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").astype(np.uint64)
         start = np.cumsum(size) - size
@@ -154,8 +175,11 @@ class Lattices:
         last = to == end_of[source]
         if plain:
             weight = np.exp(weight)
-        by_left = np.argsort(left, kind="stable")
-        cuts = np.searchsorted(left[by_left], np.arange(1, int(left.max()) + 2))
+        few = len(words) < FEW
+        by_left = np.argsort(left, kind="stable") if not few else np.empty(0, np.int64)
+        cuts = np.searchsorted(left[by_left], np.arange(1, int(left.max()) + 2)) if not few else [0]
+        if few:
+            self._total(total, first.tolist(), to.tolist(), weight.tolist(), last.tolist(), plain)
         for d in range(len(cuts) - 1):
             nodes = by_left[cuts[d] : cuts[d + 1]]
             n = first[nodes + 1] - first[nodes]
@@ -181,38 +205,76 @@ class Lattices:
         base, edges = self.nodes, self.edges
         node_first = np.insert(first[:-1], start + size, first[start + size])  # an end node has no edges
         self._put("first", base, np.append(node_first + edges, edges + len(p)))
-        self._put("source", edges, base + source + word_of[source])
-        self._put("to", edges, base + to + word_of[source])
         self._put("p", edges, p)
         self._put("upto", edges, upto)
         self._put("token", edges, token)
         self.nodes, self.edges = base + len(node_first), edges + len(p)
-        self.words.update(zip(words, (base + start + np.arange(len(words))).tolist()))
+        return base + start + np.arange(len(words))
+
+    @staticmethod
+    def _total(total: np.ndarray, first: list, to: list, weight: list, last: list, plain: bool) -> None:
+        """The backward sums node by node: for few words, whose steps would have next to nothing to do at once."""
+        held = total.tolist()
+        for node in range(len(first) - 2, -1, -1):
+            edges = range(first[node], first[node + 1])
+            if plain:
+                held[node] = sum([weight[e] * (1.0 if last[e] else held[to[e]]) for e in edges])
+                continue
+            v = [weight[e] + (0.0 if last[e] else held[to[e]]) for e in edges]
+            top = max(v)
+            held[node] = top + log(sum([exp(x - top) for x in v]))
+        total[:] = held
 
     def walk(self, node: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Samples a way from each node to its word's end: the edges in order, the walk that each belongs to, and
+        """Samples a way from each node to its word's end: the edges in order, the node that each starts from, and
         each walk's number of edges. ``state`` seeds each walk."""
-        node, live, steps = node.copy(), np.arange(len(node)), []
+        node, live, steps, count = node.copy(), np.arange(len(node)), [], np.zeros(len(node), np.int64)
+        alone = {}
         while True:
-            live = live[self.first[node[live]] < self.first[node[live] + 1]]
-            if not len(live):
+            here = node[live]
+            edge = self.first[here]
+            going = edge < self.first[here + 1]
+            live, here, edge = live[going], here[going], edge[going]
+            if len(live) < FEW:
+                alone = {i: self._walk_on(int(node[i]), state[i], len(steps)) for i in live.tolist()}
                 break
             u = _draw(_state(state[live], len(steps)))
-            edge = self.first[node[live]]
             open_ = np.flatnonzero(self.upto[edge] <= u)
             while len(open_):
                 edge[open_] += 1
                 open_ = open_[self.upto[edge[open_]] <= u[open_]]
-            steps.append((live, edge))
-            node[live] = self.to[edge]
-        count = np.zeros(len(node), np.int64)
-        for who, _ in steps:
-            count[who] += 1
+            steps.append((live, edge, here))
+            count[live] += 1
+            node[live] = self.to(here, edge)
+        for i, (more, _) in alone.items():
+            count[i] += len(more)
         offset = np.cumsum(count) - count
-        out, walker = np.empty(int(count.sum()), np.int64), np.repeat(np.arange(len(node)), count)
-        for t, (who, edge) in enumerate(steps):
-            out[offset[who] + t] = edge
-        return out, walker, count
+        out, source = np.empty((2, int(count.sum())), np.int64)
+        for t, (who, edge, here) in enumerate(steps):
+            at = offset[who] + t
+            out[at], source[at] = edge, here
+        for i, (more, here) in alone.items():
+            end = offset[i] + count[i]
+            out[end - len(more) : end], source[end - len(more) : end] = more, here
+        return out, source, count
+
+    def _walk_on(self, node: int, state: np.uint64, step: int) -> tuple[list[int], list[int]]:
+        """The rest of one walk from its ``step`` on: the same edges as :meth:`walk` would take, and their nodes."""
+        edges, nodes, draws = [], [], iter(())
+        while True:
+            edge, end = int(self.first[node]), int(self.first[node + 1])
+            if edge == end:
+                return edges, nodes
+            u = next(draws, None)
+            if u is None:
+                draws = iter(_draw(_state(np.full(256, state), np.arange(step + len(edges), step + len(edges) + 256))).tolist())
+                u = next(draws)
+            while self.upto[edge] <= u:
+                edge += 1
+            edges.append(edge)
+            nodes.append(node)
+            token = int(self.token[edge])
+            node += 1 if token < 0 else int(self.length[token])
 
     def tokens(self, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of a run of edges, and how many ids each edge has."""
@@ -229,6 +291,21 @@ class Lattices:
             out[i : i + len(r)] = self.bytes_id[np.frombuffer(r, np.uint8)]
         return out, n
 
+    def decode_all(self, ids: np.ndarray, n: np.ndarray) -> pa.StringArray:
+        """The texts of runs of ids, of n ids each: as :meth:`decode`, for ids that were encoded from text."""
+        size = self.spelt_n[ids]
+        place = np.repeat(self.spelt_at[ids] - (np.cumsum(size) - size), size)
+        place += np.arange(len(place))
+        data, ends = self.spelt[place], np.cumsum(size)
+        to = np.append(0, ends)[np.cumsum(n)]
+        starts = np.append(0, to[:-1])
+        lead = starts[(to > starts) & (data[np.minimum(starts, max(0, len(data) - 1))] == 32)] if len(data) else []
+        keep = np.ones(len(data), bool)
+        keep[lead] = False
+        to = to - np.searchsorted(lead, to, "left") if len(lead) else to
+        offsets = np.append(0, to).astype(np.int32)
+        return pa.StringArray.from_buffers(len(n), pa.py_buffer(offsets.tobytes()), pa.py_buffer(data[keep].tobytes()))
+
     def decode(self, ids: list[int]) -> bytes:
         """The text of ids: pieces and bytes joined, the mark read as a space, the first space taken off."""
         text = b"".join(map(self.spelling.__getitem__, ids)).replace(SPACE.encode(), b" ")
@@ -249,8 +326,21 @@ def _segments(values: np.ndarray, n: np.ndarray, func, empty):
     return out
 
 
-def sample(texts: list[str], keys: np.ndarray, k: int, lat: Lattices, seed: int) -> list[list[dict]]:
-    """For each text its k best segmentations by perturbed log-probability, best first, all distinct.
+def _words_of(texts: pa.StringArray) -> tuple[pa.StringArray, np.ndarray]:
+    """The words of all texts, without the space mark that each starts with, and how many each text has."""
+    odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
+    if not odd.any():
+        lists = pc.split_pattern(texts, " ")
+    else:
+        split = [t.split(" ") if not o else [w[1:] for w in _WORDS.findall(SPACE + t.replace(" ", SPACE))] if t else [] for t, o in zip(texts.to_pylist(), odd.tolist())]
+        lists = pa.array(split, pa.list_(pa.string()))
+    return lists.flatten(), np.diff(lists.offsets.to_numpy()).astype(np.int64)
+
+
+def rounds(texts: pa.StringArray, keys: np.ndarray, k: int, lat: Lattices, seed: int) -> tuple[list[dict], np.ndarray]:
+    """For each text its k best segmentations by perturbed log-probability, best first, all distinct: one entry a
+    rank, with the texts that have it (``docs``), their ``ids`` one behind another, how many each has (``n``),
+    ``log_prob`` and ``value``; and each text's largest value left open.
 
     Best-first (A-star) search over the tree of segmentations, whose exact bound for a subtree is its largest
     perturbed log-probability: the root's is a standard Gumbel; the best path below a node keeps its parent's value, and every
@@ -258,14 +348,15 @@ def sample(texts: list[str], keys: np.ndarray, k: int, lat: Lattices, seed: int)
     one sampled path and one number for each place where it could have gone another way, all vectorised over the
     texts. The largest value left open after k pops is the threshold of the inclusion scores.
     """
-    split = [_WORDS.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-    n_words = np.fromiter(map(len, split), np.int64, len(texts))
-    base = lat.nodes_of([w for ws in split for w in ws])
+    words, n_words = _words_of(texts)
+    base = lat.nodes_of(words)
     word_end = np.cumsum(n_words)
     docs = len(texts)
     keys = keys.astype(np.uint64)
-    out: list[list[dict]] = [[] for _ in texts]
-    paths: list[dict] = []  # flat arrays of each round's paths, with the position where each text's path branched off
+    out: list[dict] = []
+    # each round's paths: ``edge``, its ``node`` and ``word``, and the logs of the chances ``before`` it, one text behind
+    # another; and the open places (``free``) from ``branch`` on, where the path left an earlier one
+    paths: list[dict] = []
     value = -np.log(-np.log(_uniform(seed, keys, 0, 2**40)))
     took = np.ones(docs, bool)
     for s in range(k + 1):
@@ -273,94 +364,109 @@ def sample(texts: list[str], keys: np.ndarray, k: int, lat: Lattices, seed: int)
             # the largest open subtree of each text, over the paths found so far
             best, where = np.full(docs, -np.inf), np.full((docs, 2), -1)
             for r, path in enumerate(paths):
-                top = -np.logaddexp(-path["value"], -_segments(path["free"], path["n"], np.maximum, -np.inf))
+                top = -np.logaddexp(-path["value"], -_segments(path["free"], path["open"], np.maximum, -np.inf))
                 better = np.flatnonzero(top > best)
                 best[better] = top[better]
                 for d in better.tolist():
-                    a = path["at"][d]
-                    where[d] = r, a + int(np.argmax(path["free"][a : a + path["n"][d]]))
+                    a = path["open_at"][d]
+                    where[d] = r, int(np.argmax(path["free"][a : a + path["open"][d]]))
             value, took = best, best > -np.inf
         if s == k:
             break
         # each path: a prefix of an earlier one, another edge at the branch, then sampled steps to the end
-        heads, nodes, doc_of, word_of = [], [], [], []
-        chance = _uniform(seed, keys, s, 2**41)
-        for d in np.flatnonzero(took).tolist():
-            first_word = word_end[d] - n_words[d]
-            if s == 0:
-                heads.append((np.empty(0, np.int64), np.empty(0, np.int64), set()))
-                rest, begin = base[first_word : word_end[d]], 0
-            else:
-                r, i = where[d].tolist()
-                path = paths[r]
-                a = path["at"][d]
-                path["free"][i] = -np.inf
-                barred = {int(path["edge"][i])} | (path["barred"][d] if i - a == path["branch"][d] else set())
-                node = int(path["node"][i])
-                ways = [e for e in range(int(lat.first[node]), int(lat.first[node + 1])) if e not in barred]
-                run = np.cumsum(lat.p[ways])
-                u = float(chance[d]) * run[-1]
-                edge = ways[min(int(np.searchsorted(run, u, "right")), len(ways) - 1)]
-                heads.append((np.append(path["edge"][a:i], edge), np.append(path["word"][a:i], path["word"][i]), barred))
-                begin = int(path["word"][i])
-                rest = np.append(lat.to[edge], base[first_word + begin + 1 : word_end[d]])
-            nodes.append(rest)
-            doc_of.append(np.full(len(rest), d))
-            word_of.append(begin + np.arange(len(rest)))
-        cat = lambda x: np.concatenate([np.empty(0, np.int64), *x])
-        doc_of, word_of = cat(doc_of), cat(word_of)
-        drawn = _state(np.zeros(1, np.uint64), seed, keys, s)
-        edges, walker, _ = lat.walk(cat(nodes), _state(drawn[doc_of], word_of))
-        per_doc = np.bincount(doc_of[walker], minlength=docs)
-        tail_at = np.cumsum(per_doc) - per_doc
         taken = np.flatnonzero(took)
+        chance = _uniform(seed, keys, s, 2**41)
+        none = np.empty(0, np.int64)
+        heads: dict[int, tuple] = {}
+        begin, extra = np.zeros(docs, np.int64), np.full(docs, -1)
+        for d in taken.tolist() if s else ():
+            r, i = where[d].tolist()
+            path = paths[r]
+            path["free"][path["open_at"][d] + i] = -np.inf
+            barred = path["barred"].get(d, set()) if i == 0 else set()  # the branch itself has ways barred before
+            a = path["at"][d]
+            i += a + path["branch"][d]
+            barred = {int(path["edge"][i])} | barred
+            node = int(path["node"][i])
+            ways = [e for e in range(int(lat.first[node]), int(lat.first[node + 1])) if e not in barred]
+            run = np.cumsum(lat.p[ways])
+            u = float(chance[d]) * run[-1]
+            edge = ways[min(int(np.searchsorted(run, u, "right")), len(ways) - 1)]
+            heads[d] = (path["edge"][a:i], path["node"][a:i], path["word"][a:i], path["before"][a:i], float(path["before"][i]), edge, node, barred)
+            begin[d] = path["word"][i]
+            extra[d] = lat.to(np.array([node]), np.array([edge]))[0]
         if s == 0:
-            flat, word = edges, word_of[walker]
+            starts, doc_of, word_of = base, np.repeat(np.arange(docs), n_words), np.arange(len(base)) - np.repeat(word_end - n_words, n_words)
         else:
-            mixed = []
-            for head, d in zip(heads, taken.tolist()):
-                tail = slice(tail_at[d], tail_at[d] + per_doc[d])
-                mixed.append((np.append(head[0], edges[tail]), np.append(head[1], word_of[walker[tail]])))
-            flat, word = cat([m[0] for m in mixed]), cat([m[1] for m in mixed])
-        n = np.zeros(docs, np.int64)
-        n[taken] = per_doc[taken] + [len(h[0]) for h in heads]
-        at = np.cumsum(n) - n
-        branch = np.full(docs, -1)
-        if s:
-            branch[taken] = [len(h[0]) - 1 for h in heads]
-        p = lat.p[flat]
-        owner = np.repeat(np.arange(docs), n)
-        prefix, steps = np.zeros(len(flat)), np.log(p)
-        for a, b in zip(at[taken].tolist(), (at + n)[taken].tolist()):  # each text's own sums, whatever its batch
-            if b > a + 1:
-                np.cumsum(steps[a : b - 1], out=prefix[a + 1 : b])
-        barred_p = np.zeros(len(flat))
-        for head, d in zip(heads, taken.tolist()):
-            if s:
-                barred_p[at[d] + branch[d]] = sum(float(lat.p[e]) for e in head[2])
-        other = 1 - p - barred_p
-        node = lat.source[flat]
-        ways = lat.first[node + 1] - lat.first[node] - 1
-        for head, d in zip(heads, taken.tolist()):
-            if s:
-                ways[at[d] + branch[d]] -= len(head[2])
+            left = np.where(took, n_words - begin, 0)
+            doc_of = np.repeat(np.arange(docs), left)
+            word_of = np.arange(len(doc_of)) - np.repeat(np.cumsum(left) - left, left) + begin[doc_of]
+            starts = base[(word_end - n_words)[doc_of] + word_of]
+            cut = word_of == begin[doc_of]
+            starts[cut] = extra[doc_of[cut]]
+        drawn = _state(np.zeros(1, np.uint64), seed, keys, s)
+        edges, nodes, count = lat.walk(starts, _state(drawn[doc_of], word_of))
+        walker = np.repeat(np.arange(len(starts)), count)
+        per_doc = np.bincount(doc_of[walker], minlength=docs)
+        edge_word = word_of[walker]
+        if s:  # the branch edge goes before each text's sampled steps
+            spot = (np.cumsum(per_doc) - per_doc)[taken]
+            edges, nodes, edge_word = (np.insert(x, spot, [v[d] if isinstance(v, np.ndarray) else heads[d][v] for d in taken.tolist()]) for x, v in ((edges, 5), (nodes, 6), (edge_word, begin)))
+            per_doc = per_doc + took
+        # from the branch on: chances, their running sum, and the mass of the other ways at each place
+        owner = np.repeat(np.arange(docs), per_doc)
+        at = np.cumsum(per_doc) - per_doc
+        p = lat.p[edges]
+        steps, before, total = np.log(p), np.empty(len(p)), np.zeros(docs)
+        for d in np.flatnonzero(per_doc).tolist():  # each text's own sums, whatever its batch
+            a, b = at[d], at[d] + per_doc[d]
+            run = np.cumsum(np.append(heads[d][4] if s else 0.0, steps[a:b]))
+            before[a:b], total[d] = run[:-1], run[-1]
+        other, ways = 1 - p, lat.first[nodes + 1] - lat.first[nodes] - 1
+        for d in taken.tolist() if s else ():
+            other[at[d]] -= sum(float(lat.p[e]) for e in heads[d][7])
+            ways[at[d]] -= len(heads[d][7])
         with np.errstate(divide="ignore"):
-            mass = np.where(ways > 0, prefix + np.log(np.maximum(other, 1e-300)), -np.inf)
-        place = np.arange(len(flat)) - at[owner]
-        if s:
-            mass[place < branch[owner]] = -np.inf  # the prefix's other ways belong to the earlier path
+            mass = np.where(ways > 0, before + np.log(np.maximum(other, 1e-300)), -np.inf)
+        head_n = np.zeros(docs, np.int64)
+        for d, h in heads.items():
+            head_n[d] = len(h[0])
+        place = np.arange(len(edges)) - at[owner] + head_n[owner]
         # the Gumbels before they are cut off at the path's value, which keeps their order within the path
         free = mass - np.log(-np.log(_draw(_state(_state(drawn, 2**42)[owner], place))))
-        paths.append({"edge": flat, "word": word, "node": node, "n": n, "at": at, "free": free, "value": value, "branch": branch, "barred": dict(zip(taken.tolist(), (h[2] for h in heads)))})
-        ids, n_ids = lat.tokens(flat)
-        id_end = np.cumsum(np.append(0, n_ids))
-        for d in taken.tolist():
-            a, b = at[d], at[d] + n[d]
-            logp = float(prefix[b - 1] + steps[b - 1]) if n[d] else 0.0
-            out[d].append({"sample": s, "ids": ids[id_end[a] : id_end[b]], "log_prob": logp, "value": float(value[d])})
-    for d in range(docs):
-        for x in out[d]:
-            x["log_inclusion"] = float(np.log(-np.expm1(-np.exp(min(700.0, x["log_prob"] - value[d]))))) if np.isfinite(value[d]) and x["log_prob"] - value[d] > -30 else (float(x["log_prob"] - value[d]) if np.isfinite(value[d]) else 0.0)
+        if s:
+            pieces = [[], [], [], []]
+            for d in taken.tolist():
+                tail = slice(at[d], at[d] + per_doc[d])
+                for into, head, rest in zip(pieces, heads[d], (edges, nodes, edge_word, before)):
+                    into += (head, rest[tail])
+            edge, node, word, logs = (np.concatenate([none, *x]) if i < 3 else np.concatenate([np.empty(0), *x]) for i, x in enumerate(pieces))
+        else:
+            edge, node, word, logs = edges, nodes, edge_word, before
+        n = per_doc + head_n
+        paths.append({"edge": edge, "node": node, "word": word, "before": logs, "at": np.cumsum(n) - n, "free": free, "open": per_doc, "open_at": at, "value": value, "branch": head_n, "barred": {d: h[7] for d, h in heads.items()}})
+        ids, n_ids = lat.tokens(edge)
+        of_doc = np.cumsum(np.append(0, n_ids))[np.cumsum(np.append(0, n))]
+        out.append({"docs": taken, "ids": ids, "n": np.diff(of_doc)[taken], "log_prob": total[taken], "value": value[taken]})
+    return out, value
+
+
+def _log_inclusion(log_prob: np.ndarray, threshold: np.ndarray) -> np.ndarray:
+    """The log of the chance that a perturbed log-probability beats the threshold; 0 if nothing was left open."""
+    x = log_prob - threshold
+    with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+        out = np.where(x > -30, np.log(-np.expm1(-np.exp(np.minimum(x, 700.0)))), x)
+    return np.where(np.isfinite(threshold), out, 0.0)
+
+
+def sample(texts: list[str], keys: np.ndarray, k: int, lat: Lattices, seed: int) -> list[list[dict]]:
+    """The results of :func:`rounds` by text: each one's segmentations with ids, log_prob, value and log_inclusion."""
+    out: list[list[dict]] = [[] for _ in texts]
+    got, threshold = rounds(pa.array(texts, pa.string()), keys, k, lat, seed)
+    for s, r in enumerate(got):
+        inclusion, ends = _log_inclusion(r["log_prob"], threshold[r["docs"]]), np.cumsum(r["n"])
+        for i, d in enumerate(r["docs"].tolist()):
+            out[d].append({"sample": s, "ids": r["ids"][ends[i] - r["n"][i] : ends[i]], "log_prob": float(r["log_prob"][i]), "value": float(r["value"][i]), "log_inclusion": float(inclusion[i])})
     return out
 
 
@@ -389,25 +495,24 @@ def sample_segmentations(docs: DataFrame, path: str, k: int = 2, power: float =
 
     def run(batches):
         lat = lattices(path, power)
-        for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            at = 0
-            while at < len(texts):
-                to, size = at + 1, len(texts[at])
-                while to < len(texts) and size + len(texts[to]) <= CHUNK:
-                    size += len(texts[to])
-                    to += 1
-                part = ids.slice(at, to - at)
-                got = sample(texts[at:to], np.array(part.fill_null(0).to_numpy()), k, lat, seed)
-                flat = [(d, x) for d, xs in zip(part.to_pylist(), got) for x in xs]
-                lengths = np.cumsum([0, *(len(x["ids"]) for _, x in flat)])
-                values = pa.array(np.concatenate([np.empty(0, np.int32), *(x["ids"] for _, x in flat)]).astype(np.int32))
-                columns = [pa.array([d for d, _ in flat], pa.int64()), pa.array([x["sample"] for _, x in flat], pa.int32()), pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), values)]
-                columns += [pa.array([x[c] for _, x in flat], pa.float64()) for c in ("log_prob", "value", "log_inclusion")]
-                if decoded:
-                    columns.append(pa.array([lat.decode(x["ids"].tolist()).decode("utf-8", "replace") for _, x in flat], pa.string()))
-                yield pa.RecordBatch.from_arrays(columns, schema=schema)
-                at = to
+        try:
+            for batch in batches:
+                size = np.cumsum(pc.utf8_length(batch.column(1)).to_numpy(), dtype=np.int64)
+                at = 0
+                while at < batch.num_rows:
+                    to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + CHUNK, "right")))
+                    ids = batch.column(0).slice(at, to - at)
+                    got, threshold = rounds(batch.column(1).slice(at, to - at), np.array(ids.fill_null(0).to_numpy()), k, lat, seed)
+                    for s, r in enumerate(got):
+                        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(r["n"])).astype(np.int32)), pa.array(r["ids"].astype(np.int32)))
+                        columns = [ids.take(pa.array(r["docs"])), pa.array(np.full(len(r["docs"]), s, np.int32)), lists]
+                        columns += [pa.array(x) for x in (r["log_prob"], r["value"], _log_inclusion(r["log_prob"], threshold[r["docs"]]))]
+                        if decoded:
+                            columns.append(lat.decode_all(r["ids"], r["n"]))
+                        yield pa.RecordBatch.from_arrays(columns, schema=schema)
+                    at = to
+        finally:
+            lat.reset()  # a worker lives on after its task; the words' lattices needn't
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return rows.mapInArrow(run, _SAMPLES_DDL + ", decoded string" * decoded)

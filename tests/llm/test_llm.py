@@ -107,7 +107,7 @@ def test_mixing_of_a_tiny_source(spark):
 
 def test_segmentations(spark, docs):
     path = tokenizer_path("piece_bpe_32k.model")
-    got = sampling.decode_ids(sampling.sample_segmentations(docs.where("doc_id <> 85 or doc_id is null"), path, k=3), path).collect()
+    got = sampling.decode_ids(sampling.sample_segmentations(docs, path, k=3), path).collect()
     text = {r.doc_id: r.text or "" for r in docs.collect()}
     ways = {}
     for r in got:
@@ -117,11 +117,48 @@ def test_segmentations(spark, docs):
         assert len({x[1] for x in w}) == len({x[0] for x in w}) and all(x[3] <= 1e-9 for x in w)
         order = sorted(set((x[0], x[2]) for x in w))
         assert [v for _, v in order] == sorted((v for _, v in order), reverse=True)
-    assert {len(set(w)) for d, w in ways.items() if d in (80, 81)} == {1} and set(ways) == set(text) - {85}
-    once = sampling.sample_segmentations(docs.where("doc_id <> 85 or doc_id is null"), path, k=3, decoded=True)
+    assert {len(set(w)) for d, w in ways.items() if d in (80, 81)} == {1} and set(ways) == set(text)
+    once = sampling.sample_segmentations(docs, path, k=3, decoded=True)
     assert sorted(map(repr, once.select(got[0].__fields__).collect())) == sorted(map(repr, got))
 
 
+def test_lattice_against_enumeration():
+    """All segmentations of short words from the vocabulary file alone: their weights, and what the library decodes."""
+    import sentencepiece
+
+    path = tokenizer_path("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    pieces = {sp.id_to_piece(i): i for i in range(sp.vocab_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))}
+
+    def ways(text):
+        if not text:
+            return [((), 1.0)]
+        return [((pieces[text[:n]], *ids), (2 + min(-sp.get_score(pieces[text[:n]]), sp.vocab_size())) ** -0.5 * w) for n in range(1, len(text) + 1) if text[:n] in pieces for ids, w in ways(text[n:])]
+
+    lat = sampling.lattices(path, 0.5)
+    for word in ("the", "tree", "é a", "stone"):
+        want = {}
+        for part in word.split(" "):
+            ways_of = ways(sampling.SPACE + part)
+            total = sum(w for _, w in ways_of)
+            want = {(*a, *b): x * w / total for a, x in (want or {(): 1.0}).items() for b, w in ways_of}
+        k = min(len(want), 40)
+        got = sampling.sample([word], np.array([4]), k, lat, 2)[0]
+        assert len({tuple(x["ids"]) for x in got}) == k
+        for x in got:
+            assert abs(np.exp(x["log_prob"]) - want[tuple(x["ids"].tolist())]) < 1e-9 and sp.decode(x["ids"].tolist()) == word
+        if len(want) <= 40:  # all of them: nothing is left open
+            assert abs(sum(np.exp(x["log_prob"]) for x in got) - 1) < 1e-9 and {x["log_inclusion"] for x in got} == {0.0}
+
+
+def test_segmentations_of_long_words_and_empty_tables(spark):
+    path = tokenizer_path("piece_bpe_32k.model")
+    word = "".join(random.Random(5).choice("abcdefgh") for _ in range(30_000))
+    rows = spark.createDataFrame([(1, word), (2, f"a {word[:900]} b")], "doc_id long, text string")
+    assert [r.decoded for r in sampling.sample_segmentations(rows, path, decoded=True).orderBy("doc_id").collect()] == [word] * 2 + [f"a {word[:900]} b"] * 2
+    assert sampling.sample_segmentations(rows.limit(0), path).count() == 0
+
+
 def test_sampling_law():
     lat = sampling.lattices(tokenizer_path("piece_bpe_32k.model"), 0.5)
     first, second, logp, n = Counter(), Counter(), {}, 4000
