@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import isqrt
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -13,7 +15,10 @@ SEGMENT, BLOCK = 32768, 256
 
 
 def quantise(vectors: np.ndarray, scale: float) -> np.ndarray:
-    return np.floor(scale * vectors.astype(np.float64)).astype(np.int64)
+    """floor(scale * x), held within the bounds that keep every inner product of this many components in 63 bits."""
+    most = float(isqrt((2**63 - 1) // vectors.shape[1]) - 1)
+    with np.errstate(over="ignore"):
+        return np.clip(np.floor(scale * vectors.astype(np.float64)), -most, most).astype(np.int64)
 
 
 def build_slices(q: np.ndarray) -> tuple[np.ndarray, int]:
@@ -98,10 +103,10 @@ def search_segment(slices: np.ndarray, low: int, ids: np.ndarray, queries: np.nd
     found = []
     for q, own in zip(queries, query_ids):
         q = q.tolist()
-        live, at = all_live, int(np.searchsorted(ids, own))
-        if at < len(ids) and ids[at] == own:
+        live, at, end = all_live, int(np.searchsorted(ids, own)), int(np.searchsorted(ids, own, "right"))
+        if at < end:
             live = all_live.copy()
-            live[at >> 6] &= ~(np.uint64(1) << np.uint64(at & 63))
+            np.bitwise_and.at(live, np.arange(at, end) >> 6, ~(np.uint64(1) << (np.arange(at, end) & 63).astype(np.uint64)))
         # |q_d| * y_d, where y_d is the stored slice or, for a negative component, its complement: all terms >= 0
         base, columns = 0, [[] for _ in range(bits + max(abs(v) for v in q).bit_length() + 1)]
         for d, v in enumerate(q):
@@ -125,51 +130,55 @@ def search_segment(slices: np.ndarray, low: int, ids: np.ndarray, queries: np.nd
 def top_k(vectors: DataFrame, is_query, k: int = 20, scale: float = 64.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score``: the k rows of largest integer inner product with each query.
 
-    Components become floor(scale * x), x as double. Queries are the rows where ``is_query`` (a Column over
-    ``id_col``) holds; candidates are all rows of the same dimension with another id; ties go to the smaller id.
-    Rows are dealt by hash into segments of about SEGMENT rows, each bit-sliced once. Query blocks of about BLOCK
-    rows go to every segment (a stated query set against all rows, in blocks); segments return k rows a query and
-    a window with partial limits keeps the best k.
-
-    Vectors that are null, empty or hold null or non-finite components and rows with a null id take no part. The
-    id is the key: of repeated rows the least vector counts. Fewer than k candidates: all of them. Scores must fit
-    in 63 bits. Other columns are ignored; empty tables give an empty result.
+    Components become floor(scale * x), x as double; beyond +-isqrt(2^63 / dimension) they stay there, so that every
+    score fits in 63 bits. Queries are the rows where ``is_query`` (a Column over ``id_col``) holds; candidates are all
+    rows of the same dimension with another id; ties go to the smaller id. Rows are dealt by hash into segments of
+    about SEGMENT rows, each bit-sliced once. A segment stays in its task, and the query blocks of about BLOCK rows
+    stream past it (a stated query set against all rows, in blocks); only where there are fewer segments than cores
+    is a segment sent to several tasks, which share the blocks. Segments return k rows a query, and a window with
+    partial limits keeps the best k.
+
+    Vectors that are null, empty or hold null or non-finite components and rows with a null id take no part. Rows of
+    a repeated id are rows of their own: each is a candidate, and each query row adds its candidates to those of its
+    id. Fewer than k candidates: all of them. Other columns are ignored; empty tables give an empty result.
     """
     spark = vectors.sparkSession
     good = F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where(F.col("id").isNotNull())
-    rows = rows.where(good).groupBy("id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
-    n = vectors.count()
-    segments, blocks = max(1, -(-n // SEGMENT)), 1
-    asked = rows.where(is_query(F.col("id")))
-    blocks = max(1, -(-asked.count() // BLOCK))
-    index_schema = "dim int, segment long, low long, ids binary, slices binary"
+    rows = rows.where(good).withColumn("dim", F.size("v"))
+    n, n_asked = vectors.agg(F.count(F.lit(1)), F.count_if(is_query(F.col(id_col).cast("long")))).first()
+    segments, blocks = max(1, -(-n // SEGMENT)), max(1, -(-n_asked // BLOCK))
+    shares = max(1, min(blocks, spark.sparkContext.defaultParallelism // segments))
+    schema = "dim int, segment long, share long, block long, low long, ids binary, data binary"
 
     def index(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
+        pdf = pdf.sort_values("id", kind="stable")
         slices, low = build_slices(quantise(np.stack(pdf["v"].to_numpy()), scale))
-        return pd.DataFrame({"dim": [slices.shape[0]], "segment": [pdf["segment"].iloc[0]], "low": [low], "ids": [pdf["id"].to_numpy(np.int64).tobytes()], "slices": [slices.tobytes()]})
+        share = np.arange(shares)
+        return pd.DataFrame({"dim": slices.shape[0], "segment": pdf["segment"].iloc[0], "share": share, "block": -1, "low": low, "ids": pdf["id"].to_numpy(np.int64).tobytes(), "data": slices.tobytes()}, index=share)
 
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
         q = quantise(np.stack(pdf["v"].to_numpy()), scale)
-        return pd.DataFrame({"dim": [q.shape[1]], "block": [pdf["block"].iloc[0]], "q_ids": [pdf["id"].to_numpy(np.int64).tobytes()], "q": [q.tobytes()]})
+        return pd.DataFrame({"dim": [q.shape[1]], "share": [pdf["block"].iloc[0] % shares], "block": [pdf["block"].iloc[0]], "low": [0], "ids": [pdf["id"].to_numpy(np.int64).tobytes()], "data": [q.tobytes()]})
 
-    built = rows.withColumn("segment", F.pmod(F.xxhash64("id"), F.lit(segments))).groupBy("dim", "segment").applyInPandas(index, index_schema)
-    packed = asked.withColumn("block", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(blocks))).groupBy("dim", "block").applyInPandas(block, "dim int, block long, q_ids binary, q binary")
-    packed = packed.withColumn("segment", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(segments - 1).cast("long"))))
+    built = rows.withColumn("segment", F.pmod(F.xxhash64("id", "v"), F.lit(segments))).groupBy("dim", "segment").applyInPandas(index, schema)
+    asked = rows.where(is_query(F.col("id"))).withColumn("block", F.pmod(F.xxhash64("id", "v", F.lit(7)), F.lit(blocks)))
+    packed = asked.groupBy("dim", "block").applyInPandas(block, "dim int, share long, block long, low long, ids binary, data binary")
+    packed = packed.withColumn("segment", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(segments - 1).cast("long")))).select(*built.columns)
 
     def search(batches):
+        held = None
         for pdf in batches:
             for r in pdf.itertuples(index=False):
-                ids, qids = np.frombuffer(r.ids, np.int64), np.frombuffer(r.q_ids, np.int64)
-                words = -(-len(ids) // 64)
-                slices = np.frombuffer(r.slices, np.uint64).reshape(r.dim, -1, words)
-                a, b, c = search_segment(slices, r.low, ids, np.frombuffer(r.q, np.int64).reshape(len(qids), -1), qids, k)
-                yield pd.DataFrame({"query_id": a, "vec_id": b, "score": c})
-
-    # one (block, segment) pair a partition or so: the pairs are the unit of work
-    pairs = built.join(packed, ["dim", "segment"]).repartition(max(1, min(segments * blocks, 8 * spark.sparkContext.defaultParallelism)), "dim", "segment", "block")
-    hits = pairs.mapInPandas(search, "query_id long, vec_id long, score long")
+                ids = np.frombuffer(r.ids, np.int64)
+                if r.block < 0:  # a segment comes before its query blocks
+                    held = (r.dim, r.segment, r.share), np.frombuffer(r.data, np.uint64).reshape(r.dim, -1, -(-len(ids) // 64)), r.low, ids
+                elif held is not None and held[0] == (r.dim, r.segment, r.share):
+                    a, b, c = search_segment(*held[1:], np.frombuffer(r.data, np.int64).reshape(len(ids), -1), ids, k)
+                    yield pd.DataFrame({"query_id": a, "vec_id": b, "score": c})
+
+    dealt = built.unionByName(packed).repartition(max(1, min(segments * shares, 8 * spark.sparkContext.defaultParallelism)), "dim", "segment", "share")
+    hits = dealt.sortWithinPartitions("dim", "segment", "share", "block").mapInPandas(search, "query_id long, vec_id long, score long")
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
