@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,32 +29,54 @@ class Template:
         "answered": {"user": "asked"},
     })
 
+    def __post_init__(self):
+        for mark in (self.start, self.end):
+            if len(mark) < 2 or len(set(mark)) < 2 or "\\" in mark[:2] or "\n" in mark:
+                raise ValueError(f"{mark!r} can't mark turns: it needs two different characters, and neither a backslash at its start nor a line break")
+
+    def _heads(self, inner: str) -> re.Pattern:
+        pairs = sorted({(m[0], m[1]) for m in (self.start, self.end)})
+        return re.compile("|".join(f"(?<={re.escape(a)}){inner}(?={re.escape(b)})" for a, b in pairs))
+
+    @cached_property
+    def _plain(self) -> re.Pattern:
+        """What stands between the first two characters of a mark: any backslashes, or nothing."""
+        return self._heads(r"\\*")
+
+    @cached_property
+    def _escaped(self) -> re.Pattern:
+        return self._heads(r"\\+")
+
+    @cached_property
+    def _signs(self) -> dict[str, str]:
+        """What stands for a backslash, a line break and the marks' first characters in a role."""
+        return {"\\": "\\\\", "\n": "\\n"} | {c: f"\\{'lm'[i]}" for i, c in enumerate(sorted({self.start[0], self.end[0]}))}
+
 
 CHATML = Template()
-_ROLE_OUT = {"\\": "\\\\", "\n": "\\n", "<": "\\l"}
-_ROLE_IN = {v: k for k, v in _ROLE_OUT.items()}
 
 
-def escape(text: str) -> str:
-    """No control string survives: between '<', any backslashes and '|' goes one backslash more."""
-    return re.sub(r"<(\\*)\|", r"<\\\1|", text) if "|" in text else text
+def escape(text: str, t: Template = CHATML) -> str:
+    """No mark survives: between its first two characters, any backslashes between them gain one."""
+    return t._plain.sub(lambda m: "\\" + m[0], text) if t.start[0] in text or t.end[0] in text else text
 
 
-def unescape(text: str) -> str:
-    return re.sub(r"<\\(\\*)\|", r"<\1|", text) if "|" in text else text
+def unescape(text: str, t: Template = CHATML) -> str:
+    return t._escaped.sub(lambda m: m[0][1:], text) if "\\" in text else text
 
 
-def escape_role(role: str) -> str:
-    return re.sub(r"[\\\n<]", lambda m: _ROLE_OUT[m[0]], role)
+def escape_role(role: str, t: Template = CHATML) -> str:
+    return "".join(t._signs.get(c, c) for c in role)
 
 
-def unescape_role(role: str) -> str:
-    return re.sub(r"\\.", lambda m: _ROLE_IN[m[0]], role)
+def unescape_role(role: str, t: Template = CHATML) -> str:
+    back = {v: k for k, v in t._signs.items()}
+    return re.sub(r"\\.", lambda m: back[m[0]], role)
 
 
 def _segments(role: str, text: str, t: Template) -> list[dict]:
     loss = role in t.loss_roles
-    return [{"text": f"{t.start}{escape_role(role)}\n", "loss": False}, {"text": escape(text), "loss": loss}, {"text": f"{t.end}\n", "loss": False}]
+    return [{"text": f"{t.start}{escape_role(role, t)}\n", "loss": False}, {"text": escape(text, t), "loss": loss}, {"text": f"{t.end}\n", "loss": False}]
 
 
 _SEGMENTS = pa.list_(pa.struct([("text", pa.string()), ("loss", pa.bool_())]))
@@ -124,10 +147,10 @@ def read_back(formatted: DataFrame, template: Template = CHATML) -> DataFrame:
                         raise ValueError(f"conversation {c}: unreadable text at {at}")
                     at = m.end()
                     state["n"] += 1
-                    state["turns"].update(f"{unescape_role(m[1])}\n{unescape(m[2])}\n".encode())
+                    state["turns"].update(f"{unescape_role(m[1], template)}\n{unescape(m[2], template)}\n".encode())
                 if at != len(text):
                     raise ValueError(f"conversation {c}: unreadable text at {at}")
-                learnt = unescape("".join(s["text"] for s in segments if s["loss"]))
+                learnt = unescape("".join(s["text"] for s in segments if s["loss"]), template)
                 state["loss_n"] += len(learnt)
                 state["loss"].update(learnt.encode())
                 state["chars"] += len(text)
