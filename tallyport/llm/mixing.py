@@ -53,7 +53,7 @@ def _positions(df: DataFrame, group: str, part: str, order: list, value) -> Data
 
 
 def schedule(spark, targets: DataFrame, slots: int, block: int) -> DataFrame:
-    """``(srank, block, upto)``: each granted block of a source and the word at which it ends.
+    """``(srank, block, upto, slot)``: each granted block of a source, the word at which it ends, and its slot.
 
     Slot i has the point i * golden ratio mod 1; the cumulative targets map it to a source (an equi-join on a
     grid of 4,096 cells, then the exact bounds); its rank among the source's slots is the block it takes. Blocks that
@@ -69,21 +69,23 @@ def schedule(spark, targets: DataFrame, slots: int, block: int) -> DataFrame:
     s = s.withColumn("cell", F.shiftright("point", CELL_BITS)).join(cells, "cell").where("point >= lo and point < hi")
     s = s.select("srank", "quota", "slot", F.expr("slot div 8192").alias("part"))
     s = _positions(s, "srank", "part", ["slot"], F.lit(1))
-    s = store(s.where(F.col("pos") * block < F.col("quota")).select("srank", "quota", F.col("pos").cast("long").alias("block")), "slots")
+    s = store(s.where(F.col("pos") * block < F.col("quota")).select("srank", "quota", F.col("pos").cast("long").alias("block"), "slot"), "slots")
     got = s.groupBy("srank").agg(F.count(F.lit(1)).alias("got"))
     rest = targets.join(got, "srank", "left").withColumn("got", F.coalesce("got", F.lit(0))).where(F.col("got") * block < F.col("quota"))
     rest = rest.select("srank", "quota", F.explode(F.expr(f"sequence(got, (quota - 1) div {block}L)")).alias("block"))
-    return s.union(rest).select("srank", "block", F.least((F.col("block") + 1) * block, "quota").alias("upto"))
+    rest = rest.withColumn("slot", F.lit(slots).cast("long") + F.col("block"))
+    return s.union(rest).select("srank", "block", F.least((F.col("block") + 1) * block, "quota").alias("upto"), "slot")
 
 
 def mix_sources(docs: DataFrame, weights=(1, 2, 3), most=3, least_slots=65536, largest_block=4096, digits=3) -> DataFrame:
-    """``doc_id, source, size, source_size, target, taken`` for every row of ``docs`` (doc_id, source, text).
+    """``doc_id, source, size, source_size, target, taken, slots`` for every row of ``docs`` (doc_id, source, text).
 
     Each source is shuffled by the md5 of the id, read again from its start as often as its quota asks
     (``most`` times at most), and cut into blocks of equal word counts: the total over ``least_slots``, at least 1
     and at most ``largest_block`` words. The schedule grants blocks; a row's ``taken`` is the number of its words
     in granted blocks. Slots are drawn with a small reserve and stop at the quota; what they leave of it is granted too,
-    which makes a source's taken words its rounded target, however small the source.
+    which makes a source's taken words its rounded target, however small the source. ``slots`` holds, for each time
+    that the mix starts the row, the slot that first takes words of it, ascending: the order of the mix.
 
     Null or empty text has size 0 and takes nothing; a null source is a source of its own, after the others; a
     null id shuffles like empty text. Repeated rows count each for itself. An empty table gives an empty result.
@@ -97,7 +99,7 @@ def mix_sources(docs: DataFrame, weights=(1, 2, 3), most=3, least_slots=65536, l
     targets = store(source_targets(sized, weights, most), "targets")
     rows = sized.join(targets, sized["source"].eqNullSafe(targets["source"])).drop(targets["source"])
     if total == 0:
-        return rows.select("doc_id", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
+        return rows.select("doc_id", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), F.array().cast("array<bigint>").alias("slots"))
     block = max(1, min(largest_block, total // least_slots))
     slots = -(-total // block)
     granted = schedule(spark, targets, slots + slots // 64 + 1024, block)
@@ -106,11 +108,12 @@ def mix_sources(docs: DataFrame, weights=(1, 2, 3), most=3, least_slots=65536, l
     passes = rows.where("size > 0 and quota > 0").select("srank", "part", "rn", "size", "quota", F.explode(F.expr(f"sequence(0, {most - 1})")).alias("again"), "pos", "source_size")
     passes = passes.withColumn("start", F.col("again") * F.col("source_size") + F.col("pos")).where("start < quota")
     passes = passes.withColumn("end", F.least(F.col("start") + F.col("size"), "quota"))
-    pieces = passes.select("srank", "part", "rn", "start", "end", F.explode(F.expr(f"sequence(start div {block}L, (end - 1) div {block}L)")).alias("block"))
+    pieces = passes.select("srank", "part", "rn", "again", "start", "end", F.explode(F.expr(f"sequence(start div {block}L, (end - 1) div {block}L)")).alias("block"))
     pieces = pieces.join(granted, ["srank", "block"]).withColumn("words", F.least("end", "upto") - F.greatest("start", F.col("block") * block))
-    taken = pieces.where("words > 0").groupBy("srank", "part", "rn").agg(F.sum("words").alias("taken"))
+    taken = pieces.where("words > 0").groupBy("srank", "part", "rn", "again").agg(F.sum("words").alias("taken"), F.min("slot").alias("slot"))
+    taken = taken.groupBy("srank", "part", "rn").agg(F.sum("taken").alias("taken"), F.array_sort(F.collect_list("slot")).alias("slots"))
     out = rows.join(taken, ["srank", "part", "rn"], "left")
-    return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("slots", F.array().cast("array<bigint>")).alias("slots"))
 
 
 OP3_SQL = r"""

@@ -32,7 +32,7 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(_table(spark, sf_dir, "documents")).drop("source")
+    return mixing.mix_sources(_table(spark, sf_dir, "documents")).drop("source", "slots")
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
