@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,6 +85,26 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
 
 
+def handing_back(run):
+    """``run`` (batches -> batches) that gives the memory it no longer needs back when its task ends.
+
+    Python workers outlive their tasks, and what their allocators keep counts against the executor.
+    """
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # not this C library
+                pass
+
+    return wrapped
+
+
 class Index:
     """Places of distinct 64-bit keys, by open addressing in a table an eighth full; lookups are vectorised."""
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyport.llm.common import store
+from tallyport.llm.common import handing_back, store
 
 #: Ids in a block, and blocks in a group, which are coded side by side.
 BLOCK, LANES = 2048, 4096
@@ -481,7 +481,7 @@ def write_ids(docs: DataFrame, path: str, end_id: int = 0, partitions: int | Non
         if docs_:
             yield group()
 
-    return store(dealt.select("doc_id", "text", "part").mapInArrow(run, _FILE), "ids")
+    return store(dealt.select("doc_id", "text", "part").mapInArrow(handing_back(run), _FILE), "ids")
 
 
 def read_ids(table: DataFrame) -> DataFrame:
@@ -508,7 +508,7 @@ def read_ids(table: DataFrame) -> DataFrame:
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(at.tolist(), ends.tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(([part] * len(docs), [seq] * len(docs), docs, at, lengths, crc), schema)], schema=schema)
 
-    rows = table.mapInArrow(run, "part int, seq long, doc_id long, offset long, n_tokens long, ids_crc32 long")
+    rows = table.mapInArrow(handing_back(run), "part int, seq long, doc_id long, offset long, n_tokens long, ids_crc32 long")
     # a fixed strategy: a change of plan while the rows are dealt out would decode them all again
     return rows.join(starts.hint("merge"), ["part", "seq"]).select("doc_id", (F.col("group_start") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")
 

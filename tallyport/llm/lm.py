@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyport.llm.common import Index, fold, store
+from tallyport.llm.common import Index, fold, handing_back, store
 
 #: Longest context, contexts of each length that the broadcast trie holds (the most frequent; the others' counts stay
 #: distributed), words in the broadcast table.
@@ -21,12 +21,13 @@ ORDER, CONTEXTS, WORDS = 5, 1 << 16, 200_000
 #: Distinct entries that a task gathers before it hands them on, and bytes of text it works on at once.
 HELD, CHUNK = 2_000_000, 2_000_000
 _U = np.uint64
+_END = b"\xff"
 
 
 def _lay(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes of the texts, each behind ORDER zero bytes and before one (its end); the positions that are coded;
-    how many each text has."""
-    flat = np.frombuffer(b"".join(b"\0" * ORDER + t + b"\0" for t in texts), np.uint8)
+    """Bytes of the texts, each behind ORDER marks and before one (its end), a byte that UTF-8 never has; the
+    positions that are coded; how many each text has."""
+    flat = np.frombuffer(b"".join(_END * ORDER + t + _END for t in texts), np.uint8)
     n = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
     coded = np.ones(len(flat), bool)
     starts = np.cumsum(n + ORDER) - (n + ORDER)
@@ -95,7 +96,7 @@ def gather_counts(docs: DataFrame) -> DataFrame:
         for kind in (0, 1):
             yield from rows(kind, held[kind])
 
-    part = docs.select(F.coalesce("text", F.lit("")).cast("binary").alias("text")).mapInArrow(run, "kind int, key long, n long")
+    part = docs.select(F.coalesce("text", F.lit("")).cast("binary").alias("text")).mapInArrow(handing_back(run), "kind int, key long, n long")
     return part.groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
@@ -302,7 +303,7 @@ def score_documents(docs: DataFrame, folds: int = 5, hold: int = 1) -> DataFrame
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     text = F.coalesce("text", F.lit("")).cast("binary").alias("text")
-    scored = store(rows.select("doc_id", text, "held_out").mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, known long, logs double, score double, rare array<long>, times array<long>, grams array<long>"), "scored")
+    scored = store(rows.select("doc_id", text, "held_out").mapInArrow(handing_back(run), "row long, doc_id long, held_out boolean, n_tokens long, known long, logs double, score double, rare array<long>, times array<long>, grams array<long>"), "scored")
     rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("key"), F.col("x.times").alias("times"))
     rare = rare.join(words, "key", "left").select(
         "row", F.when(F.col("n") > 0, F.col("times")).otherwise(0).alias("rare_known"),

@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyport.llm.common import Index
+from tallyport.llm.common import Index, handing_back
 
 SPACE = "▁"
 #: Lattice nodes that a task keeps before it starts afresh, characters that it works on at once, and walks so few that
@@ -515,7 +515,7 @@ def sample_segmentations(docs: DataFrame, path: str, k: int = 2, power: float =
             lat.reset()  # a worker lives on after its task; the words' lattices needn't
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(run, _SAMPLES_DDL + ", decoded string" * decoded)
+    return rows.mapInArrow(handing_back(run), _SAMPLES_DDL + ", decoded string" * decoded)
 
 
 def decode_ids(rows: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
