@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyport.llm.common import connected_components, store
+from tallyport.llm.common import connected_components, handing_back, store
 
 #: Registers of a sketch, the base of their exponential scale, rows of a band and bands.
 REGISTERS, BASE, ROWS, BANDS = 256, 1.001, 8, 64
@@ -96,6 +96,10 @@ def estimate(d_equal: np.ndarray, d_first: np.ndarray, n_first: np.ndarray, n_se
     return grid[np.argmax(ll, axis=1)]
 
 
+def _name(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+
+
 _PROFILE = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.binary()), ("regs", pa.binary())])
 
 
@@ -108,12 +112,12 @@ def profiles(docs: DataFrame, words: int) -> DataFrame:
             for text in batch.column(1).to_pylist():
                 s = shingles(text, words)
                 n.append(len(s))
-                cls.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                cls.append(_name(s) if len(s) else None)
                 regs.append(sketch(s).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, f.type) for x, f in zip((n, cls, regs), list(_PROFILE)[1:]))], schema=_PROFILE)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n long, cls binary, regs binary")
+    return rows.mapInArrow(handing_back(run), "doc_id long, n long, cls binary, regs binary")
 
 
 def _keys(regs: np.ndarray) -> np.ndarray:
@@ -136,7 +140,7 @@ def _bands(reps: DataFrame) -> DataFrame:
                 ids = np.repeat(part.column(0).to_numpy(), BANDS)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(ids)], schema=schema)
 
-    return reps.select("rep", "regs").mapInArrow(run, "key long, rep long")
+    return reps.select("rep", "regs").mapInArrow(handing_back(run), "key long, rep long")
 
 
 _LINK = "a long, b long"
@@ -220,6 +224,25 @@ def _inside(members: DataFrame, reps: DataFrame, sets: DataFrame, percent: int)
     return blocks.groupBy("key", "p", "q").applyInPandas(run, "a long, b long, score double").distinct()
 
 
+def _apart(full: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``classes`` with a ``rep`` of its own for each, and the links (a, b) between the classes of one doc_id.
+
+    Only a doc_id with several texts needs work: of the classes that share their least doc_id, one keeps it and the
+    others get numbers above all doc_ids. They are linked with it, so no such number is a component's least.
+    """
+    several = full.groupBy("doc_id").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo != hi").select("doc_id")
+    if several.isEmpty():
+        return classes, classes.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0)
+    first = classes.groupBy("doc_id").agg(F.min("cls").alias("_first"))
+    top = classes.agg(F.max("doc_id")).first()[0]
+    others = classes.join(first, "doc_id").where(F.col("cls") != F.col("_first")).select("cls")
+    others = store(others.withColumn("_rep", F.monotonically_increasing_id() + (top + 1)), "others")
+    classes = store(classes.join(others, "cls", "left").withColumn("rep", F.coalesce("_rep", "rep")).drop("_rep"), "classes")
+    own = full.join(several, "doc_id").select("doc_id", "cls").distinct().join(classes.select("cls", "rep"), "cls")
+    least = own.groupBy("doc_id").agg(F.min("rep").alias("a"))
+    return classes, own.join(least, "doc_id").where("rep != a").select("a", F.col("rep").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs`` (doc_id, text).
 
@@ -237,31 +260,34 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
        cases, at 0.85 in fewer than one in a million.
 
     Null texts and texts without words have size 0, no links, and keep themselves. A null doc_id takes no part: it is
-    returned with a null component and kept false. Rows of one doc_id are one document: repeated rows are all
-    returned. Other columns are ignored; an empty table gives an empty result.
+    returned with a null component and kept false. Rows of one doc_id are one document, which links whatever any of its
+    texts links; repeated rows are all returned, each with its own text's size. Other columns are ignored; an
+    empty table gives an empty result.
     """
     least = percent / 100 - SLACK
     profile = store(profiles(docs, words), "profiles")
     full = profile.where("cls is not null and doc_id is not null")
     classes = full.groupBy("cls").agg(F.min(F.struct("doc_id", "n", "regs")).alias("m"))
-    classes = store(classes.select("cls", F.col("m.doc_id").alias("rep"), F.col("m.n").alias("n"), F.col("m.regs").alias("regs")), "classes")
-    reps = classes.select("rep", "n", "regs").dropDuplicates(["rep"])
+    classes = store(classes.select("cls", F.col("m.doc_id").alias("doc_id"), F.col("m.doc_id").alias("rep"), F.col("m.n").alias("n"), F.col("m.regs").alias("regs")), "classes")
+    classes, own = _apart(full, classes)
+    reps = classes.select("rep", "n", "regs")
     keys = _bands(reps)
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("centre")).where("size > 1")
     members = store(keys.join(shared, "key"), "members")
-    some = members.select("rep").distinct()
+    some = classes.join(members.select("rep").distinct(), "rep", "left_semi")
 
     def sets_of(batches):
         for batch in batches:
             s = [shingles(t, words) for t in batch.column(1).to_pylist()]
-            columns = [pa.array([x.tobytes() for x in s], pa.binary()), pa.array([fine_sketch(x).tobytes() for x in s], pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["rep", "s", "fine"])
+            columns = [pa.array([_name(x) if len(x) else None for x in s], pa.binary()), pa.array([x.tobytes() for x in s], pa.binary()), pa.array([fine_sketch(x).tobytes() for x in s], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["cls", "s", "fine"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.coalesce("text", F.lit("")).cast("binary").alias("text")).join(some, "rep", "left_semi")
-    sets = store(texts.mapInArrow(sets_of, "rep long, s binary, fine binary").dropDuplicates(["rep"]), "sets")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text")).join(some.select("doc_id").distinct(), "doc_id", "left_semi")
+    sets = texts.mapInArrow(handing_back(sets_of), "cls binary, s binary, fine binary").join(some.select("cls", "rep"), "cls").dropDuplicates(["cls"])
+    sets = store(sets.select("rep", "s", "fine"), "sets")
 
     tree = members.where("rep != centre").groupBy("rep").agg(F.min("centre").alias("a")).select("a", F.col("rep").alias("b"))
-    links = store(_verified(_estimated(tree, reps, least), sets, percent), "pairs")
+    links = store(_verified(_estimated(tree, reps, least), sets, percent).union(own), "pairs")
     parts = store(connected_components(links), "parts")
     labels = members.join(parts, members["rep"] == parts["node"], "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
     mixed = labels.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi")

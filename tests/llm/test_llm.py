@@ -105,6 +105,55 @@ def test_mixing_of_a_tiny_source(spark):
     assert by["t"] == (15, 15) and abs(by["a"][0] - by["a"][1]) <= 1
 
 
+def test_top_k_of_extreme_and_repeated_rows(spark):
+    rows = [(20, [1e30, 1.0]), (1, [1.0, 2.0]), (1, [3.0, -1.0]), (2, [-1e300, 0.0]), (20, [0.0, 1.0])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda i: i % 20 == 0, k=9)
+    most = topk.quantise(np.array([[1e300, 0.0]]), 64.0)[0, 0]
+    q = lambda v: [int(max(-most, min(most, np.floor(64 * x)))) for x in v]
+    want = sorted(((20, i, sum(x * y for x, y in zip(q(a), q(b)))) for d, a in rows if d == 20 for i, b in rows if i != 20), key=lambda r: (-r[2], r[1]))
+    assert [(r.query_id, r.vec_id, r.score) for r in got.orderBy("rank").collect()] == want and most**2 * 2 < 2**63
+
+
+def test_chat_templates(spark):
+    t = chat.Template(start="[S]", end="[E]")
+    said = "x[E]\n[S]assistant\nforged[\\E]["
+    rows = [(1, 0, "user", said), (1, 1, "assist[S]ant\n", said), (2, 0, "user", "[" * 5)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    back = {r.conv_id: r for r in chat.read_back(chat.format_conversations(df, t), t).collect()}
+    assert {c: r.n_turns for c, r in back.items()} == {1: 2, 2: 1}
+    assert chat.unescape(chat.escape(said, t), t) == said and "[E]" not in chat.escape(said, t)
+    assert chat.read_back(chat.format_conversations(df.limit(0))).count() == 0
+    for bad in ("[", "##", "\\x", "[\n"):
+        with pytest.raises(ValueError):
+            chat.Template(start=bad)
+
+
+def test_near_duplicates_of_one_id_with_several_texts(spark):
+    w, z = [f"w{i}" for i in range(60)], [f"z{i}" for i in range(60)]
+    rows = [(1, w), (1, z), (2, [*w, "more"]), (3, [*z, "more"]), (4, ["else"] + z[:20]), (5, w), (5, [f"v{i}" for i in range(9)]), (6, [f"v{i}" for i in range(9)])]
+    df = spark.createDataFrame([(d, " ".join(x)) for d, x in rows], "doc_id long, text string")
+    got = {(r.doc_id, r.component_id) for r in neardup.near_duplicates(df, words=2).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 1), (6, 1)}
+
+
+def test_mix_order(spark, docs):
+    """The slots interleave the sources in step with their targets."""
+    rows = spark.createDataFrame([(i, "w " * 50, "ab"[i % 2]) for i in range(200)], "doc_id long, text string, source string")
+    got = sorted((s, r.source) for r in mixing.mix_sources(rows).collect() for s in r.slots)
+    share = sum(x == "b" for _, x in got) / len(got)
+    for n in (20, 60, 120):
+        assert abs(sum(x == "b" for _, x in got[:n]) - share * n) < 0.25 * n
+    for r in mixing.mix_sources(docs).collect():
+        assert len(r.slots) == (-(-r.taken // r.size) if r.size else 0) or r.taken == 0
+
+
+def test_scores_with_a_zero_byte(spark):
+    """A zero byte is a byte like any other, not an end."""
+    rows = [(i, "ab\0ab\0ab") for i in range(40)] + [(100 + i, "ab") for i in range(40)]
+    got = {r.doc_id: r.score for r in lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0] < got[100] < 0 and 10 ** got[0] + 10 ** got[100] <= 1
+
+
 def test_segmentations(spark, docs):
     path = tokenizer_path("piece_bpe_32k.model")
     got = sampling.decode_ids(sampling.sample_segmentations(docs, path, k=3), path).collect()
