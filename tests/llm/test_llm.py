@@ -452,3 +452,36 @@ def test_pipeline(spark, tmp_path):
     assert mixed.columns == docs.columns and mixed.count() > 0
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.sample for r in got} == {0, 1} and {r.doc_id for r in got} == {r.doc_id for r in mixed.collect()}
+
+
+def test_pipeline_stages_on_odd_rows(spark, docs, tmp_path):
+    """Nulls, empties, repeats, clashing columns and empty tables, stage by stage."""
+    import corpus_pipeline
+
+    spark.createDataFrame([(i, i % 2, 0) for i in range(40)] + [(None, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+    kept = corpus_pipeline.classify(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns and set(rows_of(kept, *docs.columns)) <= set(rows_of(docs, *docs.columns))
+    rows = docs.union(spark.createDataFrame([(7, "another text of this id", "z", "l", True, "x"), (None, "", None, None, None, None)], DOCS))
+    once, again = (sorted(map(repr, corpus_pipeline.dedup(spark, rows.repartition(n), "").collect())) for n in (2, 3))
+    ids = [r.doc_id for r in corpus_pipeline.dedup(spark, rows, "").collect()]
+    assert once == again and len(set(ids) - {None}) == len([i for i in ids if i is not None]) and ids.count(None) == 2
+    mixed = [r.doc_id for r in corpus_pipeline.mix(spark, rows, "").collect()]
+    times = Counter(r.doc_id for r in rows.collect())
+    assert all(n <= 3 * times[d] for d, n in Counter(mixed).items()) and not {80, 81, 82} & set(mixed)
+    assert {r.doc_id for r in corpus_pipeline.segment(spark, docs, "").collect()} == {r.doc_id for r in docs.collect()}
+
+
+def test_classifier_against_plain_python():
+    """Scores are the softmax of the averaged vectors, written out, and held-out rows are told apart."""
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["tree", "river", "stone", "light"]) for _ in range(30)) + "." for _ in range(200)] + ["BUY!!! now " * rng.randint(3, 9) for _ in range(200)]
+    raw, labels = [t.encode() for t in texts], np.array([1] * 200 + [0] * 200)
+    model = quality.train(raw[::2], labels[::2])
+    for t in raw[1::40] + [b"", b" "]:
+        f = quality.features(t)
+        mean = sum((model.vectors[i].astype(float) for i in f), np.zeros(quality.DIM)) / max(1, len(f))
+        z = mean @ model.out.astype(float) + model.bias
+        assert abs(model.score(t) - np.exp(z[1]) / np.exp(z).sum()) < 1e-4
+    assert np.mean([(model.score(t) >= 0.5) == y for t, y in zip(raw[1::2], labels[1::2])]) > 0.97
