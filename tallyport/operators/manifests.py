@@ -78,7 +78,10 @@ def read_manifests(dumps: DataFrame, blobs: DataFrame) -> DataFrame:
     idx = dumps.select("store", "ref", parse_index(F.col("index_raw")).alias("i"))
     idx = idx.select("store", "ref", "i.error", single_manifest_class(F.col("i.value")).alias("class"), F.get("i.value.manifests", F.lit(0)).alias("d"))
     idx = idx.select("store", "ref", F.coalesce("error", F.when(F.col("class") != "OK", F.lower("class"))).alias("index_error"), F.col("d.digest").alias("digest"))
-    pool = blobs.groupBy("store", "digest").agg(F.first("content").alias("raw"), F.first("length").alias("length"))
+    # only the blobs that an index names are looked at: layers' bytes are neither loaded nor shuffled
+    named = idx.select("store", "digest").where("digest is not null").distinct()
+    pool = blobs.join(named, ["store", "digest"], "left_semi").groupBy("store", "digest").agg(F.min(F.struct("length", "content")).alias("b"))
+    pool = pool.select("store", "digest", F.col("b.content").alias("raw"), F.col("b.length").alias("length"))
     got = idx.join(pool, ["store", "digest"], "left").withColumn("p", parse_manifest(F.col("raw")))
     error = F.coalesce("index_error", F.when(F.col("raw").isNull(), "missing manifest blob"), digest_error(F.col("raw"), F.col("digest")), "p.error")
     return got.select("store", "ref", F.col("digest").alias("manifest_digest"), F.col("length").alias("manifest_size"), "raw", F.when(error.isNull(), F.col("p.value")).alias("m"), error.alias("error"))
@@ -93,6 +96,106 @@ def closure(manifests: DataFrame) -> DataFrame:
     return rows.select("store", "ref", "ordinal", "x.role", "x.digest", "x.size")
 
 
+def descriptors(manifest_digest: Column, manifest_size: Column, manifest: Column) -> Column:
+    """``array<struct<digest, size>>`` of a manifest, its config and its layers in order, repeats kept."""
+    d = lambda digest, size: F.struct(digest.alias("digest"), size.alias("size"))
+    layers = F.transform(F.coalesce(manifest["layers"], F.array().cast(f"array<{_DESC}>")), lambda x: d(x["digest"], x["size"]))
+    return F.concat(F.array(d(manifest_digest, manifest_size), d(manifest["config"]["digest"], manifest["config"]["size"])), layers)
+
+
+def index_descriptor(index: Column, digest: Column) -> Column:
+    """The first descriptor of a parsed index that has ``digest``; null if none has."""
+    return F.get(F.filter(index["manifests"], lambda m: m["digest"] == digest), F.lit(0))
+
+
+def image_view(dumps: DataFrame, blobs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``store, ref, digest, size, content, error`` of the blobs (store, ref, digest) that images are asked for.
+
+    An index names its manifest, whose size it gives; any other digest is a blob of the pool.
+    """
+    idx = dumps.select("store", "ref", parse_index(F.col("index_raw")).alias("i"))
+    rows = wanted.join(idx, ["store", "ref"], "left").join(blobs.select("store", "digest", "length", "content"), ["store", "digest"], "left")
+    said = index_descriptor(F.col("i.value"), F.col("digest"))
+    error = F.when(F.col("i").isNull(), "no such image").otherwise(F.coalesce(F.col("i.error"), F.when(F.col("length").isNull(), "missing blob")))
+    size = F.coalesce(said["size"], F.col("length"))
+    return rows.select("store", "ref", "digest", F.when(error.isNull(), size).alias("size"), F.when(error.isNull(), F.col("content")).alias("content"), error.alias("error"))
+
+
+def blobs_of_images(read: DataFrame, refs: DataFrame) -> DataFrame:
+    """``ref, digest, error``: the closure of each asked image (ref).
+
+    An image that isn't there, or whose manifest blob isn't, has no rows; any other failure is one row with its error.
+    """
+    got = read.join(refs.select("ref").distinct(), "ref", "left_semi")
+    bad = got.where("error is not null and error != 'missing manifest blob'").select("ref", F.lit(None).cast("string").alias("digest"), "error")
+    return closure(got).select("ref", "digest", F.lit(None).cast("string").alias("error")).unionByName(bad)
+
+
+def enumerate_store(read: DataFrame, inventory: DataFrame, skipped: bool = False) -> DataFrame:
+    """``digest``: what a store has: the closures of all images that can be read, and its pool. With ``skipped``,
+    the images that can't be read instead, with their errors."""
+    if skipped:
+        return read.where("error is not null").select("ref", "error")
+    return closure(read).select("digest").unionByName(inventory.select("digest")).distinct()
+
+
+def enumerate_images(transport: str, read=None, inspected=None, inventory=None) -> DataFrame:
+    """The digests of a local store by its transport: an oci store is read (``read``: what :func:`read_manifests`
+    gives), an engine's is inspected (``inspected``: ref, raw manifest bytes). Providers are called when needed."""
+    if transport == "oci":
+        return enumerate_store(read(), inventory())
+    if transport not in ("containers-storage", "docker-daemon"):
+        raise ValueError(f"{transport} can't be enumerated")
+    if inspected is None:
+        raise ValueError(f"{transport} needs its images inspected")
+    return enumerate_store(inspected_manifests(inspected()), inventory())
+
+
+def inspected_manifests(images: DataFrame) -> DataFrame:
+    """Raw manifests (store, ref, raw) as :func:`read_manifests` returns them; a bad one is a row with its error."""
+    got = images.withColumn("p", parse_manifest(F.col("raw")))
+    digest, size = F.concat(F.lit("sha256:"), F.sha2("raw", 256)), F.octet_length("raw").cast("bigint")
+    error = F.col("p.error")
+    return got.select("store", "ref", digest.alias("manifest_digest"), size.alias("manifest_size"), "raw", F.when(error.isNull(), F.col("p.value")).alias("m"), error.alias("error"))
+
+
+def meta_json(layout_raw: Column, index_raw: Column, chunk: Column, descs: Column) -> Column:
+    """``struct<json, error>`` of an image's metadata. Both tag files go in as they are, byte for byte."""
+    items = F.transform(descs, lambda d: F.format_string('{"digest":"%s","size":%d}', d["digest"], d["size"]))
+    empty = lambda c: F.coalesce(F.octet_length(c), F.lit(0)) == 0
+    error = F.when(F.coalesce(chunk, F.lit(0)) <= 0, "bad chunk size").when(empty(layout_raw), "no layout").when(empty(index_raw), "no index")
+    made = F.concat(F.lit('{"version":1,"chunkSize":'), chunk.cast("string"), F.lit(',"ociLayout":'), layout_raw.cast("string"), F.lit(',"indexJSON":'), index_raw.cast("string"), F.lit(',"descriptors":['), F.array_join(items, ","), F.lit("]}"))
+    return F.struct(F.when(error.isNull(), made).alias("json"), error.alias("error"))
+
+
+def commit_metas(dumps: DataFrame, blobs: DataFrame, chunk: int, name: Column) -> DataFrame:
+    """``ref, name, json, error``: the metadata object of each image (store, ref, index_raw, layout_raw), written last.
+
+    The manifest must be there, verified and of a single-image index; then its descriptors are taken from it.
+    """
+    read = read_manifests(dumps, blobs)
+    rows = dumps.join(read.drop("raw"), ["store", "ref"])
+    descs = descriptors(F.col("manifest_digest"), F.col("manifest_size"), F.col("m"))
+    rows = rows.withColumn("_meta", meta_json(F.col("layout_raw"), F.col("index_raw"), F.lit(chunk).cast("bigint"), descs))
+    error = F.coalesce("error", "_meta.error")
+    return rows.select("ref", name.alias("name"), F.when(error.isNull(), F.col("_meta.json")).alias("json"), error.alias("error"))
+
+
+def meta_blobs(metas: DataFrame) -> DataFrame:
+    """``ref, digest, size, chunk_size, error`` from metadata objects (ref, raw): one read gives an image's closure.
+    No object, no rows; a broken one is one row with its error."""
+    got = metas.where("raw is not null").select("ref", parse_meta(F.col("raw")).alias("p"))
+    d = F.explode_outer(F.when(F.col("p.error").isNull(), F.col("p.value.descriptors")))
+    rows = got.select("ref", "p", d.alias("d")).where("p.error is not null or d is not null")
+    return rows.select("ref", F.col("d.digest").alias("digest"), F.col("d.size").alias("size"), F.when(F.col("p.error").isNull(), F.col("p.value.chunkSize")).alias("chunk_size"), F.col("p.error").alias("error"))
+
+
+def inspect_image(raw: Column, digest: Column, verify: bool = True) -> Column:
+    """``struct<raw, error>``: an image's raw manifest, checked against its digest unless a live engine gave it."""
+    error = F.when(raw.isNull(), "missing manifest blob").otherwise(digest_error(raw, digest) if verify else F.lit(None).cast("string"))
+    return F.struct(F.when(error.isNull(), raw).alias("raw"), error.alias("error"))
+
+
 def sizes(descriptors: DataFrame) -> DataFrame:
     """``digest, size``: sizes above zero, the last of a repeated digest."""
     return descriptors.where("size > 0").groupBy("digest").agg(F.max_by("size", "ordinal").alias("size"))

@@ -54,8 +54,26 @@ def until_first_error(rows: DataFrame, group: str, order: list[str], failed: Col
     return rows.withColumn("_f", F.sum(failed.cast("int")).over(before)).where(F.coalesce("_f", F.lit(0)) == 0).drop("_f")
 
 
+def argument_order(rows: DataFrame, order: str = "pos") -> DataFrame:
+    """Rows in the order in which their images were asked for."""
+    return rows.orderBy(order)
+
+
+def running_bytes(plan: DataFrame, image: str, order: str, size: str) -> DataFrame:
+    """Adds ``done``: the bytes of an image's plan up to and including each row (for progress; an extension)."""
+    run = W.partitionBy(image).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    return plan.withColumn("done", F.sum(size).over(run).cast("bigint"))
+
+
+def request_error(kind: str, images: Column, transport: Column, base: Column, read_only: Column) -> Column:
+    """Null if a push or pull may start: it needs images, a transport and a store; a push needs a peer that can be written."""
+    some = lambda c: F.coalesce(c, F.lit("")) != ""
+    error = F.when(F.coalesce(F.size(images), F.lit(0)) <= 0, "no images").when(~some(transport), "no transport").when(~some(base), "no store")
+    return error.when(F.coalesce(read_only, F.lit(False)), "peer is read-only") if kind == "push" else error
+
+
 def report_lines(report: DataFrame, verb: str = "pushed") -> DataFrame:
-    """Adds ``line``, and keeps argument order if ``pos`` is there."""
+    """Adds ``line``: what a transfer did, would do, or why it failed."""
     body = F.format_string(f"%s {verb} (new: %d, reused: %d, bytes: %d)", "ref", "sent", "reused", "bytes")
     line = F.when(F.col("error").isNotNull(), F.concat(F.col("ref"), F.lit(" ERROR: "), F.col("error"))).when(F.col("dry_run"), F.concat(F.lit("DRY-RUN would: "), body)).otherwise(body)
     return report.withColumn("line", line)

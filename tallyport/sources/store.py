@@ -1,88 +1,198 @@
-"""Readers of image stores on a file system, and of engines' image listings."""
+"""Readers of image stores on any storage that Arrow's file systems take, and of engines' image listings."""
 
 from __future__ import annotations
 
-import os
-
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyport.functions.text import parse_dump_dir
+
 MARKERS, POOL = ("_tags", "_digests"), "share"
+TAG_FILES = ("index.json", "oci-layout")
+#: What a configuration layer may give; what it doesn't is null.
+CONFIG = "struct<local:string,localDumpDir:string,compression:struct<format:string,level:int,force:boolean>,fileServer:struct<auth:string,headers:array<string>,chunkSize:string,namingPrefix:string>>"
+
+
+def file_system(root: str):
+    """The Arrow file system of a path or URI, and the path in it."""
+    from pyarrow import fs
+
+    if "://" not in root and not root.startswith("file:"):
+        return fs.LocalFileSystem(), root
+    return fs.FileSystem.from_uri(root if "://" in root else root.replace("file:", "file://", 1))
+
+
+def _children(store, base: str) -> list[tuple[str, bool]]:
+    from pyarrow import fs
+
+    found = store.get_file_info(fs.FileSelector(base, allow_not_found=True))
+    return sorted((i.base_name, i.type == fs.FileType.Directory) for i in found)
+
+
+def _descend(store, base: str, at: str):
+    """Dump directories below ``at``: the directories under a marker, wherever it is."""
+    for name, is_dir in _children(store, f"{base}/{at}"):
+        if is_dir and name in MARKERS:
+            yield from (f"{at}/{name}/{leaf}" for leaf, leaf_dir in _children(store, f"{base}/{at}/{name}") if leaf_dir)
+        elif is_dir:
+            yield from _descend(store, base, f"{at}/{name}")
+
+
+def _tops(store, base: str) -> list[str]:
+    return [name for name, is_dir in _children(store, base) if is_dir and name != POOL]
 
 
 def walk_dumps(root: str) -> list[str]:
-    """Dump directories under a store's root, relative to it. Spark's listing hides names with a leading
-    underscore, so the (small) directory tree is walked here; a missing root has none."""
-    found: list[str] = []
+    """Dump directories under a store's root, relative to it; a missing root has none. For stores that one machine
+    reads; :func:`list_dumps` deals the work out."""
+    store, base = file_system(root)
+    return [d for top in _tops(store, base) for d in _descend(store, base, top)]
+
+
+def list_dumps(spark: SparkSession, root: str) -> DataFrame:
+    """``dump``: the same as rows, the hosts' trees (and, below a single host, its first level) walked by tasks.
+
+    Spark's own listing hides names with a leading underscore, as the markers have.
+    """
+    store, base = file_system(root)
+    tops = _tops(store, base)
+    if len(tops) == 1:  # one host: its repositories' first level is the work to deal out
+        tops = [f"{tops[0]}/{name}" for name, is_dir in _children(store, f"{base}/{tops[0]}") if is_dir]
 
-    def descend(at: str) -> None:
-        for name in sorted(os.listdir(os.path.join(root, at))):
-            child = f"{at}/{name}" if at else name
-            if not os.path.isdir(os.path.join(root, child)) or (not at and name == POOL):
-                continue
-            if name in MARKERS:
-                found.extend(f"{child}/{x}" for x in sorted(os.listdir(os.path.join(root, child))) if os.path.isdir(os.path.join(root, child, x)))
-            else:
-                descend(child)
+    def run(batches):
+        own, at = file_system(root)
+        for batch in batches:
+            for top in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(list(_descend(own, at, top)), pa.string())], names=["dump"])
 
-    if os.path.isdir(root):
-        descend("")
-    return found
+    rows = spark.createDataFrame([(t,) for t in tops], "top string").repartition(max(1, min(len(tops), 1000)))
+    return rows.mapInArrow(run, "dump string")
 
 
 def read_dumps(spark: SparkSession, root: str, store: str = "local") -> DataFrame:
-    """``store, ref, index_raw, layout_raw``: the tag files' bytes as they are; null where a file is missing."""
+    """``store, ref, index_raw, layout_raw``: the tag files' bytes as they are, read by tasks; null where one is missing."""
+
+    def run(batches):
+        own, base = file_system(root)
+
+        def raw(path):
+            try:
+                with own.open_input_stream(path) as f:
+                    return f.read()
+            except FileNotFoundError:
+                return None
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.column(0).slice(at, 256)
+                files = [pa.array([raw(f"{base}/{d}/{name}") for d in part.to_pylist()], pa.binary()) for name in TAG_FILES]
+                yield pa.RecordBatch.from_arrays([pa.array([store] * len(part)), part, *files], names=["store", "ref", "index_raw", "layout_raw"])
+
+    return list_dumps(spark, root).mapInArrow(run, "store string, ref string, index_raw binary, layout_raw binary")
 
-    def raw(path: str):
-        try:
-            with open(path, "rb") as f:
-                return bytearray(f.read())
-        except FileNotFoundError:
-            return None
 
-    rows = [(store, d, raw(f"{root}/{d}/index.json"), raw(f"{root}/{d}/oci-layout")) for d in walk_dumps(root)]
-    return spark.createDataFrame(rows, "store string, ref string, index_raw binary, layout_raw binary")
+def list_images(dumps: DataFrame) -> DataFrame:
+    """``dump, ref, error`` of dump directories (dump): the canonical reference of each, or why its name is none."""
+    rows = dumps.select("dump", parse_dump_dir(F.col("dump")).alias("d"))
+    tail = F.when(F.col("d.marker") == "_tags", F.concat(F.lit(":"), F.col("d.leaf"))).otherwise(F.concat(F.lit("@sha256:"), F.col("d.leaf")))
+    return rows.select("dump", F.concat("d.host", F.lit("/"), "d.repo", tail).alias("ref"), F.col("d.error").alias("error"))
 
 
-def read_pool(spark: SparkSession, root: str, store: str = "local", content: bool = True) -> DataFrame:
-    """``store, digest, length, content`` of the blob pool: names of 64 characters (so no part files)."""
-    folder = f"{root}/{POOL}/sha256"
-    if not os.path.isdir(folder):
+def read_pool(spark: SparkSession, root: str, store: str = "local", content: bool = True, folder: str = POOL, algo: str = "sha256", strict: bool = False) -> DataFrame:
+    """``store, digest, length, content`` of a blob pool: names of the digest's length, so no part files.
+
+    ``folder`` is share for a shared pool, or blobs for a plain image directory; ``strict`` takes hex names only.
+    Without ``content`` only names and sizes are read.
+    """
+    own, base = file_system(f"{root}/{folder}/{algo}")
+    if not _children(own, base):
         return spark.createDataFrame([], "store string, digest string, length bigint, content binary")
-    files = spark.read.format("binaryFile").load(folder)
+    files = spark.read.format("binaryFile").load(f"{root}/{folder}/{algo}")
     name = F.element_at(F.split("path", "/"), -1)
-    rows = files.withColumn("name", name).where(F.length("name") == 64)
+    rows = files.withColumn("name", name).where(F.length("name") == {"sha256": 64, "sha384": 96, "sha512": 128}[algo])
+    rows = rows.where(F.col("name").rlike("^[0-9a-f]+$")) if strict else rows
     body = F.col("content") if content else F.lit(None).cast("binary").alias("content")
-    return rows.select(F.lit(store).alias("store"), F.concat(F.lit("sha256:"), "name").alias("digest"), "length", body)
+    return rows.select(F.lit(store).alias("store"), F.concat(F.lit(f"{algo}:"), "name").alias("digest"), "length", body)
 
 
-def read_docker_images(spark: SparkSession, path: str) -> DataFrame:
-    """``ref`` of a docker ``image ls`` listing (one JSON object a line), each once, in order."""
-    rows = spark.read.schema("Repository string, Tag string").option("mode", "FAILFAST").json(path)
+def _listed(rows: DataFrame, ref: Column, keep: Column) -> DataFrame:
+    """``ref, pos``: each name once, at its first place."""
+    return rows.select(ref.alias("ref"), "pos").where(F.coalesce(keep, F.lit(False))).groupBy("ref").agg(F.min("pos").alias("pos"))
+
+
+def docker_refs(rows: DataFrame) -> DataFrame:
+    """``ref, pos`` of listed images (pos, Repository, Tag): those with both parts, each once."""
     some = lambda c: ~F.coalesce(F.col(c), F.lit("")).isin("", "<none>")
-    rows = rows.withColumn("pos", F.monotonically_increasing_id()).where(some("Repository") & some("Tag"))
-    return rows.groupBy(F.concat_ws(":", "Repository", "Tag").alias("ref")).agg(F.min("pos").alias("pos"))
+    return _listed(rows.where(some("Repository") & some("Tag")), F.concat_ws(":", "Repository", "Tag"), F.lit(True))
+
+
+def podman_refs(rows: DataFrame) -> DataFrame:
+    """``ref, pos`` of listed images (pos, Names): every name, each once; ``pos`` is the image's place and the name's."""
+    names = rows.select(F.col("pos").alias("row"), F.posexplode(F.coalesce("Names", F.array().cast("array<string>"))).alias("n", "ref"))
+    return _listed(names.withColumn("pos", F.struct("row", "n")), F.col("ref"), F.col("ref") != "")
+
+
+def inspect_refs(rows: DataFrame) -> DataFrame:
+    """``ref, pos`` of inspected images (pos, RepoTags), each once."""
+    tags = rows.select(F.col("pos").alias("row"), F.posexplode(F.coalesce("RepoTags", F.array().cast("array<string>"))).alias("n", "ref"))
+    return _listed(tags.withColumn("pos", F.struct("row", "n")), F.col("ref"), ~F.col("ref").isin("", "<none>:<none>"))
+
+
+def _documents(spark: SparkSession, path: str, schema: str, lines: bool) -> DataFrame:
+    """The JSON objects of a listing (one a line, or one array) with their places; a malformed one fails the job."""
+    whole = spark.read.option("wholetext", True).text(path)
+    if lines:
+        raw = whole.select(F.posexplode(F.split("value", "\n")).alias("pos", "raw")).where(F.trim("raw") != "")
+        return raw.select("pos", F.from_json("raw", schema, {"mode": "FAILFAST"}).alias("x")).select("pos", "x.*")
+    return whole.select(F.posexplode(F.from_json("value", f"array<struct<{schema}>>", {"mode": "FAILFAST"})).alias("pos", "x")).select("pos", "x.*")
+
+
+def read_docker_images(spark: SparkSession, path: str) -> DataFrame:
+    """``ref, pos`` of a docker ``image ls`` listing (one JSON object a line), in its order."""
+    return docker_refs(_documents(spark, path, "Repository string, Tag string", True))
 
 
 def read_podman_images(spark: SparkSession, path: str) -> DataFrame:
-    """``ref`` of a podman listing (one JSON array), each name once, in order."""
-    rows = spark.read.schema("Id string, Names array<string>").option("multiLine", True).option("mode", "FAILFAST").json(path)
-    names = rows.select(F.monotonically_increasing_id().alias("row"), F.posexplode(F.coalesce("Names", F.array().cast("array<string>"))).alias("n", "ref"))
-    return names.where("ref <> ''").groupBy("ref").agg(F.min(F.struct("row", "n")).alias("pos"))
+    """``ref, pos`` of a podman listing (one JSON array), in its order."""
+    return podman_refs(_documents(spark, path, "Id:string,Names:array<string>", False))
 
 
 def read_image_inspect(spark: SparkSession, path: str) -> DataFrame:
-    """``id, ref`` of a docker ``image inspect`` array."""
-    rows = spark.read.schema("Id string, RepoTags array<string>").option("multiLine", True).option("mode", "FAILFAST").json(path)
-    return rows.select(F.col("Id").alias("id"), F.explode(F.coalesce("RepoTags", F.array().cast("array<string>"))).alias("ref")).where("ref not in ('', '<none>:<none>')").distinct()
+    """``ref, pos`` of a docker ``image inspect`` array."""
+    return inspect_refs(_documents(spark, path, "Id:string,RepoTags:array<string>", False))
+
+
+def config_layer(raw: Column) -> Column:
+    """A configuration layer from its JSON; null text is a layer that gives nothing, malformed text fails the job."""
+    return F.from_json(F.coalesce(raw, F.lit("{}")), CONFIG, {"mode": "FAILFAST"})
+
+
+def read_config(spark: SparkSession, path: str) -> DataFrame:
+    """One row ``config`` from a file; a missing file gives nothing."""
+    own, base = file_system(path)
+    try:
+        with own.open_input_stream(base) as f:
+            raw = f.read().decode()
+    except FileNotFoundError:
+        raw = None
+    return spark.createDataFrame([(raw,)], "raw string").select(config_layer(F.col("raw")).alias("config"))
+
+
+def ensure_layout(root: str) -> None:
+    """Makes a store's folders; they may be there."""
+    store, base = file_system(root)
+    store.create_dir(f"{base}/{POOL}", recursive=True)
 
 
 def write_pointer(root: str, dump_dir: str, name: str, raw: bytes) -> None:
-    """Commits one tag file: written beside the tree, then renamed into place."""
-    temp = os.path.join(root, "__temp__")
-    os.makedirs(temp, exist_ok=True)
-    os.makedirs(os.path.join(root, dump_dir), exist_ok=True)
-    part = os.path.join(temp, f"{dump_dir.replace('/', '_')}.{name}.{os.getpid()}")
-    with open(part, "wb") as f:
+    """Commits one tag file: written beside the tree, then moved into place."""
+    from uuid import uuid4
+
+    store, base = file_system(root)
+    store.create_dir(f"{base}/__temp__", recursive=True)
+    store.create_dir(f"{base}/{dump_dir}", recursive=True)
+    part = f"{base}/__temp__/{uuid4().hex}.{name}"
+    with store.open_output_stream(part) as f:
         f.write(raw)
-    os.replace(part, os.path.join(root, dump_dir, name))
+    store.move(part, f"{base}/{dump_dir}/{name}")
