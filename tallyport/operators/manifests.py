@@ -24,24 +24,42 @@ def _is_object(raw: Column) -> Column:
     return F.try_parse_json(raw.cast("string")).isNotNull() & F.ltrim(raw.cast("string")).startswith("{")
 
 
+def _empty(raw: Column) -> Column:
+    return F.coalesce(F.octet_length(raw), F.lit(0)) == 0
+
+
+def _index_error(raw: Column, whole: Column, v: Column) -> Column:
+    return F.when(_empty(raw), "empty index").when(~F.coalesce(whole, F.lit(False)), "bad json").when(F.coalesce(F.size(v["manifests"]), F.lit(0)) <= 0, "no manifests")
+
+
+def _manifest_error(raw: Column, whole: Column, v: Column) -> Column:
+    return (
+        F.when(_empty(raw), "empty manifest")
+        .when(~F.coalesce(whole, F.lit(False)), "bad json")
+        .when(v["mediaType"].isin(*NESTED), "index in place of a manifest")
+        .when((F.size(v["manifests"]) > 0) & (F.coalesce(v["mediaType"], F.lit("")) == ""), "index in place of a manifest")
+        .when(F.coalesce(v["config"]["digest"], F.lit("")) == "", "missing config digest")
+    )
+
+
 def parse_index(raw: Column) -> Column:
     """``struct<value, error>`` of index bytes: empty, bad JSON and an empty list are errors."""
     v = _json(raw, INDEX)
-    error = F.when(F.coalesce(F.octet_length(raw), F.lit(0)) == 0, "empty index").when(~_is_object(raw), "bad json").when(F.coalesce(F.size(v["manifests"]), F.lit(0)) <= 0, "no manifests")
-    return F.struct(v.alias("value"), error.alias("error"))
+    return F.struct(v.alias("value"), _index_error(raw, _is_object(raw), v).alias("error"))
 
 
 def parse_manifest(raw: Column) -> Column:
     """``struct<value, error>``: an index in a manifest's place and a missing config digest are errors; no layers is fine."""
     v = _json(raw, MANIFEST)
-    error = (
-        F.when(F.coalesce(F.octet_length(raw), F.lit(0)) == 0, "empty manifest")
-        .when(~_is_object(raw), "bad json")
-        .when(v["mediaType"].isin(*NESTED), "index in place of a manifest")
-        .when((F.size(v["manifests"]) > 0) & (F.coalesce(v["mediaType"], F.lit("")) == ""), "index in place of a manifest")
-        .when(F.coalesce(v["config"]["digest"], F.lit("")) == "", "missing config digest")
-    )
-    return F.struct(v.alias("value"), error.alias("error"))
+    return F.struct(v.alias("value"), _manifest_error(raw, _is_object(raw), v).alias("error"))
+
+
+def _with_parsed(rows: DataFrame, raw: str, schema: str, error, out: str) -> DataFrame:
+    """``rows`` with ``out``: ``struct<value, error>`` of a document. The document is parsed behind a generator, which
+    the optimizer doesn't merge with what uses its fields: each is parsed once, not once a field."""
+    once = F.explode(F.array(F.struct(_json(F.col(raw), schema).alias("value"), _is_object(F.col(raw)).alias("whole"))))
+    rows = rows.withColumn("_once", once)
+    return rows.withColumn(out, F.struct(F.col("_once.value").alias("value"), error(F.col(raw), F.col("_once.whole"), F.col("_once.value")).alias("error"))).drop("_once")
 
 
 def parse_layout(raw: Column) -> Column:
@@ -75,14 +93,15 @@ def read_manifests(dumps: DataFrame, blobs: DataFrame) -> DataFrame:
     The index must hold one plain manifest; its blob must exist in the store, have its digest, and parse. An
     unreadable image is a row with its error, so one bad image never stops the others.
     """
-    idx = dumps.select("store", "ref", parse_index(F.col("index_raw")).alias("i"))
+    idx = _with_parsed(dumps.select("store", "ref", "index_raw"), "index_raw", INDEX, _index_error, "i")
     idx = idx.select("store", "ref", "i.error", single_manifest_class(F.col("i.value")).alias("class"), F.get("i.value.manifests", F.lit(0)).alias("d"))
-    idx = idx.select("store", "ref", F.coalesce("error", F.when(F.col("class") != "OK", F.lower("class"))).alias("index_error"), F.col("d.digest").alias("digest"))
+    index_error = F.coalesce("error", F.when(F.col("class") != "OK", F.lower("class")))
+    idx = idx.select("store", "ref", index_error.alias("index_error"), F.when(index_error.isNull(), F.col("d.digest")).alias("digest"))
     # only the blobs that an index names are looked at: layers' bytes are neither loaded nor shuffled
     named = idx.select("store", "digest").where("digest is not null").distinct()
     pool = blobs.join(named, ["store", "digest"], "left_semi").groupBy("store", "digest").agg(F.min(F.struct("length", "content")).alias("b"))
     pool = pool.select("store", "digest", F.col("b.content").alias("raw"), F.col("b.length").alias("length"))
-    got = idx.join(pool, ["store", "digest"], "left").withColumn("p", parse_manifest(F.col("raw")))
+    got = _with_parsed(idx.join(pool, ["store", "digest"], "left"), "raw", MANIFEST, _manifest_error, "p")
     error = F.coalesce("index_error", F.when(F.col("raw").isNull(), "missing manifest blob"), digest_error(F.col("raw"), F.col("digest")), "p.error")
     return got.select("store", "ref", F.col("digest").alias("manifest_digest"), F.col("length").alias("manifest_size"), "raw", F.when(error.isNull(), F.col("p.value")).alias("m"), error.alias("error"))
 
@@ -113,7 +132,7 @@ def image_view(dumps: DataFrame, blobs: DataFrame, wanted: DataFrame) -> DataFra
 
     An index names its manifest, whose size it gives; any other digest is a blob of the pool.
     """
-    idx = dumps.select("store", "ref", parse_index(F.col("index_raw")).alias("i"))
+    idx = _with_parsed(dumps.select("store", "ref", "index_raw"), "index_raw", INDEX, _index_error, "i").drop("index_raw")
     rows = wanted.join(idx, ["store", "ref"], "left").join(blobs.select("store", "digest", "length", "content"), ["store", "digest"], "left")
     said = index_descriptor(F.col("i.value"), F.col("digest"))
     error = F.when(F.col("i").isNull(), "no such image").otherwise(F.coalesce(F.col("i.error"), F.when(F.col("length").isNull(), "missing blob")))
@@ -153,7 +172,7 @@ def enumerate_images(transport: str, read=None, inspected=None, inventory=None)
 
 def inspected_manifests(images: DataFrame) -> DataFrame:
     """Raw manifests (store, ref, raw) as :func:`read_manifests` returns them; a bad one is a row with its error."""
-    got = images.withColumn("p", parse_manifest(F.col("raw")))
+    got = _with_parsed(images, "raw", MANIFEST, _manifest_error, "p")
     digest, size = F.concat(F.lit("sha256:"), F.sha2("raw", 256)), F.octet_length("raw").cast("bigint")
     error = F.col("p.error")
     return got.select("store", "ref", digest.alias("manifest_digest"), size.alias("manifest_size"), "raw", F.when(error.isNull(), F.col("p.value")).alias("m"), error.alias("error"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tallyport.functions import refs, text
 from tallyport.operators import transfer
-from tallyport.plans.oracle import SQL  # noqa: F401
+from tallyport.plans import images, oracle, words
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,9 +27,9 @@ def blob_inventory(spark, d):
 
 
 def transfer_plan(spark, d):
-    lines = _t(spark, d, "lineitem").select("l_orderkey", F.col("l_partkey").alias("k"))
+    lines = _t(spark, d, "lineitem").select("l_returnflag", F.col("l_partkey").alias("k"))
     pinned = _t(spark, d, "part").where("p_size = 1").select(F.col("p_partkey").alias("k"))
-    return transfer.transfer_set(lines.where("l_orderkey < 3000"), lines.where("l_orderkey >= 6000 and l_orderkey < 9000"), pinned, "k")
+    return transfer.transfer_set(lines.where("l_returnflag = 'R'"), lines.where("l_returnflag = 'N'"), pinned, "k")
 
 
 def push_report(spark, d):
@@ -53,8 +53,8 @@ def chunk_layout(spark, d):
 
 
 def resume_offset(spark, d):
-    chunks = _t(spark, d, "conversations").where("(conv_id * 7 + turn) % 5 <> 0").select("conv_id", "turn", F.length("text").alias("len"))
-    return transfer.chunk_state(chunks, "conv_id", "turn", "len")
+    chunks = _t(spark, d, "conversations").select("conv_id", F.expr("turn + turn div 3").alias("i"), F.length("text").alias("len"))  # every third chunk leaves a gap
+    return transfer.chunk_state(chunks, "conv_id", "i", "len")
 
 
 def fail_fast_cut(spark, d):
@@ -66,11 +66,6 @@ def json_field(spark, d):
     return _t(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
 
 
-def closure_explode(spark, d):
-    lines = _t(spark, d, "lineitem").where("l_orderkey < 500").groupBy(F.col("l_orderkey").alias("img"))
-    return lines.agg(F.array_sort(F.collect_list("l_partkey")).alias("ks")).select("img", F.posexplode("ks").alias("pos", "k"))
-
-
 def pool_dedup(spark, d):
     docs = blob_inventory(spark, d)
     return docs.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), (F.sum("size") - F.max("size")).cast("bigint").alias("saved"), F.min("doc_id").alias("first_doc"))
@@ -82,33 +77,27 @@ def first_occurrence(spark, d):
 
 
 def plan_order(spark, d):
-    plan = _t(spark, d, "lineitem").where("l_orderkey < 1000").select(F.col("l_orderkey").alias("img"), _str("l_partkey").alias("k")).distinct()
+    plan = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("img"), _str("l_partkey").alias("k")).distinct()
     return transfer.plan_order(plan, "img", "k").select("img", "ordinal", "k")
 
 
 def have_union(spark, d):
-    closures = _t(spark, d, "lineitem").where("l_orderkey < 2000").select(F.col("l_partkey").alias("k"))
-    return transfer.union_keys(closures, _t(spark, d, "part").where("p_size < 5").select("p_partkey"), _t(spark, d, "supplier").select("s_suppkey"))
+    closures = _t(spark, d, "lineitem").select(F.col("l_partkey").alias("k"))
+    return transfer.union_keys(closures, _t(spark, d, "part").select(F.col("p_size").cast("bigint")), _t(spark, d, "supplier").select("s_suppkey"))
 
 
 def assume_override(spark, d):
-    need = _t(spark, d, "lineitem").where("l_orderkey < 1000").select(F.col("l_partkey").alias("k"))
+    need = _t(spark, d, "lineitem").select(F.col("l_partkey").alias("k"))
     return transfer.transfer_set(need, transfer.have_set(need, assumed_keys=[1, 5, 9, 100], key="k"), key="k")
 
 
 def dry_run_vs_real(spark, d):
-    need = _t(spark, d, "lineitem").where("l_orderkey < 3000").select(F.col("l_orderkey").alias("img"), F.col("l_partkey").alias("k")).distinct()
+    need = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("img"), F.col("l_partkey").alias("k")).distinct()
     first = need.groupBy("k").agg(F.min("img").alias("first"))
     marked = need.join(first, "k").withColumn("new", (F.col("img") == F.col("first")).cast("int"))
     return marked.groupBy("img").agg(F.count(F.lit(1)).alias("dry_sent"), F.sum("new").cast("bigint").alias("real_sent"))
 
 
-def contract_class(spark, d):
-    per = _t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("n"), F.max("l_returnflag").alias("flag"))
-    cls = F.when(F.col("n").isNull(), "EMPTY").when(F.col("n") > 1, "MULTI").when(F.col("flag") == "R", "NESTED").otherwise("OK")
-    return _t(spark, d, "orders").select("o_orderkey").join(per, "o_orderkey", "left").select("o_orderkey", cls.alias("cls"))
-
-
 def dangling_audit(spark, d):
     closures = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("img"), F.col("l_partkey").alias("k"))
     return transfer.dangling(closures, _t(spark, d, "part").where("p_size < 40").select(F.col("p_partkey").alias("k")), "img", "k")
@@ -176,11 +165,12 @@ def summary_line(spark, d):
     return transfer.report_lines(rows).select("l_orderkey", "line")
 
 
-QUERIES = {
+QUERIES = images.QUERIES | words.QUERIES | {
     f.__name__: f
     for f in (
-        blob_inventory, transfer_plan, push_report, redact_url, endpoint_parts, chunk_layout, resume_offset, fail_fast_cut, json_field, closure_explode,
-        pool_dedup, first_occurrence, plan_order, have_union, assume_override, dry_run_vs_real, contract_class, dangling_audit, accumulate_commit, latest_meta,
+        blob_inventory, transfer_plan, push_report, redact_url, endpoint_parts, chunk_layout, resume_offset, fail_fast_cut, json_field,
+        pool_dedup, first_occurrence, plan_order, have_union, assume_override, dry_run_vs_real, dangling_audit, accumulate_commit, latest_meta,
         complete_blobs, config_overlay, ref_parse, chunk_size_parse, marker_path_parse, size_lookup, skip_bad_items, summary_line,
     )
 }
+SQL = oracle.SQL | images.SQL | words.SQL

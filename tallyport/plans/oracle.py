@@ -6,7 +6,7 @@ SQL = {
         by user_id having count(case when event_type='click' then 1 end)>0 and count(case when event_type='purchase' then 1 end)>0
     """,
     "assume_override": r"""
-        select distinct l_partkey k from lineitem l where l_orderkey<1000 and not exists (select 1 from (values (1),(5),(9),(100)) h(v) where h.v=l.l_partkey)
+        select distinct l_partkey k from lineitem l where not exists (select 1 from (values (1),(5),(9),(100)) h(v) where h.v=l.l_partkey)
     """,
     "blob_inventory": r"""
         select doc_id,'sha256:'||sha256(text) digest, cast(octet_length(encode(text)) as bigint) size from documents
@@ -23,10 +23,6 @@ SQL = {
         'KiB' when 3 then 'GB' when 4 then 'MB' when 5 then 'KB' when 6 then 'G' when 7 then 'M' when 8 then 'K' when 9 then 'B' when 10 then '' else
         'Gi' end) s from part) t
     """,
-    "closure_explode": r"""
-        select img, cast(pos as integer) pos, k from (select l_orderkey img, unnest(list_sort(list(l_partkey))) k, generate_subscripts(list_sort(list(l_partkey)),1)-1
-        pos from lineitem where l_orderkey<500 group by l_orderkey)
-    """,
     "complete_blobs": r"""
         select conv_id, bool_and(length(text)>=20) complete from conversations group by conv_id
     """,
@@ -34,17 +30,13 @@ SQL = {
         select d.doc_id, coalesce(case when l.quality=1 then 'env' end, case when d.lang='en' then 'file' end, 'default') layer from documents d left
         join labels l on d.doc_id=l.doc_id
     """,
-    "contract_class": r"""
-        select o.o_orderkey, case when count(l.l_orderkey)=0 then 'EMPTY' when count(l.l_orderkey)>1 then 'MULTI' when max(l.l_returnflag)='R' then 'NESTED'
-        else 'OK' end cls from orders o left join lineitem l on o.o_orderkey=l.l_orderkey group by o.o_orderkey
-    """,
     "dangling_audit": r"""
         select l_orderkey img, count(distinct l_partkey) missing from lineitem l where not exists (select 1 from part p where p.p_partkey=l.l_partkey
         and p.p_size<40) group by l_orderkey
     """,
     "dry_run_vs_real": r"""
         select img, count(*) dry_sent, cast(sum(case when rn=1 then 1 else 0 end) as bigint) real_sent from (select img,k,row_number() over (partition
-        by k order by img) rn from (select distinct l_orderkey img,l_partkey k from lineitem where l_orderkey<3000) a) b group by img
+        by k order by img) rn from (select distinct l_orderkey img,l_partkey k from lineitem) a) b group by img
     """,
     "endpoint_parts": r"""
         select page_id, regexp_extract(url,'^https?://([^/?#]+)',1) host, regexp_extract(url,'^https?://[^/?#]+/([^?#]*)',1) path from pages
@@ -58,7 +50,7 @@ SQL = {
         rn=1
     """,
     "have_union": r"""
-        select l_partkey k from lineitem where l_orderkey<2000 union select p_partkey from part where p_size<5 union select s_suppkey from supplier
+        select l_partkey k from lineitem union select cast(p_size as bigint) from part union select s_suppkey from supplier
     """,
     "json_field": r"""
         select event_id, cast(json_extract_string(props,'$.k') as bigint) k from events
@@ -73,7 +65,7 @@ SQL = {
     """,
     "plan_order": r"""
         select l_orderkey img, cast(row_number() over (partition by l_orderkey order by k) as bigint) ordinal, k from (select distinct l_orderkey, cast(l_partkey
-        as string) k from lineitem where l_orderkey<1000) x
+        as string) k from lineitem) x
     """,
     "pool_dedup": r"""
         select 'sha256:'||sha256(text) digest, count(*) copies, cast(sum(octet_length(encode(text)))-max(octet_length(encode(text))) as bigint) saved,
@@ -112,7 +104,7 @@ SQL = {
         error from v
     """,
     "resume_offset": r"""
-        with t as (select conv_id, turn, length(text) len from conversations where (conv_id*7+turn)%5<>0), r as (select *, row_number() over (partition
+        with t as (select conv_id, turn+turn//3 turn, length(text) len from conversations), r as (select *, row_number() over (partition
         by conv_id order by turn)-1 rn from t) select conv_id, cast(sum(case when turn=rn then len else 0 end) as bigint) resume_offset, cast(count(*)
         as bigint) present from r group by conv_id
     """,
@@ -130,8 +122,7 @@ SQL = {
         group by l_orderkey
     """,
     "transfer_plan": r"""
-        with need as (select distinct l_partkey k from lineitem where l_orderkey<3000), have as (select distinct l_partkey k from lineitem where l_orderkey>=6000
-        and l_orderkey<9000), pinned as (select distinct p_partkey k from part where p_size=1) select k from pinned union select n.k from need n where
+        with need as (select distinct l_partkey k from lineitem where l_returnflag='R'), have as (select distinct l_partkey k from lineitem where l_returnflag='N'), pinned as (select distinct p_partkey k from part where p_size=1) select k from pinned union select n.k from need n where
         not exists (select 1 from have h where h.k=n.k)
     """,
 }
