@@ -163,11 +163,11 @@ def build_trie(levels: list[tuple[np.ndarray, np.ndarray]], whole: bool = True)
             table[place[ok], column[(keys[ok] & _U(255)).astype(np.int64)]] = n[ok]
         counts.append(table)
     unseen = 256 - len(seen)
-    first_row, out = [], []
+    first_row = np.cumsum([0, *map(len, contexts)])[:-1].tolist()
+    out = np.empty((sum(map(len, contexts)), symbols), np.float32)  # filled in place: it is the driver's largest array
     for k, own in enumerate(contexts):
-        first_row.append(sum(map(len, out)))
-        for at in range(0, len(own), 4096):
-            part = own[at : at + 4096]
+        for at in range(0, len(own), 2048):
+            part = own[at : at + 2048]
             p, free = np.zeros((len(part), symbols)), np.ones((len(part), symbols), bool)
             weight = np.ones(len(part))
             for j in range(k, -1, -1):
@@ -182,8 +182,8 @@ def build_trie(levels: list[tuple[np.ndarray, np.ndarray]], whole: bool = True)
                 free &= c == 0
             p[:, -1] = weight / unseen if unseen else 1.0
             # what the shorter contexts have no symbol left for stays unused; the rest can't be zero but by rounding
-            out.append(np.log10(np.maximum(p, 1e-30)).astype(np.float32))
-    return Trie([Index(c) for c in contexts], first_row, np.concatenate(out), column, whole)
+            out[first_row[k] + at : first_row[k] + at + len(part)] = np.log10(np.maximum(p, 1e-30))
+    return Trie([Index(c) for c in contexts], first_row, out, column, whole)
 
 
 def store_levels(grams: DataFrame) -> list[DataFrame]:
@@ -273,7 +273,10 @@ def score_documents(docs: DataFrame, folds: int = 5, hold: int = 1) -> DataFrame
     top = words.orderBy(F.desc("n"), "key").limit(WORDS).toArrow()
     levels = store_levels(counts.where("kind = 1").select("key", "n"))
     kept, whole = collect_levels(levels)
-    model = sc.broadcast((build_trie(kept, whole), Index(top["key"].to_numpy().view(np.uint64)), top["n"].to_numpy(), ends))
+    trie = build_trie(kept, whole)
+    del kept
+    model = sc.broadcast((trie, Index(top["key"].to_numpy().view(np.uint64)), top["n"].to_numpy(), ends))
+    del trie, top
     schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("logs", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.int64())), ("times", pa.list_(pa.int64())), ("grams", pa.list_(pa.int64()))])
 
     def run(batches):
