@@ -9,15 +9,15 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyport.llm.common import Index, fold, handing_back, store
 
-#: Longest context, contexts of each length that the broadcast trie holds (the most frequent; the others' counts stay
-#: distributed), words in the broadcast table.
-ORDER, CONTEXTS, WORDS = 5, 1 << 16, 200_000
+#: Longest context; how many contexts of each length the broadcast trie holds whole, and how many grams and words the
+#: broadcast tables hold, all by frequency. Whatever they lack is scored by a join with the full counts.
+ORDER, CONTEXTS, GRAMS, WORDS = 5, 1 << 13, 1 << 20, 200_000
 #: Distinct entries that a task gathers before it hands them on, and bytes of text it works on at once.
 HELD, CHUNK = 2_000_000, 2_000_000
 _U = np.uint64
@@ -104,26 +104,35 @@ def gather_counts(docs: DataFrame) -> DataFrame:
 class Trie:
     """A byte-context trie, flattened: for each order the contexts it keeps, where their rows start, and
     log10 probabilities of all symbols for each context. ``column`` maps a byte to its symbol; the last symbol
-    stands for any byte that training never saw. ``whole`` says that no context was left out."""
+    stands for any byte that training never saw. ``whole`` says that no context was left out. ``grams`` and
+    ``gram_log10`` hold frequent grams of contexts that the trie need not keep."""
 
     contexts: list[Index]
     first_row: list[int]
     log10: np.ndarray
     column: np.ndarray
     whole: bool = True
+    grams: Index | None = None
+    gram_log10: np.ndarray | None = None
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         """log10 probability of each text with its end: every byte in its longest kept context."""
         return self.score_kept(texts)[0]
 
     def score_kept(self, texts: list[bytes]) -> tuple[np.ndarray, list[np.ndarray]]:
-        """The same; of a trie that isn't whole, without the bytes whose ORDER bytes before aren't kept, and each
-        text's grams of those bytes."""
+        """The same; of a trie that isn't whole, without the bytes whose gram and whose ORDER bytes before aren't kept,
+        and each text's grams of those bytes."""
         flat, at, n = _lay(texts)
         code = _grams(flat, at)
-        context, symbol = code >> _U(8), self.column[(code & _U(255)).astype(np.int64)]
-        row = np.zeros(len(code), np.int64)
-        left = np.arange(len(code))
+        p, open_ = np.zeros(len(code)), np.arange(len(code))
+        if self.grams is not None:
+            place = self.grams.find(code)
+            hit = place >= 0
+            p[hit] = self.gram_log10[place[hit]]
+            open_ = np.flatnonzero(~hit)
+        context, symbol = code[open_] >> _U(8), self.column[(code[open_] & _U(255)).astype(np.int64)]
+        row = np.zeros(len(open_), np.int64)
+        left = np.arange(len(open_))
         for k in range(ORDER, 0, -1):
             place = self.contexts[k].find(context[left] & _U((1 << 8 * k) - 1))
             hit = place >= 0
@@ -133,10 +142,11 @@ class Trie:
                 break
         else:
             left = left[:0]
-        p = self.log10[row, symbol].astype(np.float64)
-        p[left] = 0
+        p[open_] = self.log10[row, symbol]
+        rest = open_[left]
+        p[rest] = 0
         ends = np.cumsum(n)
-        return np.add.reduceat(p, ends - n), np.split(code[left].view(np.int64), np.searchsorted(left, ends[:-1]))
+        return np.add.reduceat(p, ends - n), np.split(code[rest].view(np.int64), np.searchsorted(rest, ends[:-1]))
 
 
 def build_trie(levels: list[tuple[np.ndarray, np.ndarray]], whole: bool = True) -> Trie:
@@ -200,15 +210,29 @@ def store_levels(grams: DataFrame) -> list[DataFrame]:
     return levels
 
 
-def collect_levels(levels: list[DataFrame], contexts: int = CONTEXTS) -> tuple[list[tuple[np.ndarray, np.ndarray]], bool]:
-    """The counts that the broadcast trie holds of every order, those of the ``contexts`` most frequent contexts
-    (orders 0 to 2 have no more), which bounds the result; and whether these are all."""
+def most_frequent(rows: DataFrame, by: str, most: int, each: Column | None = None) -> tuple[DataFrame, bool]:
+    """The rows of the largest ``by``, as many as ``most`` holds (a row counts ``each``, else 1), and whether these are
+    all. The bound lies at a quarter power of two, found from the number of rows between each two; nothing is sorted."""
+    step = F.floor(4 * F.log2(by)).cast("int")
+    found = rows.groupBy(step.alias("step")).agg(F.sum(F.lit(1.0) if each is None else each).alias("rows")).collect()
+    held, least = 0, None
+    for at, n in sorted(found, reverse=True):
+        held += round(n)
+        if held > most:
+            return rows.where(step >= least) if least is not None else rows.limit(0), False
+        least = at
+    return rows, True
+
+
+def collect_levels(levels: list[DataFrame], contexts: int | None = None) -> tuple[list[tuple[np.ndarray, np.ndarray]], bool]:
+    """The counts that the broadcast trie holds of every order, those of the ``contexts`` (CONTEXTS) most frequent
+    contexts (orders 0 to 2 have 65,536 at most), which bounds the result; and whether these are all."""
     out, whole = [], True
     for k, level in enumerate(levels):
         if 8 * k > 16:
-            own = level.select("context", "total").distinct()
-            whole = whole and own.count() <= contexts
-            level = level.join(own.orderBy(F.desc("total"), "context").limit(contexts), "context", "left_semi")
+            # a context has as many rows as symbols
+            level, every = most_frequent(level, "total", CONTEXTS if contexts is None else contexts, 1 / F.col("kinds"))
+            whole = whole and every
         got = level.select("key", "n").toArrow()
         keys, n = got["key"].to_numpy().astype(np.uint64), got["n"].to_numpy()
         order = np.argsort(keys)
@@ -254,10 +278,11 @@ def score_documents(docs: DataFrame, folds: int = 5, hold: int = 1) -> DataFrame
     Texts whose fold isn't ``hold`` are learnt from. ``score`` is the byte model's log10 probability of the text
     (A-Z lowered, UTF-8) and its end; ``base_score`` is the smoothed unigram's over words and one end token.
 
-    One pass gathers counts over all training texts; one pass scores all texts. The byte trie of the CONTEXTS most
-    frequent contexts of each length and the WORDS most frequent words are broadcast; every other word of a document, and
-    every byte behind another context, goes through a join with the full counts, so both scores are exact for
-    any vocabulary and any number of contexts.
+    One pass gathers counts over all training texts; one pass scores all texts. Of fixed size, so broadcast, are the
+    byte trie of the most frequent contexts of each length (CONTEXTS), the most frequent grams of the longest contexts
+    (GRAMS) and the most frequent words (WORDS). Every other word of a document, and every byte that neither the grams nor
+    the trie's contexts cover, goes through a join with the full counts, so both scores are exact for any
+    vocabulary and any number of contexts.
 
     Null texts count as empty and score their end alone; a null id folds like empty text; repeated rows each count and
     each score. Without training texts the byte model is uniform. Other columns are ignored; empty stays empty.
@@ -270,11 +295,16 @@ def score_documents(docs: DataFrame, folds: int = 5, hold: int = 1) -> DataFrame
     ends = rows.where(~F.col("held_out")).count()
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     n_all, v_all = total + ends, distinct + (ends > 0)
-    top = words.orderBy(F.desc("n"), "key").limit(WORDS).toArrow()
+    top = most_frequent(words, "n", WORDS)[0].toArrow()
     levels = store_levels(counts.where("kind = 1").select("key", "n"))
     kept, whole = collect_levels(levels)
     trie = build_trie(kept, whole)
     del kept
+    known = (F.log10("n") - F.log10(F.col("total") + F.col("kinds"))).alias("p")
+    if not whole:
+        frequent = most_frequent(levels[ORDER], "n", GRAMS)[0].select("key", known.cast("float")).toArrow()
+        trie.grams, trie.gram_log10 = Index(frequent["key"].to_numpy().view(np.uint64)), frequent["p"].to_numpy()
+        del frequent
     model = sc.broadcast((trie, Index(top["key"].to_numpy().view(np.uint64)), top["n"].to_numpy(), ends))
     del trie, top
     schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("logs", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.int64())), ("times", pa.list_(pa.int64())), ("grams", pa.list_(pa.int64()))])
@@ -314,7 +344,7 @@ def score_documents(docs: DataFrame, folds: int = 5, hold: int = 1) -> DataFrame
     if not whole:
         need = scored.select("row", "held_out", F.explode("grams").alias("key"))
         new = need.where("held_out").select("key").distinct().join(levels[ORDER], "key", "left_anti")
-        p = levels[ORDER].select("key", (F.log10("n") - F.log10(F.col("total") + F.col("kinds"))).alias("p")).union(score_grams(levels, new))
+        p = levels[ORDER].select("key", known).union(score_grams(levels, new))
         rare = rare.union(need.join(p, "key").select("row", F.lit(0), F.lit(0.0), "p"))
     rare = rare.groupBy("row").agg(*(F.sum(c).alias(c) for c in ("rare_known", "rare_logs", "rare_score")))
     per_token = float(np.log10(n_all + 0.5 * (v_all + 1)))

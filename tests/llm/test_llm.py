@@ -369,6 +369,17 @@ def test_lm_keeps_every_context(spark):
     assert np.allclose([got[i] for i in range(150)], want, rtol=0, atol=1e-3)
 
 
+def test_lm_scores_do_not_depend_on_the_broadcast_tables(spark, docs):
+    """Whatever the broadcast trie and the frequent grams hold, the joins give the rest."""
+    before, scores = (lm.CONTEXTS, lm.GRAMS, lm.WORDS), []
+    for lm.CONTEXTS, lm.GRAMS, lm.WORDS in ((1 << 16, 0, 10), (0, 0, 0), (3, 40, 5), (50, 1 << 20, 9)):
+        scores.append(sorted(((r.doc_id is None, r.doc_id or 0, r.n_tokens, r.n_known), r.score, r.base_score) for r in lm.score_documents(docs).collect()))
+    lm.CONTEXTS, lm.GRAMS, lm.WORDS = before
+    for other in scores[1:]:
+        assert [x[0] for x in other] == [x[0] for x in scores[0]]
+        assert np.allclose([x[1:] for x in other], [x[1:] for x in scores[0]], rtol=1e-6, atol=1e-4)
+
+
 def test_id_blocks():
     rng = np.random.default_rng(0)
     for n in (0, 1, 4096, 4097, 9000):
