@@ -54,16 +54,16 @@ def link_blocks(x: np.ndarray, y: np.ndarray, directions: np.ndarray, least: int
     px, py = x @ directions, y @ directions
     half = WINDOW * sqrt(2 - 2 * cosine)
     out_i, out_j = [], []
+    order = np.argsort(py, axis=0, kind="stable")
+    sorted_y = np.ascontiguousarray(np.take_along_axis(py, order, axis=0).T)
+    place = np.empty(sorted_y.shape, np.int32)
+    np.put_along_axis(place, order.T, np.arange(len(y), dtype=np.int32)[None, :], axis=1)
     for at in range(0, len(x), 512):
         rows = px[at : at + 512]
         count = np.zeros((len(rows), len(y)), np.uint8)
         for d in range(directions.shape[1]):
-            order = np.argsort(py[:, d], kind="stable")
-            sorted_y = py[order, d]
-            lo, hi = np.searchsorted(sorted_y, rows[:, d] - half), np.searchsorted(sorted_y, rows[:, d] + half, "right")
-            place = np.empty(len(y), np.int32)
-            place[order] = np.arange(len(y), dtype=np.int32)
-            count += (place - lo[:, None].astype(np.int32)).view(np.uint32) < (hi - lo)[:, None].astype(np.uint32)
+            lo, hi = np.searchsorted(sorted_y[d], rows[:, d] - half), np.searchsorted(sorted_y[d], rows[:, d] + half, "right")
+            count += (place[d] - lo[:, None].astype(np.int32)).view(np.uint32) < (hi - lo)[:, None].astype(np.uint32)
         i, j = np.nonzero(count >= least)
         i = i + at
         if same:

@@ -313,6 +313,25 @@ def test_near_duplicate_vectors(spark):
     assert all(got[i].n_links == 0 and got[i].kept for i in range(200, 205))
 
 
+@pytest.mark.parametrize("n", [1, 700, 1300])
+def test_vector_links_at_the_threshold(n):
+    """Pairs just above and below the threshold, against all dot products; blocks of other than 512 rows too."""
+    rng = np.random.default_rng(n)
+    x, away = rng.standard_normal((2, n, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    away -= np.einsum("ij,ij->i", away, x)[:, None] * x
+    away /= np.linalg.norm(away, axis=1)[:, None]
+    c = rng.uniform(0.925, 0.94, n)[:, None]
+    y = c * x + np.sqrt(1 - c * c) * away
+    directions = np.random.default_rng(64).standard_normal((64, vecdup.PROJECTIONS))
+    i, j = vecdup.link_blocks(x, y, directions, vecdup.least_count(), 0.93, False)
+    want = np.argwhere(x @ y.T >= 0.93)
+    assert sorted(zip(i.tolist(), j.tolist())) == [tuple(p) for p in want.tolist()]
+    both = np.concatenate([x, y])
+    i, j = vecdup.link_blocks(both, both, directions, vecdup.least_count(), 0.93, True)
+    assert sorted(zip(i.tolist(), j.tolist())) == [tuple(p) for p in np.argwhere(np.triu(both @ both.T >= 0.93, 1)).tolist()]
+
+
 def test_lm(spark, docs):
     rows = docs.collect()
     held = lambda r: zlib.crc32(("" if r.doc_id is None else str(r.doc_id)).encode()) % 5 == 1
