@@ -110,8 +110,9 @@ def chunk_rows(blobs: DataFrame, size: str, chunk: int) -> DataFrame:
 
 
 def chunk_size_of(blobs: DataFrame, metas: DataFrame, default: int) -> DataFrame:
-    """Adds ``chunk_size``: the last one that metadata recorded for a digest, else the default."""
-    last = metas.groupBy("digest").agg(F.max_by("chunk_size", "seq").alias("_c"))
+    """Adds ``chunk_size``: the last one that metadata recorded for a digest (the largest of several with one ``seq``),
+    else the default."""
+    last = metas.groupBy("digest").agg(F.max_by("chunk_size", F.struct("seq", "chunk_size")).alias("_c"))
     return blobs.join(last, "digest", "left").withColumn("chunk_size", F.when(F.col("_c") > 0, F.col("_c")).otherwise(F.lit(default).cast("bigint"))).drop("_c")
 
 
