@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyport.llm import chat, idcoder, lm, mixing, neardup, quality, sampling, tokencount, topk, vecdup
+from tallyport.llm import audit, chat, idcoder, lm, mixing, neardup, quality, sampling, tokencount, topk, vecdup, vqcodes
 from tallyport.llm.common import fold
 
 
@@ -68,11 +68,21 @@ def op10_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idcoder.token_id_files(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=0)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_top_k, op2_chat_formatting, op3_source_mixing, op4_sentencepiece, op5_token_counts, op6_minhash_near_dedup, op7_quality_classifier, op8_embedding_near_dedup, op9_lm_scoring, op10_token_id_output)}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit_filters(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vqcodes.codes_with_errors(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_top_k, op2_chat_formatting, op3_source_mixing, op4_sentencepiece, op5_token_counts, op6_minhash_near_dedup, op7_quality_classifier, op8_embedding_near_dedup, op9_lm_scoring, op10_token_id_output, op11_filter_audit, op13_vector_codes)}
 SQL = {
     "op1_exact_top_k": topk.OP1_SQL,
     "op2_chat_formatting": chat.OP2_SQL,
     "op3_source_mixing": mixing.OP3_SQL,
     "op6_minhash_near_dedup": neardup.OP6_SQL,
     "op8_embedding_near_dedup": vecdup.OP8_SQL,
+    "op11_filter_audit": audit.OP11_SQL,
+    "op13_vector_codes": vqcodes.OP13_SQL,
 }
