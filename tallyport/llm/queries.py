@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyport.llm import audit, chat, idcoder, lm, mixing, neardup, quality, sampling, tokencount, topk, vecdup, vqcodes
+from tallyport.llm import audit, chat, idcoder, lm, mixing, neardup, quality, repeats, sampling, tokencount, topk, vecdup, vqcodes
 from tallyport.llm.common import fold
 
 
@@ -72,11 +72,16 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit_filters(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op12_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = repeats.remove_repeats(_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vqcodes.codes_with_errors(_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_top_k, op2_chat_formatting, op3_source_mixing, op4_sentencepiece, op5_token_counts, op6_minhash_near_dedup, op7_quality_classifier, op8_embedding_near_dedup, op9_lm_scoring, op10_token_id_output, op11_filter_audit, op13_vector_codes)}
+QUERIES = {f.__name__: f for f in (op1_exact_top_k, op2_chat_formatting, op3_source_mixing, op4_sentencepiece, op5_token_counts, op6_minhash_near_dedup, op7_quality_classifier, op8_embedding_near_dedup, op9_lm_scoring, op10_token_id_output, op11_filter_audit, op12_suffix_array_dedup, op13_vector_codes)}
 SQL = {
     "op1_exact_top_k": topk.OP1_SQL,
     "op2_chat_formatting": chat.OP2_SQL,
@@ -84,5 +89,6 @@ SQL = {
     "op6_minhash_near_dedup": neardup.OP6_SQL,
     "op8_embedding_near_dedup": vecdup.OP8_SQL,
     "op11_filter_audit": audit.OP11_SQL,
+    "op12_suffix_array_dedup": repeats.OP12_SQL,
     "op13_vector_codes": vqcodes.OP13_SQL,
 }
