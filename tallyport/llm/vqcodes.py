@@ -27,7 +27,9 @@ def cuts(dim: int, parts: int = PARTS) -> list[tuple[int, int]]:
 
 
 def quantise(v: np.ndarray, scale: int = 256) -> np.ndarray:
-    """floor(scale * x), exact for every finite x: in the smallest integers that hold it, or as Python's integers."""
+    """floor(scale * x), exact for every x that a float can hold (doubles beyond +-2^128 stay there): in the smallest
+    integers that hold it, or as Python's integers."""
+    v = np.clip(v, -(2.0**128), 2.0**128)
     most = float(np.abs(v).max()) if v.size else 0.0
     if most * scale < 2**62:
         q = np.floor(v * scale).astype(np.int64)
@@ -298,7 +300,7 @@ def fit_codes(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     """``(rows, books)``: rows ``vec_id, label, dim, code, error`` of every usable vector, ``code`` one byte a part, and
     the final codebooks by dimension: a list of PARTS integer arrays (entries, components).
 
-    Components become floor(256 * x), exactly; each part has its own codebook, which ROUNDS rounds fit: every part to
+    Components become floor(256 * x), exactly (those of doubles beyond +-2^128, which no float reaches, stay there); each part has its own codebook, which ROUNDS rounds fit: every part to
     its nearest entry (squared Euclidean distance, ties to the lower index), then each entry to the floor of its parts'
     mean; entries without parts stay. The vectors are cut into blocks where they lie, without a shuffle. A block
     keeps its heaps from round to round in a stage table, so any task can go on with it: after a round only the parts
