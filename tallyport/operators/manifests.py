@@ -5,77 +5,102 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyport.functions.text import digest_error
+from tallyport.functions import documents as doc
+from tallyport.functions.text import digest_error, split_digest
+from tallyport.sources.store import fetch_files
 
 _DESC = "struct<mediaType:string,digest:string,size:bigint>"
-MANIFEST = f"struct<schemaVersion:int,mediaType:string,config:{_DESC},layers:array<{_DESC}>,manifests:array<{_DESC}>>"
-INDEX = "struct<schemaVersion:int,mediaType:string,manifests:array<struct<mediaType:string,digest:string,size:bigint,platform:struct<architecture:string,os:string>,annotations:map<string,string>>>>"
-META = "struct<version:int,chunkSize:bigint,ociLayout:string,indexJSON:string,descriptors:array<struct<digest:string,size:bigint>>>"
 #: Media types of indexes, which can't stand where a manifest is expected.
 NESTED = ("application/vnd.oci.image.index.v1+json", "application/vnd.docker.distribution.manifest.list.v2+json")
 
 
-def _json(raw: Column, schema: str) -> Column:
-    return F.from_json(raw.cast("string"), schema)
+def _empty(raw: Column) -> Column:
+    return F.coalesce(F.octet_length(raw), F.lit(0)) == 0
 
 
-def _is_object(raw: Column) -> Column:
-    """Spark's parser is lenient; a document must at least be whole JSON."""
-    return F.try_parse_json(raw.cast("string")).isNotNull() & F.ltrim(raw.cast("string")).startswith("{")
+def _descriptor(value: Column) -> Column:
+    """``struct<value, ok>`` of a descriptor; null is one without anything."""
 
+    def made(m: Column) -> Column:
+        kind, digest, size = doc.text_of(doc.member(m, "mediaType")), doc.text_of(doc.member(m, "digest")), doc.count_of(doc.member(m, "size"))
+        rest = doc.text_of(doc.member(m, "artifactType"))["ok"] & doc.texts_fit(doc.member(m, "annotations")) & doc.text_of(doc.member(m, "data"))["ok"]
+        urls = doc.list_of(doc.member(m, "urls"), doc.text_of, "array<string>")["ok"]
+        platform = F.coalesce(doc.let(doc.members(doc.member(m, "platform")), lambda p: doc.text_of(doc.member(p, "architecture"))["ok"] & doc.text_of(doc.member(p, "os"))["ok"]), doc.member(m, "platform").isNull())
+        return F.struct(F.struct(kind["value"].alias("mediaType"), digest["value"].alias("digest"), size["value"].alias("size")).alias("value"), (kind["ok"] & digest["ok"] & size["ok"] & rest & urls & platform).alias("ok"))
 
-def _empty(raw: Column) -> Column:
-    return F.coalesce(F.octet_length(raw), F.lit(0)) == 0
+    none = F.struct(F.struct(F.lit("").alias("mediaType"), F.lit("").alias("digest"), F.lit(0).cast("bigint").alias("size")).alias("value"), doc.is_null(value).alias("ok"))
+    return doc.let(doc.members(value), lambda m: F.when(m.isNotNull(), made(m)).otherwise(none))
 
 
-def _index_error(raw: Column, whole: Column, v: Column) -> Column:
-    return F.when(_empty(raw), "empty index").when(~F.coalesce(whole, F.lit(False)), "bad json").when(F.coalesce(F.size(v["manifests"]), F.lit(0)) <= 0, "no manifests")
+def _parsed(raw: Column, empty: str, fields, error) -> Column:
+    """``struct<value, error>``: ``fields`` (members -> structs of value and ok, by name) make the value, ``error`` looks
+    at it; an empty text, bad JSON, anything but an object and a field of a wrong type come first."""
 
+    def made(m: Column) -> Column:
+        return doc.let(F.struct(*[v.alias(k) for k, v in fields(m).items()]), lambda x: finished(m, x))
 
-def _manifest_error(raw: Column, whole: Column, v: Column) -> Column:
-    return (
-        F.when(_empty(raw), "empty manifest")
-        .when(~F.coalesce(whole, F.lit(False)), "bad json")
-        .when(v["mediaType"].isin(*NESTED), "index in place of a manifest")
-        .when((F.size(v["manifests"]) > 0) & (F.coalesce(v["mediaType"], F.lit("")) == ""), "index in place of a manifest")
-        .when(F.coalesce(v["config"]["digest"], F.lit("")) == "", "missing config digest")
-    )
+    def finished(m: Column, x: Column) -> Column:
+        names = list(fields(m))
+        value = F.struct(*[x[n]["value"].alias(n) for n in names])
+        ok = x[names[0]]["ok"]
+        for n in names[1:]:
+            ok = ok & x[n]["ok"]
+        why = F.when(_empty(raw), empty).when(m.isNull(), "bad json").when(~ok, "bad type").otherwise(error(value))
+        return F.struct(F.when(m.isNotNull() & ok, value).alias("value"), why.alias("error"))
+
+    return doc.let(doc.members(doc.document(raw)), made)
 
 
 def parse_index(raw: Column) -> Column:
-    """``struct<value, error>`` of index bytes: empty, bad JSON and an empty list are errors."""
-    v = _json(raw, INDEX)
-    return F.struct(v.alias("value"), _index_error(raw, _is_object(raw), v).alias("error"))
+    """``struct<value, error>`` of index bytes: empty, bad JSON, a wrong type and an empty list are errors."""
+    fields = lambda m: {
+        "schemaVersion": doc.count_of(doc.member(m, "schemaVersion")), "mediaType": doc.text_of(doc.member(m, "mediaType")),
+        "manifests": doc.list_of(doc.member(m, "manifests"), _descriptor, f"array<{_DESC}>"),
+    }
+    return _parsed(raw, "empty index", fields, lambda v: F.when(F.size(v["manifests"]) == 0, "no manifests"))
 
 
 def parse_manifest(raw: Column) -> Column:
-    """``struct<value, error>``: an index in a manifest's place and a missing config digest are errors; no layers is fine."""
-    v = _json(raw, MANIFEST)
-    return F.struct(v.alias("value"), _manifest_error(raw, _is_object(raw), v).alias("error"))
+    """``struct<value, error>``: a wrong type, an index in a manifest's place and a missing config digest are errors; no
+    layers is fine."""
+    fields = lambda m: {
+        "schemaVersion": doc.count_of(doc.member(m, "schemaVersion")), "mediaType": doc.text_of(doc.member(m, "mediaType")), "config": _descriptor(doc.member(m, "config")),
+        "layers": doc.list_of(doc.member(m, "layers"), _descriptor, f"array<{_DESC}>"), "manifests": doc.list_of(doc.member(m, "manifests"), lambda x: F.struct(F.lit(1).alias("value"), F.lit(True).alias("ok")), "array<int>"),
+    }
+    nested = lambda v: v["mediaType"].isin(*NESTED) | ((F.size(v["manifests"]) > 0) & (v["mediaType"] == ""))
+    return _parsed(raw, "empty manifest", fields, lambda v: F.when(nested(v), "index in place of a manifest").when(v["config"]["digest"] == "", "missing config digest"))
 
 
-def _with_parsed(rows: DataFrame, raw: str, schema: str, error, out: str) -> DataFrame:
-    """``rows`` with ``out``: ``struct<value, error>`` of a document. The document is parsed behind a generator, which
-    the optimizer doesn't merge with what uses its fields: each is parsed once, not once a field."""
-    once = F.explode(F.array(F.struct(_json(F.col(raw), schema).alias("value"), _is_object(F.col(raw)).alias("whole"))))
-    rows = rows.withColumn("_once", once)
-    return rows.withColumn(out, F.struct(F.col("_once.value").alias("value"), error(F.col(raw), F.col("_once.whole"), F.col("_once.value")).alias("error"))).drop("_once")
+def _with_parsed(rows: DataFrame, parsed: Column, out: str) -> DataFrame:
+    """``rows`` with ``out``: a parsed document, behind a generator, which the optimizer doesn't merge with what uses its
+    fields: each document is parsed once, not once a field."""
+    return rows.withColumn(out, F.explode(F.array(parsed)))
 
 
 def parse_layout(raw: Column) -> Column:
-    v = _json(raw, "struct<imageLayoutVersion:string>")
-    error = F.when(F.coalesce(F.octet_length(raw), F.lit(0)) == 0, "empty layout").when(~_is_object(raw), "bad json").when(F.coalesce(v["imageLayoutVersion"], F.lit("")) == "", "no layout version")
-    return F.struct(v.alias("value"), error.alias("error"))
+    fields = lambda m: {"imageLayoutVersion": doc.text_of(doc.member(m, "imageLayoutVersion"))}
+    return _parsed(raw, "empty layout", fields, lambda v: F.when(v["imageLayoutVersion"] == "", "no layout version"))
 
 
 def parse_meta(raw: Column) -> Column:
-    """File-server metadata: version 1, a positive chunk size and both raw halves; descriptors aren't checked."""
-    v = _json(raw, META)
-    error = (
-        F.when(~_is_object(raw), "bad json").when(F.coalesce(v["version"], F.lit(0)) != 1, "bad version").when(F.coalesce(v["chunkSize"], F.lit(0)) <= 0, "bad chunk size")
-        .when(F.coalesce(v["ociLayout"], F.lit("")) == "", "no layout").when(F.coalesce(v["indexJSON"], F.lit("")) == "", "no index")
+    """File-server metadata: version 1, a positive chunk size and both halves, which are given as JSON text;
+    descriptors' digests aren't checked."""
+
+    def half(v: Column) -> Column:
+        return F.struct(F.coalesce(F.to_json(v), F.lit("")).alias("value"), F.lit(True).alias("ok"))
+
+    def item(v: Column) -> Column:
+        d = _descriptor(v)
+        return F.struct(F.struct(d["value"]["digest"].alias("digest"), d["value"]["size"].alias("size")).alias("value"), d["ok"].alias("ok"))
+
+    fields = lambda m: {
+        "version": doc.count_of(doc.member(m, "version")), "chunkSize": doc.count_of(doc.member(m, "chunkSize")), "ociLayout": half(doc.member(m, "ociLayout")),
+        "indexJSON": half(doc.member(m, "indexJSON")), "descriptors": doc.list_of(doc.member(m, "descriptors"), item, "array<struct<digest:string,size:bigint>>"),
+    }
+    error = lambda v: (
+        F.when(v["version"] != 1, "bad version").when(v["chunkSize"] <= 0, "bad chunk size").when(v["ociLayout"] == "", "no layout").when(v["indexJSON"] == "", "no index")
     )
-    return F.struct(v.alias("value"), error.alias("error"))
+    return _parsed(raw, "bad json", fields, error)
 
 
 def single_manifest_class(index: Column) -> Column:
@@ -87,23 +112,40 @@ def single_manifest_class(index: Column) -> Column:
     )
 
 
-def read_manifests(dumps: DataFrame, blobs: DataFrame) -> DataFrame:
-    """``store, ref, manifest_digest, manifest_size, raw, m, error`` for each dump (store, ref, index_raw).
+def one_per_digest(blobs: DataFrame) -> DataFrame:
+    """One row per store and digest, the shortest blob (then the least content): a digest names one blob."""
+    rest = [c for c in ("length", "content", "path") if c in blobs.columns]
+    return blobs.groupBy("store", "digest").agg(F.min(F.struct(*rest)).alias("b")).select("store", "digest", *[f"b.{c}" for c in rest])
+
+
+def named_blobs(blobs: DataFrame, named: DataFrame) -> DataFrame:
+    """``store, digest, length, content, error`` of the blobs that ``named`` (store, digest) asks for.
+
+    ``blobs`` holds contents, or only names, sizes and paths (``read_pool`` without content): then the named files alone
+    are opened, by tasks, once it is known which they are, however large the others may be.
+    """
+    found = one_per_digest(blobs.join(named.select("store", "digest").distinct(), ["store", "digest"], "left_semi"))
+    if "path" in found.columns:
+        return fetch_files(found)
+    return found.withColumn("error", F.lit(None).cast("string"))
+
+
+def read_manifests(dumps: DataFrame, blobs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``store, ref, manifest_digest, manifest_size, raw, m, error`` for each dump (store, ref, index_raw), and the
+    dumps' columns in ``keep``.
 
     The index must hold one plain manifest; its blob must exist in the store, have its digest, and parse. An
-    unreadable image is a row with its error, so one bad image never stops the others.
+    unreadable image is a row with its error, so one bad image never stops the others. ``blobs`` as in
+    :func:`named_blobs`: of the pool only the manifests are read.
     """
-    idx = _with_parsed(dumps.select("store", "ref", "index_raw"), "index_raw", INDEX, _index_error, "i")
-    idx = idx.select("store", "ref", "i.error", single_manifest_class(F.col("i.value")).alias("class"), F.get("i.value.manifests", F.lit(0)).alias("d"))
+    idx = _with_parsed(dumps.select("store", "ref", "index_raw", *keep), parse_index(F.col("index_raw")), "i")
+    idx = idx.select("store", "ref", *keep, "i.error", single_manifest_class(F.col("i.value")).alias("class"), F.get("i.value.manifests", F.lit(0)).alias("d"))
     index_error = F.coalesce("error", F.when(F.col("class") != "OK", F.lower("class")))
-    idx = idx.select("store", "ref", index_error.alias("index_error"), F.when(index_error.isNull(), F.col("d.digest")).alias("digest"))
-    # only the blobs that an index names are looked at: layers' bytes are neither loaded nor shuffled
-    named = idx.select("store", "digest").where("digest is not null").distinct()
-    pool = blobs.join(named, ["store", "digest"], "left_semi").groupBy("store", "digest").agg(F.min(F.struct("length", "content")).alias("b"))
-    pool = pool.select("store", "digest", F.col("b.content").alias("raw"), F.col("b.length").alias("length"))
-    got = _with_parsed(idx.join(pool, ["store", "digest"], "left"), "raw", MANIFEST, _manifest_error, "p")
-    error = F.coalesce("index_error", F.when(F.col("raw").isNull(), "missing manifest blob"), digest_error(F.col("raw"), F.col("digest")), "p.error")
-    return got.select("store", "ref", F.col("digest").alias("manifest_digest"), F.col("length").alias("manifest_size"), "raw", F.when(error.isNull(), F.col("p.value")).alias("m"), error.alias("error"))
+    idx = idx.select("store", "ref", *keep, index_error.alias("index_error"), F.when(index_error.isNull(), F.col("d.digest")).alias("digest"))
+    pool = named_blobs(blobs, idx.where("digest is not null")).select("store", "digest", F.col("content").alias("raw"), "length", F.col("error").alias("read_error"))
+    got = _with_parsed(idx.join(pool, ["store", "digest"], "left"), parse_manifest(F.col("raw")), "p")
+    error = F.coalesce("index_error", "read_error", F.when(F.col("raw").isNull(), "missing manifest blob"), digest_error(F.col("raw"), F.col("digest")), "p.error")
+    return got.select("store", "ref", *keep, F.col("digest").alias("manifest_digest"), F.col("length").alias("manifest_size"), "raw", F.when(error.isNull(), F.col("p.value")).alias("m"), error.alias("error"))
 
 
 def closure(manifests: DataFrame) -> DataFrame:
@@ -127,15 +169,21 @@ def index_descriptor(index: Column, digest: Column) -> Column:
     return F.get(F.filter(index["manifests"], lambda m: m["digest"] == digest), F.lit(0))
 
 
-def image_view(dumps: DataFrame, blobs: DataFrame, wanted: DataFrame) -> DataFrame:
+def image_view(dumps: DataFrame, blobs: DataFrame, wanted: DataFrame, content: bool = True) -> DataFrame:
     """``store, ref, digest, size, content, error`` of the blobs (store, ref, digest) that images are asked for.
 
-    An index names its manifest, whose size it gives; any other digest is a blob of the pool.
+    An index names its manifest, whose size it gives; any other digest is a blob of the pool. A digest is one blob,
+    however often the pool lists it. Without ``content`` no blob is opened and the column is null.
     """
-    idx = _with_parsed(dumps.select("store", "ref", "index_raw"), "index_raw", INDEX, _index_error, "i").drop("index_raw")
-    rows = wanted.join(idx, ["store", "ref"], "left").join(blobs.select("store", "digest", "length", "content"), ["store", "digest"], "left")
+    idx = _with_parsed(dumps.select("store", "ref", "index_raw"), parse_index(F.col("index_raw")), "i").drop("index_raw")
+    if content:
+        pool = named_blobs(blobs, wanted)
+    else:
+        pool = one_per_digest(blobs.drop("content", "path")).withColumns({"content": F.lit(None).cast("binary"), "error": F.lit(None).cast("string")})
+    pool = pool.select("store", "digest", "length", "content", F.col("error").alias("read_error"))
+    rows = wanted.join(idx, ["store", "ref"], "left").join(pool, ["store", "digest"], "left")
     said = index_descriptor(F.col("i.value"), F.col("digest"))
-    error = F.when(F.col("i").isNull(), "no such image").otherwise(F.coalesce(F.col("i.error"), F.when(F.col("length").isNull(), "missing blob")))
+    error = F.when(F.col("i").isNull(), "no such image").otherwise(F.coalesce(F.col("i.error"), F.when(F.col("length").isNull(), "missing blob"), "read_error"))
     size = F.coalesce(said["size"], F.col("length"))
     return rows.select("store", "ref", "digest", F.when(error.isNull(), size).alias("size"), F.when(error.isNull(), F.col("content")).alias("content"), error.alias("error"))
 
@@ -172,18 +220,27 @@ def enumerate_images(transport: str, read=None, inspected=None, inventory=None)
 
 def inspected_manifests(images: DataFrame) -> DataFrame:
     """Raw manifests (store, ref, raw) as :func:`read_manifests` returns them; a bad one is a row with its error."""
-    got = _with_parsed(images, "raw", MANIFEST, _manifest_error, "p")
+    got = _with_parsed(images, parse_manifest(F.col("raw")), "p")
     digest, size = F.concat(F.lit("sha256:"), F.sha2("raw", 256)), F.octet_length("raw").cast("bigint")
     error = F.col("p.error")
     return got.select("store", "ref", digest.alias("manifest_digest"), size.alias("manifest_size"), "raw", F.when(error.isNull(), F.col("p.value")).alias("m"), error.alias("error"))
 
 
 def meta_json(layout_raw: Column, index_raw: Column, chunk: Column, descs: Column) -> Column:
-    """``struct<json, error>`` of an image's metadata. Both tag files go in as they are, byte for byte."""
-    items = F.transform(descs, lambda d: F.format_string('{"digest":"%s","size":%d}', d["digest"], d["size"]))
-    empty = lambda c: F.coalesce(F.octet_length(c), F.lit(0)) == 0
-    error = F.when(F.coalesce(chunk, F.lit(0)) <= 0, "bad chunk size").when(empty(layout_raw), "no layout").when(empty(index_raw), "no index")
-    made = F.concat(F.lit('{"version":1,"chunkSize":'), chunk.cast("string"), F.lit(',"ociLayout":'), layout_raw.cast("string"), F.lit(',"indexJSON":'), index_raw.cast("string"), F.lit(',"descriptors":['), F.array_join(items, ","), F.lit("]}"))
+    """``struct<json, error>`` of an image's metadata.
+
+    Both tag files go in as they are, byte for byte, and so must be whole JSON documents themselves; descriptors are
+    written by the JSON writer, and each must have a well-formed digest, so that no name can add fields of its own. A
+    missing size is written as 0.
+    """
+    items = F.to_json(F.transform(descs, lambda d: F.struct(d["digest"].alias("digest"), F.coalesce(d["size"], F.lit(0)).alias("size"))))
+    formed = F.forall(descs, lambda d: split_digest(d["digest"])["error"].isNull())
+    whole = doc.document(layout_raw).isNotNull() & doc.document(index_raw).isNotNull()
+    error = (
+        F.when(F.coalesce(chunk, F.lit(0)) <= 0, "bad chunk size").when(_empty(layout_raw), "no layout").when(_empty(index_raw), "no index")
+        .when(~F.coalesce(whole, F.lit(False)), "bad json").when(~F.coalesce(formed, F.lit(False)), "malformed digest")
+    )
+    made = F.concat(F.lit('{"version":1,"chunkSize":'), chunk.cast("string"), F.lit(',"ociLayout":'), layout_raw.cast("string"), F.lit(',"indexJSON":'), index_raw.cast("string"), F.lit(',"descriptors":'), items, F.lit("}"))
     return F.struct(F.when(error.isNull(), made).alias("json"), error.alias("error"))
 
 
@@ -192,10 +249,10 @@ def commit_metas(dumps: DataFrame, blobs: DataFrame, chunk: int, name: Column) -
 
     The manifest must be there, verified and of a single-image index; then its descriptors are taken from it.
     """
-    read = read_manifests(dumps, blobs)
-    rows = dumps.join(read.drop("raw"), ["store", "ref"])
+    rows = read_manifests(dumps, blobs, keep=("index_raw", "layout_raw"))
     descs = descriptors(F.col("manifest_digest"), F.col("manifest_size"), F.col("m"))
-    rows = rows.withColumn("_meta", meta_json(F.col("layout_raw"), F.col("index_raw"), F.lit(chunk).cast("bigint"), descs))
+    made = meta_json(F.col("layout_raw"), F.col("index_raw"), F.lit(chunk).cast("bigint"), descs)
+    rows = _with_parsed(rows, F.when(F.col("error").isNull(), made), "_meta")
     error = F.coalesce("error", "_meta.error")
     return rows.select("ref", name.alias("name"), F.when(error.isNull(), F.col("_meta.json")).alias("json"), error.alias("error"))
 

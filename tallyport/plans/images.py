@@ -154,7 +154,8 @@ def image_view(spark, d):
 @query("with {store} select k as img, case when kind = 6 then 'missing manifest blob' when kind = 7 then 'digest mismatch' end as error, case when kind not in (6, 7) then size end as n from dumps")
 def inspect_image(spark, d):
     images = _images(spark, d)
-    got = images.select("ref", "digest").join(_blobs(images).select("digest", "content"), "digest", "left")
+    pool = manifests.named_blobs(_blobs(images), images)
+    got = images.select("store", "ref", "digest").join(pool.select("store", "digest", "content"), ["store", "digest"], "left")
     x = manifests.inspect_image(F.col("content"), F.col("digest"))
     return got.select(F.col("ref").alias("img"), x["error"].alias("error"), F.octet_length(x["raw"]).cast("bigint").alias("n"))
 

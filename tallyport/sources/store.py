@@ -99,23 +99,76 @@ def list_images(dumps: DataFrame) -> DataFrame:
     return rows.select("dump", F.concat("d.host", F.lit("/"), "d.repo", tail).alias("ref"), F.col("d.error").alias("error"))
 
 
+#: Bytes of the largest blob that becomes a value of one row. Larger ones are streamed, never read whole.
+LARGEST_VALUE = 1 << 30
+
+
 def read_pool(spark: SparkSession, root: str, store: str = "local", content: bool = True, folder: str = POOL, algo: str = "sha256", strict: bool = False) -> DataFrame:
     """``store, digest, length, content`` of a blob pool: names of the digest's length, so no part files.
 
     ``folder`` is share for a shared pool, or blobs for a plain image directory; ``strict`` takes hex names only.
-    Without ``content`` only names and sizes are read.
+    Without ``content`` only names and sizes are read, and ``path`` is in its place: :func:`fetch_files` opens what is
+    still wanted of the rows then.
     """
     own, base = file_system(f"{root}/{folder}/{algo}")
+    last = "content binary" if content else "path string"
     if not _children(own, base):
-        return spark.createDataFrame([], "store string, digest string, length bigint, content binary")
+        return spark.createDataFrame([], f"store string, digest string, length bigint, {last}")
     files = spark.read.format("binaryFile").load(f"{root}/{folder}/{algo}")
     name = F.element_at(F.split("path", "/"), -1)
     rows = files.withColumn("name", name).where(F.length("name") == {"sha256": 64, "sha384": 96, "sha512": 128}[algo])
     rows = rows.where(F.col("name").rlike("^[0-9a-f]+$")) if strict else rows
-    body = F.col("content") if content else F.lit(None).cast("binary").alias("content")
+    body = F.col("content") if content else F.concat(F.lit(f"{root}/{folder}/{algo}/"), "name").alias("path")
     return rows.select(F.lit(store).alias("store"), F.concat(F.lit(f"{algo}:"), "name").alias("digest"), "length", body)
 
 
+def fetch_files(rows: DataFrame, most: int = LARGEST_VALUE) -> DataFrame:
+    """``rows`` (store, digest, length, path) with ``content`` and ``error`` in place of the path: the files are opened by
+    tasks. One that is gone, or longer than a value may be, is a row with its error."""
+
+    def read(path, length):
+        if length > most:
+            return None, "blob too large"
+        own, at = file_system(path)
+        try:
+            with own.open_input_stream(at) as f:
+                return f.read(), None
+        except FileNotFoundError:
+            return None, "missing blob"
+
+    def run(batches):
+        for batch in batches:
+            size, at = 0, 0
+            lengths, paths = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            got = []
+            for i, (path, length) in enumerate(zip(paths, lengths)):
+                got.append(read(path, length))
+                size += length
+                if size >= 1 << 24 or i + 1 == batch.num_rows:  # a few large values a batch, or many small ones
+                    body, why = zip(*got)
+                    part = batch.slice(at, len(got))
+                    yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(body, pa.binary()), pa.array(why, pa.string())], names=["store", "digest", "length", "content", "error"])
+                    size, at, got = 0, i + 1, []
+
+    return rows.select("store", "digest", "length", "path").mapInArrow(run, "store string, digest string, length bigint, content binary, error string")
+
+
+def read_image_dir(spark: SparkSession, root: str, store: str = "dir", algo: str = "sha256") -> tuple[DataFrame, DataFrame]:
+    """``(dumps, blobs)`` of a plain image directory, which holds one image: its tag files at the top, its blobs under
+    ``blobs``. Its reference is the directory's path; blobs are names, sizes and paths."""
+    own, base = file_system(root)
+
+    def raw(name):
+        try:
+            with own.open_input_stream(f"{base}/{name}") as f:
+                return f.read()
+        except FileNotFoundError:
+            return None
+
+    dumps = spark.createDataFrame([(store, root, *map(raw, TAG_FILES))], "store string, ref string, index_raw binary, layout_raw binary")
+    return dumps, read_pool(spark, root, store, content=False, folder="blobs", algo=algo)
+
+
 def _listed(rows: DataFrame, ref: Column, keep: Column) -> DataFrame:
     """``ref, pos``: each name once, at its first place."""
     return rows.select(ref.alias("ref"), "pos").where(F.coalesce(keep, F.lit(False))).groupBy("ref").agg(F.min("pos").alias("pos"))
