@@ -1,8 +1,8 @@
-"""JSON documents read strictly: one value and nothing behind it, fields of their types, keys in any case.
+"""JSON documents read strictly: one value and nothing behind it, fields of their types, names in any case.
 
-A document becomes a VARIANT once; its members are maps of VARIANTs, whose types are then checked one by one. What a
-lenient reader turns into nulls (a number for a text, a fraction for a count, cut or trailing text) is an error here.
-Null stands for a missing value everywhere, and a missing text is empty, a missing count 0, a missing list empty.
+A document becomes a VARIANT once and is opened level by level: an object as a struct of VARIANTs, whose types are then
+checked. What a lenient reader turns into nulls (a number for a text, a fraction for a count, cut or trailing text) is an
+error here. Null stands for a missing value everywhere; a missing text is empty, a missing count 0, a missing list empty.
 """
 
 from __future__ import annotations
@@ -18,64 +18,61 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def document(raw: Column) -> Column:
-    """The one JSON value of a text as a VARIANT; null if there is none, or anything behind it, or a repeated key.
-
-    The parser stops behind the first value, so the text must be whole as a member and as an element: no text can close
-    both brackets before its end.
-    """
+def canonical(raw: Column, names: tuple[str, ...]) -> Column:
+    """The text with these names of members as they are given, whatever case they had. In JSON a quoted word before a
+    colon is a name, never part of a text, whose quotes are escaped."""
     text = raw.cast("string")
-    inside = lambda a, b: F.try_parse_json(F.concat(F.lit(a), text, F.lit(b)))
-    member = F.try_variant_get(inside('{"d":', "}"), "$.d", "variant")
-    one = F.try_variant_get(inside("[", "]"), "$[1]", "variant").isNull() & inside("[", "]").isNotNull()
-    return F.when(one, member)
+    anywhere = "|".join(names)
+    fixed = text
+    for name in names:
+        fixed = F.regexp_replace(fixed, rf'(?i)"{name}"(\s*:)', f'"{name}"$1')
+    return F.when(text.rlike(rf'"(?!(?:{anywhere})")(?i:{anywhere})"\s*:'), fixed).otherwise(text)
 
 
-def is_null(value: Column) -> Column:
-    return value.isNull() | F.coalesce(F.is_variant_null(value), F.lit(False))
+def document(text: Column) -> Column:
+    """The one JSON value of a text as a VARIANT; null if there is none, or anything behind it, or a repeated name.
 
-
-def members(value: Column) -> Column:
-    """The members of an object; null for anything else."""
-    return F.when(F.schema_of_variant(value).startswith("OBJECT<"), value.try_cast("map<string,variant>"))
+    The parser stops behind the first value it can close, so the text is read as a member, and the member behind it,
+    which holds the text's own hash, must be found: a text that closes the bracket itself would have to name its hash.
+    """
+    mark = F.hex(F.xxhash64(text))
+    whole = F.try_parse_json(F.concat(F.lit('{"d":'), text, F.lit(',"end":"'), mark, F.lit('"}')))
+    return let(whole, lambda v: F.when(F.try_variant_get(v, "$.end", "string") == mark, F.try_variant_get(v, "$.d", "variant")))
 
 
-def elements(value: Column) -> Column:
-    """The elements of a list; null for anything else."""
-    return F.when(F.schema_of_variant(value).startswith("ARRAY<"), value.try_cast("array<variant>"))
+def opened(value: Column, names: tuple[str, ...]) -> Column:
+    """An object as a struct of VARIANTs, null for anything else."""
+    return F.try_variant_get(value, "$", "struct<" + ",".join(f"{n}:variant" for n in names) + ">")
 
 
-def member(fields: Column, name: str) -> Column:
-    """A member by its name, else by its name in another case; null if it is missing or null."""
-    other = F.get(F.map_values(F.map_filter(fields, lambda k, _: F.lower(k) == name.lower())), F.lit(0))
-    return let(F.coalesce(F.try_element_at(fields, F.lit(name)), other), lambda v: F.when(~is_null(v), v))
+def is_null(value: Column) -> Column:
+    return value.isNull() | F.coalesce(F.is_variant_null(value), F.lit(False))
 
 
-def _typed(value: Column, kind: str, spark_type: str, none) -> Column:
-    fits = F.coalesce(F.schema_of_variant(value) == kind, F.lit(True))
-    got = F.when(fits, F.try_variant_get(value, "$", spark_type))
-    return F.struct(F.coalesce(got, F.lit(none).cast(spark_type)).alias("value"), fits.alias("ok"))
+def fits(value: Column, kind: str) -> Column:
+    """Whether a value is missing, null or of a kind: STRING, or BIGINT for a number of 63 bits without point or
+    exponent."""
+    return value.isNull() | F.schema_of_variant(value).isin(kind, "VOID")
 
 
 def text_of(value: Column) -> Column:
-    """``struct<value, ok>`` of a text."""
-    return _typed(value, "STRING", "string", "")
+    return F.coalesce(F.try_variant_get(value, "$", "string"), F.lit(""))
 
 
 def count_of(value: Column) -> Column:
-    """``struct<value, ok>`` of an integer of 63 bits, written without point or exponent."""
-    return _typed(value, "BIGINT", "bigint", 0)
+    return F.coalesce(F.try_variant_get(value, "$", "bigint"), F.lit(0).cast("bigint"))
 
 
-def texts_fit(value: Column) -> Column:
-    """Whether an object, if there is one, has texts alone."""
-    return F.when(value.isNotNull(), F.coalesce(F.forall(F.map_values(members(value)), lambda v: is_null(v) | (F.schema_of_variant(v) == "STRING")), F.lit(False))).otherwise(True)
+def elements(value: Column) -> Column:
+    """The elements of a list, none if it is missing; null for anything else."""
+    return F.when(is_null(value), F.array().cast("array<variant>")).otherwise(F.try_variant_get(value, "$", "array<variant>"))
 
 
-def list_of(value: Column, make: Callable[[Column], Column], empty: str) -> Column:
-    """``struct<value array, ok>`` of a list whose elements ``make`` turns into ``struct<value, ok>``; ``empty`` is the
-    array's type."""
-    got = lambda items: F.when(
-        items.isNotNull(), F.struct(F.transform(items, lambda x: x["value"]).alias("value"), F.forall(items, lambda x: x["ok"]).alias("ok"))
-    ).otherwise(F.struct(F.array().cast(empty).alias("value"), value.isNull().alias("ok")))
-    return let(F.transform(elements(value), make), got)
+def all_fit(items: Column, kind: str) -> Column:
+    """Whether there are ``items``, and all are of a kind."""
+    return F.coalesce(F.forall(items, lambda v: fits(v, kind)), F.lit(False))
+
+
+def texts_fit(value: Column) -> Column:
+    """Whether a value is missing, or an object whose values are all texts."""
+    return is_null(value) | all_fit(F.map_values(F.try_variant_get(value, "$", "map<string,variant>")), "STRING")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,57 +20,72 @@ def _empty(raw: Column) -> Column:
     return F.coalesce(F.octet_length(raw), F.lit(0)) == 0
 
 
+_FIELDS = ("mediaType", "digest", "size", "artifactType", "annotations", "urls", "data", "platform")
+_PLATFORM = ("architecture", "os")
+_NAMES = ("schemaVersion", "config", "layers", "manifests", "imageLayoutVersion", *_FIELDS, *_PLATFORM)
+
+
 def _descriptor(value: Column) -> Column:
     """``struct<value, ok>`` of a descriptor; null is one without anything."""
 
-    def made(m: Column) -> Column:
-        kind, digest, size = doc.text_of(doc.member(m, "mediaType")), doc.text_of(doc.member(m, "digest")), doc.count_of(doc.member(m, "size"))
-        rest = doc.text_of(doc.member(m, "artifactType"))["ok"] & doc.texts_fit(doc.member(m, "annotations")) & doc.text_of(doc.member(m, "data"))["ok"]
-        urls = doc.list_of(doc.member(m, "urls"), doc.text_of, "array<string>")["ok"]
-        platform = F.coalesce(doc.let(doc.members(doc.member(m, "platform")), lambda p: doc.text_of(doc.member(p, "architecture"))["ok"] & doc.text_of(doc.member(p, "os"))["ok"]), doc.member(m, "platform").isNull())
-        return F.struct(F.struct(kind["value"].alias("mediaType"), digest["value"].alias("digest"), size["value"].alias("size")).alias("value"), (kind["ok"] & digest["ok"] & size["ok"] & rest & urls & platform).alias("ok"))
+    def made(v: Column) -> Column:
+        texts = [doc.fits(v[n], "STRING") for n in ("mediaType", "digest", "artifactType", "data")]
+        platform = doc.is_null(v["platform"]) | F.coalesce(doc.let(doc.opened(v["platform"], _PLATFORM), lambda p: doc.fits(p["architecture"], "STRING") & doc.fits(p["os"], "STRING")), F.lit(False))
+        ok = reduce(Column.__and__, texts) & doc.fits(v["size"], "BIGINT") & doc.texts_fit(v["annotations"]) & doc.all_fit(doc.elements(v["urls"]), "STRING") & platform
+        got = F.struct(doc.text_of(v["mediaType"]).alias("mediaType"), doc.text_of(v["digest"]).alias("digest"), doc.count_of(v["size"]).alias("size"))
+        return F.struct(got.alias("value"), (doc.is_null(value) | (v.isNotNull() & ok)).alias("ok"))
 
-    none = F.struct(F.struct(F.lit("").alias("mediaType"), F.lit("").alias("digest"), F.lit(0).cast("bigint").alias("size")).alias("value"), doc.is_null(value).alias("ok"))
-    return doc.let(doc.members(value), lambda m: F.when(m.isNotNull(), made(m)).otherwise(none))
+    return doc.let(doc.opened(value, _FIELDS), made)
 
 
-def _parsed(raw: Column, empty: str, fields, error) -> Column:
-    """``struct<value, error>``: ``fields`` (members -> structs of value and ok, by name) make the value, ``error`` looks
-    at it; an empty text, bad JSON, anything but an object and a field of a wrong type come first."""
+def _descriptors(value: Column) -> Column:
+    """``struct<value, ok>`` of a list of descriptors."""
+    got = lambda x: F.struct(F.transform(x, lambda d: d["value"]).alias("value"), F.coalesce(F.forall(x, lambda d: d["ok"]), F.lit(False)).alias("ok"))
+    return doc.let(F.transform(doc.elements(value), _descriptor), got)
 
-    def made(m: Column) -> Column:
-        return doc.let(F.struct(*[v.alias(k) for k, v in fields(m).items()]), lambda x: finished(m, x))
 
-    def finished(m: Column, x: Column) -> Column:
-        names = list(fields(m))
-        value = F.struct(*[x[n]["value"].alias(n) for n in names])
-        ok = x[names[0]]["ok"]
-        for n in names[1:]:
-            ok = ok & x[n]["ok"]
-        why = F.when(_empty(raw), empty).when(m.isNull(), "bad json").when(~ok, "bad type").otherwise(error(value))
-        return F.struct(F.when(m.isNotNull() & ok, value).alias("value"), why.alias("error"))
+def _parsed(raw: Column, empty: str, names: tuple[str, ...], value, error, canonical: bool = True) -> Column:
+    """``struct<value, error>`` of a document: ``value`` (its members as a struct of VARIANTs -> ``struct<value, ok>``);
+    ``error`` looks at the value. An empty text, bad JSON and a wrong type come before."""
 
-    return doc.let(doc.members(doc.document(raw)), made)
+    def told(x: Column) -> Column:
+        why = F.when(~F.coalesce(x["ok"], F.lit(False)), "bad type").otherwise(error(x["value"]))
+        return F.struct(F.when(x["ok"], x["value"]).alias("value"), why.alias("error"))
+
+    def whole(v: Column) -> Column:
+        found = doc.let(doc.let(doc.opened(v, names), value), told)
+        return F.struct(found["value"].alias("value"), F.when(_empty(raw), empty).when(v.isNull(), "bad json").otherwise(found["error"]).alias("error"))
+
+    text = doc.canonical(raw, _NAMES) if canonical else raw.cast("string")
+    return doc.let(doc.let(doc.document(text), whole), lambda x: x)
 
 
 def parse_index(raw: Column) -> Column:
     """``struct<value, error>`` of index bytes: empty, bad JSON, a wrong type and an empty list are errors."""
-    fields = lambda m: {
-        "schemaVersion": doc.count_of(doc.member(m, "schemaVersion")), "mediaType": doc.text_of(doc.member(m, "mediaType")),
-        "manifests": doc.list_of(doc.member(m, "manifests"), _descriptor, f"array<{_DESC}>"),
-    }
-    return _parsed(raw, "empty index", fields, lambda v: F.when(F.size(v["manifests"]) == 0, "no manifests"))
+
+    def value(m: Column) -> Column:
+        plain = doc.fits(m["schemaVersion"], "BIGINT") & doc.fits(m["mediaType"], "STRING")
+        got = lambda d: F.struct(F.struct(doc.count_of(m["schemaVersion"]).alias("schemaVersion"), doc.text_of(m["mediaType"]).alias("mediaType"), d["value"].alias("manifests")).alias("value"), (m.isNotNull() & plain & d["ok"]).alias("ok"))
+        return doc.let(_descriptors(m["manifests"]), got)
+
+    return _parsed(raw, "empty index", ("schemaVersion", "mediaType", "manifests"), value, lambda v: F.when(F.size(v["manifests"]) == 0, "no manifests"))
 
 
 def parse_manifest(raw: Column) -> Column:
     """``struct<value, error>``: a wrong type, an index in a manifest's place and a missing config digest are errors; no
     layers is fine."""
-    fields = lambda m: {
-        "schemaVersion": doc.count_of(doc.member(m, "schemaVersion")), "mediaType": doc.text_of(doc.member(m, "mediaType")), "config": _descriptor(doc.member(m, "config")),
-        "layers": doc.list_of(doc.member(m, "layers"), _descriptor, f"array<{_DESC}>"), "manifests": doc.list_of(doc.member(m, "manifests"), lambda x: F.struct(F.lit(1).alias("value"), F.lit(True).alias("ok")), "array<int>"),
-    }
-    nested = lambda v: v["mediaType"].isin(*NESTED) | ((F.size(v["manifests"]) > 0) & (v["mediaType"] == ""))
-    return _parsed(raw, "empty manifest", fields, lambda v: F.when(nested(v), "index in place of a manifest").when(v["config"]["digest"] == "", "missing config digest"))
+
+    def value(m: Column) -> Column:
+        plain = doc.fits(m["schemaVersion"], "BIGINT") & doc.fits(m["mediaType"], "STRING")
+
+        def got(d: Column) -> Column:
+            fields = (doc.count_of(m["schemaVersion"]).alias("schemaVersion"), doc.text_of(m["mediaType"]).alias("mediaType"), d["config"]["value"].alias("config"), d["layers"]["value"].alias("layers"), F.size(d["listed"]).alias("listed"))
+            return F.struct(F.struct(*fields).alias("value"), (m.isNotNull() & plain & d["config"]["ok"] & d["layers"]["ok"]).alias("ok"))
+
+        return doc.let(F.struct(_descriptor(m["config"]).alias("config"), _descriptors(m["layers"]).alias("layers"), doc.elements(m["manifests"]).alias("listed")), got)
+
+    nested = lambda v: v["mediaType"].isin(*NESTED) | ((v["listed"] > 0) & (v["mediaType"] == ""))
+    return _parsed(raw, "empty manifest", ("schemaVersion", "mediaType", "config", "layers", "manifests"), value, lambda v: F.when(nested(v), "index in place of a manifest").when(v["config"]["digest"] == "", "missing config digest"))
 
 
 def _with_parsed(rows: DataFrame, parsed: Column, out: str) -> DataFrame:
@@ -78,29 +95,28 @@ def _with_parsed(rows: DataFrame, parsed: Column, out: str) -> DataFrame:
 
 
 def parse_layout(raw: Column) -> Column:
-    fields = lambda m: {"imageLayoutVersion": doc.text_of(doc.member(m, "imageLayoutVersion"))}
-    return _parsed(raw, "empty layout", fields, lambda v: F.when(v["imageLayoutVersion"] == "", "no layout version"))
+    got = lambda m: F.struct(F.struct(doc.text_of(m["imageLayoutVersion"]).alias("imageLayoutVersion")).alias("value"), (m.isNotNull() & doc.fits(m["imageLayoutVersion"], "STRING")).alias("ok"))
+    return _parsed(raw, "empty layout", ("imageLayoutVersion",), got, lambda v: F.when(v["imageLayoutVersion"] == "", "no layout version"))
 
 
 def parse_meta(raw: Column) -> Column:
     """File-server metadata: version 1, a positive chunk size and both halves, which are given as JSON text;
-    descriptors' digests aren't checked."""
+    descriptors' digests aren't checked. Its names count in their own case alone, since the halves stay as they are."""
+
+    def value(m: Column) -> Column:
+        half = lambda n: F.coalesce(F.to_json(m[n]), F.lit("")).alias(n)
 
-    def half(v: Column) -> Column:
-        return F.struct(F.coalesce(F.to_json(v), F.lit("")).alias("value"), F.lit(True).alias("ok"))
+        def got(d: Column) -> Column:
+            listed = F.transform(d["value"], lambda x: F.struct(x["digest"].alias("digest"), x["size"].alias("size")))
+            fields = F.struct(doc.count_of(m["version"]).alias("version"), doc.count_of(m["chunkSize"]).alias("chunkSize"), half("ociLayout"), half("indexJSON"), listed.alias("descriptors"))
+            return F.struct(fields.alias("value"), (m.isNotNull() & doc.fits(m["version"], "BIGINT") & doc.fits(m["chunkSize"], "BIGINT") & d["ok"]).alias("ok"))
 
-    def item(v: Column) -> Column:
-        d = _descriptor(v)
-        return F.struct(F.struct(d["value"]["digest"].alias("digest"), d["value"]["size"].alias("size")).alias("value"), d["ok"].alias("ok"))
+        return doc.let(_descriptors(m["descriptors"]), got)
 
-    fields = lambda m: {
-        "version": doc.count_of(doc.member(m, "version")), "chunkSize": doc.count_of(doc.member(m, "chunkSize")), "ociLayout": half(doc.member(m, "ociLayout")),
-        "indexJSON": half(doc.member(m, "indexJSON")), "descriptors": doc.list_of(doc.member(m, "descriptors"), item, "array<struct<digest:string,size:bigint>>"),
-    }
     error = lambda v: (
         F.when(v["version"] != 1, "bad version").when(v["chunkSize"] <= 0, "bad chunk size").when(v["ociLayout"] == "", "no layout").when(v["indexJSON"] == "", "no index")
     )
-    return _parsed(raw, "bad json", fields, error)
+    return _parsed(raw, "bad json", ("version", "chunkSize", "ociLayout", "indexJSON", "descriptors"), value, error, canonical=False)
 
 
 def single_manifest_class(index: Column) -> Column:
@@ -235,7 +251,7 @@ def meta_json(layout_raw: Column, index_raw: Column, chunk: Column, descs: Colum
     """
     items = F.to_json(F.transform(descs, lambda d: F.struct(d["digest"].alias("digest"), F.coalesce(d["size"], F.lit(0)).alias("size"))))
     formed = F.forall(descs, lambda d: split_digest(d["digest"])["error"].isNull())
-    whole = doc.document(layout_raw).isNotNull() & doc.document(index_raw).isNotNull()
+    whole = doc.document(layout_raw.cast("string")).isNotNull() & doc.document(index_raw.cast("string")).isNotNull()
     error = (
         F.when(F.coalesce(chunk, F.lit(0)) <= 0, "bad chunk size").when(_empty(layout_raw), "no layout").when(_empty(index_raw), "no index")
         .when(~F.coalesce(whole, F.lit(False)), "bad json").when(~F.coalesce(formed, F.lit(False)), "malformed digest")

@@ -62,7 +62,11 @@ _STORE = f"""
 
 
 def _images(spark, d) -> DataFrame:
-    """``store, ref, kind, m, digest, size, index_raw, layout_raw``: the images' manifests and tag files."""
+    """``store, ref, kind, m, digest, size, index_raw, layout_raw``: the images' manifests and tag files.
+
+    They are made once and kept as a stage: a query's dumps, blobs and named digests all read it, and neither scan the
+    tables nor hash the layers again.
+    """
     layer = F.format_string('{"digest":"%s","size":%d}', _digest(F.col("l_partkey")), F.col("l_partkey") % 97 + 1)
     lines = _t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", layer.alias("json")))).alias("x"))
     rows = _t(spark, d, "orders").select("o_orderkey").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").withColumn("kind", F.col("o_orderkey") % 16)
@@ -78,7 +82,7 @@ def _images(spark, d) -> DataFrame:
         .when(kind == 3, listed(F.format_string(f'{{"mediaType":"{_NESTED}","digest":"%s","size":%d}}', F.col("digest"), F.col("size"))))
         .when(kind == 4, '{"manifests":[{"mediaType":"x","digest":"","size":1}]}').when(kind == 5, "{not json").otherwise(listed(one))
     )
-    return rows.select(F.lit("s").alias("store"), F.col("o_orderkey").alias("ref"), "kind", F.col("m"), "digest", "size", index.cast("binary").alias("index_raw"), F.lit('{"imageLayoutVersion":"1.0.0"}').cast("binary").alias("layout_raw"))
+    return execution.settled(rows.select(F.lit("s").alias("store"), F.col("o_orderkey").alias("ref"), "kind", F.col("m"), "digest", "size", index.cast("binary").alias("index_raw"), F.lit('{"imageLayoutVersion":"1.0.0"}').cast("binary").alias("layout_raw")))
 
 
 def _blobs(images: DataFrame) -> DataFrame:
