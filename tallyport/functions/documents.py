@@ -32,12 +32,13 @@ def canonical(raw: Column, names: tuple[str, ...]) -> Column:
 def document(text: Column) -> Column:
     """The one JSON value of a text as a VARIANT; null if there is none, or anything behind it, or a repeated name.
 
-    The parser stops behind the first value it can close, so the text is read as a member, and the member behind it,
-    which holds the text's own hash, must be found: a text that closes the bracket itself would have to name its hash.
+    The parser stops behind the first value it can close, so the text is read as the first element of a list whose
+    second one is the text's own hash: a text with more than one value, or one that closes the list itself, would have to
+    hold its own hash in that place.
     """
     mark = F.hex(F.xxhash64(text))
-    whole = F.try_parse_json(F.concat(F.lit('{"d":'), text, F.lit(',"end":"'), mark, F.lit('"}')))
-    return let(whole, lambda v: F.when(F.try_variant_get(v, "$.end", "string") == mark, F.try_variant_get(v, "$.d", "variant")))
+    whole = F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"'), mark, F.lit('"]')))
+    return let(whole, lambda v: F.when(F.try_variant_get(v, "$[1]", "string") == mark, F.try_variant_get(v, "$[0]", "variant")))
 
 
 def opened(value: Column, names: tuple[str, ...]) -> Column:

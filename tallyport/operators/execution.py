@@ -101,7 +101,8 @@ def settled(df: DataFrame) -> DataFrame:
 def write_blobs(pieces: DataFrame, root: str, verify: bool = True, tasks: int | None = None) -> DataFrame:
     """Writes blobs into the pool under ``root`` and returns ``digest, status, length``; an action writes.
 
-    ``pieces`` (digest, size, idx, content) are a blob's consecutive parts, so that a blob may be larger than a row. A
+    ``pieces`` (digest, size, idx, content) are a blob's consecutive parts, so that a blob may be larger than a row; of
+    pieces with one place the first counts. A
     blob is one task's: its parts, sorted, go to a part file named by digest and attempt; then size and, with
     ``verify``, hash decide, and only a right blob is renamed into place. A lost task leaves a part file that nothing
     reads, and its retry starts anew; a blob already there in full size is ``reused``. ``tasks`` bounds how many run.
@@ -115,7 +116,7 @@ def write_blobs(pieces: DataFrame, root: str, verify: bool = True, tasks: int |
         from pyarrow import fs
 
         store, base = file_system(root)
-        now = None  # digest, size, hash, bytes so far, part file, stream
+        now = last = None  # digest, size, hash, bytes so far, part file, stream; the last piece's place
 
         def done():
             digest, size, h, n, part, out, status = now
@@ -144,11 +145,14 @@ def write_blobs(pieces: DataFrame, root: str, verify: bool = True, tasks: int |
 
         for batch in batches:
             found = []
-            for digest, size, content in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for digest, size, content, idx in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 if now is None or digest != now[0]:
                     if now is not None:
                         found.append(done())
-                    now = begin(digest, size)
+                    now, last = begin(digest, size), None
+                if idx is not None and idx == last:
+                    continue  # another peer's or image's copy of the same piece
+                last = idx
                 if now[5] is not None and content:
                     now[5].write(content)
                     now[2].update(content)
@@ -160,7 +164,7 @@ def write_blobs(pieces: DataFrame, root: str, verify: bool = True, tasks: int |
 
     keyed = pieces.select("digest", F.col("size").cast("bigint").alias("size"), "content", "idx")
     dealt = keyed.repartition(tasks, "digest") if tasks else keyed.repartition("digest")
-    return dealt.sortWithinPartitions("digest", "idx").select("digest", "size", "content").mapInArrow(run, "digest string, status string, length bigint")
+    return dealt.sortWithinPartitions("digest", "idx").select("digest", "size", "content", "idx").mapInArrow(run, "digest string, status string, length bigint")
 
 
 def write_objects(objects: DataFrame, root: str) -> DataFrame:
@@ -191,24 +195,34 @@ def missing_chunks(wanted: DataFrame, there: DataFrame) -> DataFrame:
     return wanted.join(there.select("name", F.col("length").alias("len")), ["name", "len"], "left_anti")
 
 
-def transfer_images(plan: DataFrame, pieces: DataFrame, pointers: DataFrame, root: str, tasks: int = PUSH_TASKS, verify: bool = True) -> DataFrame:
-    """Runs a transfer: blobs first, and then the tag files of the images that miss none. Returns ``ref, sent, reused,
-    bytes, error``.
+def outcomes(plan: DataFrame, refs: DataFrame, done: DataFrame) -> DataFrame:
+    """``ref, sent, reused, bytes, error`` from what became of each blob (digest, first, status); every image of the plan
+    and of ``refs`` has a row."""
+    rows = plan.groupBy("ref", "digest").agg(F.max("size").alias("size")).join(done, "digest", "left")
+    sent = F.coalesce((F.col("status") == "sent") & (F.col("ref") == F.col("first")), F.lit(False))
+    bad = ~F.coalesce(F.col("status").isin("sent", "reused"), F.lit(False))
+    total = lambda c: F.sum(c).cast("bigint")
+    why = F.min(F.when(bad, F.concat("digest", F.lit(": "), F.coalesce("status", F.lit("no such blob")))))
+    per = rows.groupBy("ref").agg(total(sent.cast("int")).alias("sent"), total((~sent & ~bad).cast("int")).alias("reused"), total(F.when(sent, F.col("size")).otherwise(0)).alias("bytes"), why.alias("error"))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("bigint")).alias(c)
+    return plan.select("ref").union(refs.select("ref")).distinct().join(per, "ref", "left").select("ref", zero("sent"), zero("reused"), zero("bytes"), "error")
+
+
+def transfer_images(plan: DataFrame, pieces: DataFrame, pointers: DataFrame, root: str, tasks: int | None = None, verify: bool = True) -> DataFrame:
+    """Runs a transfer whose blobs come as rows: blobs first, and then the tag files of the images that miss none.
+    Returns ``ref, sent, reused, bytes, error``. Between stores that tasks can open themselves,
+    :func:`tallyport.operators.moving.transfer_store` moves no bytes that are there already.
 
     ``plan``: (ref, digest, size); ``pieces``: the blobs' parts (digest, size, idx, content); ``pointers``: (ref, name,
     content, step), written step by step. A blob of several images is written once and counts as sent for the first
-    of them (by ref). What was committed stays if another image fails; running again sends what is missing.
+    of them (by ref). An image with tag files and no blobs is committed too. What was committed stays if another image
+    fails; running again sends what is missing.
     """
     need = plan.select("ref", "digest", "size").distinct()
     asked = pieces.join(need.select("digest").distinct(), "digest", "left_semi")
     got = settled(write_blobs(asked, root, verify, tasks))
-    first = need.groupBy("digest").agg(F.min("ref").alias("_first"))
-    rows = need.join(got, "digest", "left").join(first, "digest")
-    sent = (F.col("status") == "sent") & (F.col("ref") == F.col("_first"))
-    bad = ~F.coalesce(F.col("status").isin("sent", "reused"), F.lit(False))
-    total = lambda c: F.sum(c).cast("bigint")
-    why = F.min(F.when(bad, F.concat("digest", F.lit(": "), F.coalesce("status", F.lit("no such blob")))))
-    report = settled(rows.groupBy("ref").agg(total(F.coalesce(sent, F.lit(False)).cast("int")).alias("sent"), total((~F.coalesce(sent, F.lit(False)) & ~bad).cast("int")).alias("reused"), total(F.when(sent, F.col("size")).otherwise(0)).alias("bytes"), why.alias("error")))
+    first = need.groupBy("digest").agg(F.min("ref").alias("first"))
+    report = settled(outcomes(need, pointers, first.join(got.select("digest", "status"), "digest", "left")))
     ready = pointers.join(report.where("error is null").select("ref"), "ref", "left_semi")
     for step in sorted(r.step for r in ready.select("step").distinct().collect()):
         write_objects(ready.where(F.col("step") == step), root).count()

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from functools import reduce
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,51 +26,67 @@ def file_system(root: str):
     return fs.FileSystem.from_uri(root if "://" in root else root.replace("file:", "file://", 1))
 
 
-def _children(store, base: str) -> list[tuple[str, bool]]:
+def children(store, base: str) -> list[tuple[str, bool]]:
     from pyarrow import fs
 
     found = store.get_file_info(fs.FileSelector(base, allow_not_found=True))
     return sorted((i.base_name, i.type == fs.FileType.Directory) for i in found)
 
 
-def _descend(store, base: str, at: str):
-    """Dump directories below ``at``: the directories under a marker, wherever it is."""
-    for name, is_dir in _children(store, f"{base}/{at}"):
+def _level(store, base: str, at: str):
+    """``(path, open)`` of what lies in a directory: dump directories (those under a marker), and those still to look into."""
+    for name, is_dir in children(store, f"{base}/{at}" if at else base):
+        path = f"{at}/{name}" if at else name
         if is_dir and name in MARKERS:
-            yield from (f"{at}/{name}/{leaf}" for leaf, leaf_dir in _children(store, f"{base}/{at}/{name}") if leaf_dir)
-        elif is_dir:
-            yield from _descend(store, base, f"{at}/{name}")
-
-
-def _tops(store, base: str) -> list[str]:
-    return [name for name, is_dir in _children(store, base) if is_dir and name != POOL]
+            yield from ((f"{path}/{leaf}", False) for leaf, leaf_dir in children(store, f"{base}/{path}") if leaf_dir)
+        elif is_dir and (at or name != POOL):
+            yield path, True
 
 
 def walk_dumps(root: str) -> list[str]:
     """Dump directories under a store's root, relative to it; a missing root has none. For stores that one machine
     reads; :func:`list_dumps` deals the work out."""
     store, base = file_system(root)
-    return [d for top in _tops(store, base) for d in _descend(store, base, top)]
+    found, left = [], [""]
+    while left:
+        level = [x for at in left for x in _level(store, base, at)]
+        found += [path for path, still in level if not still]
+        left = [path for path, still in level if still]
+    return found
 
 
-def list_dumps(spark: SparkSession, root: str) -> DataFrame:
-    """``dump``: the same as rows, the hosts' trees (and, below a single host, its first level) walked by tasks.
+def walk(spark: SparkSession, root: str, level=_level, start: str = "") -> DataFrame:
+    """``path``: what ``level`` (file system, root, directory -> paths, and whether each is to be looked into) finds under
+    a root, breadth first.
 
-    Spark's own listing hides names with a leading underscore, as the markers have.
+    A round is a job over the open directories, dealt out anew each time, so one wide repository is as well spread as
+    many small ones; rounds end when no directory is open. The rows found are dealt over all cores.
     """
-    store, base = file_system(root)
-    tops = _tops(store, base)
-    if len(tops) == 1:  # one host: its repositories' first level is the work to deal out
-        tops = [f"{tops[0]}/{name}" for name, is_dir in _children(store, f"{base}/{tops[0]}") if is_dir]
+    from tallyport.operators.execution import settled
 
     def run(batches):
-        own, at = file_system(root)
+        store, base = file_system(root)
         for batch in batches:
-            for top in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(list(_descend(own, at, top)), pa.string())], names=["dump"])
+            for at in batch.column(0).to_pylist():
+                found = list(level(store, base, at))
+                for i in range(0, len(found), 10_000):
+                    path, still = zip(*found[i : i + 10_000])
+                    yield pa.RecordBatch.from_arrays([pa.array(path, pa.string()), pa.array(still, pa.bool_())], names=["path", "open"])
+
+    cores = spark.sparkContext.defaultParallelism
+    rounds, left, n = [], spark.createDataFrame([(start,)], "path string"), 1
+    while n:
+        got = settled(left.repartition(min(n, 8 * cores)).mapInArrow(run, "path string, open boolean"))
+        rounds.append(got.where(~F.col("open")).select("path"))
+        left = got.where("open").select("path")
+        n = left.count()
+    return reduce(DataFrame.unionAll, rounds).repartition(8 * cores)
+
 
-    rows = spark.createDataFrame([(t,) for t in tops], "top string").repartition(max(1, min(len(tops), 1000)))
-    return rows.mapInArrow(run, "dump string")
+def list_dumps(spark: SparkSession, root: str) -> DataFrame:
+    """``dump``: the same as rows, looked for by tasks. Spark's own listing hides names with a leading underscore, as the
+    markers have."""
+    return walk(spark, root).select(F.col("path").alias("dump"))
 
 
 def read_dumps(spark: SparkSession, root: str, store: str = "local") -> DataFrame:
@@ -112,7 +131,7 @@ def read_pool(spark: SparkSession, root: str, store: str = "local", content: boo
     """
     own, base = file_system(f"{root}/{folder}/{algo}")
     last = "content binary" if content else "path string"
-    if not _children(own, base):
+    if not children(own, base):
         return spark.createDataFrame([], f"store string, digest string, length bigint, {last}")
     files = spark.read.format("binaryFile").load(f"{root}/{folder}/{algo}")
     name = F.element_at(F.split("path", "/"), -1)
@@ -192,28 +211,64 @@ def inspect_refs(rows: DataFrame) -> DataFrame:
     return _listed(tags.withColumn("pos", F.struct("row", "n")), F.col("ref"), ~F.col("ref").isin("", "<none>:<none>"))
 
 
-def _documents(spark: SparkSession, path: str, schema: str, lines: bool) -> DataFrame:
-    """The JSON objects of a listing (one a line, or one array) with their places; a malformed one fails the job."""
-    whole = spark.read.option("wholetext", True).text(path)
-    if lines:
-        raw = whole.select(F.posexplode(F.split("value", "\n")).alias("pos", "raw")).where(F.trim("raw") != "")
-        return raw.select("pos", F.from_json("raw", schema, {"mode": "FAILFAST"}).alias("x")).select("pos", "x.*")
-    return whole.select(F.posexplode(F.from_json("value", f"array<struct<{schema}>>", {"mode": "FAILFAST"})).alias("pos", "x")).select("pos", "x.*")
+def _listing(spark: SparkSession, path: str, schema: str, lines: bool) -> DataFrame:
+    """The JSON objects of a listing with their places: a sequence of objects, whatever lies between them, or one array; a
+    malformed one fails the job. Objects are split in a task as the text streams in, so a listing is no row of its own."""
+
+    def objects(stream):
+        decoder, left, done = json.JSONDecoder(), "", False
+        import codecs
+
+        text = codecs.getincrementaldecoder("utf-8")()
+        opened = lines  # an array's bracket is behind us
+        while True:
+            while True:
+                left = left.lstrip(" \t\r\n" if lines else " \t\r\n,")
+                if not opened and left.startswith("["):
+                    left, opened = left[1:], True
+                    continue
+                if not left or (not lines and left.startswith("]")):
+                    break
+                try:
+                    _, end = decoder.raw_decode(left)
+                except ValueError:
+                    if done:
+                        raise
+                    break
+                yield left[:end]
+                left = left[end:]
+            if done:
+                if (lines and left) or (not lines and left.strip() != "]"):
+                    raise ValueError("malformed listing")
+                return
+            block = stream.read(1 << 16)
+            done = not block
+            left += text.decode(block, final=done)
+
+    def run(batches):
+        own, at = file_system(path)
+        for _ in batches:
+            with own.open_input_stream(at) as f:
+                for pos, raw in enumerate(objects(f)):
+                    yield pa.RecordBatch.from_arrays([pa.array([pos], pa.int64()), pa.array([raw], pa.string())], names=["pos", "raw"])
+
+    raw = spark.range(1).mapInArrow(run, "pos bigint, raw string")
+    return raw.select("pos", F.from_json("raw", schema, {"mode": "FAILFAST"}).alias("x")).select("pos", "x.*")
 
 
 def read_docker_images(spark: SparkSession, path: str) -> DataFrame:
-    """``ref, pos`` of a docker ``image ls`` listing (one JSON object a line), in its order."""
-    return docker_refs(_documents(spark, path, "Repository string, Tag string", True))
+    """``ref, pos`` of a docker ``image ls`` listing (JSON objects behind each other, on one line or many), in its order."""
+    return docker_refs(_listing(spark, path, "Repository string, Tag string", True))
 
 
 def read_podman_images(spark: SparkSession, path: str) -> DataFrame:
     """``ref, pos`` of a podman listing (one JSON array), in its order."""
-    return podman_refs(_documents(spark, path, "Id:string,Names:array<string>", False))
+    return podman_refs(_listing(spark, path, "Id string, Names array<string>", False))
 
 
 def read_image_inspect(spark: SparkSession, path: str) -> DataFrame:
     """``ref, pos`` of a docker ``image inspect`` array."""
-    return inspect_refs(_documents(spark, path, "Id:string,RepoTags:array<string>", False))
+    return inspect_refs(_listing(spark, path, "Id string, RepoTags array<string>", False))
 
 
 def config_layer(raw: Column) -> Column:
