@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tallyport.functions import commands, refs, text
 from tallyport.operators import execution, manifests, transfer
 from tallyport.sources import peers, store
+from tallyport.streaming import commit
 
 HEX = "a" * 64
 GOOD_REFS = [
@@ -261,11 +262,36 @@ def test_metadata_commit(spark, tmp_path):
 
 
 def test_streaming_commit(spark, tmp_path):
-    from tallyport.streaming.commit import start_commits
-
-    schema, done = "ref string, kind string, body string", []
-    src = tmp_path / "in"
-    spark.createDataFrame([("a", "layout", "l"), ("b", "index", "i"), ("a", "index", "i")], schema).coalesce(1).write.parquet(str(src))
-    q = start_commits(spark.readStream.schema(schema).parquet(str(src)), lambda b: done.extend(r.ref for r in b.collect()), str(tmp_path / "cp"))
-    q.awaitTermination(60)
-    assert done == ["a"]
+    source, out, ckpt = tmp_path / "in", [], str(tmp_path / "ckpt")
+    schema, seq = "ref string, kind string, body string, seq long", iter(range(100))
+
+    def run(*rows, **options):
+        spark.createDataFrame([(*r, next(seq)) for r in rows], schema).coalesce(1).write.mode("append").json(str(source))
+        query = commit.start_commits(spark.readStream.schema(schema).json(str(source)), lambda df: out.extend(sorted(map(tuple, df.collect()))), ckpt, **options)
+        query.awaitTermination()
+        said = [p for p in query.recentProgress if p["stateOperators"]]
+        got, out[:] = list(out), []
+        return got, said[-1]["stateOperators"][0]["numRowsTotal"] if said else None
+
+    assert run(("a", "layout", "L1"), ("b", "index", "I2"), ("a", "other", "x"), (None, "layout", "x"), ("c", "layout", None)) == ([], 2)
+    assert run(("b", "layout", "L2")) == ([("b", "L2", "I2")], 1)
+    assert run(("a", "layout", "L3"), ("a", "index", "I1")) == ([("a", "L3", "I1")], 0)
+    # a pair was taken out: one more half waits for a partner, and commits nothing twice
+    assert run(("a", "layout", "L4")) == ([], 1)
+    assert run(("a", "index", "I4"), ("a", "index", "I5"), ("a", "layout", "L5")) == ([("a", "L4", "I4"), ("a", "L5", "I5")], 0)
+
+
+def test_streaming_halves_expire(spark, tmp_path):
+    import time
+
+    source, schema, got = tmp_path / "in", "ref string, kind string, body string, seq long", []
+    spark.createDataFrame([("a", "layout", "L", 1)], schema).write.json(str(source))
+    rows = commit.consume_halves(spark.readStream.schema(schema).json(str(source)), expire_ms=500)
+    query = rows.writeStream.outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(processingTime="300 milliseconds").foreachBatch(lambda df, _: got.extend(map(tuple, df.collect()))).start()
+    try:
+        end = time.time() + 60
+        while not got and time.time() < end:
+            time.sleep(0.3)
+    finally:
+        query.stop()
+    assert got == [("a", "L", None, "expired")]
