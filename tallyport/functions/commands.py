@@ -139,8 +139,11 @@ def next_dev(tag: Column) -> Column:
     return F.when(t["prefix"] == "", made).otherwise(F.concat(t["prefix"], F.lit("/"), made))
 
 
+#: The line that holds a source's version constant. A fixed value.
+VERSION_LINE = r'(?m)^const\s+Version\s*=\s*"[^"]*"'
+
+
 def rewrite_version(source: Column, version: Column) -> Column:
     """A source text with its one version constant set; null unless it has exactly one."""
-    line = r'(?m)^const\s+Version\s*=\s*"[^"]*"'
     made = F.concat(F.lit('const Version = "'), version, F.lit('"'))
-    return F.when(F.regexp_count(source, F.lit(line)) == 1, F.regexp_replace(source, F.lit(line), made))
+    return F.when(F.regexp_count(source, F.lit(VERSION_LINE)) == 1, F.regexp_replace(source, F.lit(VERSION_LINE), made))

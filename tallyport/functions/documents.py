@@ -77,3 +77,8 @@ def all_fit(items: Column, kind: str) -> Column:
 def texts_fit(value: Column) -> Column:
     """Whether a value is missing, or an object whose values are all texts."""
     return is_null(value) | all_fit(F.map_values(F.try_variant_get(value, "$", "map<string,variant>")), "STRING")
+
+
+def count_at(text: Column, path: str) -> Column:
+    """The integer at a path of a JSON text; null if the text is no whole document, or there is none at the path."""
+    return let(F.try_variant_get(document(text), path, "variant"), lambda v: F.when(F.schema_of_variant(v) == "BIGINT", F.try_variant_get(v, "$", "bigint")))

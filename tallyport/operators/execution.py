@@ -6,7 +6,7 @@ import hashlib
 import tempfile
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -86,15 +86,23 @@ def chunks_from(chunks: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.select("digest", "idx", left.cast("bigint").alias("skip"), (F.col("length") - left).cast("bigint").alias("length"))
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` worked out once, and kept in the folder that ``spark.checkpoint.dir`` names; only a session on one
-    machine may lack that."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        if not folder and not sc.master.startswith("local"):
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, which ``spark.checkpoint.dir`` names; only a session on one machine may
+    lack that, and gets a temporary one."""
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not folder:
+        if not sc.master.startswith("local[") and sc.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tallyport-"))
+        folder = tempfile.mkdtemp(prefix="tallyport-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` worked out once, and kept in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -139,6 +139,22 @@ def dangling(closures: DataFrame, inventory: DataFrame, image: str, key: str) ->
     return lost.groupBy(image).agg(F.count_distinct(key).alias("missing"))
 
 
+def pool_copies(blobs: DataFrame, order: str) -> DataFrame:
+    """``digest, copies, saved, first``: how often each blob (digest, size) occurs, the bytes that keeping it once saves,
+    and its first occurrence."""
+    saved = (F.sum("size") - F.max("size")).cast("bigint")
+    return blobs.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), saved.alias("saved"), F.min(order).alias("first"))
+
+
+def dry_and_real(need: DataFrame, image: str = "ref", key: str = "digest") -> DataFrame:
+    """``image, dry_sent, real_sent``: a dry run counts each image's blobs alone; in a real run the first image (by name)
+    sends a blob for all others."""
+    once = need.select(image, key).distinct()
+    first = once.groupBy(key).agg(F.min(image).alias("_first"))
+    marked = once.join(first, key).withColumn("_new", (F.col(image) == F.col("_first")).cast("int"))
+    return marked.groupBy(image).agg(F.count(F.lit(1)).alias("dry_sent"), F.sum("_new").cast("bigint").alias("real_sent"))
+
+
 def overlay(*layers: Column) -> Column:
     """The first layer that is given; an explicit zero, false or empty text counts as given."""
     return F.coalesce(*layers)

@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyport.functions import refs, text
+from tallyport.functions import documents, refs, text
 from tallyport.operators import transfer
-from tallyport.plans import images, oracle, words
+from tallyport.plans import images, oracle, stores, words  # stores adds its queries to those of images
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,9 +33,9 @@ def transfer_plan(spark, d):
 
 
 def push_report(spark, d):
-    lines = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("img"), F.col("l_partkey").alias("k"))
-    need = lines.where("img % 2 = 1").distinct().withColumn("sz", (F.col("k") % 97 + 1).cast("bigint"))
-    return transfer.image_report(need, lines.where("img % 2 = 0").select("k"), "img", "k", "sz")
+    lines = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("img"), F.col("l_partkey").alias("k"), "l_returnflag")
+    need = lines.where("l_returnflag <> 'N'").select("img", "k").distinct().withColumn("sz", (F.col("k") % 97 + 1).cast("bigint"))
+    return transfer.image_report(need, lines.where("l_returnflag = 'N'").select("k"), "img", "k", "sz")
 
 
 def redact_url(spark, d):
@@ -63,12 +63,11 @@ def fail_fast_cut(spark, d):
 
 
 def json_field(spark, d):
-    return _t(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
+    return _t(spark, d, "events").select("event_id", documents.count_at(F.col("props"), "$.k").alias("k"))
 
 
 def pool_dedup(spark, d):
-    docs = blob_inventory(spark, d)
-    return docs.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), (F.sum("size") - F.max("size")).cast("bigint").alias("saved"), F.min("doc_id").alias("first_doc"))
+    return transfer.pool_copies(blob_inventory(spark, d), "doc_id").withColumnRenamed("first", "first_doc")
 
 
 def first_occurrence(spark, d):
@@ -92,10 +91,8 @@ def assume_override(spark, d):
 
 
 def dry_run_vs_real(spark, d):
-    need = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("img"), F.col("l_partkey").alias("k")).distinct()
-    first = need.groupBy("k").agg(F.min("img").alias("first"))
-    marked = need.join(first, "k").withColumn("new", (F.col("img") == F.col("first")).cast("int"))
-    return marked.groupBy("img").agg(F.count(F.lit(1)).alias("dry_sent"), F.sum("new").cast("bigint").alias("real_sent"))
+    need = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("img"), F.col("l_partkey").alias("k"))
+    return transfer.dry_and_real(need, "img", "k")
 
 
 def dangling_audit(spark, d):
@@ -156,7 +153,7 @@ def size_lookup(spark, d):
 
 def skip_bad_items(spark, d):
     body = F.when(F.col("event_id") % 7 == 0, "{bad").otherwise(F.col("props"))
-    return _t(spark, d, "events").select("event_id", F.get_json_object(body, "$.k").try_cast("bigint").alias("k")).where("k is not null")
+    return _t(spark, d, "events").select("event_id", documents.count_at(body, "$.k").alias("k")).where("k is not null")
 
 
 def summary_line(spark, d):

@@ -72,8 +72,8 @@ SQL = {
         min(doc_id) first_doc from documents group by 1
     """,
     "push_report": r"""
-        with have as (select distinct l_partkey k from lineitem where l_orderkey%2=0), need as (select distinct l_orderkey img,l_partkey k, cast(l_partkey%97+1
-        as bigint) sz from lineitem where l_orderkey%2=1) select img, cast(sum(case when h.k is null then 1 else 0 end) as bigint) sent, cast(sum(case
+        with have as (select distinct l_partkey k from lineitem where l_returnflag = 'N'), need as (select distinct l_orderkey img,l_partkey k, cast(l_partkey%97+1
+        as bigint) sz from lineitem where l_returnflag <> 'N') select img, cast(sum(case when h.k is null then 1 else 0 end) as bigint) sent, cast(sum(case
         when h.k is null then 0 else 1 end) as bigint) reused, cast(sum(case when h.k is null then sz else 0 end) as bigint) bytes from need n left join
         have h on n.k=h.k group by img
     """,

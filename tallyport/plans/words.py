@@ -255,12 +255,12 @@ def request_checks(spark, d):
 
 
 @query("""
-select o_orderkey as img, cast(case when o_orderkey % 11 = 0 then 7 else coalesce(m, 100) end as bigint) as chunk_size from (
-  select o_orderkey, max_by(l_quantity, row(l_linenumber, l_partkey, l_suppkey)) as m from orders left join lineitem on l_orderkey = o_orderkey and o_orderkey % 11 <> 0 group by o_orderkey)""")
+select o_orderkey as img, cast(coalesce(m, 100) as bigint) as chunk_size from (
+  select o_orderkey, arg_max(l_quantity, (l_linenumber, l_partkey, l_suppkey, l_quantity)) as m from orders left join lineitem on l_orderkey = o_orderkey group by o_orderkey)""")
 def chunk_sizes(spark, d):
-    said = _t(spark, d, "lineitem").where("l_orderkey % 11 <> 0").select(F.col("l_orderkey").alias("digest"), F.col("l_quantity").cast("bigint").alias("chunk_size"), F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("seq"))
+    said = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("digest"), F.col("l_quantity").cast("bigint").alias("chunk_size"), F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("seq"))
     rows = transfer.chunk_size_of(_t(spark, d, "orders").select(F.col("o_orderkey").alias("digest")), said, 100)
-    return rows.select(F.col("digest").alias("img"), F.when(F.col("digest") % 11 == 0, 7).otherwise(F.col("chunk_size")).cast("bigint").alias("chunk_size"))
+    return rows.select(F.col("digest").alias("img"), "chunk_size")
 
 
 @query("""

@@ -74,13 +74,14 @@ def walk(spark: SparkSession, root: str, level=_level, start: str = "") -> DataF
                     yield pa.RecordBatch.from_arrays([pa.array(path, pa.string()), pa.array(still, pa.bool_())], names=["path", "open"])
 
     cores = spark.sparkContext.defaultParallelism
-    rounds, left, n = [], spark.createDataFrame([(start,)], "path string"), 1
+    rounds, left, n, found = [], spark.createDataFrame([(start,)], "path string"), 1, 0
     while n:
         got = settled(left.repartition(min(n, 8 * cores)).mapInArrow(run, "path string, open boolean"))
         rounds.append(got.where(~F.col("open")).select("path"))
         left = got.where("open").select("path")
-        n = left.count()
-    return reduce(DataFrame.unionAll, rounds).repartition(8 * cores)
+        n, more = got.agg(F.count_if("open"), F.count_if(~F.col("open"))).first()
+        found += more
+    return reduce(DataFrame.unionAll, rounds).repartition(max(1, min(8 * cores, found // 16)))
 
 
 def list_dumps(spark: SparkSession, root: str) -> DataFrame:
