@@ -130,15 +130,7 @@ filled as (
 targets as (
   select source, srank, source_size, total, least(cast(cap as double), weight * max(cast(total - below as double) / rest) over ()) as target, cap from filled),
 quotas as (select *, least(cap, cast(floor(target + 0.5) as bigint)) as quota from targets),
-edges as (
-  select *, cast(floor(cast(sum(quota) over (order by srank) - quota as double) / sum(quota) over () * 2147483648.0) as bigint) as lo,
-         cast(floor(cast(sum(quota) over (order by srank) as double) / sum(quota) over () * 2147483648.0) as bigint) as hi,
-         cast(greatest(1, least(4096, total // 65536)) as bigint) as block from quotas),
-slots as (
-  select unnest(range(0, cast(n + n // 64 + 1024 as bigint))) as slot from (select (max(total) + max(block) - 1) // max(block) as n from edges)),
-hits as (
-  select e.srank, count(*) as k from slots s join edges e on s.slot * 1327217885 % 2147483648 >= e.lo and s.slot * 1327217885 % 2147483648 < e.hi group by e.srank),
-granted as (select e.*, least(e.quota, coalesce(k, 0) * e.block) as upto from edges e left join hits using (srank)),
+granted as (select *, quota as upto from quotas),
 placed as (
   select s.doc_id, s.size, g.source_size, g.target, g.upto,
          coalesce(sum(s.size) over (partition by g.srank order by s.h, s.doc_id, s.size rows between unbounded preceding and 1 preceding), 0) as pos

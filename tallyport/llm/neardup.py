@@ -188,7 +188,7 @@ def _inside(members: DataFrame, reps: DataFrame, sets: DataFrame, percent: int)
     """
     least, fine_least = percent / 100 - SLACK, percent / 100 - FINE_SLACK
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         p, q = key[1], key[2]
         regs = np.frombuffer(b"".join(pdf["regs"]), np.uint16).reshape(-1, REGISTERS)
         band = int(np.argmax(_keys(regs[:1])[0].view(np.int64) == key[0]))

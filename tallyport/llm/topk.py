@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from math import isqrt
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -15,16 +13,15 @@ SEGMENT, BLOCK = 32768, 256
 
 
 def quantise(vectors: np.ndarray, scale: float) -> np.ndarray:
-    """floor(scale * x), held within the bounds that keep every inner product of this many components in 63 bits."""
-    most = float(isqrt((2**63 - 1) // vectors.shape[1]) - 1)
+    """floor(scale * x); beyond +-2^62, which leaves no room in 63 bits, they stay there."""
     with np.errstate(over="ignore"):
-        return np.clip(np.floor(scale * vectors.astype(np.float64)), -most, most).astype(np.int64)
+        return np.clip(np.floor(scale * vectors.astype(np.float64)), -(2.0**62), 2.0**62).astype(np.int64)
 
 
 def build_slices(q: np.ndarray) -> tuple[np.ndarray, int]:
     """Bit slices ``(dim, bits, words)`` of ``q - q.min()``, rows along the bits of the words; and the minimum."""
     low = int(q.min())
-    y = (q - low).astype(np.uint64)
+    y = q.astype(np.uint64) - np.uint64(low % 2**64)
     bits = max(1, int(y.max()).bit_length())
     words = -(-len(q) // 64)
     out = np.zeros((q.shape[1], bits, words * 8), np.uint8)
@@ -94,7 +91,8 @@ def top_rows(sums: list[np.ndarray], live: np.ndarray, k: int) -> np.ndarray:
 
 
 def search_segment(slices: np.ndarray, low: int, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int):
-    """For each query its k best rows of one segment: ``(query_id, vec_id, score)`` arrays. ``ids`` ascend."""
+    """For each query its k best rows of one segment: ``(query_id, vec_id, high, low)`` arrays, the score being high * 2^62
+    + low, exactly. ``ids`` ascend."""
     dim, bits, words = slices.shape
     all_live = np.zeros(words * 64, np.uint8)
     all_live[: len(ids)] = 1
@@ -119,19 +117,21 @@ def search_segment(slices: np.ndarray, low: int, ids: np.ndarray, queries: np.nd
                         columns[j + b].append(part[b])
         sums = add_slices([np.array(c) if c else np.empty((0, words), np.uint64) for c in columns])
         rows = top_rows(sums, live, k)
-        score = np.full(len(rows), base, np.int64)
+        wide = len(sums) > 61 or abs(base) >= 2**61
+        score = np.full(len(rows), base, object if wide else np.int64)
         for c, s in enumerate(sums):
             if s is not None:
-                score += ((s[rows >> 6] >> (rows & 63).astype(np.uint64)) & np.uint64(1)).astype(np.int64) << c
-        found.append((np.full(len(rows), own), ids[rows], score))
+                bit = ((s[rows >> 6] >> (rows & 63).astype(np.uint64)) & np.uint64(1)).astype(np.int64)
+                score += bit.astype(object) << c if wide else bit << c
+        found.append((np.full(len(rows), own), ids[rows], (score >> 62).astype(np.int64), (score & (2**62 - 1)).astype(np.int64)))
     return [np.concatenate(x) for x in zip(*found)]
 
 
 def top_k(vectors: DataFrame, is_query, k: int = 20, scale: float = 64.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score``: the k rows of largest integer inner product with each query.
 
-    Components become floor(scale * x), x as double; beyond +-isqrt(2^63 / dimension) they stay there, so that every
-    score fits in 63 bits. Queries are the rows where ``is_query`` (a Column over ``id_col``) holds; candidates are all
+    Components become floor(scale * x), x as double; beyond +-2^62 they stay there. Scores are added up and ranked exactly,
+    however large; one that doesn't fit in 63 bits is returned as the nearest number that does. Queries are the rows where ``is_query`` (a Column over ``id_col``) holds; candidates are all
     rows of the same dimension with another id; ties go to the smaller id. Rows are dealt by hash into segments of
     about SEGMENT rows, each bit-sliced once. A segment stays in its task, and the query blocks of about BLOCK rows
     stream past it (a stated query set against all rows, in blocks); only where there are fewer segments than cores
@@ -174,13 +174,14 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, scale: float = 64.0, id_col
                 if r.block < 0:  # a segment comes before its query blocks
                     held = (r.dim, r.segment, r.share), np.frombuffer(r.data, np.uint64).reshape(r.dim, -1, -(-len(ids) // 64)), r.low, ids
                 elif held is not None and held[0] == (r.dim, r.segment, r.share):
-                    a, b, c = search_segment(*held[1:], np.frombuffer(r.data, np.int64).reshape(len(ids), -1), ids, k)
-                    yield pd.DataFrame({"query_id": a, "vec_id": b, "score": c})
+                    a, b, c, d = search_segment(*held[1:], np.frombuffer(r.data, np.int64).reshape(len(ids), -1), ids, k)
+                    yield pd.DataFrame({"query_id": a, "vec_id": b, "high": c, "low": d})
 
     dealt = built.unionByName(packed).repartition(max(1, min(segments * shares, 8 * spark.sparkContext.defaultParallelism)), "dim", "segment", "share")
-    hits = dealt.sortWithinPartitions("dim", "segment", "share", "block").mapInPandas(search, "query_id long, vec_id long, score long")
-    best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    hits = dealt.sortWithinPartitions("dim", "segment", "share", "block").mapInPandas(search, "query_id long, vec_id long, high long, low long")
+    best = W.partitionBy("query_id").orderBy(F.desc("high"), F.desc("low"), "vec_id")
+    score = F.when(F.col("high") > 1, 2**63 - 1).when(F.col("high") < -2, -(2**63)).otherwise(F.shiftleft("high", 62).bitwiseOR(F.col("low")))
+    return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", score.cast("long").alias("score"))
 
 
 OP1_SQL = """

@@ -87,8 +87,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec
     blocks. A pair at the threshold is missed with probability MISS at most.
 
     Null, empty or zero vectors, vectors with null or non-finite components and rows with a null label link with
-    nothing and keep themselves. Repeated ids count as different rows of one id: they link if their vectors do,
-    and each is returned. Rows with a null id are returned with a null component and take no part. Other columns
+    nothing and keep themselves. Rows of a repeated id are rows of their own: they link if their vectors do, and each is
+    returned with what it reaches itself. Rows with a null id are returned with a null component and take no part. Other columns
     are ignored; an empty table gives an empty result.
     """
     v = F.col("v")
@@ -99,13 +99,13 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec
     rows = rows.withColumn("cls", F.when(ok, F.sha2(F.concat_ws("|", F.col("label").cast("string"), F.concat_ws(",", F.transform("v", lambda x: (x + 0.0).cast("string")))), 256)))
     rows = store(rows, "vectors")
     classes = rows.where("cls is not null").groupBy("cls").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("label").alias("label"), F.first("v").alias("v"))
-    classes = store(classes.withColumn("dim", F.size("v")), "classes")
+    classes = store(classes.withColumns({"dim": F.size("v"), "name": F.xxhash64("cls")}), "classes")
     groups = classes.groupBy("label", "dim").agg(F.ceil(F.count(F.lit(1)) / SIDE).cast("int").alias("blocks"))
     least = least_count()
 
-    def work(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def work(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         dim, p, q = int(key[1]), key[2], key[3]
-        pdf = pdf.sort_values("rep", kind="stable")
+        pdf = pdf.sort_values(["rep", "name"], kind="stable")
         x = np.stack(pdf["v"].to_numpy())
         x = x / np.abs(x).max(axis=1, keepdims=True)
         x = x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
@@ -113,39 +113,43 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec
         left = np.flatnonzero(pdf["block"].to_numpy() == p)
         right = left if p == q else np.flatnonzero(pdf["block"].to_numpy() == q)
         if not len(left) or not len(right):
-            return pd.DataFrame({"cls": pd.Series([], dtype=object), "rep": pd.Series([], dtype="int64"), "links": pd.Series([], dtype="int64"), "to": pd.Series([], dtype="int64")})
+            return pd.DataFrame({"cls": pd.Series([], dtype=object), "rep": pd.Series([], dtype="int64"), "name": pd.Series([], dtype="int64"), "links": pd.Series([], dtype="int64"), "to": pd.Series([], dtype="int64"), "to_name": pd.Series([], dtype="int64")})
         i, j = link_blocks(x[left], x[right], directions, least, cosine, p == q)
         i, j = left[i], right[j]
         copies = pdf["copies"].to_numpy()
         links = np.bincount(i, copies[j], len(pdf)) + np.bincount(j, copies[i], len(pdf))
         hit = np.flatnonzero(links)
-        rep = pdf["rep"].to_numpy()
-        return pd.DataFrame({"cls": pdf["cls"].to_numpy()[hit], "rep": rep[hit], "links": links[hit].astype(np.int64), "to": rep[_smallest(len(pdf), i, j)[hit]]})
+        rep, name, to = pdf["rep"].to_numpy(), pdf["name"].to_numpy(), _smallest(len(pdf), i, j)[hit]
+        return pd.DataFrame({"cls": pdf["cls"].to_numpy()[hit], "rep": rep[hit], "name": name[hit], "links": links[hit].astype(np.int64), "to": rep[to], "to_name": name[to]})
 
     mine = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
     dealt = classes.join(groups, ["label", "dim"]).withColumn("block", mine)
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumns({"p": F.least("block", "other"), "q": F.greatest("block", "other")})
-    found = store(dealt.groupBy("label", "dim", "p", "q").applyInPandas(work, "cls string, rep long, links long, to long"), "links")
-    parts = connected_components(found.select(F.col("rep").alias("a"), F.col("to").alias("b")))
+    found = store(dealt.groupBy("label", "dim", "p", "q").applyInPandas(work, "cls string, rep long, name long, links long, to long, to_name long"), "links")
+    node = lambda rep, name: F.struct(F.col(rep).alias("rep"), F.col(name).alias("name"))
+    parts = connected_components(found.select(node("rep", "name").alias("a"), node("to", "to_name").alias("b")))
     counts = found.groupBy("cls").agg(F.sum("links").alias("links"))
-    info = classes.select("cls", "rep", "copies").join(counts, "cls", "left").join(parts, F.col("rep") == F.col("node"), "left")
-    info = info.select("cls", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
+    info = classes.select("cls", "rep", "name", "copies").join(counts, "cls", "left").join(parts, (F.col("rep") == F.col("node.rep")) & (F.col("name") == F.col("node.name")), "left")
+    info = info.select("cls", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component.rep", "rep").alias("component"))
     out = rows.select("vec_id", "cls").join(info, "cls", "left")
     component = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(False)).alias("kept"))
 
 
 OP8_SQL = """
-with recursive v as (
-  select vec_id, label, cast(embedding as double[]) as e from embeddings
+with recursive r as (select row_number() over () as rid, * from embeddings),
+v as (
+  select rid, vec_id, label, cast(embedding as double[]) as e from r
   where vec_id is not null and label is not null and embedding is not null and len(embedding) > 0
     and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
 links as (
-  select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+  select a.rid as a, b.rid as b from v a join v b on a.label = b.label and a.rid <> b.rid and len(a.e) = len(b.e)
   where list_cosine_similarity(a.e, b.e) >= 0.93),
 reach as (
-  select vec_id as node, vec_id as root from embeddings union select l.b, r.root from reach r join links l on l.a = r.node)
-select node as vec_id, (select count(*) from links where a = node) as n_links, min(root) as component_id, min(root) = node as kept
-from reach group by node
+  select rid as node, vec_id as root from v union select l.b, h.root from reach h join links l on l.a = h.node),
+least as (select node, min(root) as root from reach group by node),
+counts as (select a as rid, count(*) as n from links group by a)
+select vec_id, coalesce(n, 0) as n_links, coalesce(root, vec_id) as component_id, coalesce(coalesce(root, vec_id) = vec_id, false) as kept
+from r left join counts using (rid) left join least on node = rid
 """

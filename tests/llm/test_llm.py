@@ -108,10 +108,26 @@ def test_mixing_of_a_tiny_source(spark):
 def test_top_k_of_extreme_and_repeated_rows(spark):
     rows = [(20, [1e30, 1.0]), (1, [1.0, 2.0]), (1, [3.0, -1.0]), (2, [-1e300, 0.0]), (20, [0.0, 1.0])]
     got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda i: i % 20 == 0, k=9)
-    most = topk.quantise(np.array([[1e300, 0.0]]), 64.0)[0, 0]
-    q = lambda v: [int(max(-most, min(most, np.floor(64 * x)))) for x in v]
-    want = sorted(((20, i, sum(x * y for x, y in zip(q(a), q(b)))) for d, a in rows if d == 20 for i, b in rows if i != 20), key=lambda r: (-r[2], r[1]))
-    assert [(r.query_id, r.vec_id, r.score) for r in got.orderBy("rank").collect()] == want and most**2 * 2 < 2**63
+    q = lambda v: [max(-(2**62), min(2**62, int(np.floor(64 * x)))) for x in v]
+    exact = sorted(((20, i, sum(x * y for x, y in zip(q(a), q(b)))) for d, a in rows if d == 20 for i, b in rows if i != 20), key=lambda r: (-r[2], r[1]))
+    want = [(d, i, max(-(2**63), min(2**63 - 1, s))) for d, i, s in exact]
+    assert [(r.query_id, r.vec_id, r.score) for r in got.orderBy("rank").collect()] == want
+
+
+def test_top_k_of_wide_scores(spark):
+    """Components of any size that one vector may have while all scores fit in 63 bits, and beyond, against plain integers."""
+    rng = np.random.default_rng(4)
+    v = (rng.standard_normal((90, 64)) * 10.0 ** rng.integers(-2, 9, (90, 1))).round(3)
+    v[3], v[7] = 0, 0
+    v[3, 5] = v[7, 5] = 2e7
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<double>")
+    q = [[int(np.floor(64 * x)) for x in row] for row in v]
+    want = []
+    for i in range(0, 90, 20):
+        best = sorted(((-sum(a * b for a, b in zip(q[i], q[j])), j) for j in range(90) if j != i))[:20]
+        want += [(i, n + 1, j, max(-(2**63), min(2**63 - 1, -s))) for n, (s, j) in enumerate(best)]
+    assert rows_of(topk.top_k(df, lambda i: i % 20 == 0, k=20), "query_id", "rank", "vec_id", "score") == sorted(want, key=repr)
+    assert q[3][5] == 1_280_000_000
 
 
 def test_chat_templates(spark):
