@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -15,32 +16,53 @@ from tallyport.llm.common import fold
 #: Buckets of the hashed features (2^BITS), their vectors' length, and the labelled rows that are learnt from at most.
 BITS, DIM, SAMPLE = 18, 8, 4000
 EPOCHS, BATCH, RATE = 5, 32, 0.3
+#: Bytes of text that the driver learns from at most, and that a task works on together.
+LEARNT, CHUNK = 1 << 26, 1 << 20
 
 
-def features(text: bytes) -> np.ndarray:
-    """Bucket of every feature occurrence: words, word pairs, byte 2- and 4-grams of the words joined by spaces.
+def feature_rows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket of every feature occurrence of UTF-8 texts, and the text that each belongs to: words, word pairs, and
+    character 2- and 4-grams of the words joined by spaces.
 
-    A word equal to the one before it reads as ``=``. Letter case and punctuation stay: they are what quality
-    shows in.
+    A word equal to the one before it reads as ``=``. Letter case and punctuation stay: they are what quality shows in.
+    Each distinct word is hashed once, and n-grams are worked out for all texts together.
     """
-    words = text.split()
-    if not words:
-        return np.empty(0, np.int64)
+    words = [t.split() for t in texts]
+    owner = np.repeat(np.arange(len(texts)), list(map(len, words)))
+    if not len(owner):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     shift, many = np.uint64(64 - BITS), np.uint64(0x9E3779B97F4A7C15)
-    w = np.array([xxhash.xxh64_intdigest(x) for x in words], np.uint64)
-    again = np.flatnonzero(w[1:] == w[:-1]) + 1
-    for i in again.tolist():
-        words[i] = b"="
+    coded = pa.array([w for part in words for w in part], pa.large_binary()).dictionary_encode()
+    place = coded.indices.to_numpy()
+    w = np.array([xxhash.xxh64_intdigest(x) for x in coded.dictionary.to_pylist()], np.uint64)[place]
+    same = owner[1:] == owner[:-1]
+    again = np.append(False, same & (place[1:] == place[:-1]))
     w[again] = 61
-    out = [w * many >> shift, (w[1:] * np.uint64(3) + w[:-1]) * many >> shift]
-    b = np.frombuffer(b" ".join(words), np.uint8).astype(np.uint64)
+    pairs = (w[1:] * np.uint64(3) + w[:-1])[same]
+    out, whose = [w * many >> shift, pairs * many >> shift], [owner, owner[1:][same]]
+    at, repeats = 0, again.tolist()
+    lines = []
+    for part in words:
+        lines.append(b" ".join(b"=" if r else x for x, r in zip(part, repeats[at : at + len(part)])))
+        at += len(part)
+    # a line's end is no character of a text: words hold none
+    c = np.frombuffer(b"\n".join(lines).decode(errors="replace").encode("utf-32-le"), np.uint32).astype(np.uint64)
+    ends = c == 10
+    line = np.cumsum(ends) - ends
     for n in (2, 4):
-        if len(b) >= n:
-            h = np.full(len(b) - n + 1, n, np.uint64)
+        if len(c) >= n:
+            h = np.full(len(c) - n + 1, n, np.uint64)
             for i in range(n):
-                h = h << np.uint64(8) | b[i : len(b) - n + 1 + i]
-            out.append(h * many >> shift)
-    return np.concatenate(out).astype(np.int64)
+                h = h * np.uint64(0x100000001B3) + c[i : len(c) - n + 1 + i]
+            inside = (line[: len(h)] == line[n - 1 :]) & ~ends[n - 1 :]
+            out.append(h[inside] * many >> shift)
+            whose.append(line[: len(h)][inside])
+    return np.concatenate(out).astype(np.int64), np.concatenate(whose)
+
+
+def features(text: bytes) -> np.ndarray:
+    """Bucket of every feature occurrence of one text."""
+    return feature_rows([text])[0]
 
 
 @dataclass
@@ -57,9 +79,22 @@ class Model:
         self.offset = float(self.bias[1] - self.bias[0])
 
     def score(self, text: bytes) -> float:
-        f = features(text)
-        z = self.offset + (float(self.weight[f].mean()) if len(f) else 0.0)
-        return float(1 / (1 + np.exp(-np.clip(z, -60, 60))))
+        return float(self.scores([text])[0])
+
+    def scores(self, texts: list[bytes]) -> np.ndarray:
+        """Each text's probability of label 1; texts are taken together up to about CHUNK bytes."""
+        out, at = np.empty(len(texts)), 0
+        while at < len(texts):
+            to, size = at + 1, len(texts[at])
+            while to < len(texts) and size + len(texts[to]) <= CHUNK:
+                size += len(texts[to])
+                to += 1
+            f, whose = feature_rows(texts[at:to])
+            n = np.bincount(whose, minlength=to - at)
+            z = self.offset + np.bincount(whose, self.weight[f], to - at) / np.maximum(n, 1)
+            out[at:to] = 1 / (1 + np.exp(-np.clip(z, -60, 60)))
+            at = to
+        return out
 
 
 def train(texts: list[bytes], labels: np.ndarray, seed: int = 7) -> Model:
@@ -107,16 +142,21 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 7) -> Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label_col: str = "quality") -> Model:
-    """Learns from at most ``sample`` labelled rows outside fold 0, the first in the order of a hash of the id.
+    """Learns from at most ``sample`` labelled rows outside fold 0, the first in the order of a hash of the id, and of
+    these from whole texts up to LEARNT bytes together.
 
-    Only ids and labels are shuffled to find them; then their whole texts come to the driver, a number bounded by
-    ``sample``. Rows with a null id, label or text, and ids with contradicting labels, are not learnt from.
+    Only ids and labels are shuffled to find them; then their sizes, and last the texts that fit come to the driver. Rows with a null id, label or text, and ids with contradicting labels, are not learnt from.
     """
     known = labels.where(F.col(label_col).isin(0, 1) & F.col("doc_id").isNotNull() & (fold() != 0))
     known = known.groupBy("doc_id").agg(F.min(label_col).alias("label"), F.max(label_col).alias("_hi")).where("label = _hi").drop("_hi")
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).where("text is not null").join(known, "doc_id")
-    got = sorted(rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label")).toLocalIterator(), key=lambda r: r[0])
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label"))
+    sizes = rows.select("doc_id", F.octet_length("text").alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    fit_in = [r.doc_id for r, upto in zip(sizes, np.cumsum([r.n for r in sizes])) if upto <= LEARNT]
+    if len(fit_in) < len(sizes):
+        rows = rows.where(F.col("doc_id").isin(fit_in))
+    got = sorted(rows.toLocalIterator(), key=lambda r: r[0])
     return train([bytes(r[1]) for r in got], np.array([r[2] for r in got], np.int64))
 
 
@@ -136,7 +176,7 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = 0.3) -> Da
         weight, offset = shared.value
         m = Model.__new__(Model)
         m.weight, m.offset = weight, offset
-        return texts.map(m.score)
+        return pd.Series(m.scores([bytes(t) for t in texts]))
 
     out = docs.withColumn("score", score(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
     return out.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))

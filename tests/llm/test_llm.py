@@ -531,3 +531,15 @@ def test_classifier_against_plain_python():
         z = mean @ model.out.astype(float) + model.bias
         assert abs(model.score(t) - np.exp(z[1]) / np.exp(z).sum()) < 1e-4
     assert np.mean([(model.score(t) >= 0.5) == y for t, y in zip(raw[1::2], labels[1::2])]) > 0.97
+
+
+def test_features_of_many_texts_are_those_of_each():
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("ab é漢🙂 \n\t=") for _ in range(rng.randint(0, 40))).encode() for _ in range(60)] + [b"", b" ", b"x", b"same same same", "漢字".encode()]
+    f, whose = quality.feature_rows(texts)
+    for i, t in enumerate(texts):
+        assert sorted(f[whose == i]) == sorted(quality.features(t))
+    # grams are of characters: two characters of three bytes each have one pair, one word and no gram of four
+    assert len(quality.features("漢字".encode())) == 2 and len(quality.features("漢字漢字".encode())) == 1 + 3 + 1
+    model = quality.train(texts, np.arange(len(texts)) % 2)
+    assert np.allclose(model.scores(texts), [model.score(t) for t in texts])
