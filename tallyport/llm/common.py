@@ -53,6 +53,18 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release(df: DataFrame) -> int:
+    """Delete the stage tables that back an operator's result, once it has been written or is no longer wanted; returns
+    how many there were. ``df`` can't be run again after that. Tables that aren't stage tables stay."""
+    spark = df.sparkSession
+    folder = shared_folder(spark).split("://")[-1].removeprefix("file:").rstrip("/") + "/tallyport-"
+    found = {f[: f.index("/", f.index(folder) + len(folder))] for f in df.inputFiles() if folder in f}
+    for path in found:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    return len(found)
+
+
 def fold(column: str = "doc_id", folds: int = 5) -> Column:
     """crc32 of the id as text, modulo ``folds``; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % folds

@@ -8,7 +8,7 @@ from math import log10
 import duckdb
 import numpy as np
 
-from tallyport.llm import chat, lm, mixing, tokencount, vecdup
+from tallyport.llm import audit, chat, common, lm, mixing, tokencount, vecdup
 from tallyport.llm.queries import tokenizer_path
 
 
@@ -95,3 +95,17 @@ def test_language_model_against_a_plain_one(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     got = {r.doc_id: r.score for r in lm.score_documents(df).collect()}
     assert np.allclose([got[i] for i in range(len(texts))], want, rtol=1e-5, atol=1e-3)
+
+
+def test_release(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a b", "s"), (2, "a b", "s")], "doc_id long, text string, source string")
+    docs.write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    got = audit.failure_masks(docs)
+    assert got.count() == 2 and common.release(got) == 1 and common.release(docs) == 0
+    assert docs.count() == 2
+    try:
+        got.collect()
+        raise AssertionError("its stage is gone")
+    except Exception as gone:
+        assert "tallyport-masks" in str(gone) or "FILE_NOT_EXIST" in str(gone) or "does not exist" in str(gone)
