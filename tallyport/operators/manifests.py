@@ -53,11 +53,11 @@ def _parsed(raw: Column, empty: str, names: tuple[str, ...], value, error, canon
         return F.struct(F.when(x["ok"], x["value"]).alias("value"), why.alias("error"))
 
     def whole(v: Column) -> Column:
+        why = lambda f: F.when(_empty(raw), empty).when(v.isNull(), "bad json").otherwise(f["error"])
         found = doc.let(doc.let(doc.opened(v, names), value), told)
-        return F.struct(found["value"].alias("value"), F.when(_empty(raw), empty).when(v.isNull(), "bad json").otherwise(found["error"]).alias("error"))
+        return doc.let(found, lambda f: F.struct(f["value"].alias("value"), why(f).alias("error")))
 
-    text = doc.canonical(raw, _NAMES) if canonical else raw.cast("string")
-    return doc.let(doc.let(doc.document(text), whole), lambda x: x)
+    return doc.let(doc.document(doc.canonical(raw, _NAMES) if canonical else raw.cast("string")), whole)
 
 
 def parse_index(raw: Column) -> Column:
@@ -249,15 +249,18 @@ def meta_json(layout_raw: Column, index_raw: Column, chunk: Column, descs: Colum
     written by the JSON writer, and each must have a well-formed digest, so that no name can add fields of its own. A
     missing size is written as 0.
     """
-    items = F.to_json(F.transform(descs, lambda d: F.struct(d["digest"].alias("digest"), F.coalesce(d["size"], F.lit(0)).alias("size"))))
-    formed = F.forall(descs, lambda d: split_digest(d["digest"])["error"].isNull())
     whole = doc.document(layout_raw.cast("string")).isNotNull() & doc.document(index_raw.cast("string")).isNotNull()
-    error = (
+    formed = lambda listed: F.forall(listed, lambda d: split_digest(d["digest"])["error"].isNull())
+    error = lambda listed: (
         F.when(F.coalesce(chunk, F.lit(0)) <= 0, "bad chunk size").when(_empty(layout_raw), "no layout").when(_empty(index_raw), "no index")
-        .when(~F.coalesce(whole, F.lit(False)), "bad json").when(~F.coalesce(formed, F.lit(False)), "malformed digest")
+        .when(~F.coalesce(whole, F.lit(False)), "bad json").when(~F.coalesce(formed(listed), F.lit(False)), "malformed digest")
     )
-    made = F.concat(F.lit('{"version":1,"chunkSize":'), chunk.cast("string"), F.lit(',"ociLayout":'), layout_raw.cast("string"), F.lit(',"indexJSON":'), index_raw.cast("string"), F.lit(',"descriptors":'), items, F.lit("}"))
-    return F.struct(F.when(error.isNull(), made).alias("json"), error.alias("error"))
+
+    def made(listed: Column) -> Column:
+        items = F.to_json(F.transform(listed, lambda d: F.struct(d["digest"].alias("digest"), F.coalesce(d["size"], F.lit(0)).alias("size"))))
+        return F.concat(F.lit('{"version":1,"chunkSize":'), chunk.cast("string"), F.lit(',"ociLayout":'), layout_raw.cast("string"), F.lit(',"indexJSON":'), index_raw.cast("string"), F.lit(',"descriptors":'), items, F.lit("}"))
+
+    return doc.let(descs, lambda listed: doc.let(error(listed), lambda e: F.struct(F.when(e.isNull(), made(listed)).alias("json"), e.alias("error"))))
 
 
 def commit_metas(dumps: DataFrame, blobs: DataFrame, chunk: int, name: Column) -> DataFrame:
