@@ -69,7 +69,8 @@ def _images(spark, d) -> DataFrame:
     """
     layer = F.format_string('{"digest":"%s","size":%d}', _digest(F.col("l_partkey")), F.col("l_partkey") % 97 + 1)
     lines = _t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", layer.alias("json")))).alias("x"))
-    rows = _t(spark, d, "orders").select("o_orderkey").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").withColumn("kind", F.col("o_orderkey") % 16)
+    # the lines are grouped by the join's key already: a merge adds the orders' keys to that shuffle, a broadcast would grow with the lines
+    rows = _t(spark, d, "orders").select("o_orderkey").join(lines.hint("merge"), F.col("o_orderkey") == F.col("l_orderkey"), "left").withColumn("kind", F.col("o_orderkey") % 16)
     config = F.when(F.col("kind") == 8, "").otherwise(_digest(F.concat(F.lit("c"), F.col("o_orderkey").cast("string"))))
     layers = F.coalesce(F.array_join(F.transform("x", lambda x: x["json"]), ","), F.lit(""))
     rows = rows.withColumn("m", F.concat(F.lit('{"schemaVersion":2,"config":{"digest":"'), config, F.lit('","size":7},"layers":['), layers, F.lit("]}")))
