@@ -29,21 +29,31 @@ def canonical(raw: Column, names: tuple[str, ...]) -> Column:
     return F.when(text.rlike(rf'"(?!(?:{anywhere})")(?i:{anywhere})"\s*:'), fixed).otherwise(text)
 
 
-def document(text: Column) -> Column:
-    """The one JSON value of a text as a VARIANT; null if there is none, or anything behind it, or a repeated name.
+def enclosed(text: Column) -> Column:
+    """A VARIANT list with the one JSON value of a text as its first element; null if there is none, or anything behind
+    it, or a repeated name.
 
     The parser stops behind the first value it can close, so the text is read as the first element of a list whose
     second one is the text's own hash: a text with more than one value, or one that closes the list itself, would have to
     hold its own hash in that place.
     """
-    mark = F.hex(F.xxhash64(text))
-    whole = F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"'), mark, F.lit('"]')))
-    return let(whole, lambda v: F.when(F.try_variant_get(v, "$[1]", "string") == mark, F.try_variant_get(v, "$[0]", "variant")))
+
+    def read(t: Column) -> Column:
+        mark = F.hex(F.xxhash64(t["text"]))
+        whole = F.struct(mark.alias("mark"), F.try_parse_json(F.concat(F.lit("["), t["text"], F.lit(',"'), mark, F.lit('"]'))).alias("v"))
+        return let(whole, lambda w: F.when(F.try_variant_get(w["v"], "$[1]", "string") == w["mark"], w["v"]))
+
+    return let(F.struct(text.alias("text")), read)
+
+
+def document(text: Column) -> Column:
+    """The one JSON value of a text as a VARIANT; see :func:`enclosed`."""
+    return F.try_variant_get(enclosed(text), "$[0]", "variant")
 
 
-def opened(value: Column, names: tuple[str, ...]) -> Column:
+def opened(value: Column, names: tuple[str, ...], path: str = "$") -> Column:
     """An object as a struct of VARIANTs, null for anything else."""
-    return F.try_variant_get(value, "$", "struct<" + ",".join(f"{n}:variant" for n in names) + ">")
+    return F.try_variant_get(value, path, "struct<" + ",".join(f"{n}:variant" for n in names) + ">")
 
 
 def is_null(value: Column) -> Column:

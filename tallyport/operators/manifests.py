@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyport.functions import documents as doc
 from tallyport.functions.text import digest_error, split_digest
+from tallyport.operators.execution import settled
 from tallyport.sources.store import fetch_files
 
 _DESC = "struct<mediaType:string,digest:string,size:bigint>"
@@ -54,10 +55,10 @@ def _parsed(raw: Column, empty: str, names: tuple[str, ...], value, error, canon
 
     def whole(v: Column) -> Column:
         why = lambda f: F.when(_empty(raw), empty).when(v.isNull(), "bad json").otherwise(f["error"])
-        found = doc.let(doc.let(doc.opened(v, names), value), told)
+        found = doc.let(doc.let(doc.opened(v, names, "$[0]"), value), told)
         return doc.let(found, lambda f: F.struct(f["value"].alias("value"), why(f).alias("error")))
 
-    return doc.let(doc.document(doc.canonical(raw, _NAMES) if canonical else raw.cast("string")), whole)
+    return doc.let(doc.enclosed(doc.canonical(raw, _NAMES) if canonical else raw.cast("string")), whole)
 
 
 def parse_index(raw: Column) -> Column:
@@ -131,15 +132,20 @@ def single_manifest_class(index: Column) -> Column:
 def one_per_digest(blobs: DataFrame) -> DataFrame:
     """One row per store and digest, the shortest blob (then the least content): a digest names one blob."""
     rest = [c for c in ("length", "content", "path") if c in blobs.columns]
-    return blobs.groupBy("store", "digest").agg(F.min(F.struct(*rest)).alias("b")).select("store", "digest", *[f"b.{c}" for c in rest])
+    length, *body = rest
+    # an aggregate of its own for the length: who asks for no more shuffles no content
+    return blobs.groupBy("store", "digest").agg(F.min(length).alias(length), *[F.min(F.struct(*rest))[c].alias(c) for c in body])
 
 
 def named_blobs(blobs: DataFrame, named: DataFrame) -> DataFrame:
     """``store, digest, length, content, error`` of the blobs that ``named`` (store, digest) asks for.
 
     ``blobs`` holds contents, or only names, sizes and paths (``read_pool`` without content): then the named files alone
-    are opened, by tasks, once it is known which they are, however large the others may be.
+    are opened, by tasks, once it is known which they are, however large the others may be. It may also be a function
+    that returns the blobs of the rows it is given, which reads no others.
     """
+    if callable(blobs):
+        blobs = blobs(named.select("store", "digest").distinct())
     found = one_per_digest(blobs.join(named.select("store", "digest").distinct(), ["store", "digest"], "left_semi"))
     if "path" in found.columns:
         return fetch_files(found)
@@ -158,7 +164,12 @@ def read_manifests(dumps: DataFrame, blobs: DataFrame, keep: tuple[str, ...] = (
     idx = idx.select("store", "ref", *keep, "i.error", single_manifest_class(F.col("i.value")).alias("class"), F.get("i.value.manifests", F.lit(0)).alias("d"))
     index_error = F.coalesce("error", F.when(F.col("class") != "OK", F.lower("class")))
     idx = idx.select("store", "ref", *keep, index_error.alias("index_error"), F.when(index_error.isNull(), F.col("d.digest")).alias("digest"))
-    pool = named_blobs(blobs, idx.where("digest is not null")).select("store", "digest", F.col("content").alias("raw"), "length", F.col("error").alias("read_error"))
+    if callable(blobs) or "path" in blobs.columns:
+        idx = settled(idx)  # both the files to open and the rows to join come of it
+        pool = named_blobs(blobs, idx.where("digest is not null"))
+    else:
+        pool = one_per_digest(blobs).withColumn("error", F.lit(None).cast("string"))
+    pool = pool.select("store", "digest", F.col("content").alias("raw"), "length", F.col("error").alias("read_error"))
     got = _with_parsed(idx.join(pool, ["store", "digest"], "left"), parse_manifest(F.col("raw")), "p")
     error = F.coalesce("index_error", "read_error", F.when(F.col("raw").isNull(), "missing manifest blob"), digest_error(F.col("raw"), F.col("digest")), "p.error")
     return got.select("store", "ref", *keep, F.col("digest").alias("manifest_digest"), F.col("length").alias("manifest_size"), "raw", F.when(error.isNull(), F.col("p.value")).alias("m"), error.alias("error"))
@@ -249,7 +260,7 @@ def meta_json(layout_raw: Column, index_raw: Column, chunk: Column, descs: Colum
     written by the JSON writer, and each must have a well-formed digest, so that no name can add fields of its own. A
     missing size is written as 0.
     """
-    whole = doc.document(layout_raw.cast("string")).isNotNull() & doc.document(index_raw.cast("string")).isNotNull()
+    whole = doc.enclosed(layout_raw.cast("string")).isNotNull() & doc.enclosed(index_raw.cast("string")).isNotNull()
     formed = lambda listed: F.forall(listed, lambda d: split_digest(d["digest"])["error"].isNull())
     error = lambda listed: (
         F.when(F.coalesce(chunk, F.lit(0)) <= 0, "bad chunk size").when(_empty(layout_raw), "no layout").when(_empty(index_raw), "no index")
