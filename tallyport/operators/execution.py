@@ -106,6 +106,13 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def slices(batches, rows: int = 256):
+    """Arrow's batches in small parts, so that few contents are Python values at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def write_blobs(pieces: DataFrame, root: str, verify: bool = True, tasks: int | None = None) -> DataFrame:
     """Writes blobs into the pool under ``root`` and returns ``digest, status, length``; an action writes.
 
@@ -124,6 +131,7 @@ def write_blobs(pieces: DataFrame, root: str, verify: bool = True, tasks: int |
         from pyarrow import fs
 
         store, base = file_system(root)
+        made = set()
         now = last = None  # digest, size, hash, bytes so far, part file, stream; the last piece's place
 
         def done():
@@ -144,14 +152,16 @@ def write_blobs(pieces: DataFrame, root: str, verify: bool = True, tasks: int |
             info = store.get_file_info(final)
             if info.type == fs.FileType.File and info.size == size:
                 return digest, size, None, 0, None, None, "reused"
-            store.create_dir(f"{base}/share/{algo}", recursive=True)
+            if algo not in made:
+                store.create_dir(f"{base}/share/{algo}", recursive=True)
+                made.add(algo)
             part = f"{final}.{uuid4().hex}.part"
             return digest, size, hashlib.new(algo), 0, part, store.open_output_stream(part), ""
 
         def rows(found):
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found), (pa.string(), pa.string(), pa.int64()))], names=["digest", "status", "length"])
 
-        for batch in batches:
+        for batch in slices(batches):
             found = []
             for digest, size, content, idx in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 if now is None or digest != now[0]:
@@ -183,13 +193,16 @@ def write_objects(objects: DataFrame, root: str) -> DataFrame:
         from uuid import uuid4
 
         store, base = file_system(root)
-        for batch in batches:
+        made = None  # the last folder
+        for batch in slices(batches):
             names, contents = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for name, content in zip(names, contents):
                 if any(x in ("", ".", "..") for x in name.split("/")):
                     raise ValueError(f"bad object name {name!r}")
                 at = f"{base}/{name}"
-                store.create_dir(at.rsplit("/", 1)[0], recursive=True)
+                if (above := at.rsplit("/", 1)[0]) != made:
+                    store.create_dir(above, recursive=True)
+                    made = above
                 with store.open_output_stream(part := f"{at}.{uuid4().hex}.part") as out:
                     out.write(content)
                 store.move(part, at)

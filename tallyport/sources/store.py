@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import os
 from functools import reduce
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,19 +28,32 @@ def file_system(root: str):
     return fs.FileSystem.from_uri(root if "://" in root else root.replace("file:", "file://", 1))
 
 
-def children(store, base: str) -> list[tuple[str, bool]]:
+def names(store, base: str):
+    """``(name, whether it is a directory)`` of what lies in a directory, in any order; none if there is no such directory.
+    A local one is read as a stream, since a pool or a repository may hold millions."""
     from pyarrow import fs
 
-    found = store.get_file_info(fs.FileSelector(base, allow_not_found=True))
-    return sorted((i.base_name, i.type == fs.FileType.Directory) for i in found)
+    if isinstance(store, fs.LocalFileSystem):
+        try:
+            with os.scandir(base) as found:
+                yield from ((x.name, x.is_dir()) for x in found)
+        except FileNotFoundError:
+            return
+    else:
+        for i in store.get_file_info(fs.FileSelector(base, allow_not_found=True)):
+            yield i.base_name, i.type == fs.FileType.Directory
+
+
+def children(store, base: str) -> list[tuple[str, bool]]:
+    return sorted(names(store, base))
 
 
 def _level(store, base: str, at: str):
     """``(path, open)`` of what lies in a directory: dump directories (those under a marker), and those still to look into."""
-    for name, is_dir in children(store, f"{base}/{at}" if at else base):
+    for name, is_dir in names(store, f"{base}/{at}" if at else base):
         path = f"{at}/{name}" if at else name
         if is_dir and name in MARKERS:
-            yield from ((f"{path}/{leaf}", False) for leaf, leaf_dir in children(store, f"{base}/{path}") if leaf_dir)
+            yield from ((f"{path}/{leaf}", False) for leaf, leaf_dir in names(store, f"{base}/{path}") if leaf_dir)
         elif is_dir and (at or name != POOL):
             yield path, True
 
@@ -68,9 +83,9 @@ def walk(spark: SparkSession, root: str, level=_level, start: str = "") -> DataF
         store, base = file_system(root)
         for batch in batches:
             for at in batch.column(0).to_pylist():
-                found = list(level(store, base, at))
-                for i in range(0, len(found), 10_000):
-                    path, still = zip(*found[i : i + 10_000])
+                found = iter(level(store, base, at))
+                while some := list(islice(found, 10_000)):
+                    path, still = zip(*some)
                     yield pa.RecordBatch.from_arrays([pa.array(path, pa.string()), pa.array(still, pa.bool_())], names=["path", "open"])
 
     cores = spark.sparkContext.defaultParallelism
@@ -90,8 +105,9 @@ def list_dumps(spark: SparkSession, root: str) -> DataFrame:
     return walk(spark, root).select(F.col("path").alias("dump"))
 
 
-def read_dumps(spark: SparkSession, root: str, store: str = "local") -> DataFrame:
-    """``store, ref, index_raw, layout_raw``: the tag files' bytes as they are, read by tasks; null where one is missing."""
+def read_dumps(spark: SparkSession, root: str, store: str = "local", dumps: DataFrame | None = None) -> DataFrame:
+    """``store, ref, index_raw, layout_raw``: the tag files' bytes as they are, read by tasks; null where one is missing.
+    ``dumps``: what :func:`list_dumps` has found, if that is known already."""
 
     def run(batches):
         own, base = file_system(root)
@@ -109,7 +125,7 @@ def read_dumps(spark: SparkSession, root: str, store: str = "local") -> DataFram
                 files = [pa.array([raw(f"{base}/{d}/{name}") for d in part.to_pylist()], pa.binary()) for name in TAG_FILES]
                 yield pa.RecordBatch.from_arrays([pa.array([store] * len(part)), part, *files], names=["store", "ref", "index_raw", "layout_raw"])
 
-    return list_dumps(spark, root).mapInArrow(run, "store string, ref string, index_raw binary, layout_raw binary")
+    return (list_dumps(spark, root) if dumps is None else dumps.select("dump")).mapInArrow(run, "store string, ref string, index_raw binary, layout_raw binary")
 
 
 def list_images(dumps: DataFrame) -> DataFrame:
@@ -123,6 +139,26 @@ def list_images(dumps: DataFrame) -> DataFrame:
 LARGEST_VALUE = 1 << 30
 
 
+def _pool_level(store, base: str, at: str):
+    yield from ((f"{at}/{name}", False) for name, is_dir in names(store, f"{base}/{at}") if not is_dir and name[:1] not in "._")
+
+
+def list_files(spark: SparkSession, root: str, folder: str) -> DataFrame:
+    """``name, length`` of the files in a folder: one task streams the names, and tasks look their sizes up."""
+    from tallyport.operators.execution import settled
+
+    def run(batches):
+        from pyarrow import fs
+
+        own, base = file_system(root)
+        for batch in batches:
+            paths = batch.column(0).to_pylist()
+            got = [(p.rsplit("/", 1)[1], i.size) for p, i in zip(paths, own.get_file_info([f"{base}/{p}" for p in paths])) if i.type == fs.FileType.File]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.int64())], names=["name", "length"])
+
+    return settled(walk(spark, root, _pool_level, folder).mapInArrow(run, "name string, length bigint"))
+
+
 def read_pool(spark: SparkSession, root: str, store: str = "local", content: bool = True, folder: str = POOL, algo: str = "sha256", strict: bool = False) -> DataFrame:
     """``store, digest, length, content`` of a blob pool: names of the digest's length, so no part files.
 
@@ -130,13 +166,15 @@ def read_pool(spark: SparkSession, root: str, store: str = "local", content: boo
     Without ``content`` only names and sizes are read, and ``path`` is in its place: :func:`fetch_files` opens what is
     still wanted of the rows then.
     """
-    own, base = file_system(f"{root}/{folder}/{algo}")
-    last = "content binary" if content else "path string"
-    if not children(own, base):
-        return spark.createDataFrame([], f"store string, digest string, length bigint, {last}")
-    files = spark.read.format("binaryFile").load(f"{root}/{folder}/{algo}")
-    name = F.element_at(F.split("path", "/"), -1)
-    rows = files.withColumn("name", name).where(F.length("name") == {"sha256": 64, "sha384": 96, "sha512": 128}[algo])
+    if content:
+        own, base = file_system(f"{root}/{folder}/{algo}")
+        if next(names(own, base), None) is None:
+            return spark.createDataFrame([], "store string, digest string, length bigint, content binary")
+        files = spark.read.format("binaryFile").load(f"{root}/{folder}/{algo}")
+        files = files.withColumn("name", F.element_at(F.split("path", "/"), -1))
+    else:
+        files = list_files(spark, root, f"{folder}/{algo}")
+    rows = files.where(F.length("name") == {"sha256": 64, "sha384": 96, "sha512": 128}[algo])
     rows = rows.where(F.col("name").rlike("^[0-9a-f]+$")) if strict else rows
     body = F.col("content") if content else F.concat(F.lit(f"{root}/{folder}/{algo}/"), "name").alias("path")
     return rows.select(F.lit(store).alias("store"), F.concat(F.lit(f"{algo}:"), "name").alias("digest"), "length", body)

@@ -4,6 +4,7 @@
 from pyspark.sql import functions as F
 
 from tallyport.operators import manifests
+from tallyport.sources import store
 
 DUMPS, BLOBS = "store string, ref string, index_raw binary", "store string, digest string, length bigint, content binary"
 
@@ -24,3 +25,26 @@ def test_a_view_without_contents_aggregates_none(spark):
     got = manifests.image_view(dumps, blobs, wanted)
     assert [tuple(r) for r in got.select("size", "error").collect()] == [(7, None)]
     assert "content" not in plan_of(got.select("ref", "digest", "size", "error"))
+
+
+def test_a_pool_is_listed_in_few_tasks(spark, tmp_path):
+    pool = tmp_path / "share/sha256"
+    pool.mkdir(parents=True)
+    for i in range(300):
+        (pool / f"{i:064x}").write_bytes(b"x" * i)
+    for name in ("_" * 64, "a" * 64 + ".part", "g" * 64):
+        (pool / name).write_bytes(b"?")
+    (pool / ("b" * 64)).mkdir()
+    got = store.read_pool(spark, str(tmp_path), content=False, strict=True)
+    assert got.rdd.getNumPartitions() <= 8 * spark.sparkContext.defaultParallelism  # of 4 MiB a file, as Spark packs them, 30 would fill one
+    assert sorted((int(r.digest[7:], 16), r.length) for r in got.collect()) == [(i, i) for i in range(300)]
+    assert store.read_pool(spark, str(tmp_path / "none"), content=False).count() == 0
+
+
+def test_directories_are_read_as_a_stream(tmp_path):
+    for i in range(5):
+        (tmp_path / f"d{i}").mkdir()
+    own, base = store.file_system(str(tmp_path))
+    found = store.names(own, base)
+    assert iter(found) is found and sorted(found) == [(f"d{i}", True) for i in range(5)]
+    assert list(store.names(own, f"{base}/none")) == []
