@@ -3,8 +3,8 @@
 
 from pyspark.sql import functions as F
 
-from tallyport.operators import manifests
-from tallyport.sources import store
+from tallyport.operators import execution, manifests
+from tallyport.sources import peers, store
 
 DUMPS, BLOBS = "store string, ref string, index_raw binary", "store string, digest string, length bigint, content binary"
 
@@ -48,3 +48,14 @@ def test_directories_are_read_as_a_stream(tmp_path):
     found = store.names(own, base)
     assert iter(found) is found and sorted(found) == [(f"d{i}", True) for i in range(5)]
     assert list(store.names(own, f"{base}/none")) == []
+
+
+def test_only_named_blobs_of_a_server_are_opened(spark, tmp_path):
+    server = peers.ServerPeer(str(tmp_path), chunk=4)
+    meta = b'{"version":1,"chunkSize":4,"ociLayout":{"imageLayoutVersion":"1"},"indexJSON":{"manifests":[]},"descriptors":[{"digest":"sha256:%s","size":5},{"digest":"sha256:%s","size":6}]}' % (b"a" * 64, b"b" * 64)
+    names = [("images/h/i/_tags/t.json", meta)] + [(f"blobs/sha256/{'a' * 64}/0000000{i}", body) for i, body in enumerate((b"body", b"."))]
+    execution.write_objects(spark.createDataFrame(names, "name string, content binary"), str(tmp_path)).count()
+    wanted = spark.createDataFrame([("server", "sha256:" + "a" * 64)], "store string, digest string")
+    got = manifests.named_blobs(lambda named: server.blobs(spark, wanted=named), wanted).collect()
+    assert [(r.digest[7:9], r.length, bytes(r.content)) for r in got] == [("aa", 5, b"body.")]
+    assert "left_semi" in plan_of(server.blobs(spark, wanted=wanted)).lower().replace("leftsemi", "left_semi")
