@@ -3,7 +3,7 @@
 
 from pyspark.sql import functions as F
 
-from tallyport.operators import execution, manifests
+from tallyport.operators import execution, manifests, moving
 from tallyport.sources import peers, store
 
 DUMPS, BLOBS = "store string, ref string, index_raw binary", "store string, digest string, length bigint, content binary"
@@ -27,6 +27,13 @@ def test_a_view_without_contents_aggregates_none(spark):
     assert "content" not in plan_of(got.select("ref", "digest", "size", "error"))
 
 
+def test_few_slots_have_a_task_each(spark):
+    work = spark.range(1600).select(F.lit("all").alias("ref"), (F.col("id") % 16).cast("int").alias("slot"))
+    dealt = moving._dealt_slots(work)
+    sizes = dealt.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("slot").alias("slots")).collect()
+    assert [(r.n, r.slots) for r in sizes] == [(100, 1)] * 16
+
+
 def test_a_pool_is_listed_in_few_tasks(spark, tmp_path):
     pool = tmp_path / "share/sha256"
     pool.mkdir(parents=True)
