@@ -36,25 +36,27 @@ class _Mixer:
 
     An order-2 and an order-1 context (hashed places of a lane's own tables) each guess the symbol that followed
     last, with a count of 1 to 3 of how often it has held. The weights are adaptive too, kept by both counts; ``P0`` is
-    the group's order-0 table. Rows 0 and 1 of the arrays below are order 2 and order 1.
+    the group's order-0 table. Rows 0 and 1 of the arrays below are order 2 and order 1. Numbers have 32 bits where they
+    fit, and places the width that numpy takes them in, so that it casts few.
     """
 
     def __init__(self, lanes: int, freq: np.ndarray, bits: int):
-        self.lanes, self.none, self.bits = lanes, len(freq), np.int64(bits)
+        self.lanes, self.none, self.bits = lanes, len(freq), bits
+        self.kind = np.int32 if bits + WEIGHT < 31 else np.int64
         self.table = np.full(2 * lanes << SLOTS, self.none << 2, np.int32)
         second = np.repeat(_PRIOR2, 4)
         first = np.tile(_PRIOR1, 4) * (65536 - second) // 65536
         self.weights = np.concatenate([np.tile(second, lanes), np.tile(first, lanes)]).astype(np.int32)
-        lane = np.arange(lanes, dtype=np.int32)
+        lane = np.arange(lanes)
         self.base = np.stack([lane << SLOTS, (lane + lanes) << SLOTS])
         self.own = np.stack([lane << 4, (lane + lanes) << 4])
-        self.cum = np.concatenate([[0], np.cumsum(freq)]).astype(np.int64)
-        self.freq = np.append(freq, 0).astype(np.int64)
+        self.cum = np.concatenate([[0], np.cumsum(freq)]).astype(self.kind)
+        self.freq = np.append(freq, 0).astype(self.kind)
 
     def places(self, p1: np.ndarray, p2: np.ndarray) -> np.ndarray:
         """Places in the table of the contexts (p2, p1) and (p1), uint32, along the last axis."""
         h = (p1 * np.uint32(0x9E3779B1) + p2 * np.uint32(0x85EBCA6B)) >> np.uint32(32 - SLOTS)
-        out = np.empty((2, *p1.shape), np.int32)
+        out = np.empty((2, *p1.shape), np.intp)
         out[0], out[1] = h, p1 & np.uint32((1 << SLOTS) - 1)
         out += self.base[:, : p1.shape[-1]].reshape(2, *[1] * (p1.ndim - 1), -1)
         return out
@@ -65,9 +67,9 @@ class _Mixer:
         self.at, self.count, self.guessed = at, e & 3, e >> 2
         self.state = (self.count[0] << 2 | self.count[1]) + self.own[:, :m]
         self.w = self.weights.take(self.state)
-        a = (self.w * 1023) >> 16
-        self.rest = (1024 - a[0] - a[1]).astype(np.int64)
-        self.part = a.astype(np.int64) << self.bits
+        a = ((self.w * 1023) >> 16).astype(self.kind, copy=False)
+        self.rest = 1024 - a[0] - a[1]
+        self.part = a << self.bits
 
     def interval(self, x: np.ndarray, cum: np.ndarray, freq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where x starts among 2^(bits + WEIGHT), and its size; sets ``hit``."""
@@ -78,9 +80,12 @@ class _Mixer:
     def learn(self, entry: np.ndarray) -> None:
         """``entry``: 4 x + 1 for each lane's symbol x."""
         hit = self.hit
-        self.table[self.at] = entry + hit * ((self.count > 1) + np.int8(1))
+        put = entry + hit * ((self.count > 1) + np.int8(1))
         hit[1] &= ~hit[0]
-        self.weights[self.state] = self.w + (((hit.astype(np.int32) << 16) - self.w) >> RATE)
+        w = self.w + (((hit.astype(np.int32) << 16) - self.w) >> RATE)
+        for i in (0, 1):
+            self.table[self.at[i]] = put[i]
+            self.weights[self.state[i]] = w[i]
 
 
 def _live(sizes: np.ndarray, t: int) -> int:
@@ -113,14 +118,18 @@ def _put(sym: np.ndarray, sizes: np.ndarray, freq: np.ndarray, bits: int) -> tup
         step = sp >> scale
         lo += start * step
         np.multiply(size, step, out=sp)
-        while True:
-            flat[to] = lo >> 32
-            short = sp < _LEAST
-            np.copyto(lo, (lo & _MASK) << 16, where=short)
-            np.copyto(sp, sp << 16, where=short)
-            to += short
-            if sp.min() >= _LEAST:
-                break
+        flat[to] = lo >> 32
+        short = sp < _LEAST
+        np.copyto(lo, (lo & _MASK) << 16, where=short)
+        np.copyto(sp, sp << 16, where=short)
+        to += short
+        few = np.flatnonzero(sp < _LEAST)  # the lanes whose symbol was rare
+        while len(few):
+            low_, span_ = lo[few], sp[few] << 16
+            flat[to[few]] = low_ >> 32
+            lo[few], sp[few] = (low_ & _MASK) << 16, span_
+            to[few] += 1
+            few = few[span_ < _LEAST]
         mix.learn(entry[i, :m])
     for _ in range(3):
         flat[pos] = low >> 32
@@ -139,7 +148,7 @@ def _get(words: np.ndarray, sizes: np.ndarray, freq: np.ndarray, bits: int) -> n
     """The symbols (step, lane) of :func:`_put`. Broken words give wrong symbols, never another error."""
     lanes, n = len(sizes), int(sizes[0])
     mix, scale = _Mixer(lanes, freq, bits), np.int64(bits + WEIGHT)
-    most = np.int64((1 << bits) - 1)
+    top = float((1 << int(scale)) - 1)
     symbol = np.repeat(np.arange(len(freq), dtype=np.int32), freq)
     flat, row = words.ravel(), np.arange(lanes, dtype=np.int64) * words.shape[1]
     code = sum(flat[row + i].astype(np.int64) << 16 * (2 - i) for i in range(3))
@@ -151,28 +160,35 @@ def _get(words: np.ndarray, sizes: np.ndarray, freq: np.ndarray, bits: int) -> n
         mix.guess(mix.places(p1[:m], p2[:m]))
         c, sp, to, g = code[:m], span[:m], pos[:m], mix.guessed
         step = sp >> scale
-        v = np.minimum(c // step, (np.int64(1) << scale) - 1)
+        # doubles divide exactly here and below: no dividend has more than 48 bits, so no quotient rounds up to an integer
+        v = np.maximum(np.minimum(c / step, top), 0).astype(mix.kind)
         # each guess's interval, to which both orders' parts belong if they agree
         other = mix.part[::-1]
         starts = mix.rest * mix.cum.take(g) + (g[::-1] < g) * other
-        ends = starts + mix.rest * mix.freq.take(g) + mix.part + (g[0] == g[1]) * other
-        past = v >= ends
+        widths = mix.rest * mix.freq.take(g) + mix.part + (g[0] == g[1]) * other
+        past = v >= starts + widths
         beyond = past * mix.part
-        x = symbol.take((v - beyond[0] - beyond[1]) // mix.rest, mode="clip")
-        inside = (v >= starts) > past
-        np.copyto(x, g[1], where=inside[1])
-        np.copyto(x, g[0], where=inside[0])
+        before = beyond[0] + beyond[1]
+        x = symbol.take(((v - before) / mix.rest).astype(np.intp), mode="clip")
+        start, size = mix.rest * mix.cum.take(x) + before, mix.rest * mix.freq.take(x)
+        inside = mix.hit = (v >= starts) > past
+        for i in (1, 0):
+            np.copyto(x, g[i], where=inside[i])
+            np.copyto(start, starts[i], where=inside[i])
+            np.copyto(size, widths[i], where=inside[i])
         out[t, :m] = x
-        start, size = mix.interval(x, mix.cum.take(x), mix.freq.take(x))
         c -= start * step
         np.multiply(size, step, out=sp)
-        while True:
-            short = sp < _LEAST
-            np.copyto(c, (c << 16) | flat.take(to, mode="clip"), where=short)
-            np.copyto(sp, sp << 16, where=short)
-            to += short
-            if sp.min() >= _LEAST:
-                break
+        short = sp < _LEAST
+        np.copyto(c, (c << 16) | flat.take(to, mode="clip"), where=short)
+        np.copyto(sp, sp << 16, where=short)
+        to += short
+        few = np.flatnonzero(sp < _LEAST)
+        while len(few):
+            span_ = sp[few] << 16
+            c[few], sp[few] = (c[few] << 16) | flat.take(to[few], mode="clip"), span_
+            to[few] += 1
+            few = few[span_ < _LEAST]
         mix.learn((x << 2) + 1)
         p2, p1 = p1, x.astype(np.uint32)
     return out
@@ -291,6 +307,11 @@ _LETTERS[_FREE] = 256 + np.arange(len(_FREE))
 _LETTERS[255] = ord(_MARK)
 
 
+def _joined(texts: pa.StringArray, between: str) -> bytes:
+    """UTF-8 of texts one behind another: Arrow joins them, and none becomes a Python string."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), texts), between)[0].as_buffer().to_pybytes()
+
+
 class Encoder:
     """Ids of whole texts as the tokenizers library gives them, of a byte-level BPE file without a normalizer.
 
@@ -305,7 +326,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.words = Tokenizer(self.whole.model)  # without a pattern of its own
+        self.model = self.whole.model  # which takes words, without a pattern of its own
         vocabulary = self.whole.get_vocab()
         self.letters = np.zeros(max(vocabulary.values()) + 1, np.int64)
         self.letters[list(vocabulary.values())] = list(map(len, vocabulary))
@@ -353,9 +374,9 @@ class Encoder:
             got = self.whole.encode_batch_fast([before + p for p in odd], add_special_tokens=False)
             ids = [np.array(e.ids, np.uint32) for e in got]
             places[beyond.to_numpy(zero_copy_only=False)] = self._keep(np.concatenate(ids), np.fromiter(map(len, ids), np.int64, len(ids)))
-        plain = pieces.filter(pc.invert(beyond)).to_pylist()
-        if plain:
-            words = pa.array(_PATTERN.findall(before + (_MARK + before).join(plain) + _MARK), pa.string()).dictionary_encode()
+        plain = pieces.filter(pc.invert(beyond))
+        if len(plain):
+            words = pa.array(_PATTERN.findall(before + _joined(plain, _MARK + before).decode() + _MARK), pa.string()).dictionary_encode()
             code, mark = words.indices.to_numpy(), words.dictionary.index(_MARK).as_py()
             keep = np.arange(len(words.dictionary)) != mark
             place = np.full(len(keep), -1)
@@ -367,15 +388,16 @@ class Encoder:
 
     def _encode_words(self, words: pa.StringArray) -> np.ndarray:
         """Places of new words as the pattern makes them, each of which the library's model encodes."""
-        raw = _MARK.join(words.to_pylist()).encode().replace(_MARK.encode(), b"\xff")
+        raw = _joined(words, _MARK).replace(_MARK.encode(), b"\xff")
         flat = _LETTERS[np.frombuffer(raw, np.uint8)].tobytes().decode("utf-16-le").split(_MARK)
-        got = self.words.encode_batch_fast([flat[i : i + 512] for i in range(0, len(flat), 512)], is_pretokenized=True, add_special_tokens=False)
-        ids = np.concatenate([np.array(e.ids, np.int64) for e in got])
-        # a token's letters are its bytes, so their running sum says where each word ends
-        letters, ends = np.cumsum(self.letters[ids]), np.cumsum(pc.binary_length(words).to_numpy().astype(np.int64))
-        if not len(letters) or letters[-1] != ends[-1]:
+        counts, ids = [], []
+        for tokens in map(self.model.tokenize, flat):
+            counts.append(len(tokens))
+            ids += [t.id for t in tokens]
+        ids = np.array(ids, np.uint32)
+        if self.letters[ids].sum() != len(raw) - len(words) + 1:  # a token's letters are its bytes
             raise ValueError("the vocabulary lacks a byte")
-        return self._keep(ids.astype(np.uint32), np.diff(np.searchsorted(letters, ends, "right"), prepend=0))
+        return self._keep(ids, np.array(counts, np.int64))
 
     def _gather(self, first: np.ndarray, n: np.ndarray, ids: np.ndarray) -> np.ndarray:
         return ids[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]

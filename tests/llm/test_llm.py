@@ -4,6 +4,7 @@ from collections import Counter
 from math import log10
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -445,6 +446,35 @@ def test_id_blocks_are_small():
             idcoder.decode_ids(data[:cut])
 
 
+def test_id_blocks_of_wide_and_narrow_tables():
+    """The coder's numbers have 32 bits up to a table of 2^20, and 64 beyond; a lane of rare symbols takes several words a step."""
+    rng = np.random.default_rng(3)
+    for symbols, kind in ((3, np.int32), (1 << 18, np.int32), (1 << 19, np.int64)):
+        ids = np.concatenate([rng.permutation(symbols), np.zeros(5000, np.int64), rng.integers(0, symbols, 3000)]).astype(np.uint32)
+        freq, bits = idcoder._table(ids)[2:]
+        assert idcoder._Mixer(2, freq, bits).kind is kind
+        assert (idcoder.decode_ids(idcoder.encode_ids(ids)) == ids).all()
+
+
+def test_ids_ask_for_each_word_once():
+    """Over all batches the library's model gets a word once, by itself, and no batch of encodings is built for words."""
+
+    class Counting:
+        def __init__(self, model):
+            self.model, self.asked = model, []
+
+        def tokenize(self, word):
+            self.asked.append(word)
+            return self.model.tokenize(word)
+
+    e = idcoder.Encoder(tokenizer_path("byte_bpe_50k.json"))
+    e.model = counting = Counting(e.model)
+    for texts in (["so it is, it is", "it is so"], ["is it so? it's"]):
+        ids, _ = e.encode(pa.array(texts))
+        assert ids.tolist() == [i for x in texts for i in e.whole.encode(x, add_special_tokens=False).ids]
+    assert sorted(counting.asked) == sorted({"so", "Ġit", "Ġis", ",", "it", "Ġso", "is", "?", "'s"})
+
+
 def test_ids_of_odd_texts():
     from tokenizers import Tokenizer
 
