@@ -137,6 +137,26 @@ def test_sweep(spark, tmp_path):
     assert sorted(n[:1] for n in os.listdir(pool)) == sorted(["a", "a", sha(b"kept")[7]]) and moving.sweep_parts(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_parts_lie_aside(spark, tmp_path):
+    """Blobs are written in folders of few tasks, not in the pool's own; what a lost task leaves there is swept."""
+    bodies = [b"body %d" % i for i in range(40)]
+    rows = [(sha(b), len(b), 0, b) for b in bodies] + [(sha(b"wrong"), 5, 0, b"other")]
+    pieces = spark.createDataFrame(rows, "digest string, size long, idx int, content binary")
+    pool = tmp_path / "share/sha256"
+    assert sorted(r.status for r in execution.write_blobs(pieces, str(tmp_path)).collect()) == ["digest mismatch", *["sent"] * 40]
+    (aside,) = [x for x in os.listdir(pool) if len(x) != 64]
+    assert 0 < len(os.listdir(pool / aside)) <= 256 and not [x for x in (pool / aside).rglob("*") if x.is_file()]
+    left = pool / aside / os.listdir(pool / aside)[0] / f"{'d' * 64}.0f.part"
+    left.write_bytes(b"zz")
+    for content in (True, False):
+        assert {r.digest for r in store.read_pool(spark, str(tmp_path), content=content).collect()} == set(map(sha, bodies))
+    assert [(r.name, r.length) for r in moving.sweep_parts(spark, str(tmp_path)).collect()] == [(left.name, 2)] and not left.exists()
+    none = spark.createDataFrame(rows[-1:], pieces.schema)
+    execution.write_blobs(none, str(tmp_path / "none")).collect()
+    assert store.read_pool(spark, str(tmp_path / "none")).count() == 0
+    assert not (pool / sha(b"wrong")[7:]).exists()
+
+
 @pytest.mark.parametrize("chunk", [1, 4, 1000])
 def test_ranged_reads(spark, tmp_path, chunk):
     blobs = [b"", b"x", b"hello world, again", os.urandom(2500) if chunk > 1 else b"short"]
