@@ -18,6 +18,11 @@ from tallyport.sources.store import PARTS, file_system
 PUSH_TASKS, PULL_TASKS = 3, 4
 
 
+def most_tasks(spark: SparkSession) -> int:
+    """Tasks that work is dealt out to where a coalesced shuffle would make too few."""
+    return max(8 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def planned_state(plan: DataFrame, state: DataFrame) -> DataFrame:
     """``plan`` (digest, size) with ``current_size`` from ``state`` (digest, current_size) and ``complete``."""
     held = state.groupBy("digest").agg(F.max("current_size").alias("current_size"))
@@ -30,11 +35,17 @@ def push_totals(need: DataFrame, have: DataFrame, pinned: DataFrame, state: Data
     Pinned digests (image, digest) are planned even if the peer is said to have them; what is planned but found
     complete counts as reused, like all that isn't planned.
     """
-    one = need.groupBy(image, "digest").agg(F.max("size").alias("size"))
-    marked = one.join(have.select("digest").distinct().withColumn("_had", F.lit(True)), "digest", "left")
-    marked = marked.join(pinned.select(image, "digest").distinct().withColumn("_pinned", F.lit(True)), [image, "digest"], "left")
+    # what is needed and what is pinned meet in one aggregate, over tasks whose number isn't coalesced: a table of groups is
+    # many times as large in memory as its shuffled rows, whose size decides how many a coalesced task would hold
+    yes, no = F.lit(True), F.lit(False)
+    rows = need.select(image, "digest", "size", yes.alias("_needed"), no.alias("_pinned"))
+    pins = pinned.where(F.col(image).isNotNull() & F.col("digest").isNotNull())
+    rows = rows.unionByName(pins.select(image, "digest", no.alias("_needed"), yes.alias("_pinned")), allowMissingColumns=True)
+    one = rows.repartition(most_tasks(need.sparkSession), image, "digest").groupBy(image, "digest")
+    one = one.agg(F.max("size").alias("size"), F.bool_or("_needed").alias("_needed"), F.bool_or("_pinned").alias("_pinned")).where("_needed")
+    marked = one.join(have.select("digest").distinct().withColumn("_had", yes), "digest", "left")
     marked = planned_state(marked, state)
-    sent = (F.col("_had").isNull() | F.col("_pinned").isNotNull()) & ~F.col("complete")
+    sent = (F.col("_had").isNull() | F.col("_pinned")) & ~F.col("complete")
     total = lambda c: F.sum(c).cast("bigint")
     return marked.groupBy(image).agg(total(sent.cast("int")).alias("sent"), total((~sent).cast("int")).alias("reused"), total(F.when(sent, F.col("size")).otherwise(0)).alias("bytes"))
 
@@ -183,9 +194,7 @@ def write_blobs(pieces: DataFrame, root: str, verify: bool = True, tasks: int |
 
     keyed = pieces.select("digest", F.col("size").cast("bigint").alias("size"), "content", "idx")
     # a number of its own: coalesced to a size of texts, few tasks of many small files would leave cores without work
-    spark = pieces.sparkSession
-    most = max(8 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = keyed.repartition(tasks or most, "digest")
+    dealt = keyed.repartition(tasks or most_tasks(pieces.sparkSession), "digest")
     return dealt.sortWithinPartitions("digest", "idx").select("digest", "size", "content", "idx").mapInArrow(run, "digest string, status string, length bigint")
 
 

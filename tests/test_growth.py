@@ -66,3 +66,17 @@ def test_only_named_blobs_of_a_server_are_opened(spark, tmp_path):
     got = manifests.named_blobs(lambda named: server.blobs(spark, wanted=named), wanted).collect()
     assert [(r.digest[7:9], r.length, bytes(r.content)) for r in got] == [("aa", 5, b"body.")]
     assert "left_semi" in plan_of(server.blobs(spark, wanted=wanted)).lower().replace("leftsemi", "left_semi")
+
+
+def test_push_totals_bound_their_groups(spark):
+    """Needed and pinned blobs meet in one aggregate whose tasks aren't coalesced; null keys pin nothing, and what is pinned
+    without being needed counts nowhere."""
+    rows = lambda x, schema: spark.createDataFrame(x, schema)
+    need = rows([("a", "d1", 3), ("a", "d1", 5), ("a", None, 7), ("b", "d1", None)], "ref string, digest string, size long")
+    have = rows([("d1",), (None,)], "digest string")
+    pinned = rows([("a", "d1"), ("a", None), ("a", "d2"), ("c", "d1")], "ref string, digest string")
+    state = rows([("d9", 1)], "digest string, current_size long")
+    got = execution.push_totals(need, have, pinned, state)
+    assert {tuple(r) for r in got.collect()} == {("a", 2, 0, 12), ("b", 0, 1, 0)}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
