@@ -208,10 +208,13 @@ def image_view(dumps: DataFrame, blobs: DataFrame, wanted: DataFrame, content: b
     else:
         pool = one_per_digest(blobs.drop("content", "path")).withColumns({"content": F.lit(None).cast("binary"), "error": F.lit(None).cast("string")})
     pool = pool.select("store", "digest", "length", "content", F.col("error").alias("read_error"))
-    rows = wanted.join(idx, ["store", "ref"], "left").join(pool, ["store", "digest"], "left")
-    said = index_descriptor(F.col("i.value"), F.col("digest"))
-    error = F.when(F.col("i").isNull(), "no such image").otherwise(F.coalesce(F.col("i.error"), F.when(F.col("length").isNull(), "missing blob"), "read_error"))
-    size = F.coalesce(said["size"], F.col("length"))
+    # what an index says of the digest is taken from it here, so that no parsed index goes into the blobs' shuffle
+    said = index_descriptor(F.col("i.value"), F.col("digest"))["size"]
+    index_error = F.when(F.col("i").isNull(), "no such image").otherwise(F.col("i.error"))
+    named = wanted.join(idx, ["store", "ref"], "left").select("store", "ref", "digest", said.alias("_said"), index_error.alias("_index_error"))
+    rows = named.join(pool, ["store", "digest"], "left")
+    error = F.coalesce("_index_error", F.when(F.col("length").isNull(), "missing blob"), "read_error")
+    size = F.coalesce("_said", "length")
     return rows.select("store", "ref", "digest", F.when(error.isNull(), size).alias("size"), F.when(error.isNull(), F.col("content")).alias("content"), error.alias("error"))
 
 

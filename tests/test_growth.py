@@ -80,3 +80,25 @@ def test_push_totals_bound_their_groups(spark):
     assert {tuple(r) for r in got.collect()} == {("a", 2, 0, 12), ("b", 0, 1, 0)}
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan
+
+
+def test_image_view_shuffles_no_index(spark):
+    """The blobs' join gets sizes and errors of the indexes, not the parsed indexes."""
+    dumps = spark.createDataFrame([("s", "a", b'{"manifests":[{"digest":"d","size":9}]}'), ("s", "b", b"")], "store string, ref string, index_raw binary")
+    blobs = spark.createDataFrame([("s", "d", 3), ("s", "e", 4)], "store string, digest string, length long")
+    wanted = spark.createDataFrame([("s", "a", "d"), ("s", "a", "e"), ("s", "a", "f"), ("s", "b", "d"), ("s", "c", "d")], "store string, ref string, digest string")
+    got = manifests.image_view(dumps, blobs, wanted, content=False)
+    assert {(r.ref, r.digest, r.size, r.error) for r in got.collect()} == {
+        ("a", "d", 9, None), ("a", "e", 4, None), ("a", "f", None, "missing blob"), ("b", "d", None, "empty index"), ("c", "d", None, "no such image"),
+    }
+    plan = got._jdf.queryExecution().optimizedPlan()
+    assert [str(c) for c in (plan.children().head().children().head().output().mkString(","),)][0].count("i#") == 0
+
+
+def test_images_stage_holds_no_tag_files(spark):
+    """Tag files come of the stage as they are read, and a view that asks for no manifest keeps none."""
+    from tallyport.plans import images
+
+    got = images._images(spark, "/root/testdata/sf0.001", manifests_too=False)
+    assert "m" not in got.columns and {"index_raw", "layout_raw"} <= set(got.columns)
+    assert "index_raw" not in got._jdf.queryExecution().optimizedPlan().collectLeaves().head().output().mkString(",")
