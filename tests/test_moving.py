@@ -157,6 +157,42 @@ def test_parts_lie_aside(spark, tmp_path):
     assert not (pool / sha(b"wrong")[7:]).exists()
 
 
+def test_chunks_of_a_new_blob_come_in_one_folder(spark, tmp_path):
+    """Only a folder beside the blobs' is worked in, however many tasks share a blob; what is there is sent no more."""
+    blobs = [b"", b"one", os.urandom(300), os.urandom(20)]
+    put(tmp_path / "a", *blobs)
+    plan = spark.createDataFrame([(sha(b), len(b)) for b in blobs] + [(sha(b"none"), 4)], "digest string, size bigint")
+    send = lambda: {(r.digest, r.idx): (r.status, r.length) for r in moving.send_chunks(plan, str(tmp_path / "a"), str(tmp_path / "s"), 2).collect()}
+    first, there = send(), tmp_path / "s/blobs/sha256"
+    assert first == {(sha(b), i): ("sent", len(b[2 * i : 2 * i + 2])) for b in blobs for i in range(max(1, -(-len(b) // 2)))} | {(sha(b"none"), i): ("no such blob", 0) for i in range(2)}
+    assert set(os.listdir(there)) == {store.PARTS, *(sha(b)[7:] for b in blobs)}
+    assert not [x for x in (there / store.PARTS).rglob("*") if len(x.name) > 2]
+    for b in blobs:
+        assert b"".join(x.read_bytes() for x in sorted((there / sha(b)[7:]).iterdir())) == b
+    (there / sha(blobs[2])[7:] / "00000003").unlink()
+    (there / sha(blobs[1])[7:] / "00000001").write_bytes(b"long")
+    shutil.rmtree(there / sha(blobs[3])[7:])
+    again = send()
+    assert {k for k, v in again.items() if v[0] == "sent"} == {(sha(blobs[2]), 3), (sha(blobs[1]), 1), *((sha(blobs[3]), i) for i in range(10))}
+    assert (there / sha(blobs[1])[7:] / "00000001").read_bytes() == b"e"
+    for b in blobs:
+        (tmp_path / "a/share/sha256" / sha(b)[7:]).unlink()
+    assert {v[0] for k, v in send().items() if k[0] != sha(b"none")} == {"reused"}
+
+
+def test_files_get_their_names_by_links(tmp_path):
+    own, base = store.file_system(str(tmp_path))
+    for old in (None, b"old"):
+        (tmp_path / "x.part").write_bytes(b"new")
+        inode = os.stat(tmp_path / "x.part").st_ino
+        if old:
+            (tmp_path / "x").write_bytes(old)
+        store.put_in_place(own, f"{base}/x.part", f"{base}/x")
+        found = os.stat(tmp_path / "x")
+        assert (tmp_path / "x").read_bytes() == b"new" and os.listdir(tmp_path) == ["x"] and (found.st_ino, found.st_nlink) == (inode, 1)
+        (tmp_path / "x").unlink()
+
+
 @pytest.mark.parametrize("chunk", [1, 4, 1000])
 def test_ranged_reads(spark, tmp_path, chunk):
     blobs = [b"", b"x", b"hello world, again", os.urandom(2500) if chunk > 1 else b"short"]
