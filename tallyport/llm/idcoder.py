@@ -312,6 +312,72 @@ def _joined(texts: pa.StringArray, between: str) -> bytes:
     return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), texts), between)[0].as_buffer().to_pybytes()
 
 
+_POWERS = np.multiply.accumulate(np.full(4096, 0x9E3779B97F4A7C15, np.uint64))
+
+
+def _hashes(pieces: pa.StringArray) -> np.ndarray:
+    """64-bit hashes of strings, by their bytes and places."""
+    out = np.zeros(len(pieces), np.uint64)
+    data = pieces.buffers()[2] if len(pieces) else None
+    if data is None:
+        return out
+    data = np.frombuffer(data, np.uint8)
+    ends = np.frombuffer(pieces.buffers()[1], np.int32)[pieces.offset : pieces.offset + len(pieces) + 1]
+    for i in range(0, len(pieces), 1 << 15):
+        end = ends[i : i + (1 << 15) + 1]
+        size = np.diff(end)
+        place = np.arange(end[0], end[-1], dtype=np.int32) - np.repeat(end[:-1], size)
+        total = np.zeros(len(place) + 1, np.uint64)
+        np.cumsum(_POWERS[place & 4095] * (data[end[0] : end[-1]] + np.uint64(1)), out=total[1:])
+        out[i : i + len(size)] = total[end[1:] - end[0]] - total[end[:-1] - end[0]]
+    out ^= out >> np.uint64(32)
+    return out * np.uint64(0xD6E8FEB86659FD93)
+
+
+class _Known:
+    """Distinct pieces and where their ids are. They are found by hash in a table that grows with them, for Arrow's
+    ``index_in`` makes one of all pieces with each call; what is found is compared, so that of pieces with one hash one is
+    known, and the others are encoded whenever they come."""
+
+    def __init__(self):
+        self.pieces, self.where, self.hash = pa.array([], pa.string()), np.empty(0, np.int64), np.empty(0, np.uint64)
+        self.table = np.full(1 << 12, -1, np.int32)
+
+    def _slot(self, h: np.ndarray) -> np.ndarray:
+        return (h >> np.uint64(65 - len(self.table).bit_length())).astype(np.intp)
+
+    def find(self, pieces: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of pieces are, -1 for one that isn't known, and the pieces' hashes."""
+        h = _hashes(pieces)
+        at = np.full(len(pieces), -1)
+        left, slot = np.arange(len(pieces) if len(self.where) else 0), self._slot(h)
+        while len(left):
+            got = self.table[slot]
+            same = (got >= 0) & (self.hash[got] == h[left])
+            at[left[same]] = got[same]
+            on = (got >= 0) & ~same
+            left, slot = left[on], (slot[on] + 1) & (len(self.table) - 1)
+        found = np.flatnonzero(at >= 0)
+        equal = pc.equal(self.pieces.take(pa.array(at[found])), pieces.take(pa.array(found))).to_numpy(zero_copy_only=False)
+        at[found[~equal]] = -1
+        return np.append(self.where, -1)[at], h
+
+    def add(self, pieces: pa.StringArray, where: np.ndarray, h: np.ndarray) -> None:
+        first = len(self.where)
+        self.pieces = pa.concat_arrays([self.pieces, pieces])
+        self.where, self.hash = np.concatenate([self.where, where]), np.concatenate([self.hash, h])
+        if 2 * len(self.where) > len(self.table):
+            self.table = np.full(1 << (4 * len(self.where)).bit_length(), -1, np.int32)
+            first = 0
+        left = np.arange(first, len(self.where), dtype=np.int32)
+        slot = self._slot(self.hash[first:])
+        while len(left):
+            free = np.flatnonzero(self.table[slot] < 0)
+            self.table[slot[free]] = left[free]  # of several for one place, one stays
+            missed = self.hash[self.table[slot]] != self.hash[left]  # of several with one hash, too
+            left, slot = left[missed], (slot[missed] + 1) & (len(self.table) - 1)
+
+
 class Encoder:
     """Ids of whole texts as the tokenizers library gives them, of a byte-level BPE file without a normalizer.
 
@@ -335,9 +401,8 @@ class Encoder:
         self.reset()
 
     def reset(self) -> None:
-        none = pa.array([], pa.string())
         #: pieces at a text's start, pieces behind a space, and words, with their places in the arrays below
-        self.known = [(none, np.empty(0, np.int64)) for _ in range(3)]
+        self.known = [_Known() for _ in range(3)]
         self.n, self.n_ids = 0, 0
         self.start, self.count, self.ids = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32)
 
@@ -355,14 +420,12 @@ class Encoder:
 
     def _places(self, pieces: pa.StringArray, kind: int) -> np.ndarray:
         """The places of distinct pieces; those that are new are encoded."""
-        known, where = self.known[kind]
-        at = pc.index_in(pieces, value_set=known).fill_null(-1).to_numpy()
-        places = np.append(where, -1)[at]
-        missing = at < 0
+        places, h = self.known[kind].find(pieces)
+        missing = places < 0
         if missing.any():
             new = pieces.filter(pa.array(missing))
             places[missing] = self._encode_words(new) if kind == 2 else self._encode(new, " " * kind)
-            self.known[kind] = pa.concat_arrays([known, new]), np.concatenate([where, places[missing]])
+            self.known[kind].add(new, places[missing], h[missing])
         return places
 
     def _encode(self, pieces: pa.StringArray, before: str) -> np.ndarray:
@@ -390,21 +453,20 @@ class Encoder:
         """Places of new words as the pattern makes them, each of which the library's model encodes."""
         raw = _joined(words, _MARK).replace(_MARK.encode(), b"\xff")
         flat = _LETTERS[np.frombuffer(raw, np.uint8)].tobytes().decode("utf-16-le").split(_MARK)
-        counts, ids = [], []
-        for tokens in map(self.model.tokenize, flat):
-            counts.append(len(tokens))
-            ids += [t.id for t in tokens]
-        ids = np.array(ids, np.uint32)
-        if self.letters[ids].sum() != len(raw) - len(words) + 1:  # a token's letters are its bytes
+        ids = np.array([t.id for tokens in map(self.model.tokenize, flat) for t in tokens], np.uint32)
+        # a token's letters are its bytes, and no token goes beyond its word
+        upto, ends = np.cumsum(self.letters[ids]), np.cumsum(pc.binary_length(words).to_numpy())
+        counts = np.diff(np.searchsorted(upto, ends, "right"), prepend=0)
+        if not len(ids) or upto[-1] != ends[-1] or (upto[np.cumsum(counts) - 1] != ends).any():
             raise ValueError("the vocabulary lacks a byte")
-        return self._keep(ids, np.array(counts, np.int64))
+        return self._keep(ids, counts)
 
     def _gather(self, first: np.ndarray, n: np.ndarray, ids: np.ndarray) -> np.ndarray:
         return ids[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
 
     def encode(self, texts: pa.StringArray, tail: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one text behind another with ``tail`` at its end, and how many each has."""
-        if self.n > CACHE or self.n_ids * 4 + sum(k.nbytes for k, _ in self.known) > BYTES:
+        if self.n > CACHE or self.n_ids * 4 + sum(k.pieces.nbytes for k in self.known) > BYTES:
             self.reset()
         if not len(texts):
             return np.empty(0, np.uint32), np.empty(0, np.int64)

@@ -475,6 +475,26 @@ def test_ids_ask_for_each_word_once():
     assert sorted(counting.asked) == sorted({"so", "Ġit", "Ġis", ",", "it", "Ġso", "is", "?", "'s"})
 
 
+def test_known_pieces_are_found_by_hash(monkeypatch):
+    """A lookup makes no table of all pieces; pieces of one hash are told apart, and slices are hashed as what they show."""
+    pieces = pa.array(["", "a", "b", "ab", "ba", "x" * 5000, "x" * 9096, "é", *map(str, range(20000))], pa.string())
+    assert len(set(idcoder._hashes(pieces).tolist())) > 0.999 * len(pieces)
+    assert (idcoder._hashes(pieces.slice(2, 17)) == idcoder._hashes(pieces)[2:19]).all()
+    monkeypatch.setattr(idcoder.pc, "index_in", None)
+    own = idcoder._hashes
+    for hashes in (own, lambda p: own(p) & np.uint64(0xFFF << 52), lambda p: np.zeros(len(p), np.uint64)):
+        monkeypatch.setattr(idcoder, "_hashes", hashes)
+        known, parts, at = idcoder._Known(), (pieces.slice(0, 8), pieces.slice(8)), 0
+        for part in parts:
+            where, h = known.find(part)
+            assert (where == -1).all()
+            known.add(part, np.arange(at, at + len(part)), h)
+            at += len(part)
+        where, _ = known.find(pieces)
+        right = where == np.arange(len(pieces))
+        assert (right | (where == -1)).all() and right.sum() == len(set(hashes(pieces).tolist()))
+
+
 def test_ids_of_odd_texts():
     from tokenizers import Tokenizer
 
