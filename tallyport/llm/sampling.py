@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from tallyport.llm.common import Index, handing_back
 
 SPACE = "▁"
-#: Lattice nodes that a task keeps before it starts afresh, characters that it works on at once, and walks so few that
-#: they are walked one by one.
-NODES, CHUNK, FEW = 3_000_000, 1_000_000, 8
+#: Lattice nodes that a task keeps before it starts afresh, characters of texts and of new words that it works on at
+#: once, and walks so few that they are walked one by one.
+NODES, CHUNK, NEW, FEW = 1_000_000, 500_000, 125_000, 8
 _WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Texts that a cut at each space doesn't turn into words, as Arrow's pattern library writes it.
 _ODD = f"  |^ | $|{SPACE}|^$"
@@ -87,7 +87,8 @@ class Lattices:
         self.piece_of = np.array([piece_of.get(h, -1) for h in starts], np.int32)
         self.ids = np.array(plain, np.int32)
         rank = np.minimum(-np.array([sp.get_score(i) for i in plain]), n)
-        self.weight = -power * np.log(2.0 + rank)
+        self.weight = np.zeros(n)
+        self.weight[self.ids] = -power * np.log(2.0 + rank)
         self.byte_weight = -power * np.log(2.0 + n)
         self.short = int(690 / max(1.0, -4 * self.byte_weight))  # characters whose weights' product is no less than e^-690
         self.vocabulary = n
@@ -132,24 +133,28 @@ class Lattices:
         if missing.any():
             new = distinct.filter(pa.array(missing))
             found = np.empty(len(new), np.int64)
-            long = pc.utf8_length(new).to_numpy() >= self.short
-            for part in (long, ~long):
-                if part.any():
-                    found[part] = self._add([SPACE + w for w in new.filter(pa.array(part)).to_pylist()], part is not long)
+            size = pc.utf8_length(new).to_numpy()
+            long = np.flatnonzero(size >= self.short)
+            if len(long):
+                found[long] = self._add(new.take(pa.array(long)), False)
+            short = np.flatnonzero(size < self.short)
+            for part in np.split(short, np.flatnonzero(np.diff(np.cumsum(size[short], dtype=np.int64) // NEW)) + 1):
+                if len(part):
+                    found[part] = self._add(new.take(pa.array(part)), True)
             nodes[missing] = found
             self.words, self.at = pa.concat_arrays([self.words, new]), np.concatenate([self.at, found])
         return nodes[coded.indices.to_numpy()]
 
-    def _add(self, words: list[str], plain: bool) -> np.ndarray:
+    def _add(self, words: pa.StringArray, plain: bool) -> np.ndarray:
         """Lattices for new words, and their first nodes; ``plain`` weights (of words whose weights' product can't
         vanish) are summed as they are, others by their logs, which differs by rounding alone."""
-        size = np.fromiter(map(len, words), np.int64, len(words))
-        chars = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").astype(np.uint64)
+        size = pc.utf8_length(words).to_numpy().astype(np.int64) + 1
+        text = pc.binary_join(pa.ListArray.from_arrays([0, len(words)], pc.binary_join_element_wise(SPACE, words, "")), "")[0].as_py()
+        chars = np.frombuffer(text.encode("utf-32-le"), "<u4")
         start = np.cumsum(size) - size
-        end_of = np.repeat(start + size, size)  # of the word, for each character
-        word_of = np.repeat(np.arange(len(words)), size)
+        end_of = np.repeat((start + size).astype(np.int32), size)  # of the word, for each character
         at, h = np.arange(len(chars)), np.zeros(len(chars), np.uint64)
-        found = []
+        sources, tokens = [], []
         for length in range(1, self.longest + 1):
             at = at[at + length <= end_of[at]]
             if not len(at):
@@ -160,26 +165,35 @@ class Lattices:
             hit = piece >= 0
             if length == 1:
                 odd = at[~hit]
-                width = 1 + (chars[odd] > 0x7F) + (chars[odd] > 0x7FF) + (chars[odd] > 0xFFFF)
-                found.append((odd, odd + 1, self.byte_weight * width, -1 - chars[odd].astype(np.int64)))
-            found.append((at[hit], at[hit] + length, self.weight[piece[hit]], self.ids[piece[hit]].astype(np.int64)))
+                sources.append(odd.astype(np.int32))
+                tokens.append(-1 - chars[odd].astype(np.int32))
+            sources.append(at[hit].astype(np.int32))
+            tokens.append(self.ids[piece[hit]])
             at = at[place >= 0]
-        source, to, weight, token = (np.concatenate(x) for x in zip(*found))
+        del at, h, place, piece, hit
+        source, token = np.concatenate(sources), np.concatenate(tokens)
+        del sources, tokens
         order = np.argsort(source, kind="stable")  # shorter pieces came first
-        source, to, weight, token = source[order], to[order], weight[order], token[order]
-        # a character's node is its place plus the number of words before it: each word has one node more, its end
+        source, token = source[order], token[order]
+        del order
+        to = (source + np.where(token < 0, 1, self.length[np.maximum(token, 0)])).astype(np.int32)
+        weight = self.weight[np.maximum(token, 0)]
+        odd = np.flatnonzero(token < 0)
+        code = -1 - token[odd]
+        weight[odd] = self.byte_weight * (1 + (code > 0x7F).astype(np.int64) + (code > 0x7FF) + (code > 0xFFFF))
         first = np.searchsorted(source, np.arange(len(chars) + 1))
+        # a character's node is its place plus the number of words before it: each word has one node more, its end
         left = end_of - np.arange(len(chars))
         # the summed weights of all ways on to the word's end (or their log); an end's place is the next word's first
         total = np.zeros(len(chars) + 1)
         last = to == end_of[source]
         if plain:
             weight = np.exp(weight)
-        few = len(words) < FEW
+        few = not plain and len(words) < FEW
         by_left = np.argsort(left, kind="stable") if not few else np.empty(0, np.int64)
         cuts = np.searchsorted(left[by_left], np.arange(1, int(left.max()) + 2)) if not few else [0]
         if few:
-            self._total(total, first.tolist(), to.tolist(), weight.tolist(), last.tolist(), plain)
+            self._total(total, first.tolist(), to.tolist(), weight.tolist(), last.tolist())
         for d in range(len(cuts) - 1):
             nodes = by_left[cuts[d] : cuts[d + 1]]
             n = first[nodes + 1] - first[nodes]
@@ -212,14 +226,11 @@ class Lattices:
         return base + start + np.arange(len(words))
 
     @staticmethod
-    def _total(total: np.ndarray, first: list, to: list, weight: list, last: list, plain: bool) -> None:
-        """The backward sums node by node: for few words, whose steps would have next to nothing to do at once."""
+    def _total(total: np.ndarray, first: list, to: list, weight: list, last: list) -> None:
+        """The backward sums' logs node by node: for few long words, whose steps would have next to nothing to do at once."""
         held = total.tolist()
         for node in range(len(first) - 2, -1, -1):
             edges = range(first[node], first[node + 1])
-            if plain:
-                held[node] = sum([weight[e] * (1.0 if last[e] else held[to[e]]) for e in edges])
-                continue
             v = [weight[e] + (0.0 if last[e] else held[to[e]]) for e in edges]
             top = max(v)
             held[node] = top + log(sum([exp(x - top) for x in v]))
@@ -249,7 +260,7 @@ class Lattices:
         for i, (more, _) in alone.items():
             count[i] += len(more)
         offset = np.cumsum(count) - count
-        out, source = np.empty((2, int(count.sum())), np.int64)
+        out, source = np.empty((2, int(count.sum())), np.int32)
         for t, (who, edge, here) in enumerate(steps):
             at = offset[who] + t
             out[at], source[at] = edge, here
@@ -376,7 +387,7 @@ def rounds(texts: pa.StringArray, keys: np.ndarray, k: int, lat: Lattices, seed:
         # each path: a prefix of an earlier one, another edge at the branch, then sampled steps to the end
         taken = np.flatnonzero(took)
         chance = _uniform(seed, keys, s, 2**41)
-        none = np.empty(0, np.int64)
+        none = np.empty(0, np.int32)
         heads: dict[int, tuple] = {}
         begin, extra = np.zeros(docs, np.int64), np.full(docs, -1)
         for d in taken.tolist() if s else ():
@@ -406,9 +417,8 @@ def rounds(texts: pa.StringArray, keys: np.ndarray, k: int, lat: Lattices, seed:
             starts[cut] = extra[doc_of[cut]]
         drawn = _state(np.zeros(1, np.uint64), seed, keys, s)
         edges, nodes, count = lat.walk(starts, _state(drawn[doc_of], word_of))
-        walker = np.repeat(np.arange(len(starts)), count)
-        per_doc = np.bincount(doc_of[walker], minlength=docs)
-        edge_word = word_of[walker]
+        per_doc = np.bincount(np.repeat(doc_of, count), minlength=docs)
+        edge_word = np.repeat(word_of.astype(np.int32), count)
         if s:  # the branch edge goes before each text's sampled steps
             spot = (np.cumsum(per_doc) - per_doc)[taken]
             edges, nodes, edge_word = (np.insert(x, spot, [v[d] if isinstance(v, np.ndarray) else heads[d][v] for d in taken.tolist()]) for x, v in ((edges, 5), (nodes, 6), (edge_word, begin)))

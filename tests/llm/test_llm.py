@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 from math import log10
@@ -225,6 +226,28 @@ def test_segmentations_of_long_words_and_empty_tables(spark):
     assert sampling.sample_segmentations(rows.limit(0), path).count() == 0
 
 
+def test_segmentations_in_bounded_memory(spark):
+    """A task's memory depends neither on how many words its texts hold nor on how they are dealt into batches."""
+    made = random.Random(3)
+    texts = [" ".join("".join(made.choices("abcdefghijklmnoprstu", k=made.randint(3, 9))) for _ in range(4_000)) for _ in range(50)]
+
+    class Docs:
+        select = lambda self, *columns: self
+        mapInArrow = lambda self, run, schema: run
+
+    run = sampling.sample_segmentations(Docs(), tokenizer_path("piece_bpe_32k.model"))
+    rows = pa.RecordBatch.from_arrays([pa.array(range(50)), pa.array(texts)], names=["doc_id", "text"])
+    got = []
+    for batches in ([rows], [rows.slice(i, 7) for i in range(0, 50, 7)]):
+        tracemalloc.start()
+        kept = [[*zip(*(b.column(i).to_pylist() for i in (0, 1, 3, 4, 5)), [hash(tuple(x)) for x in b.column(2).to_pylist()])] for b in run(iter(batches))]
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 150e6
+        got.append(sorted(x for b in kept for x in b))
+    assert len(got[0]) == 100 and got[0] == got[1]
+
+
 def test_sampling_law():
     lat = sampling.lattices(tokenizer_path("piece_bpe_32k.model"), 0.5)
     first, second, logp, n = Counter(), Counter(), {}, 4000
