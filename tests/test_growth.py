@@ -102,3 +102,41 @@ def test_images_stage_holds_no_tag_files(spark):
     got = images._images(spark, "/root/testdata/sf0.001", manifests_too=False)
     assert "m" not in got.columns and {"index_raw", "layout_raw"} <= set(got.columns)
     assert "index_raw" not in got._jdf.queryExecution().optimizedPlan().collectLeaves().head().output().mkString(",")
+
+
+def test_stores_of_a_wave_are_removed_before_the_next(spark, tmp_path, monkeypatch):
+    """Texts whose stores would take too much disk go wave by wave: each text in one, equal texts together, one wave's folders at a time."""
+    import os
+
+    from tallyport.plans import stores
+
+    rows = [(i, f"text {i % 40}") for i in range(100)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(stores, "WAVE", 30 * stores.BLOCK)
+    kept, waves = [], []
+
+    def run(docs, folder):
+        assert not any(map(os.path.exists, kept))
+        root = folder()
+        kept.append(root.removeprefix("file://").removeprefix("file:"))
+        got = docs.collect()
+        waves.append({r.text for r in got})
+        execution.write_objects(docs.select(F.concat(F.lit("a/b/c/d"), "doc_id").alias("name"), F.col("text").alias("content")), root).count()
+        assert os.path.isdir(kept[-1])
+        return docs.select("doc_id")
+
+    got = stores._in_waves(spark, str(tmp_path), stores._blocks(1000), run)
+    assert not any(map(os.path.exists, kept))
+    assert sorted(r.doc_id for r in got.collect()) == list(range(100))
+    assert len(waves) == 4 and sum(map(len, waves)) == 40 == len(set.union(*waves))
+
+
+def test_a_folder_is_removed_by_tasks(spark, tmp_path):
+    for at in ("x/y/z/deep", "x/y", "p"):
+        (tmp_path / "s" / at).mkdir(parents=True, exist_ok=True)
+        (tmp_path / "s" / at / "file").write_bytes(b"1")
+    (tmp_path / "s" / "file").write_bytes(b"1")
+    (tmp_path / "other").write_bytes(b"1")
+    store.remove_folder(spark, str(tmp_path / "s"))
+    store.remove_folder(spark, str(tmp_path / "none"))
+    assert [x.name for x in tmp_path.iterdir()] == ["other"]
