@@ -140,3 +140,16 @@ def test_a_folder_is_removed_by_tasks(spark, tmp_path):
     store.remove_folder(spark, str(tmp_path / "s"))
     store.remove_folder(spark, str(tmp_path / "none"))
     assert [x.name for x in tmp_path.iterdir()] == ["other"]
+
+
+def test_ranged_reads_leave_no_store(spark, monkeypatch):
+    import glob
+
+    from tallyport.plans import stores
+
+    left = lambda: set(glob.glob(f"{execution.shared_folder(spark).removeprefix('file://')}/tallyport-store-*"))
+    before = left()
+    monkeypatch.setattr(stores, "WAVE", 1 << 20)
+    got = stores.ranged_reads(spark, "/root/testdata/sf0.001")
+    assert left() == before
+    assert all(r.from_file == r.from_chunks and r.n_sent for r in got.collect())
