@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyport.functions import documents as doc
-from tallyport.functions.text import digest_error, split_digest
+from tallyport.functions.text import digest_error, packed_digest, split_digest, unpacked_digest
 from tallyport.operators.execution import settled
 from tallyport.sources.store import fetch_files
 
@@ -129,6 +130,16 @@ def single_manifest_class(index: Column) -> Column:
     )
 
 
+@dataclass(frozen=True)
+class Made:
+    """Blobs whose contents follow from narrower columns: ``rows`` (store, digest, length, and those columns) and the
+    ``content`` made of them. It is made where it is used, so no shuffle or stage holds it. Of rows with one digest the
+    shortest counts, then the least of those columns."""
+
+    rows: DataFrame
+    content: Column
+
+
 def one_per_digest(blobs: DataFrame) -> DataFrame:
     """One row per store and digest, the shortest blob (then the least content): a digest names one blob."""
     rest = [c for c in ("length", "content", "path") if c in blobs.columns]
@@ -152,27 +163,41 @@ def named_blobs(blobs: DataFrame, named: DataFrame) -> DataFrame:
     return found.withColumn("error", F.lit(None).cast("string"))
 
 
-def read_manifests(dumps: DataFrame, blobs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+def read_manifests(dumps: DataFrame, blobs: DataFrame | Made, keep: tuple[str, ...] = (), made: dict[str, Column] | None = None) -> DataFrame:
     """``store, ref, manifest_digest, manifest_size, raw, m, error`` for each dump (store, ref, index_raw), and the
-    dumps' columns in ``keep``.
+    dumps' columns in ``keep``. ``made``: columns that follow from those and from the manifest's digest, by name; they are made
+    behind the join with the blobs, whose shuffle needn't hold them.
 
     The index must hold one plain manifest; its blob must exist in the store, have its digest, and parse. An
     unreadable image is a row with its error, so one bad image never stops the others. ``blobs`` as in
-    :func:`named_blobs`: of the pool only the manifests are read.
+    :func:`named_blobs`, of the pool only the manifests are read; or :class:`Made`.
     """
     idx = _with_parsed(dumps.select("store", "ref", "index_raw", *keep), parse_index(F.col("index_raw")), "i")
     idx = idx.select("store", "ref", *keep, "i.error", single_manifest_class(F.col("i.value")).alias("class"), F.get("i.value.manifests", F.lit(0)).alias("d"))
     index_error = F.coalesce("error", F.when(F.col("class") != "OK", F.lower("class")))
     idx = idx.select("store", "ref", *keep, index_error.alias("index_error"), F.when(index_error.isNull(), F.col("d.digest")).alias("digest"))
-    if callable(blobs) or "path" in blobs.columns:
-        idx = settled(idx)  # both the files to open and the rows to join come of it
-        pool = named_blobs(blobs, idx.where("digest is not null"))
+    content = F.col("content")
+    if isinstance(blobs, Made):
+        rest = [c for c in blobs.rows.columns if c not in ("store", "digest", "length")]
+        rows = blobs.rows.select("store", packed_digest(F.col("digest")).alias("_key"), F.struct("length", *rest).alias("_b"))
+        pool = rows.groupBy("store", "_key").agg(F.min("_b").alias("_b")).select("store", "_key", "_b.*", F.lit(None).cast("string").alias("read_error"))
+        content = blobs.content
     else:
-        pool = one_per_digest(blobs).withColumn("error", F.lit(None).cast("string"))
-    pool = pool.select("store", "digest", F.col("content").alias("raw"), "length", F.col("error").alias("read_error"))
-    got = _with_parsed(idx.join(pool, ["store", "digest"], "left"), parse_manifest(F.col("raw")), "p")
-    error = F.coalesce("index_error", "read_error", F.when(F.col("raw").isNull(), "missing manifest blob"), digest_error(F.col("raw"), F.col("digest")), "p.error")
-    return got.select("store", "ref", *keep, F.col("digest").alias("manifest_digest"), F.col("length").alias("manifest_size"), "raw", F.when(error.isNull(), F.col("p.value")).alias("m"), error.alias("error"))
+        if callable(blobs) or "path" in blobs.columns:
+            idx = settled(idx)  # both the files to open and the rows to join come of it
+            pool = named_blobs(blobs, idx.where("digest is not null"))
+        else:
+            pool = one_per_digest(blobs).withColumn("error", F.lit(None).cast("string"))
+        pool = pool.select("store", packed_digest(F.col("digest")).alias("_key"), "content", "length", F.col("error").alias("read_error"))
+    # the dumps' own columns are aside, since the pool's may be called as they are
+    idx = idx.select("store", "ref", F.struct(*keep).alias("_kept") if keep else F.lit(None).alias("_kept"), "index_error", packed_digest(F.col("digest")).alias("_key"))
+    got = idx.withColumnRenamed("ref", "_ref").join(pool, ["store", "_key"], "left")
+    got = got.select("store", "_ref", "_kept", "index_error", "read_error", unpacked_digest(F.col("_key")).alias("manifest_digest"), F.col("length").alias("manifest_size"), F.when(F.col("length").isNotNull(), content).alias("raw"))
+    got = got.select(F.col("store"), F.col("_ref").alias("ref"), *[F.col("_kept")[c].alias(c) for c in keep], *got.columns[3:])
+    got = _with_parsed(got, parse_manifest(F.col("raw")), "p")
+    error = F.coalesce("index_error", "read_error", F.when(F.col("raw").isNull(), "missing manifest blob"), digest_error(F.col("raw"), F.col("manifest_digest")), "p.error")
+    more = [c.alias(n) for n, c in (made or {}).items()]
+    return got.select("store", "ref", *keep, *more, "manifest_digest", "manifest_size", "raw", F.when(error.isNull(), F.col("p.value")).alias("m"), error.alias("error"))
 
 
 def closure(manifests: DataFrame) -> DataFrame:
@@ -218,14 +243,18 @@ def image_view(dumps: DataFrame, blobs: DataFrame, wanted: DataFrame, content: b
     return rows.select("store", "ref", "digest", F.when(error.isNull(), size).alias("size"), F.when(error.isNull(), F.col("content")).alias("content"), error.alias("error"))
 
 
-def blobs_of_images(read: DataFrame, refs: DataFrame) -> DataFrame:
-    """``ref, digest, error``: the closure of each asked image (ref).
+def blobs_of_images(read, refs: DataFrame) -> DataFrame:
+    """``ref, digest, error``: the closure of each asked image (ref). ``read``: what :func:`read_manifests` gives, or a function
+    that gives it for the images (ref) that it is given, and reads no others.
 
     An image that isn't there, or whose manifest blob isn't, has no rows; any other failure is one row with its error.
     """
-    got = read.join(refs.select("ref").distinct(), "ref", "left_semi")
-    bad = got.where("error is not null and error != 'missing manifest blob'").select("ref", F.lit(None).cast("string").alias("digest"), "error")
-    return closure(got).select("ref", "digest", F.lit(None).cast("string").alias("error")).unionByName(bad)
+    refs = refs.select("ref").distinct()
+    got = read(refs) if callable(read) else read.join(refs, "ref", "left_semi")
+    listed = F.transform(descriptors(F.col("manifest_digest"), F.col("manifest_size"), F.col("m")), lambda x: x["digest"])
+    none = F.array(F.lit(None).cast("string"))
+    # one generator for both: a union would read all images twice
+    return got.select("ref", F.explode(F.when(F.col("error").isNull(), listed).when(F.col("error") != "missing manifest blob", none)).alias("digest"), "error")
 
 
 def enumerate_store(read: DataFrame, inventory: DataFrame, skipped: bool = False) -> DataFrame:
@@ -277,12 +306,13 @@ def meta_json(layout_raw: Column, index_raw: Column, chunk: Column, descs: Colum
     return doc.let(descs, lambda listed: doc.let(error(listed), lambda e: F.struct(F.when(e.isNull(), made(listed)).alias("json"), e.alias("error"))))
 
 
-def commit_metas(dumps: DataFrame, blobs: DataFrame, chunk: int, name: Column) -> DataFrame:
-    """``ref, name, json, error``: the metadata object of each image (store, ref, index_raw, layout_raw), written last.
+def commit_metas(dumps: DataFrame, blobs: DataFrame | Made, chunk: int, name: Column, keep: tuple[str, ...] = ("index_raw", "layout_raw"), made: dict[str, Column] | None = None) -> DataFrame:
+    """``ref, name, json, error``: the metadata object of each image (store, ref, index_raw, layout_raw), written last. Tag files
+    that follow from narrower columns may be ``made`` of those that ``keep`` names; see :func:`read_manifests`.
 
     The manifest must be there, verified and of a single-image index; then its descriptors are taken from it.
     """
-    rows = read_manifests(dumps, blobs, keep=("index_raw", "layout_raw"))
+    rows = read_manifests(dumps, blobs, keep, made)
     descs = descriptors(F.col("manifest_digest"), F.col("manifest_size"), F.col("m"))
     made = meta_json(F.col("layout_raw"), F.col("index_raw"), F.lit(chunk).cast("bigint"), descs)
     rows = _with_parsed(rows, F.when(F.col("error").isNull(), made), "_meta")

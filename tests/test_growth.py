@@ -153,3 +153,49 @@ def test_ranged_reads_leave_no_store(spark, monkeypatch):
     got = stores.ranged_reads(spark, "/root/testdata/sf0.001")
     assert left() == before
     assert all(r.from_file == r.from_chunks and r.n_sent for r in got.collect())
+
+
+def test_packed_digests_are_told_apart(spark):
+    from tallyport.functions import text
+
+    odd = ["sha256:" + "0a" * 32, "sha256:" + "0A" * 32, "sha256:" + "0a" * 31, "sha512:" + "0a" * 64, "", "d", "\x01" + "a" * 32, "sha256:" + "0a" * 32 + "\n", None]
+    rows = spark.createDataFrame([(x,) for x in odd], "d string").withColumn("p", text.packed_digest(F.col("d")))
+    got = rows.select("d", "p", text.unpacked_digest(F.col("p")).alias("u")).collect()
+    assert all(r.d == r.u for r in got) and len({r.p and bytes(r.p) for r in got}) == len(odd)
+    assert [len(r.p) for r in got if r.d == odd[0]] == [33]
+
+
+def test_made_contents_are_in_no_stage(spark):
+    """Contents and tag files that follow from narrower columns give the same rows, and the images' stage holds none of them."""
+    from tallyport.plans import images
+
+    found = images._images(spark, "/root/testdata/sf0.001")
+    plain = manifests.read_manifests(found.select("store", "ref", "index_raw"), images._blobs(found), keep=("index_raw",))
+    kept = found.select("store", "ref", "index_raw", "kind", F.when(F.col("kind").isin(2, 3), F.col("digest")).alias("own"), "size")
+    index = images._index(F.col("kind"), F.coalesce("own", "manifest_digest"), F.col("size"))
+    made = manifests.read_manifests(kept, images._made(found), keep=("kind", "own", "size"), made={"index_raw": index})
+    columns = ("ref", "manifest_digest", "manifest_size", "raw", "m", "error")
+    same = lambda df: {str(r.asDict(True)) for r in df.select(*columns).collect()}
+    assert same(plain) == same(made) and made.where("error is null").count() > 0
+    tags = lambda df: {(r.ref, bytes(r.index_raw)) for r in df.where("error is null").select("ref", "index_raw").collect()}
+    assert tags(plain) == tags(made)
+    wide = {"raw", "content", "m", "index_raw"}
+    stage = images._images(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().collectLeaves().head().output().mkString(",")
+    assert not wide & {c.split("#")[0] for c in stage.split(",")}
+
+
+def test_only_asked_images_are_read(spark):
+    asked = spark.createDataFrame([("a",), ("a",), ("c",)], "ref string")
+    rows = [("s", "a", "d1", 3, None), ("s", "c", None, None, "bad json"), ("s", "d", None, None, "missing manifest blob")]
+    m = "struct<config:struct<digest:string,size:bigint>,layers:array<struct<mediaType:string,digest:string,size:bigint>>>"
+    read = spark.createDataFrame(rows, "store string, ref string, manifest_digest string, manifest_size long, error string")
+    read = read.withColumn("m", F.when(F.col("error").isNull(), F.from_json(F.lit('{"config":{"digest":"c","size":1},"layers":[{"digest":"l"},{"digest":"l"}]}'), m)))
+    given = []
+
+    def found(refs):
+        given.extend(sorted(r.ref for r in refs.collect()))
+        return read.join(refs, "ref", "left_semi")
+
+    got = lambda x: sorted(map(tuple, manifests.blobs_of_images(x, asked).collect()), key=repr)
+    want = sorted([("a", "d1", None), ("a", "c", None), ("a", "l", None), ("a", "l", None), ("c", None, "bad json")], key=repr)
+    assert got(read) == want and got(found) == want and given == ["a", "c"]
