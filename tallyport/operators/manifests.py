@@ -262,7 +262,8 @@ def enumerate_store(read: DataFrame, inventory: DataFrame, skipped: bool = False
     the images that can't be read instead, with their errors."""
     if skipped:
         return read.where("error is not null").select("ref", "error")
-    return closure(read).select("digest").unionByName(inventory.select("digest")).distinct()
+    packed = [rows.select(packed_digest(F.col("digest")).alias("_key")) for rows in (closure(read), inventory)]
+    return packed[0].unionByName(packed[1]).distinct().select(unpacked_digest(F.col("_key")).alias("digest"))
 
 
 def enumerate_images(transport: str, read=None, inspected=None, inventory=None) -> DataFrame:
