@@ -199,3 +199,24 @@ def test_only_asked_images_are_read(spark):
     got = lambda x: sorted(map(tuple, manifests.blobs_of_images(x, asked).collect()), key=repr)
     want = sorted([("a", "d1", None), ("a", "c", None), ("a", "l", None), ("a", "l", None), ("c", None, "bad json")], key=repr)
     assert got(read) == want and got(found) == want and given == ["a", "c"]
+
+
+def test_a_blob_of_one_write_gets_no_token(spark, tmp_path):
+    """It is sent though its token couldn't be written, and replaces whatever part another attempt has left."""
+    import hashlib
+
+    body, other = b"small", b"other"
+    hexes = [hashlib.sha256(x).hexdigest() for x in (body, other)]
+    source, target = tmp_path / "a/share/sha256", tmp_path / "b/share/sha256"
+    source.mkdir(parents=True)
+    for x, hex_ in zip((body, other), hexes):
+        (source / hex_).write_bytes(x)
+    (target / f"{hexes[0]}{moving.TOKEN}").mkdir(parents=True)
+    (target / f"{hexes[1]}{moving.PART}").write_bytes(b"left")
+    (target / f"{hexes[1]}{moving.TOKEN}").write_bytes(b"sha256:another")
+    plan = spark.createDataFrame([("i", f"sha256:{h}", 5) for h in hexes], "ref string, digest string, size long")
+    actions = moving.transfer_actions(plan, moving.blob_files(plan, str(tmp_path / "b")))
+    got = moving.move_files(actions, str(tmp_path / "a"), str(tmp_path / "b")).collect()
+    assert [(r.status, r.start, r.written) for r in got] == [("sent", 0, 5)] * 2
+    assert [(target / h).read_bytes() for h in hexes] == [body, other]
+    assert not [x for x in target.iterdir() if x.is_file() and x.name not in hexes]
